@@ -148,6 +148,12 @@ class CampaignConfig:
             spark, {"grp": (pa.string(), names), "grp_label": (pa.string(), [self.group_label(n) for n in names])}
         )
 
+    def grid_frame(self, spark: SparkSession) -> DataFrame:
+        """(grp, grp_label, period): every configured group with both periods."""
+        rows = [(grp, self.group_label(grp), period) for grp in self.groups for period in PERIODS]
+        names = ("grp", "grp_label", "period")
+        return local_table(spark, {n: (pa.string(), [r[i] for r in rows]) for i, n in enumerate(names)})
+
     def member_frame(self, spark: SparkSession) -> DataFrame:
         """(grp, store_code). A store may be in several groups."""
         rows = [(grp, code) for grp, codes in self.groups.items() for code in codes]

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 from datetime import date, timedelta
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -64,19 +66,31 @@ def monday_first(weekday: Column) -> Column:
     return F.array_position(F.array(*[F.lit(name) for name in DAY_NAMES]), weekday).cast("int") - 1
 
 
-def in_dates(day: Column, dates: Sequence[date]) -> Column:
-    """Date membership with the range bounds spelled out.
+def date_runs(dates: Iterable[date]) -> list[tuple[date, date]]:
+    """The dates as gapless runs (first day, last day)."""
+    runs: list[tuple[date, date]] = []
+    for day in sorted(set(dates)):
+        if runs and day - runs[-1][1] == timedelta(days=1):
+            runs[-1] = (runs[-1][0], day)
+        else:
+            runs.append((day, day))
+    return runs
 
-    The optimizer turns the two bounds on a date or on the date of a timestamp into a pushed
-    range; an IN list alone would not reach the scan. A gapless list needs the bounds only.
+
+def in_dates(day: Column, dates: Iterable[date]) -> Column:
+    """Date membership as range comparisons.
+
+    The optimizer turns a comparison of a date, or of the date of a timestamp, into a pushed
+    range; an IN list on a timestamp's date would not reach the scan. The outer bounds are
+    spelled out for scans that take single comparisons only.
     """
-    days = sorted(set(dates))
-    if not days:
+    runs = date_runs(dates)
+    if not runs:
         return F.lit(False)
-    bounds = (day >= F.lit(days[0])) & (day <= F.lit(days[-1]))
-    if days[-1] - days[0] == timedelta(days=len(days) - 1):
+    bounds = (day >= F.lit(runs[0][0])) & (day <= F.lit(runs[-1][1]))
+    if len(runs) == 1:
         return bounds
-    return bounds & day.isin(days)
+    return bounds & reduce(or_, [(day >= F.lit(first)) & (day <= F.lit(last)) for first, last in runs])
 
 
 def in_values(value: Column, values: Sequence[str]) -> Column | None:

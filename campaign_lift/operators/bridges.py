@@ -13,8 +13,7 @@ from pyspark.sql import functions as F
 
 from campaign_lift.config import BASELINE, PERIODS, PROMO, CampaignConfig
 from campaign_lift.functions.columns import or_unknown, ratio_or_zero, sum_where
-from campaign_lift.operators.funnel import period_values
-from campaign_lift.operators.metrics import kpi_rows
+from campaign_lift.operators.metrics import kpi_rows, periods_side_by_side
 from campaign_lift.operators.subsets import group_period_subset
 
 # Split rules of the category fact and the wording of their steps.
@@ -45,14 +44,13 @@ def _steps(rows: DataFrame, bridge: str | Column, *steps: Column) -> DataFrame:
 # ---------------------------------------------------------------- discounts of the store fact
 
 
-def _discount_stages(period: str, vat: float) -> dict[str, Column]:
-    """PC1 before discounts, after red prices and after promotions, for one period."""
-    value = period_values(period)
-    full, cost = value["total_full_price_revenue"], value["total_cost"]
-    red, promo = value["total_RP_discount_euro"], value["total_promo_discount_euro"]
+def _discount_stages(vat: float) -> dict[str, Column]:
+    """PC1 before discounts, after red prices and after promotions, of a ``group_sums`` row."""
+    full, cost = F.col("total_full_price_revenue"), F.col("total_cost")
+    red, promo = F.col("total_RP_discount_euro"), F.col("total_promo_discount_euro")
     tax = F.lit(float(vat))
     return {
-        "quantity": value["total_quantity"],
+        "quantity": F.col("total_quantity"),
         "cost": cost,
         "red": red,
         "promo": promo,
@@ -65,9 +63,9 @@ def _discount_stages(period: str, vat: float) -> dict[str, Column]:
     }
 
 
-def discount_metrics(period: str, vat: float) -> dict[str, Column]:
-    """Thirteen discount metrics of one period; the keys are fixed values."""
-    s = _discount_stages(period, vat)
+def discount_metrics(vat: float) -> dict[str, Column]:
+    """Thirteen discount metrics of a ``group_sums`` row; the keys are fixed values."""
+    s = _discount_stages(vat)
     return {
         "Total quantity sold": s["quantity"],
         "Black Price, EUR (before all discounts and reductions)": ratio_or_zero(s["full_revenue"], s["quantity"]),
@@ -90,30 +88,21 @@ NOT_SHOWN = "PC1 after Promo discounts, EUR"
 
 def discount_breakdown(sums: DataFrame, cfg: CampaignConfig) -> DataFrame:
     """The twelve shown discount metrics of every group, baseline against promo."""
-    baseline, promo = (
-        {k: v for k, v in discount_metrics(period, cfg.vat).items() if k != NOT_SHOWN} for period in ("baseline", "promo")
-    )
-    return kpi_rows(sums, ["grp"], baseline, promo, zero_base=0.0)
+    shown = {name: value for name, value in discount_metrics(cfg.vat).items() if name != NOT_SHOWN}
+    return kpi_rows(sums, shown, zero_base=0.0, nothing=[0.0] * len(shown))
 
 
 def pc1_bridge_period(sums: DataFrame, cfg: CampaignConfig, periods: Sequence[str] = PERIODS) -> DataFrame:
     """Full-price PC1 to final PC1 inside one period; ``bridge`` is the period name."""
-    side = {BASELINE: "baseline", PROMO: "promo"}
-    steps = []
-    for period in periods:
-        s = _discount_stages(side[period], cfg.vat)
-        steps.append(
-            F.struct(
-                F.lit(period).alias("bridge"),
-                F.array(
-                    _step(1, "Total Full Price PC1", s["full_pc1"], "total"),
-                    _step(2, "RP discount impact", s["red_pc1"] - s["full_pc1"], "delta"),
-                    _step(3, "Promo discount impact", s["final_pc1"] - s["red_pc1"], "delta"),
-                    _step(4, "Final PC1", s["final_pc1"], "total"),
-                ).alias("steps"),
-            )
-        )
-    return sums.select("grp", F.inline(F.array(*steps))).select("grp", "bridge", F.inline("steps"))
+    s = _discount_stages(cfg.vat)
+    return _steps(
+        sums.where(F.col("period").isin(*periods)),
+        F.col("period"),
+        _step(1, "Total Full Price PC1", s["full_pc1"], "total"),
+        _step(2, "RP discount impact", s["red_pc1"] - s["full_pc1"], "delta"),
+        _step(3, "Promo discount impact", s["final_pc1"] - s["red_pc1"], "delta"),
+        _step(4, "Final PC1", s["final_pc1"], "total"),
+    )
 
 
 def pc1_bridge_baseline_to_promo(sums: DataFrame, cfg: CampaignConfig, show_full_price: bool = False) -> DataFrame:
@@ -122,7 +111,10 @@ def pc1_bridge_baseline_to_promo(sums: DataFrame, cfg: CampaignConfig, show_full
     Only the change of the two discount impacts is shown, so the steps do not add up to the
     last total unless ``show_full_price`` adds the change of full-price PC1.
     """
-    base, promo = (_discount_stages(period, cfg.vat) for period in ("baseline", "promo"))
+    stages = ["full_pc1", "red_pc1", "final_pc1"]
+    values = _discount_stages(cfg.vat)
+    rows = sums.select("grp", "period", *[values[name].alias(name) for name in stages])
+    base, promo = F.col("baseline"), F.col("promo")
 
     def change(upper: str, lower: str) -> Column:
         return (promo[upper] - promo[lower]) - (base[upper] - base[lower])
@@ -136,7 +128,7 @@ def pc1_bridge_baseline_to_promo(sums: DataFrame, cfg: CampaignConfig, show_full
         _step(n + 2, "Promo discount impact change", change("final_pc1", "red_pc1"), "delta"),
         _step(n + 3, "Promo Final PC1", promo["final_pc1"], "total"),
     ]
-    return _steps(sums, "Baseline to Promo", *steps)
+    return _steps(periods_side_by_side(rows, ["grp"], stages), "Baseline to Promo", *steps)
 
 
 # ---------------------------------------------------------------- category bridges

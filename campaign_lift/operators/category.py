@@ -7,9 +7,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from campaign_lift.config import CampaignConfig, CategoryFilter
+from campaign_lift.config import BASELINE, CampaignConfig, CategoryFilter
 from campaign_lift.functions.columns import in_values, or_unknown, pad_store_code, price_type, promo_check, sum_where
-from campaign_lift.operators.metrics import kpi_rows, periods_side_by_side
+from campaign_lift.operators.metrics import kpi_rows
 from campaign_lift.operators.store_day import scale_baseline
 from campaign_lift.operators.subsets import group_period_subset
 from campaign_lift.sources.orders import OrderTables
@@ -31,6 +31,7 @@ DIMENSIONS = (
     "promo_check",
 )
 MEASURES = ("total_revenue", "total_quantity", "total_PC1")
+SMALL_COUNTS = 100_000  # rows of about 32 bytes
 
 
 def _labels() -> dict[str, Column]:
@@ -103,11 +104,18 @@ def category_raw(tables: OrderTables, cfg: CampaignConfig) -> DataFrame:
     The count stands for a distinct count over a (date, store) window, which Spark does not
     have. It is made as its own aggregate and joined back; the join is null-safe because a
     window keeps the rows without a store code as one partition.
+
+    With a store list the counts have at most one row per listed store and day. Below
+    ``SMALL_COUNTS`` such rows they are broadcast, so the sums are not shuffled again; otherwise
+    the planner decides by size.
     """
     sums = category_sums(tables, cfg)
     counts = store_day_order_counts(tables, cfg).select(
         F.col("ordered_date").alias("count_date"), F.col("store_code").alias("count_store"), "order_count"
     )
+    most_rows = len(cfg.category.store_codes) * len(cfg.selected_dates)
+    if 0 < most_rows <= SMALL_COUNTS:
+        counts = F.broadcast(counts)
     same_day = F.col("ordered_date") == F.col("count_date")
     same_store = F.col("store_code").eqNullSafe(F.col("count_store"))
     return sums.join(counts, same_day & same_store, "left").select(*DIMENSIONS, *MEASURES, "order_count")
@@ -140,22 +148,23 @@ def category_funnel(facts: DataFrame, cfg: CampaignConfig) -> DataFrame:
     per_period = per_day.groupBy("grp", "period").agg(
         *[F.sum(v).alias(v) for v in values], F.sum("order_count").cast("double").alias("orders")
     )
-    wide = periods_side_by_side(per_period, ["grp"], [*values, "orders"])
-    baseline = _category_kpis(F.col("baseline"), cfg.vat, cfg.baseline_coefficient)
-    promo = _category_kpis(F.col("promo"), cfg.vat, 1.0)
-    return kpi_rows(wide, ["grp"], baseline, promo, zero_base=None)
+    kpis = _category_kpis(cfg)
+    # A period without rows has no orders, and nothing else to add up.
+    return kpi_rows(per_period, kpis, zero_base=None, nothing=[0.0] + [None] * (len(kpis) - 1))
 
 
-def _category_kpis(value: Column, vat: float, order_scale: float) -> dict[str, Column]:
-    """KPIs of one period in display order; the keys are fixed values."""
-    revenue, quantity = value["total_revenue"], value["total_quantity"]
-    orders = F.coalesce(value["orders"], F.lit(0.0)) * order_scale
+def _category_kpis(cfg: CampaignConfig) -> dict[str, Column]:
+    """KPIs of a (grp, period) row in display order; the keys are fixed values."""
+    value = F.col
+    revenue, quantity = value("total_revenue"), value("total_quantity")
+    scale = F.when(F.col("period") == BASELINE, F.lit(float(cfg.baseline_coefficient))).otherwise(1.0)
+    orders = F.coalesce("orders", F.lit(0.0)) * scale
 
     def margin(part: str) -> Column:
-        return F.bround(F.try_divide(value[f"{part}_PC1"], value[f"{part}_revenue"]) * vat, 4)
+        return F.bround(F.try_divide(value(f"{part}_PC1"), value(f"{part}_revenue")) * cfg.vat, 4)
 
     def share(part: str) -> Column:
-        return F.try_divide(value[f"{part}_revenue"], revenue)
+        return F.try_divide(value(f"{part}_revenue"), revenue)
 
     kpis = {
         "total orders": orders,
@@ -163,17 +172,17 @@ def _category_kpis(value: Column, vat: float, order_scale: float) -> dict[str, C
         "total quantity": quantity,
         "price per item": F.try_divide(revenue, quantity),
         "total revenue": revenue,
-        "total PC1": value["total_PC1"],
+        "total PC1": value("total_PC1"),
         "margin": margin("total"),
-        "RP revenue": value["RP_revenue"],
-        "promo revenue": value["promo_revenue"],
-        "existing revenue": value["existing_revenue"],
-        "RP quantity": value["RP_quantity"],
-        "promo quantity": value["promo_quantity"],
-        "existing quantity": value["existing_quantity"],
-        "RP PC1": value["RP_PC1"],
-        "promo PC1": value["promo_PC1"],
-        "existing PC1": value["existing_PC1"],
+        "RP revenue": value("RP_revenue"),
+        "promo revenue": value("promo_revenue"),
+        "existing revenue": value("existing_revenue"),
+        "RP quantity": value("RP_quantity"),
+        "promo quantity": value("promo_quantity"),
+        "existing quantity": value("existing_quantity"),
+        "RP PC1": value("RP_PC1"),
+        "promo PC1": value("promo_PC1"),
+        "existing PC1": value("existing_PC1"),
         "RP margin": margin("RP"),
         "promo margin": margin("promo"),
         "existing margin": margin("existing"),

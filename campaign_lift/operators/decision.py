@@ -20,7 +20,10 @@ FUNNEL_FIELDS = ("kpi_seq", "kpi", "baseline_value", "promo_value", "pct_diff",
 
 
 def pair_tables(funnel: DataFrame, cfg: CampaignConfig) -> DataFrame:
-    """One row per pair with the funnel rows of both groups and their impact rows as arrays."""
+    """One row per pair with the funnel rows of both groups and their impact rows.
+
+    Arrays keep the KPI order; the maps find a row by its KPI.
+    """
     row = F.struct(*FUNNEL_FIELDS)
     packed = (
         funnel.join(cfg.role_frame(funnel.sparkSession), "grp")
@@ -30,16 +33,21 @@ def pair_tables(funnel: DataFrame, cfg: CampaignConfig) -> DataFrame:
             F.array_sort(F.collect_list(F.when(F.col("role") == "testing", row))).alias("testing_funnel"),
         )
     )
-    return packed.withColumn("promo_impact", _impact_rows())
+    by_kpi = {
+        f"{role}_by_kpi": F.map_from_arrays(F.col(f"{role}_funnel")["kpi"], F.col(f"{role}_funnel"))
+        for role in ("control", "testing")
+    }
+    return packed.withColumns(by_kpi).withColumn("promo_impact", _impact_rows())
 
 
 def _impact_rows() -> Column:
+    known = F.filter("testing_funnel", lambda t: F.map_contains_key("control_by_kpi", t["kpi"]))
+
     def impact(testing: Column) -> Column:
-        control = F.get(F.filter("control_funnel", lambda c: c["kpi"] == testing["kpi"]), F.lit(0))
+        control = F.col("control_by_kpi")[testing["kpi"]]
         return F.struct(
             testing["kpi_seq"].alias("kpi_seq"),
             testing["kpi"].alias("kpi"),
-            control["kpi"].alias("control_kpi"),
             testing["pct_diff"].alias("testing_pct_diff"),
             testing["abs_diff"].alias("testing_abs_diff"),
             control["pct_diff"].alias("control_pct_diff"),
@@ -48,13 +56,7 @@ def _impact_rows() -> Column:
             (testing["abs_diff"] - control["abs_diff"]).alias("testing_minus_control_abs_diff"),
         )
 
-    both = F.filter(F.transform("testing_funnel", impact), lambda r: r["control_kpi"].isNotNull())
-    return F.transform(both, lambda r: r.dropFields("control_kpi"))
-
-
-def metric_of(rows: Column | str, kpi: str, field: str) -> Column:
-    """The field of the first row with that KPI; NULL when the KPI is missing."""
-    return F.get(F.filter(rows, lambda r: r["kpi"] == kpi), F.lit(0))[field]
+    return F.transform(known, impact)
 
 
 def top_drivers(rows: Column | str, value: str, top_n: int = 5, min_abs_value: float = 0.0) -> Column:
@@ -109,8 +111,8 @@ def winner_struct(
     """Vote of the primary KPIs on a ``pair_tables`` row."""
 
     def comparison(kpi: str) -> Column:
-        testing = metric_of("testing_funnel", kpi, "pct_diff")
-        control = metric_of("control_funnel", kpi, "pct_diff")
+        testing = F.col("testing_by_kpi")[kpi]["pct_diff"]
+        control = F.col("control_by_kpi")[kpi]["pct_diff"]
         uplift = testing - control
         decision = (
             F.when(uplift.isNull(), "insufficient_data")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from campaign_lift.config import CampaignConfig
@@ -14,41 +14,38 @@ from campaign_lift.operators.subsets import group_period_subset
 def group_sums(
     facts: DataFrame, cfg: CampaignConfig, include_sunday: bool = False, probe: DataFrame | None = None
 ) -> DataFrame:
-    """One row per configured group with the sums of both periods; groups without rows get zeros.
+    """One row per configured group and period with its sums; zeros where there were no rows.
 
     ``probe`` is any frame that has rows exactly when the raw fact has. When it is empty there
     is nothing to report and no group is returned.
     """
-    spark = facts.sparkSession
     subset = group_period_subset(facts, cfg)
     if not include_sunday:
         subset = subset.where(~is_sunday(F.col("ordered_date")))
-    values = [*STORE_SUMS, "trackable_stores"]
-    sums = periods_side_by_side(store_sums(subset, ["grp", "period"], count_stores=True), ["grp"], values)
-    groups = cfg.group_frame(spark)
+    grid = cfg.grid_frame(facts.sparkSession)
     if probe is not None:
-        groups = groups.join(probe.select(F.lit(1).alias("present")).limit(1), F.lit(True), "left_semi")
-    return groups.join(sums, "grp", "left")
-
-
-def period_values(period: str) -> dict[str, Column]:
-    """The sums of one period of a ``group_sums`` row, 0 when the period had no rows."""
-    return {name: F.coalesce(F.col(period)[name], F.lit(0.0)) for name in STORE_SUMS}
+        grid = grid.join(probe.select(F.lit(1).alias("present")).limit(1), F.lit(True), "left_semi")
+    sums = store_sums(subset, ["grp", "period"], count_stores=True)
+    return grid.join(sums, ["grp", "period"], "left").fillna(0, [*STORE_SUMS, "trackable_stores"])
 
 
 def store_funnel(sums: DataFrame, cfg: CampaignConfig) -> DataFrame:
     """(grp, kpi_seq, kpi, baseline_value, promo_value, pct_diff, abs_diff); change on a zero base is 0."""
-    baseline = store_funnel_kpis(period_values("baseline"), cfg.vat)
-    promo = store_funnel_kpis(period_values("promo"), cfg.vat)
-    return kpi_rows(sums, ["grp"], baseline, promo, zero_base=0.0)
+    kpis = store_funnel_kpis({name: F.col(name) for name in STORE_SUMS}, cfg.vat)
+    return kpi_rows(sums, kpis, zero_base=0.0, nothing=[0.0] * len(kpis))
 
 
 def footfall_labels(sums: DataFrame) -> DataFrame:
     """Caption with the number of stores whose footfall was counted in each period."""
-    baseline, promo = (F.coalesce(F.col(p)["trackable_stores"], F.lit(0)) for p in ("baseline", "promo"))
+    sides = periods_side_by_side(sums, ["grp", "grp_label"], ["trackable_stores"])
+    baseline, promo = (F.col(p)["trackable_stores"] for p in ("baseline", "promo"))
     caption = F.concat(
-        F.lit("pedestrian footfall\n(trackable stores #: "), baseline.cast("string"), F.lit(" -->"), promo.cast("string"), F.lit(")")
+        F.lit("pedestrian footfall\n(trackable stores #: "),
+        baseline.cast("string"),
+        F.lit(" -->"),
+        promo.cast("string"),
+        F.lit(")"),
     )
-    return sums.select(
+    return sides.select(
         "grp", "grp_label", baseline.alias("baseline_stores"), promo.alias("promo_stores"), caption.alias("footfall_label")
     )

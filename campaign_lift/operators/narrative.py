@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from campaign_lift.config import CampaignConfig
 from campaign_lift.functions import wording as W
 from campaign_lift.functions.formats import abs_percent_or_na, number_or_na
-from campaign_lift.operators.decision import metric_of
 
 ROLE_LABELS = {"control": "Group A", "testing": "Group B"}  # fixed value
 
@@ -30,15 +29,18 @@ def group_facts(pairs: DataFrame) -> DataFrame:
                 F.lit(role).alias("role"),
                 F.lit(label).alias("label"),
                 F.col(f"{role}_group").alias("grp"),
-                F.col(f"{role}_funnel").alias("funnel"),
+                F.col(f"{role}_by_kpi").alias("by_kpi"),
             )
             for role, label in ROLE_LABELS.items()
         ]
     )
     rows = pairs.select("control_group", "testing_group", F.inline(sides))
 
+    def read_kpi(kpi: str, field: str) -> Column:
+        return F.col("by_kpi")[kpi][field]
+
     def pct(kpi: str) -> Column:
-        return metric_of("funnel", kpi, "pct_diff")
+        return read_kpi(kpi, "pct_diff")
 
     read = {
         "revenue_pct": pct("total revenue"),
@@ -48,12 +50,12 @@ def group_facts(pairs: DataFrame) -> DataFrame:
         "qty_pct": pct("total quantity"),
         "ppi_pct": pct("price per item"),
         "existing_pct": pct("existing revenue"),
-        "total_abs": metric_of("funnel", "total revenue", "abs_diff"),
-        "existing_abs": metric_of("funnel", "existing revenue", "abs_diff"),
+        "total_abs": read_kpi("total revenue", "abs_diff"),
+        "existing_abs": read_kpi("existing revenue", "abs_diff"),
     }
     for name, kpi in (("total", "total revenue"), ("existing", "existing revenue"), ("rp", "RP revenue")):
-        read[f"{name}_b"] = metric_of("funnel", kpi, "baseline_value")
-        read[f"{name}_p"] = metric_of("funnel", kpi, "promo_value")
+        read[f"{name}_b"] = read_kpi(kpi, "baseline_value")
+        read[f"{name}_p"] = read_kpi(kpi, "promo_value")
     rows = rows.withColumns(read)
 
     new_b, new_p = F.col("total_b") - F.col("existing_b"), F.col("total_p") - F.col("existing_p")

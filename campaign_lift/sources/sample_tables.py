@@ -13,8 +13,18 @@ from campaign_lift.sources.orders import OrderTables
 from campaign_lift.sources.schemas import ITEM_COLUMNS, ORDER_COLUMNS, ORDER_ITEM, ORDERS, PC1, QUANTITY, REVENUE
 
 
+# Columns read from the sample tables. Declared, so that opening a table starts no job.
+SAMPLE_SCHEMAS = {
+    "events": "ts timestamp_ntz, user_id bigint, event_type string, value double",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_linenumber int, l_quantity double, l_extendedprice double, "
+    "l_discount double, l_tax double, l_returnflag string, l_linestatus string",
+    "part": "p_partkey bigint, p_brand string, p_type string, p_size int",
+}
+
+
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    return spark.read.schema(SAMPLE_SCHEMAS[name]).parquet(f"{folder}/{name}.parquet")
 
 
 def _whole(value: Column) -> Column:
@@ -61,52 +71,38 @@ def sample_order_rows(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def _sample_lines(spark: SparkSession, folder: str) -> DataFrame:
-    lines = _table(spark, folder, "lineitem")
-    parts = _table(spark, folder, "part")
+def _item_columns() -> list[Column]:
+    """Item fields of a line joined to its part."""
     unit = F.try_divide(F.col("l_extendedprice"), F.col("l_quantity"))
     promoted = F.col("l_linestatus") == "F"
-    priced = lines.join(parts, F.col("l_partkey") == F.col("p_partkey")).select(
-        "l_orderkey",
-        F.col("l_linenumber").alias("item_no"),
-        _whole(unit).alias("black"),
-        F.when(F.col("l_discount") > 0.055, _whole(unit * (1 - F.col("l_discount")))).alias("red"),
-        F.when(F.col("l_discount") > 0.085, _whole(unit * 0.5)).alias("green"),
-        F.when(promoted, _whole(unit * F.col("l_tax"))).otherwise(0.0).alias("promo"),
-        F.when(F.col("l_returnflag") == "R", 0.0).otherwise(F.col("l_quantity")).alias("qty"),
-        _whole(unit * 0.4).alias("cost"),
-        promoted.alias("has_promotion"),
-        F.when(promoted & (F.col("l_tax") > 0.045), "PROMO_B").when(promoted, "PROMO_A").alias("promotion_id"),
-        F.col("p_type").alias("article_section_group"),
-        F.col("p_brand").alias("article_section"),
-        F.when(F.col("p_size") % 4 == 0, "SS")
-        .when(F.col("p_size") % 4 == 1, "FW")
-        .when(F.col("p_size") % 4 == 2, "NOS")
-        .alias("article_season"),
-        F.when(F.col("p_size") % 3 == 0, "OWN").when(F.col("p_size") % 3 == 1, "BRAND").alias("article_brand_group"),
-    )
-    revenue = F.col("qty") * (F.coalesce("red", "black") - F.col("promo"))
-    promotions = F.when(F.col("promotion_id").isNotNull(), F.array(F.struct("promotion_id"))).otherwise(
+    black, cost = _whole(unit), _whole(unit * 0.4)
+    red = F.when(F.col("l_discount") > 0.055, _whole(unit * (1 - F.col("l_discount"))))
+    promo = F.when(promoted, _whole(unit * F.col("l_tax"))).otherwise(0.0)
+    quantity = F.when(F.col("l_returnflag") == "R", 0.0).otherwise(F.col("l_quantity"))
+    revenue = quantity * (F.coalesce(red, black) - promo)
+    promotion_id = F.when(F.col("l_tax") > 0.045, "PROMO_B").otherwise("PROMO_A")
+    promotions = F.when(promoted, F.array(F.struct(promotion_id.alias("promotion_id")))).otherwise(
         F.array().cast(ORDER_ITEM["promotions"].dataType)
     )
-    return priced.select(
-        "l_orderkey",
-        "item_no",
-        F.col("black").alias("article_price_black_eur"),
-        F.col("red").alias("article_price_red_eur"),
-        F.col("green").alias("article_price_green_eur"),
-        F.col("cost").alias("article_cost_eur"),
-        F.col("promo").alias("promotion_discount_eur"),
-        F.col("qty").alias(QUANTITY),
-        revenue.alias(REVENUE),
-        (_whole(revenue / 1.19) - F.col("cost") * F.col("qty")).alias(PC1),
-        "has_promotion",
-        promotions.alias("promotions"),
-        "article_section_group",
-        "article_section",
-        "article_season",
-        "article_brand_group",
-    )
+    size = F.col("p_size")
+    fields = {
+        "item_no": F.col("l_linenumber"),
+        "article_price_black_eur": black,
+        "article_price_red_eur": red,
+        "article_price_green_eur": F.when(F.col("l_discount") > 0.085, _whole(unit * 0.5)),
+        "article_cost_eur": cost,
+        "promotion_discount_eur": promo,
+        QUANTITY: quantity,
+        REVENUE: revenue,
+        PC1: _whole(revenue / 1.19) - cost * quantity,
+        "has_promotion": promoted,
+        "promotions": promotions,
+        "article_section_group": F.col("p_type"),
+        "article_section": F.col("p_brand"),
+        "article_season": F.when(size % 4 == 0, "SS").when(size % 4 == 1, "FW").when(size % 4 == 2, "NOS"),
+        "article_brand_group": F.when(size % 3 == 0, "OWN").when(size % 3 == 1, "BRAND"),
+    }
+    return [fields[name].alias(name) for name in ITEM_COLUMNS]
 
 
 def _orders_without_lines(spark: SparkSession, folder: str, orders: DataFrame) -> DataFrame:
@@ -126,13 +122,18 @@ def sample_item_rows(spark: SparkSession, folder: str) -> DataFrame:
     """One row per order item, empty orders kept with NULL item fields.
 
     An outer join could not split a hot order key, so the matched rows come from an inner join
-    (whose line side may be split at run time) and the empty orders from an anti join.
+    (whose line side may be split at run time) and the empty orders from an anti join. Lines
+    meet the filtered orders first and the parts second: fewer and narrower rows travel.
     """
     orders = sample_order_rows(spark, folder)
-    matched = _sample_lines(spark, folder).join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
-    empty = _orders_without_lines(spark, folder, orders)
-    columns = [*ORDER_COLUMNS, *ITEM_COLUMNS]
-    return matched.select(columns).unionByName(empty.select(*ORDER_COLUMNS), allowMissingColumns=True)
+    matched = (
+        _table(spark, folder, "lineitem")
+        .join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+        .join(_table(spark, folder, "part"), F.col("l_partkey") == F.col("p_partkey"))
+        .select(*ORDER_COLUMNS, *_item_columns())
+    )
+    empty = _orders_without_lines(spark, folder, orders).select(*ORDER_COLUMNS)
+    return matched.unionByName(empty, allowMissingColumns=True)
 
 
 def sample_nested_orders(spark: SparkSession, folder: str) -> DataFrame:
