@@ -80,19 +80,17 @@ class CategoryFilter:
     price_types: tuple[str, ...] = ()
     promo_checks: tuple[str, ...] = ()
 
-    def needs_items(self) -> bool:
-        """True when some list is tested on the item and not on the order record."""
-        return any(
-            (
-                self.article_section_groups,
-                self.article_sections,
-                self.article_seasons,
-                self.article_brand_groups,
-                self.insider_customer_types,
-                self.price_types,
-                self.promo_checks,
-            )
-        )
+    def item_lists(self) -> dict[str, tuple[str, ...]]:
+        """The lists in use that are tested on the item, by the column they test."""
+        lists = {
+            "article_section_group": self.article_section_groups,
+            "article_section": self.article_sections,
+            "article_season": self.article_seasons,
+            "article_brand_group": self.article_brand_groups,
+            "price_type": self.price_types,
+            "promo_check": self.promo_checks,
+        }
+        return {name: values for name, values in lists.items() if values}
 
 
 @dataclass(frozen=True)

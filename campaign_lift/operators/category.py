@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from campaign_lift.config import BASELINE, CampaignConfig, CategoryFilter
+from campaign_lift.config import BASELINE, CampaignConfig
 from campaign_lift.functions.columns import in_values, or_unknown, pad_store_code, price_type, promo_check, sum_where
 from campaign_lift.operators.metrics import kpi_rows
 from campaign_lift.operators.store_day import scale_baseline
@@ -34,41 +36,48 @@ MEASURES = ("total_revenue", "total_quantity", "total_PC1")
 SMALL_COUNTS = 100_000  # rows of about 32 bytes
 
 
-def _labels() -> dict[str, Column]:
-    """Derived dimensions of an item row."""
-    return {
-        "store_code": pad_store_code(F.col("tenant")),
-        "article_section_group": or_unknown(F.col("article_section_group")),
-        "article_section": or_unknown(F.col("article_section")),
-        "article_season": or_unknown(F.col("article_season")),
-        "article_brand_group": or_unknown(F.col("article_brand_group")),
-        "price_type": price_type(F.col("article_price_red_eur")),
-        "promo_check": promo_check(F.col("has_promotion")),
-    }
+# Dimensions derived from the item, and the item fields they come from.
+ITEM_LABELS = {
+    "article_section_group": "article_section_group",
+    "article_section": "article_section",
+    "article_season": "article_season",
+    "article_brand_group": "article_brand_group",
+    "price_type": "article_price_red_eur",
+    "promo_check": "has_promotion",
+}
+
+
+def _label(name: str) -> Column:
+    source = F.col(ITEM_LABELS[name])
+    return {"price_type": price_type, "promo_check": promo_check}.get(name, or_unknown)(source)
 
 
 def _keep(rows: DataFrame, lists: dict[str, tuple[str, ...]]) -> DataFrame:
-    tests = [in_values(F.col(name), values) for name, values in lists.items()]
-    tests = [t for t in tests if t is not None]
-    return rows.where(reduce(lambda a, b: a & b, tests)) if tests else rows
-
-
-def _category_items(tables: OrderTables, cfg: CampaignConfig) -> DataFrame:
-    chosen: CategoryFilter = cfg.category
-    items = tables.for_seller(cfg).on_dates(cfg.selected_dates).items.withColumns(_labels())
-    return _keep(
-        items,
-        {
-            "store_code": chosen.store_codes,
-            "article_section_group": chosen.article_section_groups,
-            "article_section": chosen.article_sections,
-            "article_season": chosen.article_seasons,
-            "article_brand_group": chosen.article_brand_groups,
-            "insider_customer_type": chosen.insider_customer_types,
-            "price_type": chosen.price_types,
-            "promo_check": chosen.promo_checks,
-        },
-    )
+    tests = [in_values(F.col(name), values) for name, values in lists.items() if values]
+    return rows.where(reduce(and_, tests)) if tests else rows
+
+
+def _category_items(
+    tables: OrderTables, cfg: CampaignConfig, labels: Sequence[str], measures: Sequence[str] = ()
+) -> DataFrame:
+    """Item rows that pass all value lists, with the asked labels and measures."""
+    fields = list(dict.fromkeys([*(ITEM_LABELS[name] for name in labels), *measures]))
+    items = _chosen_orders(tables, cfg).item_rows(fields)
+    return _keep(items.withColumns({name: _label(name) for name in labels}), cfg.category.item_lists())
+
+
+def _chosen_orders(tables: OrderTables, cfg: CampaignConfig) -> OrderTables:
+    """Orders of the seller and the selected days that pass the lists on order columns."""
+    chosen = cfg.category
+    lists = [
+        in_values(pad_store_code(F.col("tenant")), chosen.store_codes),
+        in_values(F.col("insider_customer_type"), chosen.insider_customer_types),
+    ]
+    found = tables.for_seller(cfg).on_dates(cfg.selected_dates)
+    for test in lists:
+        if test is not None:
+            found = found.where(test)
+    return found.with_order_column("store_code", pad_store_code(F.col("tenant")))
 
 
 def category_sums(tables: OrderTables, cfg: CampaignConfig) -> DataFrame:
@@ -77,7 +86,8 @@ def category_sums(tables: OrderTables, cfg: CampaignConfig) -> DataFrame:
         F.round(F.coalesce(F.sum(source), F.lit(0)), 2).alias(name)
         for name, source in zip(MEASURES, (REVENUE, QUANTITY, PC1), strict=True)
     ]
-    return scale_baseline(_category_items(tables, cfg).groupBy(*DIMENSIONS).agg(*sums), cfg, MEASURES)
+    items = _category_items(tables, cfg, list(ITEM_LABELS), (REVENUE, QUANTITY, PC1))
+    return scale_baseline(items.groupBy(*DIMENSIONS).agg(*sums), cfg, MEASURES)
 
 
 def store_day_order_counts(tables: OrderTables, cfg: CampaignConfig) -> DataFrame:
@@ -87,14 +97,8 @@ def store_day_order_counts(tables: OrderTables, cfg: CampaignConfig) -> DataFram
     so a store that holds most orders is still counted by many tasks. Without an item filter
     every order record matches, and the count never opens the items.
     """
-    chosen = cfg.category
-    if chosen.needs_items():
-        rows = _category_items(tables, cfg)
-    else:
-        orders = tables.for_seller(cfg).on_dates(cfg.selected_dates).orders
-        rows = _keep(
-            orders.withColumn("store_code", pad_store_code(F.col("tenant"))), {"store_code": chosen.store_codes}
-        )
+    tested = list(cfg.category.item_lists())
+    rows = _category_items(tables, cfg, tested) if tested else _chosen_orders(tables, cfg).orders
     return rows.groupBy("ordered_date", "store_code").agg(F.countDistinct("order_id").alias("order_count"))
 
 

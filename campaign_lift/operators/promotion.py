@@ -41,9 +41,19 @@ def promotion_summary(
     day = F.to_date("local_time")
     red, green = F.col("article_price_red_eur"), F.col("article_price_green_eur")
     has_promotion_id = F.array_contains(F.col("promotions")["promotion_id"], promotion_id)
+    fields = (
+        REVENUE,
+        PC1,
+        QUANTITY,
+        "promotion_discount_eur",
+        "article_price_red_eur",
+        "article_price_green_eur",
+        "promotions",
+    )
     rows = (
         tables.for_seller(cfg)
-        .items.where(in_range)
+        .where(in_range)
+        .item_rows(fields)
         .withColumn("local_time", local)
         .select(
             F.date_format(F.date_trunc("week", day), "yyyy-MM-dd").alias("order_week"),

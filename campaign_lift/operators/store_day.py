@@ -85,7 +85,17 @@ def traffic_store_day(traffic: DataFrame, cfg: CampaignConfig) -> DataFrame:
 
 def order_store_day(tables: OrderTables, cfg: CampaignConfig) -> DataFrame:
     """Sixteen order measures per store and day, rounded to cents at this grain."""
-    items = tables.for_seller(cfg).on_dates(cfg.selected_dates).items
+    fields = (
+        REVENUE,
+        QUANTITY,
+        PC1,
+        "article_price_black_eur",
+        "article_price_red_eur",
+        "article_cost_eur",
+        "promotion_discount_eur",
+        "has_promotion",
+    )
+    items = tables.for_seller(cfg).on_dates(cfg.selected_dates).item_rows(fields)
     quantity = F.col(QUANTITY)
     splits = {
         "": F.lit(True),

@@ -66,7 +66,8 @@ def _of(build: Callable[[Campaign], DataFrame], cfg: CampaignConfig = STANDARD,
 
 def _nested_items(spark: SparkSession, folder: str) -> DataFrame:
     """Item rows opened from order records."""
-    items = OrderTables.from_nested(sample_nested_orders(spark, folder)).items
+    tables = OrderTables.from_nested(sample_nested_orders(spark, folder))
+    items = tables.item_rows(["item_no", "article_price_red_eur", "has_promotion", "promotions", REVENUE, QUANTITY, PC1])
     return items.select(
         "order_id",
         "ordered_at",

@@ -23,7 +23,7 @@ def store_options(tables: OrderTables, cfg: CampaignConfig) -> DataFrame:
 
 def category_option_tuples(tables: OrderTables, cfg: CampaignConfig) -> DataFrame:
     """Distinct combinations of the four article dimensions on the selected days."""
-    items = tables.for_seller(cfg).on_dates(cfg.selected_dates).items
+    items = tables.for_seller(cfg).on_dates(cfg.selected_dates).item_rows(ARTICLE_DIMENSIONS)
     return items.select(*[or_unknown(F.col(c)).alias(c) for c in ARTICLE_DIMENSIONS]).distinct()
 
 

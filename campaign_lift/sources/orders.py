@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from datetime import date, datetime, timedelta, timezone
 
@@ -15,45 +15,61 @@ from campaign_lift.functions.columns import in_dates
 from campaign_lift.sources.schemas import ITEM_COLUMNS, ORDER_COLUMNS, require_columns
 
 
-def open_items(orders: DataFrame) -> DataFrame:
-    """One row per item. An order with no items stays as one row whose item fields are NULL."""
-    item_type = orders.schema["order_items"].dataType.elementType
-    opened = orders.select(*[c for c in orders.columns if c != "order_items"], F.explode_outer("order_items").alias("item"))
-    return opened.select(
-        *[c for c in opened.columns if c != "item"], *[F.col("item")[n].alias(n) for n in item_type.fieldNames()]
-    )
+def open_items(orders: DataFrame, fields: Sequence[str]) -> DataFrame:
+    """One row per item with the given item fields. An order with no items stays as one row
+    whose item fields are NULL.
+
+    Exploding the item array itself makes the scan read every item field as soon as two are
+    used. Here the wanted fields are taken out as arrays, zipped and opened together, so the
+    scan reads these fields and no others.
+    """
+    wanted = F.arrays_zip(*[F.col("order_items")[name] for name in fields])
+    return orders.select(*[c for c in orders.columns if c != "order_items"], F.inline_outer(wanted))
 
 
 @dataclass(frozen=True)
 class OrderTables:
-    """The same orders at two grains.
+    """Orders at two grains: order records, and item rows with empty orders kept.
 
-    ``orders`` has one row per order record and serves what needs no item: store options and
-    plain order counts then never open the item array. ``items`` has one row per item, with
-    empty orders kept.
+    What needs no item (store options, plain order counts) uses ``orders`` and never opens the
+    items. ``flat_items`` is set for sources that hold the item rows flat already.
     """
 
     orders: DataFrame
-    items: DataFrame
+    flat_items: DataFrame | None = None
 
     @classmethod
     def from_nested(cls, orders: DataFrame) -> OrderTables:
         require_columns(orders, [*ORDER_COLUMNS, "order_items"], "orders")
-        return cls(orders=orders, items=open_items(orders))
+        return cls(orders)
 
     @classmethod
     def from_rows(cls, orders: DataFrame, items: DataFrame) -> OrderTables:
-        """For sources that hold the item rows flat already."""
         require_columns(orders, ORDER_COLUMNS, "orders")
         require_columns(items, [*ORDER_COLUMNS, *[c for c in ITEM_COLUMNS if c != "item_no"]], "order items")
-        return cls(orders=orders, items=items)
+        return cls(orders, items)
 
     @classmethod
     def read(cls, spark: SparkSession, path: str) -> OrderTables:
         return cls.from_nested(spark.read.parquet(path))
 
+    def item_rows(self, fields: Sequence[str]) -> DataFrame:
+        """Item rows with the order columns and the given item fields."""
+        if self.flat_items is None:
+            return open_items(self.orders, fields)
+        order_columns = [c for c in self.flat_items.columns if c not in ITEM_COLUMNS]
+        return self.flat_items.select(*order_columns, *fields)
+
+    def _each(self, change: Callable[[DataFrame], DataFrame]) -> OrderTables:
+        return OrderTables(change(self.orders), None if self.flat_items is None else change(self.flat_items))
+
     def where(self, condition: Column) -> OrderTables:
-        return OrderTables(self.orders.where(condition), self.items.where(condition))
+        """Keep orders by a condition on order columns."""
+        return self._each(lambda rows: rows.where(condition))
+
+    def with_order_column(self, name: str, value: Column) -> OrderTables:
+        """Add a column made of order columns."""
+        return self._each(lambda rows: rows.withColumn(name, value))
 
     def for_seller(self, cfg: CampaignConfig) -> OrderTables:
         """Company, channel and country of the order side."""
@@ -66,14 +82,13 @@ class OrderTables:
     def on_dates(self, dates: Sequence[date]) -> OrderTables:
         """Orders of the given UTC days, with their ``ordered_date``."""
         kind = self.orders.schema["ordered_at"].dataType
-        condition = in_dates(F.to_date(utc_wall_time(F.col("ordered_at"), kind)), dates)
+        day = F.to_date(utc_wall_time(F.col("ordered_at"), kind))
+        condition = in_dates(day, dates)
         if dates and isinstance(kind, T.TimestampType):
             start = datetime.combine(min(dates), datetime.min.time(), timezone.utc)
             end = datetime.combine(max(dates) + timedelta(days=1), datetime.min.time(), timezone.utc)
             condition = (F.col("ordered_at") >= F.lit(start)) & (F.col("ordered_at") < F.lit(end)) & condition
-        kept = self.where(condition)
-        day = F.to_date(utc_wall_time(F.col("ordered_at"), kind))
-        return OrderTables(kept.orders.withColumn("ordered_date", day), kept.items.withColumn("ordered_date", day))
+        return self._each(lambda rows: rows.where(condition).withColumn("ordered_date", day))
 
 
 def utc_wall_time(ordered_at: Column, kind: T.DataType) -> Column:

@@ -15,9 +15,9 @@ def test_empty_and_missing_item_arrays_keep_one_row(spark):
     tables = order_tables(
         spark, [order(1, NOON, items=[item(), item()]), order(2, NOON, items=[]), order(3, NOON, items=None)]
     )
-    counts = {r["order_id"]: r["n"] for r in as_dicts(tables.items.groupBy("order_id").agg(F.count("*").alias("n")))}
+    counts = {r["order_id"]: r["n"] for r in as_dicts(tables.item_rows(["item_no"]).groupBy("order_id").agg(F.count("*").alias("n")))}
     assert counts == {"1": 2, "2": 1, "3": 1}
-    empty = tables.items.where("order_id = '2'").first()
+    empty = tables.item_rows(["item_no", "has_promotion"]).where("order_id = '2'").first()
     assert empty["item_no"] is None and empty["has_promotion"] is None
 
 
@@ -102,12 +102,13 @@ def test_filters_and_columns_reach_the_nested_scan(spark, tmp_path):
     order_tables(spark, [order(1, NOON, items=[item(revenue=5.0)])]).orders.write.parquet(path)
     cfg = config()
     tables = OrderTables.read(spark, path)
-    items = tables.for_seller(cfg).on_dates(cfg.selected_dates).items
-    plan = plan_text(items.groupBy("ordered_date").agg(F.sum("article_cost_eur")))
+    items = tables.for_seller(cfg).on_dates(cfg.selected_dates).item_rows(["article_cost_eur", "has_promotion"])
+    plan = plan_text(items.groupBy("ordered_date", "has_promotion").agg(F.sum("article_cost_eur")))
     pushed = plan[plan.index("PushedFilters") : plan.index("ReadSchema")]
     assert "GreaterThanOrEqual(ordered_at" in pushed and "EqualTo(channel,STATIONARY)" in pushed
     schema = plan[plan.index("ReadSchema") :].split("\n")[0]
-    assert "article_cost_eur" in schema and "article_price" not in schema and "store_name" not in schema
+    assert "order_items:array<struct<article_cost_eur:double,has_promotion:boolean>>" in schema
+    assert "store_name" not in schema
     # Plain order columns never open the items.
     counts = tables.for_seller(cfg).on_dates(cfg.selected_dates).orders.select("order_id")
     assert "order_items" not in plan_text(counts).split("ReadSchema")[1]
