@@ -32,7 +32,8 @@ DIMENSIONS = (
     "price_type",
     "promo_check",
 )
-MEASURES = ("total_revenue", "total_quantity", "total_PC1")
+MEASURE_FIELDS = {"total_revenue": REVENUE, "total_quantity": QUANTITY, "total_PC1": PC1}
+MEASURES = tuple(MEASURE_FIELDS)
 SMALL_COUNTS = 100_000  # rows of about 32 bytes
 
 
@@ -80,14 +81,12 @@ def _chosen_orders(tables: OrderTables, cfg: CampaignConfig) -> OrderTables:
     return found.with_order_column("store_code", pad_store_code(F.col("tenant")))
 
 
-def category_sums(tables: OrderTables, cfg: CampaignConfig) -> DataFrame:
-    """Revenue, quantity and PC1 per thirteen dimensions, rounded to cents, baseline scaled."""
-    sums = [
-        F.round(F.coalesce(F.sum(source), F.lit(0)), 2).alias(name)
-        for name, source in zip(MEASURES, (REVENUE, QUANTITY, PC1), strict=True)
-    ]
-    items = _category_items(tables, cfg, list(ITEM_LABELS), (REVENUE, QUANTITY, PC1))
-    return scale_baseline(items.groupBy(*DIMENSIONS).agg(*sums), cfg, MEASURES)
+def category_sums(tables: OrderTables, cfg: CampaignConfig, measures: Sequence[str] = MEASURES) -> DataFrame:
+    """The asked measures per thirteen dimensions, rounded to cents, baseline scaled."""
+    sources = {name: MEASURE_FIELDS[name] for name in measures}
+    items = _category_items(tables, cfg, list(ITEM_LABELS), list(sources.values()))
+    sums = [F.round(F.coalesce(F.sum(field), F.lit(0)), 2).alias(name) for name, field in sources.items()]
+    return scale_baseline(items.groupBy(*DIMENSIONS).agg(*sums), cfg, measures)
 
 
 def store_day_order_counts(tables: OrderTables, cfg: CampaignConfig) -> DataFrame:

@@ -34,6 +34,10 @@ class Campaign:
 
     # facts
 
+    @cached_property
+    def _facts_held(self) -> bool:
+        return False
+
     @cached_property
     def store_day_raw(self) -> DataFrame:
         return store_day.store_day_raw(self.traffic, self.tables, self.cfg)
@@ -51,22 +55,23 @@ class Campaign:
     def category_raw(self) -> DataFrame:
         return category.category_raw(self.tables, self._category_cfg)
 
-    @cached_property
-    def _category_sums(self) -> DataFrame:
-        return category.category_sums(self.tables, self._category_cfg)
+    def _category_sums(self, metrics: Sequence[str]) -> DataFrame:
+        """The category fact without order counts, with no more measures than the metrics need."""
+        if self._facts_held:
+            return self.category_raw
+        return category.category_sums(self.tables, self._category_cfg, [bridges.METRICS[m] for m in metrics])
 
     def hold_facts(self) -> Campaign:
         """The same campaign with both facts kept on the executors, for several outputs of one run.
 
         They are aggregates. A lost executor's part is computed again from the sources.
         """
-        held = Campaign(self.traffic, self.tables, self.cfg, self.include_sunday)
-        facts = {
-            "store_day": self.store_day.persist(StorageLevel.MEMORY_AND_DISK),
-            "category_raw": self.category_raw.persist(StorageLevel.MEMORY_AND_DISK),
-        }
-        facts["_category_sums"] = facts["category_raw"].drop("order_count")
-        held.__dict__.update(facts)
+        held = replace(self)
+        held.__dict__.update(
+            store_day=self.store_day.persist(StorageLevel.MEMORY_AND_DISK),
+            category_raw=self.category_raw.persist(StorageLevel.MEMORY_AND_DISK),
+            _facts_held=True,
+        )
         return held
 
     def release_facts(self) -> None:
@@ -137,10 +142,10 @@ class Campaign:
         return impact.promo_impact(self.category_funnel, self.cfg)
 
     def split_bridges(self, splits: Sequence[str] = tuple(bridges.SPLITS), metrics: Sequence[str] = tuple(bridges.METRICS)) -> DataFrame:
-        return bridges.split_bridges(self._category_sums, self.cfg, splits, metrics)
+        return bridges.split_bridges(self._category_sums(metrics), self.cfg, splits, metrics)
 
     def dimension_bridge(self, dimension: str, metric: str, selected: Sequence[str] = (), **rules) -> DataFrame:
-        return bridges.dimension_bridge(self._category_sums, self.cfg, dimension, metric, selected, **rules)
+        return bridges.dimension_bridge(self._category_sums([metric]), self.cfg, dimension, metric, selected, **rules)
 
     # decision and text
 
