@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from campaign_lift.config import BASELINE, PERIODS, PROMO, CampaignConfig
-from campaign_lift.functions.columns import or_unknown, ratio_or_zero, sum_where
+from campaign_lift.functions.columns import or_unknown, ratio_or_zero, sum_where, to_number
 from campaign_lift.operators.metrics import kpi_rows, periods_side_by_side
 from campaign_lift.operators.subsets import group_period_subset
 
@@ -268,7 +268,7 @@ def waterfall_coordinates(bridges: DataFrame) -> DataFrame:
     Each total opens a segment, and inside a segment the end is a running sum. A bridge has a
     handful of steps, so the windows are small.
     """
-    value = F.coalesce(F.rint("value"), F.lit(0.0))
+    value = F.coalesce(F.rint(to_number(F.col("value"))), F.lit(0.0))
     total = F.col("type") == "total"
     in_order = Window.partitionBy("grp", "bridge").orderBy("step_seq")
     in_segment = Window.partitionBy("grp", "bridge", "segment").orderBy("step_seq")

@@ -221,22 +221,29 @@ def payload_json(payload: DataFrame) -> DataFrame:
 
 def selection_json(cfg: CampaignConfig) -> str:
     """The run settings as JSON text, to be kept beside the outputs."""
-    lists = {k: list(v) for k, v in vars(cfg.category).items()}
-    return json.dumps(
-        {
-            "traffic_business_unit": cfg.traffic_business_unit,
-            "traffic_country": cfg.traffic_country,
-            "order_company_name_short": cfg.order_company_name_short,
-            "order_channel": cfg.order_channel,
-            "order_country": cfg.order_country,
-            "vat": cfg.vat,
-            "baseline_coefficient": cfg.baseline_coefficient,
-            "groups": {name: {"include": list(codes)} for name, codes in cfg.groups.items()},
-            "group_descriptions": {name: cfg.descriptions.get(name, "") for name in cfg.groups},
-            "baseline_dates": [str(d) for d in cfg.baseline_dates],
-            "promo_dates": [str(d) for d in cfg.promo_dates],
-            **lists,
-        },
-        ensure_ascii=False,
-        indent=2,
-    )
+    chosen = cfg.category
+
+    def choice(dimension: str, values: Sequence[str]) -> dict:
+        return {f"select all {dimension}": not values} | ({"include": list(values)} if values else {})
+
+    settings = {
+        "traffic_business_unit": cfg.traffic_business_unit,
+        "traffic_country": cfg.traffic_country,
+        "order_company_name_short": cfg.order_company_name_short,
+        "order_channel": cfg.order_channel,
+        "order_country": cfg.order_country,
+        "vat": cfg.vat,
+        "baseline_coefficient": cfg.baseline_coefficient,
+        "groups": {name: {"include": list(codes)} for name, codes in cfg.groups.items()},
+        "group_descriptions": {name: cfg.descriptions.get(name, "") for name in cfg.groups},
+        "baseline_dates": [str(d) for d in cfg.baseline_dates],
+        "promo_dates": [str(d) for d in cfg.promo_dates],
+        "article_section_groups": choice("article_section_group", chosen.article_section_groups),
+        "article_sections": choice("article_section", chosen.article_sections),
+        "article_seasons": choice("article_season", chosen.article_seasons),
+        "article_brand_groups": choice("article_brand_group", chosen.article_brand_groups),
+        "insider_customer_types": choice("insider_customer_type", chosen.insider_customer_types),
+        "price_types": list(chosen.price_types or ("RP", "BP")),
+        "promo_checks": list(chosen.promo_checks or ("promo", "non-promo")),
+    }
+    return json.dumps(settings, ensure_ascii=False, indent=2)

@@ -35,6 +35,48 @@ def store_funnel(sums: DataFrame, cfg: CampaignConfig) -> DataFrame:
     return kpi_rows(sums, kpis, zero_base=0.0, nothing=[0.0] * len(kpis))
 
 
+# Metric names of the period table and the funnel KPI each stands for (fixed values).
+PERIOD_METRICS = {
+    "pedestrian_footfall": "pedestrian footfall",
+    "store_absorption_rate": "store absorption rate",
+    "incoming_visitors": "incoming visitors",
+    "cal_store_conversion_rate": "store conversion rate",
+    "total_orders": "total orders",
+    "AOV": "AOV",
+    "total_quantity": "total quantity",
+    "price_per_item": "price per item",
+    "total_revenue": "total revenue",
+    "total_PC1": "total PC1",
+    "margin": "margin",
+    "RP_revenue": "RP revenue",
+    "promo_revenue": "promo revenue",
+    "existing_revenue": "existing revenue",
+    "RP_quantity": "RP quantity",
+    "promo_quantity": "promo quantity",
+    "existing_quantity": "existing quantity",
+    "RP_PC1": "RP PC1",
+    "promo_PC1": "promo PC1",
+    "existing_PC1": "existing PC1",
+    "RP_margin": "RP margin",
+    "promo_margin": "promo margin",
+    "existing_margin": "existing margin",
+    "RP_revenue_share": "RP revenue share",
+    "promo_revenue_share": "promo revenue share",
+    "existing_revenue_share": "existing revenue share",
+}
+
+
+def period_metrics(sums: DataFrame, cfg: CampaignConfig) -> DataFrame:
+    """The 26 KPIs and the trackable-store count of every group and period, one column each."""
+    kpis = store_funnel_kpis({name: F.col(name) for name in STORE_SUMS}, cfg.vat)
+    return sums.select(
+        "grp",
+        "period",
+        *[kpis[kpi].alias(name) for name, kpi in PERIOD_METRICS.items()],
+        F.col("trackable_stores").alias("footfall_trackable_stores_count"),
+    )
+
+
 def footfall_labels(sums: DataFrame) -> DataFrame:
     """Caption with the number of stores whose footfall was counted in each period."""
     sides = periods_side_by_side(sums, ["grp", "grp_label"], ["trackable_stores"])

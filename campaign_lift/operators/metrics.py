@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from campaign_lift.config import BASELINE, PROMO
-from campaign_lift.functions.columns import pct_diff, ratio_or_zero, sum_where, to_number
+from campaign_lift.functions.columns import pct_diff, ratio_or_zero, sum_where
 from campaign_lift.operators.store_day import ORDER_MEASURES, TRAFFIC_MEASURES
 
 # KPI columns of the weekday and daily tables, in display order (fixed values).
@@ -35,11 +35,11 @@ def store_sums(subset: DataFrame, keys: Sequence[str], count_stores: bool = Fals
     sums = {name: F.sum(name) for name in (*TRAFFIC_MEASURES, *ORDER_MEASURES)}
     sums["counted_visitors"] = sum_where(counted, F.col("incoming_visitors"))
     sums["counted_footfall"] = sum_where(counted, F.col("pedestrian_footfall"))
-    columns = [F.coalesce(to_number(value), F.lit(0.0)).alias(name) for name, value in sums.items()]
+    columns = [value.cast("double").alias(name) for name, value in sums.items()]
     if count_stores:
         tracked = F.when(F.col("pedestrian_footfall").isNotNull(), F.col("store_code"))
         columns.append(F.countDistinct(tracked).alias("trackable_stores"))
-    return subset.groupBy(*keys).agg(*columns)
+    return subset.groupBy(*keys).agg(*columns).fillna(0.0, list(sums))
 
 
 def store_ratios(value: Mapping[str, Column], vat: float) -> dict[str, Column]:

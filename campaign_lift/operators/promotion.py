@@ -29,7 +29,7 @@ def promotion_summary(
     The bounds are UTC midnights, both included: of the end day only midnight itself is in,
     unless ``end_inclusive`` asks for the whole day.
     """
-    kind = tables.orders.schema["ordered_at"].dataType
+    kind = tables.time_type
     stamp = F.col("ordered_at")
     first = utc_moment(datetime.combine(start, time.min), kind)
     if end_inclusive:

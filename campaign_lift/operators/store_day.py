@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from campaign_lift.config import CampaignConfig
-from campaign_lift.functions.columns import in_dates, pad_store_code, sum_where
+from campaign_lift.functions.columns import in_dates, pad_store_code, sum_where, to_number
 from campaign_lift.sources.orders import OrderTables
 from campaign_lift.sources.schemas import PC1, QUANTITY, REVENUE
 from campaign_lift.sources.traffic import campaign_traffic
@@ -146,7 +146,7 @@ def scale_baseline(facts: DataFrame, cfg: CampaignConfig, measures: Sequence[str
         return facts
     on_baseline = in_dates(F.col("ordered_date"), cfg.baseline_dates)
     factor = F.when(on_baseline, F.lit(float(cfg.baseline_coefficient))).otherwise(1.0)
-    return facts.withColumns({c: F.col(c).cast("double") * factor for c in measures})
+    return facts.withColumns({c: to_number(F.col(c)) * factor for c in measures})
 
 
 def store_day(traffic: DataFrame, tables: OrderTables, cfg: CampaignConfig) -> DataFrame:

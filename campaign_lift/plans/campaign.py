@@ -89,6 +89,10 @@ class Campaign:
     def store_funnel(self) -> DataFrame:
         return funnel.store_funnel(self.group_sums, self.cfg)
 
+    @cached_property
+    def period_metrics(self) -> DataFrame:
+        return funnel.period_metrics(self.group_sums, self.cfg)
+
     @cached_property
     def footfall_labels(self) -> DataFrame:
         return funnel.footfall_labels(self.group_sums)
@@ -212,6 +216,7 @@ class Campaign:
             sinks.write_table(
                 bridges.waterfall_coordinates(run.split_bridges()), f"{folder}/category_bridges", ["grp", "bridge", "step_seq"]
             )
+            sinks.write_table(run.period_metrics, f"{folder}/period_metrics", ["grp", "period"])
             sinks.write_table(run.weekday_pct_diff, f"{folder}/weekday_pct_diff", ["grp", "weekday_seq"])
             sinks.write_table(run.daily_trend(), f"{folder}/daily_trend", ["grp", "ordered_date", "period"])
             sinks.write_text(run.driver_summary.select("summary"), f"{folder}/summary")

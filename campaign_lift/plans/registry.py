@@ -113,11 +113,9 @@ def _date_set(spark: SparkSession, folder: str) -> DataFrame:
             "last": (pa.date32(), [date(2024, 1, 1), date(2024, 1, 20), date(2024, 1, 30)]),
         },
     )
-    # least / greatest skip NULLs, so an open window is dropped first.
-    closed = windows.where(F.col("first").isNotNull() & F.col("last").isNotNull())
-    days = closed.select(F.explode(F.sequence(F.least("first", "last"), F.greatest("first", "last"))).alias("ordered_date"))
+    days = options.window_days(windows, "first", "last")
     orders = sample_order_rows(spark, folder).groupBy(F.to_date("ordered_at").alias("ordered_date")).agg(F.count("*").alias("n_orders"))
-    return orders.join(days.distinct(), "ordered_date").orderBy("ordered_date")
+    return orders.join(days, "ordered_date").orderBy("ordered_date")
 
 
 def _winner(c: Campaign) -> DataFrame:
@@ -140,6 +138,7 @@ def all_queries() -> dict[str, Query]:
         "store_funnel": _of(lambda c: c.store_funnel),
         "store_funnel_incl_sunday": _of(lambda c: c.store_funnel, include_sunday=True),
         "store_funnel_scaled": _of(lambda c: c.store_funnel, scaled),
+        "period_metrics": _of(lambda c: c.period_metrics),
         "footfall_labels": _of(lambda c: c.footfall_labels),
         "store_promo_impact": _of(lambda c: c.store_promo_impact),
         "store_promo_impact_display": _of(

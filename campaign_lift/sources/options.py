@@ -50,3 +50,11 @@ def select_options(options: DataFrame, column: str, mode: str, chosen: Sequence[
         raise ValueError(f"unknown selection mode {mode!r}")
     picked = local_table(options.sparkSession, {column: (pa.string(), sorted(set(chosen)))})
     return options.join(picked, column, how)
+
+
+def window_days(windows: DataFrame, first: str, last: str) -> DataFrame:
+    """Distinct days of all date windows. Bounds may come in either order; a window that lacks
+    one has no days."""
+    closed = windows.where(F.col(first).isNotNull() & F.col(last).isNotNull())
+    days = F.sequence(F.least(first, last), F.greatest(first, last))
+    return closed.select(F.explode(days).alias("ordered_date")).distinct()

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from datetime import date, datetime, timedelta, timezone
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,16 +28,21 @@ def open_items(orders: DataFrame, fields: Sequence[str]) -> DataFrame:
     return orders.select(*[c for c in orders.columns if c != "order_items"], F.inline_outer(wanted))
 
 
+Step = Callable[[DataFrame], DataFrame]
+
+
 @dataclass(frozen=True)
 class OrderTables:
     """Orders at two grains: order records, and item rows with empty orders kept.
 
     What needs no item (store options, plain order counts) uses ``orders`` and never opens the
-    items. ``flat_items`` is set for sources that hold the item rows flat already.
+    items. ``flat_items`` is set for sources that hold the item rows flat already. ``steps``
+    are changes on order columns, made to whichever grain is asked for.
     """
 
-    orders: DataFrame
+    records: DataFrame
     flat_items: DataFrame | None = None
+    steps: tuple[Step, ...] = ()
 
     @classmethod
     def from_nested(cls, orders: DataFrame) -> OrderTables:
@@ -53,23 +59,36 @@ class OrderTables:
     def read(cls, spark: SparkSession, path: str) -> OrderTables:
         return cls.from_nested(spark.read.parquet(path))
 
+    @cached_property
+    def time_type(self) -> T.DataType:
+        return self.records.schema["ordered_at"].dataType
+
+    @property
+    def orders(self) -> DataFrame:
+        return self._stepped(self.records)
+
     def item_rows(self, fields: Sequence[str]) -> DataFrame:
         """Item rows with the order columns and the given item fields."""
         if self.flat_items is None:
             return open_items(self.orders, fields)
-        order_columns = [c for c in self.flat_items.columns if c not in ITEM_COLUMNS]
-        return self.flat_items.select(*order_columns, *fields)
+        others = [c for c in ITEM_COLUMNS if c not in fields]
+        return self._stepped(self.flat_items).drop(*others)
+
+    def _stepped(self, rows: DataFrame) -> DataFrame:
+        for step in self.steps:
+            rows = step(rows)
+        return rows
 
-    def _each(self, change: Callable[[DataFrame], DataFrame]) -> OrderTables:
-        return OrderTables(change(self.orders), None if self.flat_items is None else change(self.flat_items))
+    def _with(self, step: Step) -> OrderTables:
+        return replace(self, steps=(*self.steps, step))
 
     def where(self, condition: Column) -> OrderTables:
         """Keep orders by a condition on order columns."""
-        return self._each(lambda rows: rows.where(condition))
+        return self._with(lambda rows: rows.where(condition))
 
     def with_order_column(self, name: str, value: Column) -> OrderTables:
         """Add a column made of order columns."""
-        return self._each(lambda rows: rows.withColumn(name, value))
+        return self._with(lambda rows: rows.withColumn(name, value))
 
     def for_seller(self, cfg: CampaignConfig) -> OrderTables:
         """Company, channel and country of the order side."""
@@ -81,14 +100,14 @@ class OrderTables:
 
     def on_dates(self, dates: Sequence[date]) -> OrderTables:
         """Orders of the given UTC days, with their ``ordered_date``."""
-        kind = self.orders.schema["ordered_at"].dataType
+        kind = self.time_type
         day = F.to_date(utc_wall_time(F.col("ordered_at"), kind))
         condition = in_dates(day, dates)
         if dates and isinstance(kind, T.TimestampType):
             start = datetime.combine(min(dates), datetime.min.time(), timezone.utc)
             end = datetime.combine(max(dates) + timedelta(days=1), datetime.min.time(), timezone.utc)
             condition = (F.col("ordered_at") >= F.lit(start)) & (F.col("ordered_at") < F.lit(end)) & condition
-        return self._each(lambda rows: rows.where(condition).withColumn("ordered_date", day))
+        return self.where(condition).with_order_column("ordered_date", day)
 
 
 def utc_wall_time(ordered_at: Column, kind: T.DataType) -> Column:

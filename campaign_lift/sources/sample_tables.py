@@ -6,11 +6,11 @@ third of all lines may share one order key.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from campaign_lift.sources.orders import OrderTables
-from campaign_lift.sources.schemas import ITEM_COLUMNS, ORDER_COLUMNS, ORDER_ITEM, ORDERS, PC1, QUANTITY, REVENUE
+from campaign_lift.sources.schemas import ITEM_COLUMNS, ORDER_COLUMNS, ORDERS, PC1, QUANTITY, REVENUE
 
 
 # Columns read from the sample tables. Declared, so that opening a table starts no job.
@@ -27,82 +27,75 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.schema(SAMPLE_SCHEMAS[name]).parquet(f"{folder}/{name}.parquet")
 
 
-def _whole(value: Column) -> Column:
-    return F.floor(value).cast("double")
-
-
 def sample_traffic(spark: SparkSession, folder: str) -> DataFrame:
-    store = (F.col("user_id") % 8).cast("int")
-    kind = F.col("event_type")
-    footfall = (
-        F.when((store == 7) | (kind == "error"), F.lit(None).cast("bigint"))
-        .when(kind == "signup", F.lit(0).cast("bigint"))
-        .otherwise(F.floor("value").cast("bigint"))
-    )
-    return _table(spark, folder, "events").select(
-        F.col("ts").cast("date").alias("visited_on"),
-        F.lit("DE").alias("country"),
-        F.lit("NOVA DE").alias("business_unit"),
-        store.alias("store_code"),
-        F.concat(F.lit("STORE_"), store.cast("string")).alias("store_name"),
-        footfall.alias("pedestrian_footfall"),
-        F.when(kind.isin("view", "click", "signup"), F.floor(F.col("value") / 4).cast("bigint")).alias("incoming_visitors"),
-        F.when(kind == "purchase", F.lit(1).cast("bigint")).alias("orders"),
+    return _table(spark, folder, "events").selectExpr(
+        "CAST(ts AS DATE) AS visited_on",
+        "'DE' AS country",
+        "'NOVA DE' AS business_unit",
+        "CAST(user_id % 8 AS INT) AS store_code",
+        "concat('STORE_', user_id % 8) AS store_name",
+        """CASE WHEN user_id % 8 = 7 OR event_type = 'error' THEN NULL
+                WHEN event_type = 'signup' THEN 0L ELSE CAST(floor(value) AS BIGINT) END AS pedestrian_footfall""",
+        "CASE WHEN event_type IN ('view', 'click', 'signup') THEN CAST(floor(value / 4) AS BIGINT) END AS incoming_visitors",
+        "CASE WHEN event_type = 'purchase' THEN 1L END AS orders",
     )
 
 
 def sample_order_rows(spark: SparkSession, folder: str) -> DataFrame:
     """One row per order, without items."""
-    store = (F.col("o_custkey") % 8).cast("int")
-    day = F.date_add(F.lit("2024-01-01").cast("date"), (F.col("o_orderkey") % 30).cast("int"))
-    hour = F.make_dt_interval(F.lit(0), (F.col("o_custkey") % 24).cast("int"))
-    return _table(spark, folder, "orders").select(
-        F.col("o_orderkey"),
-        F.col("o_orderkey").cast("string").alias("order_id"),
-        (day.cast("timestamp_ntz") + hour).alias("ordered_at"),
-        F.when(F.col("o_custkey") % 5 == 4, "ALTA").otherwise("NOVA").alias("company_name_short"),
-        F.when(F.col("o_orderpriority") == "5-LOW", "ONLINE").otherwise("STATIONARY").alias("channel"),
-        F.when(F.col("o_orderstatus") == "P", "AT").otherwise("DE").alias("country"),
-        store.alias("tenant"),
-        F.concat(F.lit("STORE_"), store.cast("string")).alias("store_name"),
-        F.when(F.col("o_custkey") % 3 == 0, "EXISTING").when(F.col("o_custkey") % 3 == 1, "NEW").alias(
-            "insider_customer_type"
-        ),
+    return _table(spark, folder, "orders").selectExpr(
+        "o_orderkey",
+        "CAST(o_orderkey AS STRING) AS order_id",
+        """CAST(date_add(DATE '2024-01-01', CAST(o_orderkey % 30 AS INT)) AS TIMESTAMP_NTZ)
+             + make_dt_interval(0, CAST(o_custkey % 24 AS INT)) AS ordered_at""",
+        "CASE WHEN o_custkey % 5 = 4 THEN 'ALTA' ELSE 'NOVA' END AS company_name_short",
+        "CASE WHEN o_orderpriority = '5-LOW' THEN 'ONLINE' ELSE 'STATIONARY' END AS channel",
+        "CASE WHEN o_orderstatus = 'P' THEN 'AT' ELSE 'DE' END AS country",
+        "CAST(o_custkey % 8 AS INT) AS tenant",
+        "concat('STORE_', o_custkey % 8) AS store_name",
+        "CASE o_custkey % 3 WHEN 0 THEN 'EXISTING' WHEN 1 THEN 'NEW' END AS insider_customer_type",
     )
 
 
-def _item_columns() -> list[Column]:
-    """Item fields of a line joined to its part."""
-    unit = F.try_divide(F.col("l_extendedprice"), F.col("l_quantity"))
-    promoted = F.col("l_linestatus") == "F"
-    black, cost = _whole(unit), _whole(unit * 0.4)
-    red = F.when(F.col("l_discount") > 0.055, _whole(unit * (1 - F.col("l_discount"))))
-    promo = F.when(promoted, _whole(unit * F.col("l_tax"))).otherwise(0.0)
-    quantity = F.when(F.col("l_returnflag") == "R", 0.0).otherwise(F.col("l_quantity"))
-    revenue = quantity * (F.coalesce(red, black) - promo)
-    promotion_id = F.when(F.col("l_tax") > 0.045, "PROMO_B").otherwise("PROMO_A")
-    promotions = F.when(promoted, F.array(F.struct(promotion_id.alias("promotion_id")))).otherwise(
-        F.array().cast(ORDER_ITEM["promotions"].dataType)
+def _priced(lines: DataFrame) -> DataFrame:
+    """Lines joined to their parts, as item rows. Amounts are whole numbers."""
+    unit = "try_divide(l_extendedprice, l_quantity)"
+    amounts = lines.selectExpr(
+        *ORDER_COLUMNS,
+        "l_linenumber AS item_no",
+        f"CAST(floor({unit}) AS DOUBLE) AS black",
+        f"CASE WHEN l_discount > 0.055D THEN CAST(floor({unit} * (1 - l_discount)) AS DOUBLE) END AS red",
+        f"CASE WHEN l_discount > 0.085D THEN CAST(floor({unit} * 0.5D) AS DOUBLE) END AS green",
+        f"CAST(floor({unit} * 0.4D) AS DOUBLE) AS cost",
+        f"CASE WHEN l_linestatus = 'F' THEN CAST(floor({unit} * l_tax) AS DOUBLE) ELSE 0D END AS promo",
+        "CASE WHEN l_returnflag = 'R' THEN 0D ELSE l_quantity END AS qty",
+        "l_linestatus = 'F' AS has_promotion",
+        "CASE WHEN l_linestatus = 'F' THEN CASE WHEN l_tax > 0.045D THEN 'PROMO_B' ELSE 'PROMO_A' END END AS promotion_id",
+        "p_type AS article_section_group",
+        "p_brand AS article_section",
+        "CASE p_size % 4 WHEN 0 THEN 'SS' WHEN 1 THEN 'FW' WHEN 2 THEN 'NOS' END AS article_season",
+        "CASE p_size % 3 WHEN 0 THEN 'OWN' WHEN 1 THEN 'BRAND' END AS article_brand_group",
+    )
+    revenue = "qty * (coalesce(red, black) - promo)"
+    return amounts.selectExpr(
+        *ORDER_COLUMNS,
+        "item_no",
+        "black AS article_price_black_eur",
+        "red AS article_price_red_eur",
+        "green AS article_price_green_eur",
+        "cost AS article_cost_eur",
+        "promo AS promotion_discount_eur",
+        f"qty AS {QUANTITY}",
+        f"{revenue} AS {REVENUE}",
+        f"CAST(floor({revenue} / 1.19D) AS DOUBLE) - cost * qty AS {PC1}",
+        "has_promotion",
+        """CASE WHEN promotion_id IS NOT NULL THEN array(named_struct('promotion_id', promotion_id))
+                ELSE CAST(array() AS ARRAY<STRUCT<promotion_id: STRING>>) END AS promotions""",
+        "article_section_group",
+        "article_section",
+        "article_season",
+        "article_brand_group",
     )
-    size = F.col("p_size")
-    fields = {
-        "item_no": F.col("l_linenumber"),
-        "article_price_black_eur": black,
-        "article_price_red_eur": red,
-        "article_price_green_eur": F.when(F.col("l_discount") > 0.085, _whole(unit * 0.5)),
-        "article_cost_eur": cost,
-        "promotion_discount_eur": promo,
-        QUANTITY: quantity,
-        REVENUE: revenue,
-        PC1: _whole(revenue / 1.19) - cost * quantity,
-        "has_promotion": promoted,
-        "promotions": promotions,
-        "article_section_group": F.col("p_type"),
-        "article_section": F.col("p_brand"),
-        "article_season": F.when(size % 4 == 0, "SS").when(size % 4 == 1, "FW").when(size % 4 == 2, "NOS"),
-        "article_brand_group": F.when(size % 3 == 0, "OWN").when(size % 3 == 1, "BRAND"),
-    }
-    return [fields[name].alias(name) for name in ITEM_COLUMNS]
 
 
 def _orders_without_lines(spark: SparkSession, folder: str, orders: DataFrame) -> DataFrame:
@@ -126,11 +119,10 @@ def sample_item_rows(spark: SparkSession, folder: str) -> DataFrame:
     meet the filtered orders first and the parts second: fewer and narrower rows travel.
     """
     orders = sample_order_rows(spark, folder)
-    matched = (
+    matched = _priced(
         _table(spark, folder, "lineitem")
         .join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
         .join(_table(spark, folder, "part"), F.col("l_partkey") == F.col("p_partkey"))
-        .select(*ORDER_COLUMNS, *_item_columns())
     )
     empty = _orders_without_lines(spark, folder, orders).select(*ORDER_COLUMNS)
     return matched.unionByName(empty, allowMissingColumns=True)

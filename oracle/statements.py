@@ -891,6 +891,8 @@ def all_statements() -> dict[str, str]:
     option_rows = " UNION ".join(
         f"SELECT '{name}' AS dimension, coalesce({src}, 'UNKNOWN') AS option FROM sold" for src, name in UNKNOWN_COLUMNS.items()
     )
+    renamed = {"store conversion rate": "cal_store_conversion_rate"}
+    period_columns = ", ".join(f"{sql} AS {renamed.get(kpi, kpi.replace(' ', '_'))}" for kpi, sql in FUNNEL_KPIS.items())
     statements = {
         "nested_order_items": _with(ITEMS)
         + """
@@ -904,6 +906,8 @@ SELECT order_id, ordered_at, tenant, insider AS insider_customer_type, item_no,
         "store_funnel": _with(*_store_funnel()) + "\nSELECT * FROM funnel",
         "store_funnel_incl_sunday": _with(*_store_funnel(include_sunday=True)) + "\nSELECT * FROM funnel",
         "store_funnel_scaled": _with(*_store_funnel(1.5)) + "\nSELECT * FROM funnel",
+        "period_metrics": _with(*_store(), _grid(False))
+        + f"\nSELECT grp, period, {period_columns}, stores AS footfall_trackable_stores_count FROM sums",
         "footfall_labels": _with(*_store(), _grid(False))
         + """
 SELECT b.grp, b.grp_label, b.stores AS baseline_stores, p.stores AS promo_stores,

@@ -38,6 +38,7 @@ def test_every_output_is_written(report):
         "category_promo_impact",
         "pc1_bridges",
         "category_bridges",
+        "period_metrics",
         "weekday_pct_diff",
         "daily_trend",
         "summary",
@@ -69,4 +70,4 @@ def test_text_payload_and_selection(report):
     selection = json.loads("\n".join(read_parts(report / "selection")))
     assert selection["groups"]["Group 2"] == {"include": ["0001", "0002"]}
     assert selection["group_descriptions"]["Group 3"] == "tést"
-    assert selection["vat"] == 1.2 and selection["article_sections"] == []
+    assert selection["vat"] == 1.2 and selection["article_sections"] == {"select all article_section": True}

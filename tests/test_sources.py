@@ -121,3 +121,16 @@ def test_traffic_reads_parquet(spark, tmp_path):
     spark.range(1).write.parquet(str(tmp_path / "other"))
     with pytest.raises(ValueError, match="visited_on"):
         read_traffic(spark, str(tmp_path / "other"))
+
+
+def test_window_days(spark):
+    days = [date(2024, 1, d) for d in (1, 2, 3)]
+    frame = spark.createDataFrame([(days[2], days[1]), (days[0], days[1]), (None, days[0])], "a date, b date")
+    assert sorted(r[0] for r in options.window_days(frame, "a", "b").collect()) == days
+
+
+def test_text_numbers_are_read_and_bad_ones_dropped(spark):
+    from campaign_lift.functions.columns import to_number
+
+    frame = spark.createDataFrame([("1.5",), ("x",), (None,)], "v string")
+    assert [r[0] for r in frame.select(to_number(F.col("v"))).collect()] == [1.5, None, None]
