@@ -14,7 +14,7 @@ from campaign_lift.functions.columns import in_values, or_unknown, pad_store_cod
 from campaign_lift.operators.metrics import kpi_rows
 from campaign_lift.operators.store_day import scale_baseline
 from campaign_lift.operators.subsets import group_period_subset
-from campaign_lift.sources.orders import OrderTables
+from campaign_lift.sources.orders import OrderTables, seller_values
 from campaign_lift.sources.schemas import PC1, QUANTITY, REVENUE
 
 DIMENSIONS = (
@@ -86,7 +86,9 @@ def category_sums(tables: OrderTables, cfg: CampaignConfig, measures: Sequence[s
     sources = {name: MEASURE_FIELDS[name] for name in measures}
     items = _category_items(tables, cfg, list(ITEM_LABELS), list(sources.values()))
     sums = [F.round(F.coalesce(F.sum(field), F.lit(0)), 2).alias(name) for name, field in sources.items()]
-    return scale_baseline(items.groupBy(*DIMENSIONS).agg(*sums), cfg, measures)
+    pinned = seller_values(cfg)
+    facts = items.groupBy(*[d for d in DIMENSIONS if d not in pinned]).agg(*sums).withColumns(pinned)
+    return scale_baseline(facts.select(*DIMENSIONS, *measures), cfg, measures)
 
 
 def store_day_order_counts(tables: OrderTables, cfg: CampaignConfig) -> DataFrame:

@@ -35,6 +35,22 @@ def store_funnel(sums: DataFrame, cfg: CampaignConfig) -> DataFrame:
     return kpi_rows(sums, kpis, zero_base=0.0, nothing=[0.0] * len(kpis))
 
 
+# Display headings of KPI tables (fixed values).
+HEADINGS = {
+    "kpi": "KPI",
+    "baseline_value": "Baseline Period",
+    "promo_value": "Promo Period",
+    "pct_diff": "% Diff (Promo vs Baseline)",
+    "abs_diff": "Abs Diff (Promo - Baseline)",
+}
+
+
+def for_display(table: DataFrame, grp: str) -> DataFrame:
+    """KPI rows of one group under their display headings, in KPI order."""
+    rows = table.where(F.col("grp") == grp).orderBy("kpi_seq")
+    return rows.select(*[F.col(name).alias(heading) for name, heading in HEADINGS.items()])
+
+
 # Metric names of the period table and the funnel KPI each stands for (fixed values).
 PERIOD_METRICS = {
     "pedestrian_footfall": "pedestrian footfall",

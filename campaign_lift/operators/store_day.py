@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from campaign_lift.config import CampaignConfig
 from campaign_lift.functions.columns import in_dates, pad_store_code, sum_where, to_number
-from campaign_lift.sources.orders import OrderTables
+from campaign_lift.sources.orders import OrderTables, seller_values
 from campaign_lift.sources.schemas import PC1, QUANTITY, REVENUE
 from campaign_lift.sources.traffic import campaign_traffic
 
@@ -56,8 +56,6 @@ def traffic_store_day(traffic: DataFrame, cfg: CampaignConfig) -> DataFrame:
         campaign_traffic(traffic, cfg)
         .groupBy(
             F.col("visited_on").cast("date").alias("ordered_date"),
-            "country",
-            "business_unit",
             pad_store_code(F.col("store_code")).alias("store_code"),
             "store_name",
         )
@@ -71,8 +69,8 @@ def traffic_store_day(traffic: DataFrame, cfg: CampaignConfig) -> DataFrame:
     )
     return grouped.select(
         "ordered_date",
-        "country",
-        "business_unit",
+        F.lit(cfg.traffic_country).alias("country"),
+        F.lit(cfg.traffic_business_unit).alias("business_unit"),
         "store_code",
         "store_name",
         "pedestrian_footfall",
@@ -115,14 +113,11 @@ def order_store_day(tables: OrderTables, cfg: CampaignConfig) -> DataFrame:
         "total_RP_discount_euro": (black - red) * quantity,
         "total_promo_discount_euro": F.col("promotion_discount_eur") * quantity,
     }
-    return items.groupBy(
-        "ordered_date",
-        "country",
-        "company_name_short",
-        "channel",
-        pad_store_code(F.col("tenant")).alias("store_code"),
-        "store_name",
-    ).agg(*measures, *[F.round(F.sum(value), 2).alias(name) for name, value in discounts.items()])
+    sums = items.groupBy("ordered_date", pad_store_code(F.col("tenant")).alias("store_code"), "store_name").agg(
+        *measures, *[F.round(F.sum(value), 2).alias(name) for name, value in discounts.items()]
+    )
+    keys = ("ordered_date", "country", "company_name_short", "channel", "store_code", "store_name")
+    return sums.withColumns(seller_values(cfg)).select(*keys, *ORDER_MEASURES)
 
 
 def store_day_raw(traffic: DataFrame, tables: OrderTables, cfg: CampaignConfig) -> DataFrame:

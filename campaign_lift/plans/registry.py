@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from campaign_lift.config import CampaignConfig, CategoryFilter, expand_dates, local_table
 from campaign_lift.functions import formats
-from campaign_lift.operators import bridges, category, impact, store_day
+from campaign_lift.operators import bridges, category, funnel, impact, store_day
 from campaign_lift.plans.campaign import Campaign
 from campaign_lift.sources import options
 from campaign_lift.sources.orders import OrderTables
@@ -183,6 +183,7 @@ def all_queries() -> dict[str, Query]:
         "driver_insights": _of(lambda c: c.driver_insights),
         "driver_summary": _of(lambda c: c.driver_summary),
         "funnel_formatted": _of(lambda c: formats.format_funnel(c.store_funnel)),
+        "store_funnel_display": _of(lambda c: funnel.for_display(formats.format_funnel(c.store_funnel), "Group 1")),
         "impact_formatted": _of(lambda c: formats.format_impact(c.store_promo_impact)),
     }
     for mechanism in ("BP_ONLY", "RP_ONLY"):

@@ -16,6 +16,19 @@ from campaign_lift.functions.columns import in_dates
 from campaign_lift.sources.schemas import ITEM_COLUMNS, ORDER_COLUMNS, require_columns
 
 
+def seller_values(cfg: CampaignConfig) -> dict[str, Column]:
+    """The order columns that the seller filter pins to one value.
+
+    Facts are grouped without them and get them back as constants: a grouping key that cannot
+    vary would only widen the rows that are hashed and shuffled.
+    """
+    return {
+        "country": F.lit(cfg.order_country),
+        "company_name_short": F.lit(cfg.order_company_name_short),
+        "channel": F.lit(cfg.order_channel),
+    }
+
+
 def open_items(orders: DataFrame, fields: Sequence[str]) -> DataFrame:
     """One row per item with the given item fields. An order with no items stays as one row
     whose item fields are NULL.

@@ -856,7 +856,9 @@ def all_statements() -> dict[str, str]:
     store_columns = ", ".join(
         ["ordered_date", "country", "business_unit", "store_code", "store_name", *RATES, "channel", *TRAFFIC_COLUMNS, *ORDER_COLUMNS]
     )
-    category_columns = "ordered_date, country, company_name_short, channel, store_code, store_name, article_section_group, article_section, article_season, article_brand_group, insider_customer_type, price_type, promo_check, total_revenue, total_quantity, total_PC1, order_count"
+    category_columns = """ordered_date, country, company_name_short, channel, store_code, store_name, article_section_group,
+  article_section, article_season, article_brand_group, insider_customer_type, price_type, promo_check, total_revenue,
+  total_quantity, total_PC1, order_count"""
     impact_text = ", ".join(f"{sql} AS {name}" for name, sql in _impact_text().items())
     funnel_text = ", ".join(
         [
@@ -864,6 +866,15 @@ def all_statements() -> dict[str, str]:
             f"{_percent_text('pct_diff')} AS pct_diff",
         ]
     )
+    funnel_display = ", ".join(
+        [
+            'kpi AS "KPI"',
+            f'{_kpi_text("baseline_value")} AS "Baseline Period"',
+            f'{_kpi_text("promo_value")} AS "Promo Period"',
+            f'{_percent_text("pct_diff")} AS "% Diff (Promo vs Baseline)"',
+            f'{_kpi_text("abs_diff")} AS "Abs Diff (Promo - Baseline)"',
+        ]
+    )
     headings = {
         "testing_pct_diff": "Group 3 % Diff (Promo vs Baseline)",
         "testing_abs_diff": "Group 3 Abs Diff (Promo vs Baseline)",
@@ -988,6 +999,7 @@ SELECT control_group, testing_group, role, grp, revenue_dir, new_pct, new_abs, b
         "driver_summary_bp_only": _summary("BP_ONLY"),
         "driver_summary_rp_only": _summary("RP_ONLY"),
         "funnel_formatted": _with(*_store_funnel()) + f"\nSELECT grp, kpi_seq, kpi, {funnel_text} FROM funnel",
+        "store_funnel_display": _with(*_store_funnel()) + f"\nSELECT {funnel_display} FROM funnel WHERE grp = 'Group 1'",
         "impact_formatted": _with(*impact) + f"\nSELECT control_group, testing_group, kpi_seq, kpi, {impact_text} FROM impact",
     }
     for split in SPLITS:
