@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 BASELINE = "Baseline Period"
 PROMO = "Promo Period"
 PERIODS = (BASELINE, PROMO)
-MECHANISMS = ("BOTH", "BP_ONLY", "RP_ONLY")
+DEFAULT_PAIR = ("Group 1", "Group 3")
 STORE_CODE_WIDTH = 4
 
 
@@ -106,8 +106,8 @@ class CampaignConfig:
     vat: float = 1.19
     baseline_coefficient: float = 1.0
     descriptions: Mapping[str, str] = field(default_factory=dict)
-    pairs: Sequence[tuple[str, str]] = (("Group 1", "Group 3"),)
-    promo_mechanism: str = "BOTH"
+    pairs: Sequence[tuple[str, str]] | None = None  # (control, testing); DEFAULT_PAIR where both groups exist
+    promo_mechanism: str = "BOTH"  # or BP_ONLY, RP_ONLY; read by the price-mix rules
     category: CategoryFilter = field(default_factory=CategoryFilter)
 
     def __post_init__(self):
@@ -115,7 +115,10 @@ class CampaignConfig:
         object.__setattr__(self, "groups", groups)
         object.__setattr__(self, "baseline_dates", tuple(dict.fromkeys(self.baseline_dates)))
         object.__setattr__(self, "promo_dates", tuple(dict.fromkeys(self.promo_dates)))
-        object.__setattr__(self, "pairs", tuple(dict.fromkeys(tuple(pair) for pair in self.pairs)))
+        pairs = self.pairs
+        if pairs is None:
+            pairs = [DEFAULT_PAIR] if set(DEFAULT_PAIR) <= set(groups) else []
+        object.__setattr__(self, "pairs", tuple(dict.fromkeys(tuple(pair) for pair in pairs)))
         object.__setattr__(
             self, "category", replace(self.category, store_codes=normalise_store_codes(self.category.store_codes))
         )

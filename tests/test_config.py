@@ -56,3 +56,8 @@ def test_date_runs():
     days = [date(2024, 1, 3), date(2024, 1, 1), date(2024, 1, 2), date(2024, 1, 9), date(2024, 1, 9)]
     assert date_runs(days) == [(date(2024, 1, 1), date(2024, 1, 3)), (date(2024, 1, 9), date(2024, 1, 9))]
     assert date_runs([]) == []
+
+
+def test_default_pair_needs_both_groups():
+    assert config().pairs == (("Group 1", "Group 3"),)
+    assert config(groups={"North": ["1"], "South": ["2"]}).pairs == ()

@@ -32,9 +32,19 @@ def primary(revenue, pc1, margin):
     return {"total revenue": revenue, "total PC1": pc1, "margin": margin}
 
 
-@pytest.mark.parametrize(
-    ("testing", "winner", "confidence", "votes", "reasons"),
-    [
+def many_pairs(spark, cases, **changes):
+    """One frame for many (control, testing) cases; case i compares groups "c<i>" and "t<i>"."""
+    groups = {f"{side}{i}": kpis for i, case in enumerate(cases) for side, kpis in zip("ct", case, strict=True)}
+    cfg = config(groups={g: ["1"] for g in groups}, pairs=[(f"c{i}", f"t{i}") for i in range(len(cases))], **changes)
+    return decision.pair_tables(funnel(spark, groups), cfg), cfg
+
+
+def in_case_order(rows):
+    return sorted(rows, key=lambda r: int(r["control_group"][1:]))
+
+
+def test_winner(spark):
+    cases = [
         ((0.10, 0.10, 0.10), "testing", "high", (3, 0), ["total revenue", "total PC1", "margin"]),
         ((0.10, 0.10, 0.005), "testing", "medium", (2, 0), ["total revenue", "total PC1"]),
         ((0.10, 0.10, -0.50), "testing", "medium", (2, 1), ["total revenue", "total PC1"]),
@@ -43,14 +53,13 @@ def primary(revenue, pc1, margin):
         ((0.10, -0.10, 0.0), "tie", "low", (1, 1), ["margin"]),
         ((0.01, -0.01, None), "tie", "low", (1, 1), []),
         ((None, None, None), "tie", "low", (0, 0), []),
-    ],
-)
-def test_winner(spark, testing, winner, confidence, votes, reasons):
-    frame, _ = pairs(spark, primary(0.0, 0.0, 0.0), primary(*testing))
-    (row,) = as_dicts(decision.ab_winner(frame))
-    assert (row["winner"], row["confidence"]) == (winner, confidence)
-    assert (row["testing_votes"], row["control_votes"]) == votes
-    assert row["reason_codes"] == reasons
+    ]
+    frame, _ = many_pairs(spark, [(primary(0.0, 0.0, 0.0), primary(*testing)) for testing, *_ in cases])
+    rows = in_case_order(as_dicts(decision.ab_winner(frame)))
+    got = [
+        (r["winner"], r["confidence"], (r["testing_votes"], r["control_votes"]), r["reason_codes"]) for r in rows
+    ]
+    assert got == [tuple(want) for _, *want in cases]
 
 
 def test_winner_rules_and_missing_kpis(spark):
@@ -105,57 +114,78 @@ def full(revenue, absorption, orders, aov, quantity, price, existing, rp):
 UP, DOWN, FLAT = (100.0, 110.0), (100.0, 80.0), (100.0, 100.0)
 
 
-def codes(spark, *kpis, mechanism="BOTH"):
-    frame, cfg = pairs(spark, full(*kpis), full(*kpis), promo_mechanism=mechanism)
-    return as_dicts(narrative.driver_insights(frame, cfg))[0]
+def codes(spark, cases, mechanism="BOTH"):
+    frame, cfg = many_pairs(spark, [(full(*kpis), full(*kpis)) for kpis in cases], promo_mechanism=mechanism)
+    rows = [r for r in as_dicts(narrative.driver_insights(frame, cfg)) if r["role"] == "control"]
+    return in_case_order(rows)
 
 
-@pytest.mark.parametrize(
-    ("existing", "revenue", "code"),
-    [
+def test_customer_codes(spark):
+    cases = [
         ((50.0, 60.0), (100.0, 105.0), "CANNIBALISATION"),
         ((50.0, 60.0), (100.0, 120.0), "SYNERGY"),
         ((50.0, 40.0), (100.0, 80.0), "CONTRACTION"),
         ((50.0, 40.0), (100.0, 120.0), "ACQUISITION"),
         ((50.0, 50.0), (100.0, 120.0), "SHIFTING"),
         ((100.0, 90.0), (100.0, 120.0), "SHIFTING"),  # nobody else bought in the baseline: no percentage
-    ],
-)
-def test_customer_codes(spark, existing, revenue, code):
-    assert codes(spark, revenue, UP, UP, UP, UP, UP, existing, (10.0, 10.0))["customer_code"] == code
+    ]
+    rows = codes(spark, [(revenue, UP, UP, UP, UP, UP, existing, (10.0, 10.0)) for existing, revenue, _ in cases])
+    assert [r["customer_code"] for r in rows] == [code for *_, code in cases]
 
 
 @pytest.mark.parametrize(
-    ("mechanism", "rp", "revenue", "code"),
+    ("mechanism", "cases"),
     [
-        ("BOTH", (10.0, 20.0), (100.0, 120.0), "BOTH_UP_RP"),
-        ("BOTH", (10.0, 11.0), (100.0, 150.0), "BOTH_UP_BP"),
-        ("BOTH", (10.0, 5.0), (100.0, 120.0), "TRADED_UP"),
-        ("BOTH", (10.0, 50.0), (100.0, 120.0), "DEEP_DISCOUNT"),
-        ("BOTH", (10.0, 10.0), (100.0, 100.0), "BOTH_DOWN"),
-        ("bp_only", (10.0, 5.0), (100.0, 120.0), "BP_SHIFT"),
-        ("BP_ONLY", (10.0, 20.0), (100.0, 120.0), "BP_HALO"),
-        ("BP_ONLY", (10.0, 20.0), (100.0, 90.0), "BP_FAILED"),
-        ("BP_ONLY", (10.0, 10.0), (100.0, 120.0), "NONE"),
-        ("RP_ONLY", (10.0, 20.0), (100.0, 90.0), "RP_CANNIBALISED"),
-        ("RP_ONLY", (10.0, 20.0), (100.0, 120.0), "RP_SYNERGY"),
-        ("RP_ONLY", (10.0, 5.0), (100.0, 120.0), "RP_FAILED"),
-        ("RP_ONLY", (0.0, 5.0), (100.0, 120.0), "NONE"),  # a zero base is no change
+        (
+            "BOTH",
+            [
+                ((10.0, 20.0), (100.0, 120.0), "BOTH_UP_RP"),
+                ((10.0, 11.0), (100.0, 150.0), "BOTH_UP_BP"),
+                ((10.0, 5.0), (100.0, 120.0), "TRADED_UP"),
+                ((10.0, 50.0), (100.0, 120.0), "DEEP_DISCOUNT"),
+                ((10.0, 10.0), (100.0, 100.0), "BOTH_DOWN"),
+            ],
+        ),
+        (
+            "bp_only",
+            [
+                ((10.0, 5.0), (100.0, 120.0), "BP_SHIFT"),
+                ((10.0, 20.0), (100.0, 120.0), "BP_HALO"),
+                ((10.0, 20.0), (100.0, 90.0), "BP_FAILED"),
+                ((10.0, 10.0), (100.0, 120.0), "NONE"),
+            ],
+        ),
+        (
+            "RP_ONLY",
+            [
+                ((10.0, 20.0), (100.0, 90.0), "RP_CANNIBALISED"),
+                ((10.0, 20.0), (100.0, 120.0), "RP_SYNERGY"),
+                ((10.0, 5.0), (100.0, 120.0), "RP_FAILED"),
+                ((0.0, 5.0), (100.0, 120.0), "NONE"),  # a zero base is no change
+            ],
+        ),
     ],
 )
-def test_price_mix_codes(spark, mechanism, rp, revenue, code):
-    assert codes(spark, revenue, UP, UP, UP, UP, UP, (50.0, 50.0), rp, mechanism=mechanism)["price_mix_code"] == code
+def test_price_mix_codes(spark, mechanism, cases):
+    rows = codes(spark, [(revenue, UP, UP, UP, UP, UP, (50.0, 50.0), rp) for rp, revenue, _ in cases], mechanism)
+    assert [r["price_mix_code"] for r in rows] == [code for *_, code in cases]
 
 
 def test_funnel_codes(spark):
     rest = ((50.0, 50.0), (10.0, 10.0))
-    row = codes(spark, UP, UP, UP, UP, UP, (100.0, 105.0), *rest)
-    assert (row["order_code"], row["aov_code"], row["item_code"]) == ("ABSORPTION_SAME", "AMPLIFIED", "QUANTITY_THEN_PRICE")
-    row = codes(spark, UP, UP, DOWN, UP, UP, (100.0, 150.0), *rest)
-    assert (row["order_code"], row["aov_code"], row["item_code"]) == ("ABSORPTION_DIVERGES", "OFFSET", "PRICE_THEN_QUANTITY")
-    row = codes(spark, UP, FLAT, UP, FLAT, UP, DOWN, *rest)
-    assert (row["order_code"], row["aov_code"], row["item_code"]) == ("ORDERS_ONLY", "ACCOMPANIED", "QUANTITY_OFFSET_BY_PRICE")
-    assert codes(spark, UP, FLAT, UP, FLAT, DOWN, UP, *rest)["item_code"] == "PRICE_MITIGATES_QUANTITY"
+    cases = [
+        (UP, UP, UP, UP, UP, (100.0, 105.0), *rest),
+        (UP, UP, DOWN, UP, UP, (100.0, 150.0), *rest),
+        (UP, FLAT, UP, FLAT, UP, DOWN, *rest),
+        (UP, FLAT, UP, FLAT, DOWN, UP, *rest),
+    ]
+    got = [(r["order_code"], r["aov_code"], r["item_code"]) for r in codes(spark, cases)]
+    assert got == [
+        ("ABSORPTION_SAME", "AMPLIFIED", "QUANTITY_THEN_PRICE"),
+        ("ABSORPTION_DIVERGES", "OFFSET", "PRICE_THEN_QUANTITY"),
+        ("ORDERS_ONLY", "ACCOMPANIED", "QUANTITY_OFFSET_BY_PRICE"),
+        ("ORDERS_ONLY", "ACCOMPANIED", "PRICE_MITIGATES_QUANTITY"),
+    ]
 
 
 def test_summary_text(spark):

@@ -196,3 +196,10 @@ def test_group_sums_without_probe(tables):
     cfg = config()
     facts = store_day.store_day(*tables, cfg)
     assert funnel.group_sums(facts, cfg).count() == 8
+
+
+def test_no_pairs_and_no_promo_dates(tables):
+    c = campaign(tables, groups={"North": ["1"]}, promo_dates=[])
+    assert c.store_promo_impact.count() == 0 and c.driver_summary.count() == 0
+    rows = by_kpi(c.store_funnel, "North")
+    assert rows["total revenue"]["baseline_value"] == 100.0 and rows["total revenue"]["promo_value"] == 0.0
