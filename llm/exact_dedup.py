@@ -15,12 +15,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from llm.shared import SPACES, cut, plain, text_or_empty
+from llm.shared import SPACES, cut, look_up, plain, text_or_empty
 
 #: Salts over which the copies of a text are spread before they are combined globally.
 SALTS = 16
-#: A group with at least one row in so many is joined by broadcast; there are at most that many such groups.
-HOT_GROUPS = 1000
 
 
 def normalised(text: str) -> Column:
@@ -49,19 +47,11 @@ def mark_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
     winners = cut(winners.where("group_size > 1"))
     clashes = winners.where("texts > 1").select("digest")
-    total = winners.agg(F.sum("group_size")).first()[0] or 0
-    winners = winners.where("texts = 1").select("digest", "keep_id", "group_size")
-    big = F.col("group_size") >= max(2, total / HOT_GROUPS)
-    hot = winners.where(big).select("digest", F.struct("keep_id", "group_size").alias("hot"))
-    cold = winners.where(~big).select(F.col("digest").alias("key"), F.struct("keep_id", "group_size").alias("cold"))
-    slim = rows.select("id", "digest").join(F.broadcast(hot), "digest", "left")
-    # a row of a hot group has found its winner: its key is its own, so that hot rows spread evenly
-    keyed = slim.withColumn("key", F.when(F.col("hot").isNull(), F.col("digest")).otherwise(F.concat_ws("-", F.lit("hot"), "id")))
-    won = F.coalesce("hot", "cold")
-    found = keyed.join(cold, "key", "left").select(
+    won = winners.where("texts = 1").select("digest", "group_size", F.struct("keep_id", "group_size").alias("won"))
+    found = look_up(rows.select("id", "digest"), won, "digest", "group_size", "won").select(
         "id", "digest",
-        F.when(won.isNull(), F.col("id")).otherwise(won["keep_id"]).alias("keep_id"),
-        F.coalesce(won["group_size"], F.lit(1)).alias("group_size"),
+        F.when(F.col("found").isNull(), F.col("id")).otherwise(F.col("found.keep_id")).alias("keep_id"),
+        F.coalesce("found.group_size", F.lit(1)).alias("group_size"),
     )
     if not clashes.isEmpty():
         apart = rows.join(clashes, "digest", "left_semi").join(texts, ["digest", "text"])

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from llm import exact_dedup, pii, sharding
+from llm import bpe, decontaminate, exact_dedup, jaccard_join, pii, sharding
 
 SHARDS = 16
 #: Key of the pseudonyms. A run over real data takes its own from the caller.
 PSEUDONYM_KEY = "campaign"
+VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -29,18 +31,65 @@ def op4_sampled_splitters(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op5_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document with the component it is linked into by shared word 5-grams."""
+    return jaccard_join.near_components(table(spark, folder, "documents"))
+
+
+def op6_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's token count and the digests of its ids and of what they decode to."""
+    return bpe.encode(table(spark, folder, "documents"), VOCABULARY, with_ids=False).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+
+
 def op7_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Every document with the document that stays for its text."""
     return exact_dedup.mark_copies(table(spark, folder, "documents"))
 
 
+def op10_string_tiling(spark: SparkSession, folder: str) -> DataFrame:
+    """The documents that contain a benchmark item, with the item, the words covered and the tiles."""
+    return decontaminate.matches(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 QUERIES = {
     "op2_pii_feistel": op2_pii_feistel,
     "op4_sampled_splitters": op4_sampled_splitters,
+    "op5_jaccard_join": op5_jaccard_join,
+    "op6_bpe": op6_bpe,
     "op7_exact_dedup": op7_exact_dedup,
+    "op10_string_tiling": op10_string_tiling,
 }
 
 ORACLE_SQL = {
+    "op5_jaccard_join": r"""
+        WITH RECURSIVE tokens AS (
+            SELECT doc_id, list_filter(string_split_regex(
+                translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w
+            FROM documents
+        ), runs AS (
+            SELECT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+                ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS s
+            FROM tokens
+        ), shingle AS (
+            SELECT DISTINCT doc_id, s FROM runs
+        ), sizes AS (
+            SELECT doc_id, count(*) AS n FROM shingle GROUP BY doc_id
+        ), pairs AS (
+            SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared
+            FROM shingle a JOIN shingle b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2
+        ), links AS (
+            SELECT a, b FROM pairs JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b
+            WHERE 100 * shared >= 80 * (x.n + y.n - shared)
+        ), reach AS (
+            SELECT doc_id AS node, doc_id AS other FROM documents
+            UNION
+            SELECT reach.node, links.b FROM reach JOIN links ON links.a = reach.other
+        ), least AS (
+            SELECT node, min(other) AS component_id FROM reach GROUP BY node
+        )
+        SELECT documents.doc_id, coalesce(sizes.n, 0) AS n_shingles, least.component_id
+        FROM documents LEFT JOIN sizes USING (doc_id) JOIN least ON least.node = documents.doc_id
+    """,
     "op7_exact_dedup": r"""
         WITH texts AS (
             SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS norm FROM documents

@@ -39,6 +39,26 @@ def cut(frame: DataFrame) -> DataFrame:
     return frame.checkpoint()
 
 
+#: A key with at least one row in so many is joined by broadcast; there are at most that many such keys.
+HOT_KEYS = 1000
+
+
+def look_up(rows: DataFrame, table: DataFrame, key: str, weight: str, value: str) -> DataFrame:
+    """rows with `found`, the value that the table has for their key, else null; keys are unique in the table.
+
+    weight is how many rows a key has. The keys that hold a thousandth of all rows or more, of which there can be but a
+    thousand, are broadcast. A row that found its value so far keeps no key, and is dealt out by a hash of all it has.
+    """
+    total = table.agg(F.sum(weight)).first()[0] or 0
+    big = plain(weight) >= max(2, total / HOT_KEYS)
+    hot = table.where(big).select(key, F.struct(value).alias("hot"))
+    cold = table.where(~big).select(plain(key).cast("string").alias("at"), F.struct(value).alias("cold"))
+    first = rows.join(F.broadcast(hot), key, "left")
+    spread = F.concat(F.lit("-"), F.xxhash64(*[plain(c) for c in rows.columns]).cast("string"))
+    keyed = first.withColumn("at", F.when(F.col("hot").isNull() & plain(key).isNotNull(), plain(key).cast("string")).otherwise(F.concat(F.lit("-"), spread)))
+    return keyed.join(cold, "at", "left").select(*[plain(c) for c in rows.columns], F.coalesce("hot", "cold")[value].alias("found"))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of edges (a, b): one row (node, root) per node that has an edge; root is the smallest node.
 
