@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from llm import bpe, decontaminate, exact_dedup, jaccard_join, pii, sharding
+from llm import bpe, decontaminate, exact_dedup, jaccard_join, ngram_lm, pii, sharding
 
 SHARDS = 16
 #: Key of the pseudonyms. A run over real data takes its own from the caller.
@@ -18,6 +18,12 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op1_deleted_interpolation(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's log10 probability under the model of the training documents, and under add-half unigrams."""
+    training = F.crc32(F.col("doc_id").cast("string")) % 5 != 1
+    return ngram_lm.score(table(spark, folder, "documents"), training)
+
+
 def op2_pii_feistel(spark: SparkSession, folder: str) -> DataFrame:
     """Texts in which personal numbers and dates carry pseudonyms; one row per document."""
     return pii.pseudonymise(table(spark, folder, "documents"), PSEUDONYM_KEY)
@@ -52,6 +58,7 @@ def op10_string_tiling(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_deleted_interpolation": op1_deleted_interpolation,
     "op2_pii_feistel": op2_pii_feistel,
     "op4_sampled_splitters": op4_sampled_splitters,
     "op5_jaccard_join": op5_jaccard_join,
