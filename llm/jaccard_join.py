@@ -292,3 +292,10 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     found = look_up(members, joined.union(copies), "sig", "size", "least")
     own = F.when(F.col("found").isNull(), F.col("id")).otherwise(F.col("found"))
     return found.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), own.alias("component_id"))
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Of each component the rows with its smallest id, with all their columns. Rows that repeat that id all stay."""
+    found = near_components(docs, id_col, text_col)
+    dropped = found.where(~plain(id_col).eqNullSafe(F.col("component_id"))).select(plain(id_col).alias("dropped")).distinct()
+    return docs.join(dropped, plain(id_col).eqNullSafe(F.col("dropped")), "left_anti")

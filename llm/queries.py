@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from llm import bpe, decontaminate, exact_dedup, jaccard_join, ngram_lm, pii, sharding
+from llm import bpe, decontaminate, exact_dedup, jaccard_join, language_id, ngram_lm, pii, sharding
 
 SHARDS = 16
 #: Key of the pseudonyms. A run over real data takes its own from the caller.
@@ -18,6 +18,11 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def learns_language() -> Column:
+    """Documents that language identification learns from."""
+    return F.crc32(F.col("doc_id").cast("string")) % 3 != 1
+
+
 def op1_deleted_interpolation(spark: SparkSession, folder: str) -> DataFrame:
     """Every document's log10 probability under the model of the training documents, and under add-half unigrams."""
     training = F.crc32(F.col("doc_id").cast("string")) % 5 != 1
@@ -52,6 +57,11 @@ def op7_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.mark_copies(table(spark, folder, "documents"))
 
 
+def op8_string_kernels(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's language, learnt from the training documents."""
+    return language_id.predict(table(spark, folder, "documents"), learns_language())
+
+
 def op10_string_tiling(spark: SparkSession, folder: str) -> DataFrame:
     """The documents that contain a benchmark item, with the item, the words covered and the tiles."""
     return decontaminate.matches(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
@@ -64,6 +74,7 @@ QUERIES = {
     "op5_jaccard_join": op5_jaccard_join,
     "op6_bpe": op6_bpe,
     "op7_exact_dedup": op7_exact_dedup,
+    "op8_string_kernels": op8_string_kernels,
     "op10_string_tiling": op10_string_tiling,
 }
 
