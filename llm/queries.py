@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from llm import bpe, decontaminate, exact_dedup, jaccard_join, language_id, ngram_lm, pii, sharding
+from llm import bpe, decontaminate, exact_dedup, jaccard_join, language_id, line_dedup, ngram_lm, pii, sharding
 
 SHARDS = 16
 #: Key of the pseudonyms. A run over real data takes its own from the caller.
@@ -62,6 +62,11 @@ def op8_string_kernels(spark: SparkSession, folder: str) -> DataFrame:
     return language_id.predict(table(spark, folder, "documents"), learns_language())
 
 
+def op9_patience_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document without the blocks of lines that an earlier document has as well."""
+    return line_dedup.dedup_lines(table(spark, folder, "documents"))
+
+
 def op10_string_tiling(spark: SparkSession, folder: str) -> DataFrame:
     """The documents that contain a benchmark item, with the item, the words covered and the tiles."""
     return decontaminate.matches(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
@@ -75,6 +80,7 @@ QUERIES = {
     "op6_bpe": op6_bpe,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_string_kernels": op8_string_kernels,
+    "op9_patience_lines": op9_patience_lines,
     "op10_string_tiling": op10_string_tiling,
 }
 
