@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from llm import bpe, decontaminate, exact_dedup, jaccard_join, language_id, line_dedup, ngram_lm, pii, sharding
+from llm import bpe, decontaminate, exact_dedup, jaccard_join, language_id, line_dedup, ngram_lm, pii, sharding, wrappers
 
 SHARDS = 16
 #: Key of the pseudonyms. A run over real data takes its own from the caller.
@@ -34,6 +34,11 @@ def op2_pii_feistel(spark: SparkSession, folder: str) -> DataFrame:
     return pii.pseudonymise(table(spark, folder, "documents"), PSEUDONYM_KEY)
 
 
+def op3_host_wrappers(spark: SparkSession, folder: str) -> DataFrame:
+    """The main text of every page, by the wrapper of its host."""
+    return wrappers.main_text(table(spark, folder, "pages"))
+
+
 def op4_sampled_splitters(spark: SparkSession, folder: str) -> DataFrame:
     """Every document's shard and slot; sizes of shards are near equal."""
     placed = sharding.shard_by_bytes(table(spark, folder, "documents"), SHARDS)
@@ -75,6 +80,7 @@ def op10_string_tiling(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     "op1_deleted_interpolation": op1_deleted_interpolation,
     "op2_pii_feistel": op2_pii_feistel,
+    "op3_host_wrappers": op3_host_wrappers,
     "op4_sampled_splitters": op4_sampled_splitters,
     "op5_jaccard_join": op5_jaccard_join,
     "op6_bpe": op6_bpe,
