@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 BASELINE = "Baseline Period"
 PROMO = "Promo Period"
 PERIODS = (BASELINE, PROMO)
+PROMO_MECHANISMS = ("BOTH", "BP_ONLY", "RP_ONLY")
 DEFAULT_PAIR = ("Group 1", "Group 3")
 STORE_CODE_WIDTH = 4
 
@@ -30,19 +31,12 @@ def expand_dates(start: date | None, end: date | None) -> tuple[date, ...]:
 
 
 def normalise_store_codes(codes: Iterable[object]) -> tuple[str, ...]:
-    """Zero-padded codes without blanks and duplicates, in the given order.
-
-    The fact tables cut codes to four characters, so a longer code in a group could never
-    match a store. It is refused here and not dropped in silence.
-    """
+    """Zero-padded codes without blanks and duplicates, in the given order. Longer codes stay whole."""
     padded = []
     for code in codes:
         text = "" if code is None else str(code)
-        if not text:
-            continue
-        if len(text) > STORE_CODE_WIDTH:
-            raise ValueError(f"store code {text!r} is longer than {STORE_CODE_WIDTH} characters")
-        padded.append(text.zfill(STORE_CODE_WIDTH))
+        if text:
+            padded.append(text.zfill(STORE_CODE_WIDTH))
     return tuple(dict.fromkeys(padded))
 
 
@@ -107,7 +101,7 @@ class CampaignConfig:
     baseline_coefficient: float = 1.0
     descriptions: Mapping[str, str] = field(default_factory=dict)
     pairs: Sequence[tuple[str, str]] | None = None  # (control, testing); DEFAULT_PAIR where both groups exist
-    promo_mechanism: str = "BOTH"  # or BP_ONLY, RP_ONLY; read by the price-mix rules
+    promo_mechanism: str = "BOTH"  # one of PROMO_MECHANISMS; read by the price-mix rules
     category: CategoryFilter = field(default_factory=CategoryFilter)
 
     def __post_init__(self):
@@ -122,6 +116,8 @@ class CampaignConfig:
         object.__setattr__(
             self, "category", replace(self.category, store_codes=normalise_store_codes(self.category.store_codes))
         )
+        if self.promo_mechanism.upper() not in PROMO_MECHANISMS:
+            raise ValueError(f"unknown promo mechanism {self.promo_mechanism!r}")
         if not self.selected_dates:
             raise ValueError("select at least one date in the baseline or promo period")
         if not self.all_store_codes:

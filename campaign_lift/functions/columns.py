@@ -15,8 +15,9 @@ DAY_NAMES = ("Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday",
 
 
 def pad_store_code(code: Column) -> Column:
-    """Four characters, filled with zeros on the left; longer codes are cut."""
-    return F.lpad(code.cast("string"), 4, "0")
+    """At least four characters, filled with zeros on the left; longer codes stay whole."""
+    text = code.cast("string")
+    return F.when(F.length(text) > 4, text).otherwise(F.lpad(text, 4, "0"))
 
 
 def or_unknown(value: Column) -> Column:

@@ -179,84 +179,106 @@ def split_bridges(
 
 
 def dimension_bridge(
+    facts: DataFrame, cfg: CampaignConfig, dimension: str, metric: str, selected: Sequence[str] = (), **rules
+) -> DataFrame:
+    """The bridge of one dimension and metric."""
+    return dimension_bridges(facts, cfg, [(dimension, metric, selected)], **rules)
+
+
+def dimension_bridges(
     facts: DataFrame,
     cfg: CampaignConfig,
-    dimension: str,
-    metric: str,
-    selected: Sequence[str] = (),
+    specs: Sequence[tuple[str, str, Sequence[str]]],
     show_all_threshold: int = 3,
     one_sided: str = "zero",
+    shown: int = 3,
 ) -> DataFrame:
-    """Which values of an article dimension carry the change of a metric.
+    """Which values of an article dimension carry the change of a metric, for each (dimension, metric, selected values).
 
     Up to ``show_all_threshold`` selected values are all shown, largest change first. Otherwise
     the three largest gains are shown and the rest is summed up as "Other" (left out when 0).
     A value that only one period has counts as 0; ``one_sided="value"`` counts its amount.
+
+    All bridges come from one aggregation by group and dimension value. The values shown are few,
+    so their ranking keeps the first of each task before anything is shuffled.
     """
     if one_sided not in ("zero", "value"):
         raise ValueError(f"unknown one_sided rule {one_sided!r}")
-    chosen = list(dict.fromkeys(str(v) for v in selected if str(v)))
-    amount = F.col(METRICS[metric])
-    rows = group_period_subset(facts, cfg)
-    per_value = rows.groupBy("grp", or_unknown(F.col(dimension)).alias("dim")).agg(
-        sum_where(F.col("period") == BASELINE, amount).alias("b"), sum_where(F.col("period") == PROMO, amount).alias("p")
-    )
+    metrics = list(dict.fromkeys(metric for _, metric, _ in specs))
+    dimensions = list(dict.fromkeys(dimension for dimension, _, _ in specs))
+    chosen = [list(dict.fromkeys(str(v) for v in selected if str(v))) for _, _, selected in specs]
+    every = [0 < len(values) <= show_all_threshold for values in chosen]
+
+    opened = F.array(*[F.struct(F.lit(d).alias("dimension"), or_unknown(F.col(d)).alias("dim")) for d in dimensions])
+    rows = group_period_subset(facts, cfg).select("grp", "period", *[METRICS[m] for m in metrics], F.inline(opened))
+    sums = [
+        sum_where(F.col("period") == period, F.col(METRICS[m])).alias(f"{side}_{m}")
+        for m in metrics
+        for side, period in (("b", BASELINE), ("p", PROMO))
+    ]
+    per_dim = rows.groupBy("grp", "dimension", "dim").agg(*sums)
+
+    def entry(i: int) -> Column:
+        dimension, metric, _ = specs[i]
+        in_scope = F.col("dim").isin(chosen[i]) if chosen[i] else F.lit(True)
+        fields = F.struct(
+            F.lit(i).alias("spec"), F.col(f"b_{metric}").alias("b"), F.col(f"p_{metric}").alias("p"),
+            in_scope.alias("in_scope"), F.lit(every[i]).alias("every"),
+        )
+        return F.when(F.col("dimension") == dimension, fields)
+
+    entries = F.filter(F.array(*[entry(i) for i in range(len(specs))]), lambda x: x.isNotNull())
+    per_value = per_dim.select("grp", "dim", F.inline(entries))
     if one_sided == "zero":
         change = F.coalesce(F.col("p") - F.col("b"), F.lit(0.0))
     else:
         change = F.coalesce("p", F.lit(0.0)) - F.coalesce("b", F.lit(0.0))
     per_value = per_value.withColumn("change", change)
-    label = f"{dimension} {metric}"
-    if chosen and len(chosen) <= show_all_threshold:
-        return _all_shown(per_value, label, metric, chosen)
-    return _top_gains(per_value, label, metric, chosen)
-
 
-def _all_shown(per_value: DataFrame, bridge: str, metric: str, chosen: list[str]) -> DataFrame:
-    """One conditional sum per chosen value: a value without rows then shows as 0 without a join."""
-    changes = [F.coalesce(sum_where(F.col("dim") == v, F.col("change")), F.lit(0.0)) for v in chosen]
-    wide = per_value.groupBy("grp").agg(
-        F.sum("b").alias("b"), F.sum("p").alias("p"), *[c.alias(f"c{i}") for i, c in enumerate(changes)]
+    zero = F.lit(0.0)
+    totals = per_value.groupBy("grp", "spec").agg(
+        F.sum("b").alias("b"), F.sum("p").alias("p"), F.coalesce(sum_where(F.col("in_scope"), F.col("change")), zero).alias("all_changes")
     )
-    # Largest change first, equal changes by name: sorting (-change, name) ascending.
-    entries = F.array_sort(
-        F.array(*[F.struct((F.lit(0.0) - F.col(f"c{i}")).alias("rank"), F.lit(v).alias("dim")) for i, v in enumerate(chosen)])
+    order = Window.partitionBy("grp", "spec").orderBy(F.desc("change"), "dim")
+    candidates = per_value.where("in_scope AND (every OR change > 0)").withColumn("place", F.row_number().over(order))
+    most = max(shown, show_all_threshold)
+    top = (
+        candidates.where((F.col("place") <= most) & (F.col("every") | (F.col("place") <= shown)))
+        .groupBy("grp", "spec")
+        .agg(
+            F.collect_list(F.struct((zero - F.col("change")).alias("rank"), "dim")).alias("top"),
+            F.sum("change").alias("top_changes"),
+        )
     )
-    ranked = wide.withColumn("ranked", entries)
-    deltas = [
-        _step(i + 2, F.col("ranked")[i]["dim"], F.lit(0.0) - F.col("ranked")[i]["rank"], "delta") for i in range(len(chosen))
-    ]
-    return _steps(
-        ranked,
-        bridge,
-        _step(1, f"Baseline {metric}", F.col("b"), "total"),
-        *deltas,
-        _step(len(chosen) + 2, f"Promo period {metric}", F.col("p"), "total"),
+    wide = totals.join(top, ["grp", "spec"], "left")
+
+    # Chosen values that have no rows show as 0. Largest change first, equal changes by name.
+    none = F.array().cast("array<struct<rank:double,dim:string>>")
+    asked = _by_spec([F.array(*[F.struct(zero.alias("rank"), F.lit(v).alias("dim")) for v in c]) if e else none for c, e in zip(chosen, every)])
+    found = F.coalesce("top", none)
+    absent = F.filter(asked, lambda x: ~F.exists(found, lambda y: y["dim"] == x["dim"]))
+    wide = wide.withColumn("ranked", F.array_sort(F.concat(found, absent)))
+    show_all = _by_spec([F.lit(e) for e in every])
+    other = F.when(show_all, zero).otherwise(F.col("all_changes") - F.coalesce("top_changes", zero))
+    wide = wide.withColumn("other", other).withColumn("n", F.size("ranked"))
+    metric = _by_spec([F.lit(m) for _, m, _ in specs])
+    deltas = F.transform("ranked", lambda x, i: _step(i + 2, x["dim"], zero - x["rank"], "delta"))
+    has_other = F.col("other") != 0
+    steps = F.concat(
+        F.array(_step(1, F.concat(F.lit("Baseline "), metric), F.col("b"), "total")),
+        deltas,
+        F.when(has_other, F.array(_step(F.col("n") + 2, F.lit("Other"), F.col("other"), "delta"))).otherwise(
+            F.array().cast("array<struct<step_seq:int,step:string,value:double,type:string>>")
+        ),
+        F.array(_step(F.col("n") + 2 + has_other.cast("int"), F.concat(F.lit("Promo period "), metric), F.col("p"), "total")),
     )
+    label = _by_spec([F.lit(f"{d} {m}") for d, m, _ in specs])
+    return wide.select("grp", label.alias("bridge"), F.inline(steps))
 
 
-def _top_gains(per_value: DataFrame, bridge: str, metric: str, chosen: list[str], shown: int = 3) -> DataFrame:
-    in_scope = F.col("dim").isin(chosen) if chosen else F.lit(True)
-    gains = in_scope & (F.col("change") > 0)
-    # Values per group are as many as the dimension has, and already aggregated.
-    order = Window.partitionBy("grp").orderBy(F.desc_nulls_last("gain"), "dim")
-    ranked = per_value.withColumn("gain", F.when(gains, F.col("change"))).withColumn("place", F.row_number().over(order))
-    top = F.col("gain").isNotNull() & (F.col("place") <= shown)
-    wide = ranked.groupBy("grp").agg(
-        F.sum("b").alias("b"),
-        F.sum("p").alias("p"),
-        F.coalesce(sum_where(in_scope, F.col("change")), F.lit(0.0)).alias("all_changes"),
-        F.coalesce(sum_where(top, F.col("change")), F.lit(0.0)).alias("top_changes"),
-        F.count_if(top).cast("int").alias("n_top"),
-        *[F.max(F.when(top & (F.col("place") == i), F.struct("dim", "change"))).alias(f"top{i}") for i in range(1, shown + 1)],
-    )
-    other = F.col("all_changes") - F.col("top_changes")
-    other_rows = F.when(other != 0, 1).otherwise(0)
-    steps = [_step(1, f"Baseline {metric}", F.col("b"), "total")]
-    steps += [_step(i + 1, F.col(f"top{i}")["dim"], F.col(f"top{i}")["change"], "delta") for i in range(1, shown + 1)]
-    steps.append(_step(F.col("n_top") + 2, F.when(other != 0, F.lit("Other")), other, "delta"))
-    steps.append(_step(F.col("n_top") + 2 + other_rows, f"Promo period {metric}", F.col("p"), "total"))
-    return _steps(wide, bridge, *steps).where(F.col("step").isNotNull())
+def _by_spec(values: list[Column]) -> Column:
+    """The value of the row's ``spec``, which counts from 0."""
+    return F.element_at(F.array(*values), F.col("spec") + 1)
 
 
 # ---------------------------------------------------------------- chart coordinates

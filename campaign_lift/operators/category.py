@@ -34,7 +34,6 @@ DIMENSIONS = (
 )
 MEASURE_FIELDS = {"total_revenue": REVENUE, "total_quantity": QUANTITY, "total_PC1": PC1}
 MEASURES = tuple(MEASURE_FIELDS)
-SMALL_COUNTS = 100_000  # rows of about 32 bytes
 
 
 # Dimensions derived from the item, and the item fields they come from.
@@ -110,17 +109,12 @@ def category_raw(tables: OrderTables, cfg: CampaignConfig) -> DataFrame:
     have. It is made as its own aggregate and joined back; the join is null-safe because a
     window keeps the rows without a store code as one partition.
 
-    With a store list the counts have at most one row per listed store and day. Below
-    ``SMALL_COUNTS`` such rows they are broadcast, so the sums are not shuffled again; otherwise
-    the planner decides by size.
+    How the two meet is left to the planner and to adaptive execution, which know both sizes.
     """
     sums = category_sums(tables, cfg)
     counts = store_day_order_counts(tables, cfg).select(
         F.col("ordered_date").alias("count_date"), F.col("store_code").alias("count_store"), "order_count"
     )
-    most_rows = len(cfg.category.store_codes) * len(cfg.selected_dates)
-    if 0 < most_rows <= SMALL_COUNTS:
-        counts = F.broadcast(counts)
     same_day = F.col("ordered_date") == F.col("count_date")
     same_store = F.col("store_code").eqNullSafe(F.col("count_store"))
     return sums.join(counts, same_day & same_store, "left").select(*DIMENSIONS, *MEASURES, "order_count")

@@ -151,6 +151,20 @@ class Campaign:
     def dimension_bridge(self, dimension: str, metric: str, selected: Sequence[str] = (), **rules) -> DataFrame:
         return bridges.dimension_bridge(self._category_sums([metric]), self.cfg, dimension, metric, selected, **rules)
 
+    def dimension_bridges(self, specs: Sequence[tuple[str, str, Sequence[str]]] | None = None, **rules) -> DataFrame:
+        """Bridges of several (dimension, metric, selected values) in one pass; by default the three article dimensions of
+        the report with each metric and the values that the category filter selects."""
+        chosen = self.cfg.category
+        if specs is None:
+            values = {
+                "article_section_group": chosen.article_section_groups,
+                "article_section": chosen.article_sections,
+                "article_brand_group": chosen.article_brand_groups,
+            }
+            specs = [(name, metric, selected) for name, selected in values.items() for metric in bridges.METRICS]
+        metrics = list(dict.fromkeys(metric for _, metric, _ in specs))
+        return bridges.dimension_bridges(self._category_sums(metrics), self.cfg, specs, **rules)
+
     # decision and text
 
     @cached_property
@@ -217,6 +231,14 @@ class Campaign:
                 bridges.waterfall_coordinates(run.split_bridges()), f"{folder}/category_bridges", ["grp", "bridge", "step_seq"]
             )
             sinks.write_table(run.period_metrics, f"{folder}/period_metrics", ["grp", "period"])
+            sinks.write_table(
+                bridges.waterfall_coordinates(run.dimension_bridges()), f"{folder}/dimension_bridges", ["grp", "bridge", "step_seq"]
+            )
+            sinks.write_table(run.weekday_kpis, f"{folder}/weekday_kpis", ["grp", "period", "weekday_seq"])
+            sinks.write_table(run.weekday_chart(), f"{folder}/weekday_chart", ["grp", "chart_seq", "weekday_seq"])
+            sinks.write_table(run.footfall_labels, f"{folder}/footfall_labels", ["grp"])
+            sinks.write_table(run.store_options(), f"{folder}/store_options", ["store_code"])
+            sinks.write_table(run.category_options(), f"{folder}/category_options", ["dimension", "option"])
             sinks.write_table(run.weekday_pct_diff, f"{folder}/weekday_pct_diff", ["grp", "weekday_seq"])
             sinks.write_table(run.daily_trend(), f"{folder}/daily_trend", ["grp", "ordered_date", "period"])
             sinks.write_text(run.driver_summary.select("summary"), f"{folder}/summary")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from campaign_lift.config import CampaignConfig, CategoryFilter, expand_dates, local_table
 from campaign_lift.functions import formats
-from campaign_lift.operators import bridges, category, funnel, impact, store_day
+from campaign_lift.operators import bridges, category, decision, funnel, impact, store_day
 from campaign_lift.plans.campaign import Campaign
 from campaign_lift.sources import options
 from campaign_lift.sources.orders import OrderTables
@@ -76,7 +76,7 @@ def _nested_items(spark: SparkSession, folder: str) -> DataFrame:
         "item_no",
         "article_price_red_eur",
         "has_promotion",
-        F.get("promotions", F.lit(0))["promotion_id"].alias("first_promotion_id"),
+        F.array_join(F.col("promotions")["promotion_id"], ",").alias("promotion_ids"),
         F.col(REVENUE).alias("revenue"),
         F.col(QUANTITY).alias("quantity"),
         F.col(PC1).alias("pc1"),
@@ -98,10 +98,11 @@ def _selections(spark: SparkSession, folder: str) -> DataFrame:
         .select(F.col("option").alias("article_section"))
     )
     chosen = ("Brand#1", "Brand#2", "Brand#3", "No such brand")
-    roles = F.when(F.col("article_section").isin(*chosen), "include").otherwise("except")
-    included = options.select_options(sections, "article_section", "include", chosen)
-    excluded = options.select_options(sections, "article_section", "except", chosen)
-    return included.unionByName(excluded).select("article_section", roles.alias("mode"))
+    parts = [
+        options.select_options(sections, "article_section", mode, chosen).select("article_section", F.lit(mode).alias("mode"))
+        for mode in ("include", "except")
+    ]
+    return parts[0].unionByName(parts[1])
 
 
 def _date_set(spark: SparkSession, folder: str) -> DataFrame:
@@ -180,6 +181,9 @@ def all_queries() -> dict[str, Query]:
         "ab_winner": _of(_winner),
         "ab_comparisons": _of(lambda c: c.ab_comparisons()),
         "report_payload": _of(lambda c: c.report_payload.select("control_group", "testing_group", *_payload_figures())),
+        "report_payload_kpis": _of(_payload_kpis),
+        "report_payload_drivers": _of(_payload_drivers),
+        "report_payload_votes": _of(_payload_votes),
         "driver_insights": _of(lambda c: c.driver_insights),
         "driver_summary": _of(lambda c: c.driver_summary),
         "funnel_formatted": _of(lambda c: formats.format_funnel(c.store_funnel)),
@@ -202,12 +206,59 @@ def all_queries() -> dict[str, Query]:
                     dimension, metric, selected
                 )
             )
+    specs = [(d, metric, selected) for d, selected in DIMENSION_BRIDGES.values() for metric in bridges.METRICS]
+    queries["bridges_dim_all"] = _of(lambda c: c.dimension_bridges(specs))
     queries["bridge_dim_section_group_value"] = _of(
         lambda c: c.dimension_bridge("article_section_group", "revenue", one_sided="value")
     )
     return queries
 
 
+def _payload_kpis(c: Campaign) -> DataFrame:
+    """All KPI rows of the report record: both funnels and the impact, in long form."""
+    pair, kpis = ["control_group", "testing_group"], F.col("kpis")
+    figures = ("baseline_value", "promo_value", "pct_diff", "abs_diff")
+    impact_figures = (
+        "testing_pct_diff", "testing_abs_diff", "control_pct_diff", "control_abs_diff",
+        "testing_minus_control_pct_diff", "testing_minus_control_abs_diff",
+    )
+
+    def long(part: str, names: tuple[str, ...]) -> DataFrame:
+        rows = c.report_payload.select(*pair, F.inline(kpis[part]))
+        named = F.array(*[F.struct(F.lit(n).alias("figure"), F.col(n).alias("value")) for n in names])
+        return rows.select(*pair, F.lit(part).alias("part"), "kpi_seq", "kpi", F.inline(named))
+
+    funnels = long("control_funnel", figures).unionByName(long("testing_funnel", figures))
+    return funnels.unionByName(long("promo_impact", impact_figures))
+
+
+def _payload_drivers(c: Campaign) -> DataFrame:
+    """All driver lists of the report record, in long form."""
+    analysis = F.col("phase1_driver_analysis")
+    lists = [
+        F.struct(F.lit(source).alias("source"), F.lit(ranking).alias("ranking"), analysis[source][ranking].alias("entries"))
+        for source in ("control_group_drivers", "testing_group_drivers", "promo_impact_drivers")
+        for ranking in decision.RANKINGS
+    ]
+    rows = c.report_payload.select("control_group", "testing_group", F.inline(F.array(*lists)))
+    opened = rows.select("control_group", "testing_group", "source", "ranking", F.posexplode("entries").alias("place", "entry"))
+    return opened.select(
+        "control_group", "testing_group", "source", "ranking", (F.col("place") + 1).alias("position"),
+        F.col("entry.kpi").alias("kpi"), F.col("entry.value").alias("value"),
+    )
+
+
+def _payload_votes(c: Campaign) -> DataFrame:
+    """The comparisons, votes and reasons of the report record."""
+    w = F.col("winner_assessment")
+    rows = c.report_payload.select(
+        "control_group", "testing_group", w["winner"].alias("winner"), w["confidence"].alias("confidence"),
+        w["vote_count"]["testing"].alias("testing_votes"), w["vote_count"]["control"].alias("control_votes"),
+        F.array_join(w["reason_codes"], ",").alias("reason_codes"), F.inline(w["comparisons"]),
+    )
+    return rows
+
+
 def _payload_figures() -> list:
     """Figures of the nested report record as plain columns."""
     meta, kpis, winner = F.col("meta"), F.col("kpis"), F.col("winner_assessment")

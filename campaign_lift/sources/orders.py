@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from campaign_lift.config import CampaignConfig
 from campaign_lift.functions.columns import in_dates
-from campaign_lift.sources.schemas import ITEM_COLUMNS, ORDER_COLUMNS, require_columns
+from campaign_lift.sources.schemas import ITEM_COLUMNS, ORDER_COLUMNS, ORDER_ITEM, ORDERS, require_columns, require_types
 
 
 def seller_values(cfg: CampaignConfig) -> dict[str, Column]:
@@ -60,12 +60,15 @@ class OrderTables:
     @classmethod
     def from_nested(cls, orders: DataFrame) -> OrderTables:
         require_columns(orders, [*ORDER_COLUMNS, "order_items"], "orders")
+        require_types(orders, ORDERS, "orders")
         return cls(orders)
 
     @classmethod
     def from_rows(cls, orders: DataFrame, items: DataFrame) -> OrderTables:
         require_columns(orders, ORDER_COLUMNS, "orders")
+        require_types(orders, ORDERS, "orders")
         require_columns(items, [*ORDER_COLUMNS, *[c for c in ITEM_COLUMNS if c != "item_no"]], "order items")
+        require_types(items, ORDER_ITEM, "order items")
         return cls(orders, items)
 
     @classmethod

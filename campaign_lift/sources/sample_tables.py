@@ -13,6 +13,8 @@ from campaign_lift.sources.orders import OrderTables
 from campaign_lift.sources.schemas import ITEM_COLUMNS, ORDER_COLUMNS, ORDERS, PC1, QUANTITY, REVENUE
 
 
+LINES_PER_RECORD = 3
+
 # Columns read from the sample tables. Declared, so that opening a table starts no job.
 SAMPLE_SCHEMAS = {
     "events": "ts timestamp_ntz, user_id bigint, event_type string, value double",
@@ -70,7 +72,9 @@ def _priced(lines: DataFrame) -> DataFrame:
         f"CASE WHEN l_linestatus = 'F' THEN CAST(floor({unit} * l_tax) AS DOUBLE) ELSE 0D END AS promo",
         "CASE WHEN l_returnflag = 'R' THEN 0D ELSE l_quantity END AS qty",
         "l_linestatus = 'F' AS has_promotion",
-        "CASE WHEN l_linestatus = 'F' THEN CASE WHEN l_tax > 0.045D THEN 'PROMO_B' ELSE 'PROMO_A' END END AS promotion_id",
+        """CASE WHEN l_linestatus <> 'F' OR l_linestatus IS NULL THEN CAST(array() AS ARRAY<STRING>)
+                WHEN l_tax > 0.065D THEN array('PROMO_B', 'PROMO_A') WHEN l_tax > 0.045D THEN array('PROMO_B')
+                ELSE array('PROMO_A') END AS promotion_ids""",
         "p_type AS article_section_group",
         "p_brand AS article_section",
         "CASE p_size % 4 WHEN 0 THEN 'SS' WHEN 1 THEN 'FW' WHEN 2 THEN 'NOS' END AS article_season",
@@ -89,8 +93,7 @@ def _priced(lines: DataFrame) -> DataFrame:
         f"{revenue} AS {REVENUE}",
         f"CAST(floor({revenue} / 1.19D) AS DOUBLE) - cost * qty AS {PC1}",
         "has_promotion",
-        """CASE WHEN promotion_id IS NOT NULL THEN array(named_struct('promotion_id', promotion_id))
-                ELSE CAST(array() AS ARRAY<STRUCT<promotion_id: STRING>>) END AS promotions""",
+        "transform(promotion_ids, p -> named_struct('promotion_id', p)) AS promotions",
         "article_section_group",
         "article_section",
         "article_season",
@@ -129,18 +132,18 @@ def sample_item_rows(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def sample_nested_orders(spark: SparkSession, folder: str) -> DataFrame:
-    """Order records with an item array. Each record carries one line of its order or none.
+    """Order records with an item array. A record carries the lines of its order whose numbers fall
+    into one run of ``LINES_PER_RECORD``, or none.
 
-    Records stay this small on purpose: gathering all lines of a hot order would build one
-    record without bound. Order counts are distinct counts, so they do not change.
+    Line numbers are unique in an order, so a record is bounded however many lines an order has,
+    and the records of a hot order are built by many tasks. Order counts are distinct counts, so
+    they do not change.
     """
     rows = sample_item_rows(spark, folder)
-    item_type = ORDERS["order_items"].dataType
-    items = F.array(F.struct(*[F.col(c) for c in ITEM_COLUMNS]))
-    return rows.select(
-        *ORDER_COLUMNS,
-        F.when(F.col("item_no").isNotNull(), items).otherwise(F.array().cast(item_type)).alias("order_items"),
-    )
+    item = F.when(F.col("item_no").isNotNull(), F.struct(*[F.col(c) for c in ITEM_COLUMNS]))
+    chunk = F.floor((F.col("item_no") - 1) / LINES_PER_RECORD).alias("chunk")
+    records = rows.groupBy(*ORDER_COLUMNS, chunk).agg(F.sort_array(F.collect_list(item)).alias("order_items"))
+    return records.select(*ORDER_COLUMNS, F.col("order_items").cast(ORDERS["order_items"].dataType).alias("order_items"))
 
 
 def sample_tables(spark: SparkSession, folder: str) -> OrderTables:

@@ -65,6 +65,29 @@ ORDER_COLUMNS = tuple(f.name for f in ORDERS if f.name != "order_items")
 ITEM_COLUMNS = ORDER_ITEM.fieldNames()
 
 
+def _fits(have: T.DataType, want: T.DataType) -> bool:
+    if isinstance(want, T.ArrayType):
+        return isinstance(have, T.ArrayType) and _fits(have.elementType, want.elementType)
+    if isinstance(want, T.StructType):
+        return isinstance(have, T.StructType) and all(_fits(have[f.name].dataType, f.dataType) for f in want if f.name in have.names)
+    if isinstance(want, T.IntegerType):  # numbers of stores and items
+        return isinstance(have, T.IntegralType | T.StringType)
+    if isinstance(want, T.NumericType):
+        return isinstance(have, T.NumericType)
+    if isinstance(want, T.TimestampNTZType):
+        return isinstance(have, T.TimestampNTZType | T.TimestampType)
+    if isinstance(want, T.DateType):
+        return isinstance(have, T.DateType | T.TimestampNTZType | T.TimestampType)
+    return isinstance(have, type(want))
+
+
+def require_types(table: DataFrame, wanted: T.StructType, what: str) -> None:
+    """Refuse a table whose columns have other kinds of types. Any number serves as an amount, DECIMAL included."""
+    wrong = [f.name for f in wanted if f.name in table.columns and not _fits(table.schema[f.name].dataType, f.dataType)]
+    if wrong:
+        raise ValueError(f"{what} has columns of wrong types: {[(n, table.schema[n].dataType.simpleString()) for n in wrong]}")
+
+
 def require_columns(table: DataFrame, names: Sequence[str], what: str) -> None:
     missing = [name for name in names if name not in table.columns]
     if missing:

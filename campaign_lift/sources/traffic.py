@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 
 from campaign_lift.config import CampaignConfig
 from campaign_lift.functions.columns import in_dates
-from campaign_lift.sources.schemas import TRAFFIC, require_columns
+from campaign_lift.sources.schemas import TRAFFIC, require_columns, require_types
 
 
 def read_traffic(spark: SparkSession, path: str) -> DataFrame:
     traffic = spark.read.parquet(path)
     require_columns(traffic, TRAFFIC.fieldNames(), "traffic")
+    require_types(traffic, TRAFFIC, "traffic")
     return traffic
 
 

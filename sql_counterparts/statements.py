@@ -37,7 +37,8 @@ items AS (
     qty * (coalesce(red, black) - promo) AS revenue,
     CAST(floor(CAST(qty * (coalesce(red, black) - promo) AS DOUBLE) / CAST(1.19 AS DOUBLE)) AS DOUBLE) - cost * qty AS pc1,
     l_linestatus = 'F' AS has_promotion,
-    CASE WHEN l_linestatus = 'F' AND l_tax > 0.045 THEN 'PROMO_B' WHEN l_linestatus = 'F' THEN 'PROMO_A' END AS promotion_id,
+    CASE WHEN l_linestatus = 'F' AND l_tax > 0.065 THEN 'PROMO_B,PROMO_A' WHEN l_linestatus = 'F' AND l_tax > 0.045 THEN 'PROMO_B'
+         WHEN l_linestatus = 'F' THEN 'PROMO_A' END AS promotion_ids,
     p_type AS section_group, p_brand AS section,
     CASE p_size % 4 WHEN 0 THEN 'SS' WHEN 1 THEN 'FW' WHEN 2 THEN 'NOS' END AS season,
     CASE WHEN p_size % 3 = 0 THEN 'OWN' WHEN p_size % 3 = 1 THEN 'BRAND' END AS brand_group
@@ -649,6 +650,22 @@ winners AS (
 )"""
 
 
+def _payload_kpi_rows() -> str:
+    """Funnels of both groups and the impact of every pair, one row per figure."""
+    rows = [
+        f"SELECT control_group, testing_group, '{side}_funnel' AS part, f.kpi_seq, f.kpi, '{name}' AS figure, f.{name} AS value "
+        f"FROM pairs JOIN funnel f ON f.grp = {side}_group"
+        for side in ("control", "testing")
+        for name in ("baseline_value", "promo_value", "pct_diff", "abs_diff")
+    ]
+    rows += [
+        f"SELECT control_group, testing_group, 'promo_impact', kpi_seq, kpi, '{who}_{diff}', {who}_{diff} FROM impact"
+        for who in ("testing", "control", "testing_minus_control")
+        for diff in ("pct_diff", "abs_diff")
+    ]
+    return "\nUNION ALL ".join(rows)
+
+
 def _drivers(top_n: int, min_abs: float) -> str:
     sources = {
         "control_group_drivers": "SELECT control_group, testing_group, f.kpi_seq, f.kpi, f.pct_diff AS v FROM pairs JOIN funnel f ON f.grp = control_group",
@@ -838,7 +855,7 @@ berlin AS (
         )
         + """
 SELECT strftime(day - CAST(isodow(day) - 1 AS INT), '%Y-%m-%d') AS order_week, day AS order_date, dayname(day) AS day_of_week,
-  CASE WHEN promotion_id = 'PROMO_A' THEN 'Yes' ELSE 'No' END AS item_has_specific_promotion_id,
+  CASE WHEN contains(promotion_ids, 'PROMO_A') THEN 'Yes' ELSE 'No' END AS item_has_specific_promotion_id,
   CASE WHEN red IS NOT NULL THEN 'red-price' ELSE 'black-price' END AS price,
   count(DISTINCT order_id) AS count_orders, sum(revenue) AS revenue, sum(pc1) AS pc1, sum(qty) AS items,
   sum(promo) AS promotion_discount_eur, sum(CASE WHEN red IS NOT NULL AND green IS NULL THEN revenue END) AS revenue_red_price,
@@ -908,7 +925,7 @@ def all_statements() -> dict[str, str]:
         "nested_order_items": _with(ITEMS)
         + """
 SELECT order_id, ordered_at, tenant, insider AS insider_customer_type, item_no, red AS article_price_red_eur, has_promotion,
-  promotion_id AS first_promotion_id, revenue, qty AS quantity, pc1 FROM items""",
+  CASE WHEN item_no IS NOT NULL THEN coalesce(promotion_ids, '') END AS promotion_ids, revenue, qty AS quantity, pc1 FROM items""",
         "traffic_store_day": _with(CONFIG, TRAFFIC_DAY) + "\nSELECT * FROM traffic_day",
         "order_store_day": _with(CONFIG, ITEMS, SOLD, ORDER_DAY) + "\nSELECT * FROM order_day",
         "store_day_raw": _with(*_store()) + f"\nSELECT {store_columns} FROM store_day",
@@ -965,8 +982,16 @@ WHERE channel = 'STATIONARY' AND company_name_short = 'NOVA' AND country = 'DE'
 SELECT article_section, CASE WHEN article_section IN ('Brand#1', 'Brand#2', 'Brand#3', 'No such brand') THEN 'include' ELSE 'except' END AS mode
 FROM (SELECT DISTINCT coalesce(section, 'UNKNOWN') AS article_section FROM sold)""",
         "date_set": """
-SELECT CAST(DATE '2024-01-01' + CAST(o_orderkey % 30 AS INT) AS DATE) AS ordered_date, count(*) AS n_orders
-FROM orders WHERE o_orderkey % 30 < 20 GROUP BY 1 ORDER BY 1""",
+WITH windows(a, b) AS (
+  VALUES (DATE '2024-01-14', DATE '2024-01-01'), (DATE '2024-01-10', DATE '2024-01-20'), (CAST(NULL AS DATE), DATE '2024-01-30')
+),
+days AS (
+  SELECT DISTINCT CAST(unnest(generate_series(least(a, b), greatest(a, b), INTERVAL 1 DAY)) AS DATE) AS d
+  FROM windows WHERE a IS NOT NULL AND b IS NOT NULL
+)
+SELECT d AS ordered_date, count(*) AS n_orders
+FROM (SELECT CAST(DATE '2024-01-01' + CAST(o_orderkey % 30 AS INT) AS DATE) AS d FROM orders) JOIN days USING (d)
+GROUP BY 1 ORDER BY 1""",
         "kpi_drivers": _with(*impact, _drivers(5, 0.0)) + "\nSELECT * FROM drivers",
         "kpi_drivers_min_abs": _with(*impact, _drivers(3, 0.05)) + "\nSELECT * FROM drivers",
         "ab_comparisons": _with(*impact, VOTES)
@@ -991,6 +1016,15 @@ SELECT w.control_group, w.testing_group, 'BOTH' AS promo_mechanism, 14 AS n_base
   (SELECT max(value) FROM drivers d WHERE d.control_group = w.control_group AND d.testing_group = w.testing_group
      AND source = 'promo_impact_drivers' AND ranking = 'top_absolute' AND position = 1) AS largest_impact
 FROM winners w""",
+        "report_payload_kpis": _with(*impact) + "\n" + _payload_kpi_rows(),
+        "report_payload_drivers": _with(*impact, _drivers(5, 0.0)) + "\nSELECT * FROM drivers",
+        "report_payload_votes": _with(*impact, VOTES)
+        + """
+SELECT w.control_group, w.testing_group, winner, confidence, testing_votes, control_votes,
+  coalesce((SELECT string_agg(r.kpi, ',' ORDER BY r.kpi_seq) FROM votes r
+   WHERE r.control_group = w.control_group AND r.testing_group = w.testing_group AND r.decision = w.winner), '') AS reason_codes,
+  v.kpi, v.testing_pct_diff, v.control_pct_diff, v.uplift, v.decision
+FROM winners w JOIN votes v ON v.control_group = w.control_group AND v.testing_group = w.testing_group""",
         "driver_insights": _with(*_store_funnel(), _facts("BOTH"))
         + """
 SELECT control_group, testing_group, role, grp, revenue_dir, new_pct, new_abs, bp_pct, bp_abs, rp_pct, rp_abs,
@@ -1013,5 +1047,8 @@ SELECT control_group, testing_group, role, grp, revenue_dir, new_pct, new_abs, b
     for name, (dimension, selected) in dimensions.items():
         for metric in METRICS:
             statements[f"bridge_dim_{name}_{metric.lower()}"] = _dimension_bridge(dimension, metric, selected)
+    statements["bridges_dim_all"] = "\nUNION ALL ".join(
+        f"SELECT * FROM ({_dimension_bridge(d, metric, selected)})" for d, selected in dimensions.values() for metric in METRICS
+    )
     statements["bridge_dim_section_group_value"] = _dimension_bridge("article_section_group", "revenue", (), "value")
     return statements

@@ -15,10 +15,13 @@ def test_dates_expand_in_either_order():
     assert expand_dates(None, days[0]) == ()
 
 
-def test_store_codes_are_padded_deduplicated_and_bounded():
-    assert normalise_store_codes(["7", 7, "0007", "", None, "12"]) == ("0007", "0012")
-    with pytest.raises(ValueError, match="longer"):
-        normalise_store_codes(["12345"])
+def test_store_codes_are_padded_and_deduplicated():
+    assert normalise_store_codes(["7", 7, "0007", "", None, "12", "12345"]) == ("0007", "0012", "12345")
+
+
+def test_unknown_promo_mechanism_is_refused():
+    with pytest.raises(ValueError, match="mechanism"):
+        config(promo_mechanism="RP")
 
 
 def test_selection_modes():

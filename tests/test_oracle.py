@@ -8,8 +8,10 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
+from campaign_lift.plans.registry import all_queries as queries
 from check_oracle import compare
+from sql_counterparts.statements import all_statements as oracle_sql
 from tests.conftest import plan_text
 
 FOLDER = "/root/testdata/sf0.001"

@@ -40,6 +40,12 @@ def test_every_output_is_written(report):
         "category_bridges",
         "period_metrics",
         "weekday_pct_diff",
+        "weekday_kpis",
+        "weekday_chart",
+        "footfall_labels",
+        "store_options",
+        "category_options",
+        "dimension_bridges",
         "daily_trend",
         "summary",
         "payload",

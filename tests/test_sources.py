@@ -38,7 +38,7 @@ def test_store_options_are_distinct_padded_sorted(spark):
         ],
     )
     codes = [r["store_code"] for r in options.store_options(tables, config()).collect()]
-    assert codes == ["0003", "0012", "1234"]
+    assert codes == ["0003", "0012", "12345"]
 
 
 def test_category_options_name_missing_values(spark):
@@ -134,3 +134,13 @@ def test_text_numbers_are_read_and_bad_ones_dropped(spark):
 
     frame = spark.createDataFrame([("1.5",), ("x",), (None,)], "v string")
     assert [r[0] for r in frame.select(to_number(F.col("v"))).collect()] == [1.5, None, None]
+
+
+def test_wrong_types_are_refused_and_decimals_are_amounts(spark):
+    rows = order_tables(spark, [order(1, NOON, items=[item(revenue=2.5)])]).records
+    with pytest.raises(ValueError, match="ordered_at"):
+        OrderTables.from_nested(rows.withColumn("ordered_at", F.col("ordered_at").cast("string")))
+    items = F.transform("order_items", lambda x: x.withField("article_cost_eur", x["article_cost_eur"].cast("decimal(12,2)")))
+    OrderTables.from_nested(rows.withColumn("order_items", items))
+    with pytest.raises(ValueError, match="order_items"):
+        OrderTables.from_nested(rows.withColumn("order_items", F.transform("order_items", lambda x: x.withField("has_promotion", F.lit("yes")))))

@@ -4,6 +4,7 @@ import pytest
 
 from campaign_lift.operators import store_day as sd
 from campaign_lift.operators.subsets import group_period_subset, store_subset_export
+from campaign_lift.plans.campaign import Campaign
 from tests.conftest import as_dicts, config, item, order, order_tables, traffic_frame, visit
 
 D1, D2 = date(2024, 1, 1), date(2024, 1, 2)
@@ -131,6 +132,16 @@ def test_export_order_and_weekday(spark):
 
 
 @pytest.mark.parametrize("code", [7, 10007])
-def test_codes_are_padded_and_cut(spark, code):
+def test_codes_are_padded_and_stay_whole(spark, code):
     rows = as_dicts(sd.traffic_store_day(traffic_frame(spark, [visit(D1, code, 1, 1, 1)]), config()))
-    assert rows[0]["store_code"] == str(code).zfill(4)[:4]
+    assert rows[0]["store_code"] == str(code).zfill(4)
+
+
+def test_long_store_codes_stay_apart(spark):
+    """Codes 12345 and 12346 are two stores, also in two groups."""
+    cfg = config(groups={"Group 1": ["12345"], "Group 3": ["12346"]})
+    rows = [visit(date(2024, 1, 1), code, 10, 5, 1) for code in (12345, 12346)]
+    orders = [order(code, datetime(2024, 1, 1), code, [item(revenue=float(code))]) for code in (12345, 12346)]
+    run = Campaign(traffic_frame(spark, rows), order_tables(spark, orders), cfg)
+    found = {(r["grp"], r["baseline_value"]) for r in run.store_funnel.where("kpi = 'total revenue'").collect()}
+    assert found == {("Group 1", 12345.0), ("Group 3", 12346.0)}
