@@ -22,13 +22,36 @@ def group_sums(
     subset = group_period_subset(facts, cfg)
     if not include_sunday:
         subset = subset.where(~is_sunday(F.col("ordered_date")))
-    grid = cfg.grid_frame(facts.sparkSession)
-    if probe is not None:
-        grid = grid.join(probe.select(F.lit(1).alias("present")).limit(1), F.lit(True), "left_semi")
+    grid = _present(cfg.grid_frame(facts.sparkSession), probe)
     sums = store_sums(subset, ["grp", "period"], count_stores=True)
     return grid.join(sums, ["grp", "period"], "left").fillna(0, [*STORE_SUMS, "trackable_stores"])
 
 
+def group_sums_both(facts: DataFrame, cfg: CampaignConfig, probe: DataFrame | None = None) -> DataFrame:
+    """``group_sums`` with and without Sundays, told apart by ``include_sunday``, from one aggregation: a row of a Sunday
+    counts once, any other row twice."""
+    flags = F.when(is_sunday(F.col("ordered_date")), F.array(F.lit(True))).otherwise(F.array(F.lit(True), F.lit(False)))
+    subset = group_period_subset(facts, cfg).withColumn("include_sunday", F.explode(flags))
+    both = F.explode(F.array(F.lit(True), F.lit(False))).alias("include_sunday")
+    grid = _present(cfg.grid_frame(facts.sparkSession), probe).select("*", both)
+    keys = ["grp", "period", "include_sunday"]
+    sums = store_sums(subset, keys, count_stores=True)
+    return grid.join(sums, keys, "left").fillna(0, [*STORE_SUMS, "trackable_stores"])
+
+
+def _present(grid: DataFrame, probe: DataFrame | None) -> DataFrame:
+    """The grid, or nothing where the probe is empty. Of the probe one row is read."""
+    if probe is None:
+        return grid
+    return grid.join(probe.select(F.lit(1).alias("present")).limit(1), F.lit(True), "left_semi")
+
+
+def store_funnel_both(sums: DataFrame, cfg: CampaignConfig) -> DataFrame:
+    """``store_funnel`` of both Sunday settings."""
+    kpis = store_funnel_kpis({name: F.col(name) for name in STORE_SUMS}, cfg.vat)
+    return kpi_rows(sums, kpis, zero_base=0.0, nothing=[0.0] * len(kpis), keys=("grp", "include_sunday"))
+
+
 def store_funnel(sums: DataFrame, cfg: CampaignConfig) -> DataFrame:
     """(grp, kpi_seq, kpi, baseline_value, promo_value, pct_diff, abs_diff); change on a zero base is 0."""
     kpis = store_funnel_kpis({name: F.col(name) for name in STORE_SUMS}, cfg.vat)

@@ -108,22 +108,26 @@ def periods_side_by_side(rows: DataFrame, keys: Sequence[str], values: Sequence[
 
 
 def kpi_rows(
-    rows: DataFrame, kpis: Mapping[str, Column], zero_base: float | None, nothing: Sequence[float | None]
+    rows: DataFrame,
+    kpis: Mapping[str, Column],
+    zero_base: float | None,
+    nothing: Sequence[float | None],
+    keys: Sequence[str] = ("grp",),
 ) -> DataFrame:
-    """KPIs of (grp, period) rows as one row per group and KPI with absolute and relative change.
+    """KPIs of (group, period) rows as one row per group and KPI with absolute and relative change.
 
     The KPIs travel as one array per period, so a row stays small in the plan however many
     there are. ``nothing`` holds the values of a period without rows.
     """
-    packed = rows.select("grp", "period", F.array(*kpis.values()).alias("values"))
+    packed = rows.select(*keys, "period", F.array(*kpis.values()).alias("values"))
     empty = F.array(*[F.lit(v).cast("double") for v in nothing])
-    sides = periods_side_by_side(packed, ["grp"], ["values"]).select(
-        "grp",
+    sides = periods_side_by_side(packed, keys, ["values"]).select(
+        *keys,
         F.sequence(F.lit(1), F.lit(len(kpis))).alias("kpi_seq"),
         F.array(*[F.lit(name) for name in kpis]).alias("kpi"),
         F.coalesce(F.col("baseline")["values"], empty).alias("baseline_value"),
         F.coalesce(F.col("promo")["values"], empty).alias("promo_value"),
     )
-    long = sides.select("grp", F.inline(F.arrays_zip("kpi_seq", "kpi", "baseline_value", "promo_value")))
+    long = sides.select(*keys, F.inline(F.arrays_zip("kpi_seq", "kpi", "baseline_value", "promo_value")))
     base, new = F.col("baseline_value"), F.col("promo_value")
     return long.select("*", pct_diff(new, base, zero_base).alias("pct_diff"), (new - base).alias("abs_diff"))

@@ -85,6 +85,12 @@ class Campaign:
         probe = campaign_traffic(self.traffic, self.cfg)
         return funnel.group_sums(self.store_day, self.cfg, self.include_sunday, probe)
 
+    @cached_property
+    def store_funnel_both(self) -> DataFrame:
+        """The funnel with and without Sundays in one pass, whatever ``include_sunday`` says."""
+        sums = funnel.group_sums_both(self.store_day, self.cfg, campaign_traffic(self.traffic, self.cfg))
+        return funnel.store_funnel_both(sums, self.cfg)
+
     @cached_property
     def store_funnel(self) -> DataFrame:
         return funnel.store_funnel(self.group_sums, self.cfg)
@@ -213,6 +219,9 @@ class Campaign:
             sinks.write_csv(run.store_subset_export, f"{folder}/store_level_all_categories")
             sinks.write_csv(run.category_raw, f"{folder}/selected_categories")
             sinks.write_table(formats.format_funnel(run.store_funnel), f"{folder}/store_funnel", ["grp", "kpi_seq"])
+            sinks.write_table(
+                formats.format_funnel(run.store_funnel_both), f"{folder}/store_funnel_both", ["include_sunday", "grp", "kpi_seq"]
+            )
             sinks.write_table(
                 formats.format_impact(run.store_promo_impact), f"{folder}/store_promo_impact", ["control_group", "testing_group", "kpi_seq"]
             )

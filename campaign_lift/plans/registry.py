@@ -138,6 +138,7 @@ def all_queries() -> dict[str, Query]:
         "store_subset_export": _of(lambda c: c.store_subset_export),
         "store_funnel": _of(lambda c: c.store_funnel),
         "store_funnel_incl_sunday": _of(lambda c: c.store_funnel, include_sunday=True),
+        "store_funnel_both": _of(lambda c: c.store_funnel_both),
         "store_funnel_scaled": _of(lambda c: c.store_funnel, scaled),
         "period_metrics": _of(lambda c: c.period_metrics),
         "footfall_labels": _of(lambda c: c.footfall_labels),

@@ -933,6 +933,9 @@ SELECT order_id, ordered_at, tenant, insider AS insider_customer_type, item_no,
         "store_subset_export": _with(*_store()) + f'\nSELECT {store_columns}, weekday, grp AS "group", period FROM subset',
         "store_funnel": _with(*_store_funnel()) + "\nSELECT * FROM funnel",
         "store_funnel_incl_sunday": _with(*_store_funnel(include_sunday=True)) + "\nSELECT * FROM funnel",
+        "store_funnel_both": "\nUNION ALL ".join(
+            f"SELECT *, {flag} AS include_sunday FROM ({_with(*_store_funnel(include_sunday=flag))} SELECT * FROM funnel)" for flag in (True, False)
+        ),
         "store_funnel_scaled": _with(*_store_funnel(1.5)) + "\nSELECT * FROM funnel",
         "period_metrics": _with(*_store(), _grid(False))
         + f"\nSELECT grp, period, {period_columns}, stores AS footfall_trackable_stores_count FROM sums",

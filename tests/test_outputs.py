@@ -32,6 +32,7 @@ def test_every_output_is_written(report):
         "store_level_all_categories",
         "selected_categories",
         "store_funnel",
+        "store_funnel_both",
         "store_promo_impact",
         "discount_breakdown",
         "category_funnel",
