@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from llm.shared import plain, text_or_empty
+from llm.shared import filter_in_arrow, plain, text_or_empty
 
 #: Words of a seed and least tile, share of an item that must be covered, bytes of items in a block.
 SEED, COVERAGE, BLOCK_BYTES = 5, 0.5, 4 << 20
@@ -174,5 +174,5 @@ def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_co
         return one
 
     for block in blocks(benchmark, item_col, item_text_col, seed):
-        docs = docs.mapInArrow(run(block), docs.schema)
+        docs = filter_in_arrow(docs, run(block))
     return docs

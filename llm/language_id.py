@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from llm.shared import plain
+from llm.shared import filter_in_arrow, plain
 
 #: Places of n-grams, longest n-gram, labelled texts per language at most (as expected number), landmarks per language.
 PLACES, LONGEST, PER_LANGUAGE, LANDMARKS = 1 << 14, 3, 400, 24
@@ -134,4 +134,4 @@ def keep_known(docs: DataFrame, training: Column, id_col: str = "doc_id", text_c
             names, _ = classify(model.value, batch.column(at).to_pylist())
             yield batch.filter(pa.array([x != UNKNOWN for x in names], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return filter_in_arrow(docs, run)

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,6 +23,12 @@ def text_or_empty(name: str) -> Column:
     return F.coalesce(plain(name).cast("string"), F.lit(""))
 
 
+def filter_in_arrow(docs: DataFrame, run) -> DataFrame:
+    """docs.mapInArrow(run) for a run that drops rows and keeps all columns, of whatever names."""
+    places = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    return places.mapInArrow(run, places.schema).toDF(*docs.columns)
+
+
 def use_checkpoints(spark: SparkSession) -> None:
     """Take the folder of spark.checkpoint.dir; without that setting a local session gets a folder of its own."""
     context = spark.sparkContext
@@ -59,34 +68,51 @@ def look_up(rows: DataFrame, table: DataFrame, key: str, weight: str, value: str
     return keyed.join(cold, "at", "left").select(*[plain(c) for c in rows.columns], F.coalesce("hot", "cold")[value].alias("found"))
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """Connected components of edges (a, b): one row (node, root) per node that has an edge; root is the smallest node.
+#: Edges that a task joins at once.
+EDGES = 100_000
+
+
+def _forest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Edges to trees: of every node, the least node it is joined with in so many edges as fit a task."""
+
+    def find(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    def flush() -> pd.DataFrame:
+        nodes = list(parent)
+        return pd.DataFrame({"node": nodes, "root": [find(x) for x in nodes]}, dtype="int64")
+
+    parent: dict[int, int] = {}
+    for batch in batches:
+        for a, b in zip(batch["a"].tolist(), batch["b"].tolist()):
+            one, two = find(parent.setdefault(a, a)), find(parent.setdefault(b, b))
+            if one != two:
+                parent[max(one, two)] = min(one, two)
+        if len(parent) > 4 * EDGES:
+            yield flush()
+            parent.clear()
+    yield flush()
+
+
+def components(edges: DataFrame, per_task: int = EDGES) -> DataFrame:
+    """Connected components of edges (a, b) between whole numbers: (node, root) per node that has an edge; root is the
+    smallest node.
 
-    Alternates large-star and small-star steps, which keep every node's work to its own edges and need
-    about log(n) rounds. A node with very many edges is reduced by map-side minima before it is shuffled.
+    Each round joins the edges within tasks, gathers the roots that a node got in several tasks (no more than there are
+    tasks), and goes on with the edges between such roots, of which there are ever fewer.
     """
-    both = lambda e: e.union(e.select(F.col("b"), F.col("a")))
-    now = cut(edges.select("a", "b").where("a <> b").distinct())
-    while True:
-        # large star: every larger neighbour goes to the smallest of the neighbourhood
-        near = both(now)
-        least = near.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = near.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        # small star: smaller neighbours and the node itself go to the smallest of them
-        down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        low = down.groupBy("a").agg(F.min("b").alias("m"))
-        small = (
-            down.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-            .union(low.select("a", F.col("m").alias("b"))).distinct()
-        )
-        new = cut(small)
-        # a forest of stars: no root has a parent
-        if new.join(new.select(F.col("a").alias("b")).distinct(), "b", "left_semi").isEmpty() and _one_parent(new):
-            break
-        now = new
-    roots = new.select(F.col("a").alias("node"), F.col("b").alias("root"))
-    return roots.union(roots.select(F.col("root").alias("node"), "root").distinct())
-
-
-def _one_parent(edges: DataFrame) -> bool:
-    return edges.groupBy("a").count().where("count > 1").isEmpty()
+    now, rounds = cut(edges.select("a", "b").where("a <> b")), []
+    while (n := now.count()) > 0:
+        local = now.coalesce(math.ceil(n / per_task)).mapInPandas(_forest, "node bigint, root bigint")
+        found = cut(local.groupBy("node").agg(F.min("root").alias("root"), F.collect_set("root").alias("all")))
+        rounds.append(found.select("node", "root"))
+        several = found.where(F.size("all") > 1).select(F.explode("all").alias("a"), F.col("root").alias("b")).where("a <> b")
+        now = cut(several.distinct())
+    if not rounds:
+        return edges.sparkSession.createDataFrame([], "node bigint, root bigint")
+    out = rounds[0]
+    for later in rounds[1:]:
+        out = out.join(later.select(F.col("node").alias("root"), F.col("root").alias("next")), "root", "left").select("node", F.coalesce("next", "root").alias("root"))
+    return out

@@ -6,7 +6,9 @@ import numpy as np
 import xxhash
 
 #: Word hashes that a task remembers at once.
-REMEMBERED = 1_000_000
+REMEMBERED = 400_000
+#: Bytes of text that a task works on at once, if no single text has more.
+PORTION = 4 << 20
 MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
 
@@ -51,3 +53,16 @@ def shingles(hashes: np.ndarray, width: int = 5) -> np.ndarray:
 def cells(column) -> list[bytes]:
     """The values of an Arrow column of binaries as Python bytes."""
     return column.to_pylist()
+
+
+def portions(batches, column: int, most: int = PORTION):
+    """Slices of Arrow batches with at most so many bytes in a column, or with one row."""
+    for batch in batches:
+        sizes, start, held = [0 if x is None else len(x) for x in batch.column(column).to_pylist()], 0, 0
+        for i, size in enumerate(sizes):
+            if held and held + size > most:
+                yield batch.slice(start, i - start)
+                start, held = i, 0
+            held += size
+        if start < len(sizes):
+            yield batch.slice(start)
