@@ -27,23 +27,21 @@ from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from llm.shared import plain, text_or_empty
-from llm.words import REMEMBERED, cells, mixed, split_words
+from llm.words import REMEMBERED, cells, mixed, portions, split_words
 
 #: Bits of a word's place among the frequent ones, and the number of those whose pairs are counted beforehand.
 BITS, PAIRED = 17, 512
 #: Training documents held out for the mixture weights, bigrams of theirs that are used at most, rounds of learning.
 HELD_OUT, HELD_BIGRAMS, ROUNDS = 2000, 1 << 18, 30
-#: Tokens in a block.
-BLOCK = 4_000_000
-#: Contexts beside the frequent words: any other word, and the start of a text.
-OTHER, START = 1 << BITS, (1 << BITS) + 1
+#: Tokens in a block, and blocks at least: a document's sums come from up to so many blocks at any size of input.
+BLOCK, LEAST_BLOCKS = 2_500_000, 48
 #: The end of a text counts as a word; no word contains a line feed.
 END = xxhash.xxh64_intdigest(b"\n")
 RARE = np.uint64(1 << 63)
@@ -52,8 +50,10 @@ LEAST = 1e-4
 
 
 class Model(NamedTuple):
-    """What tasks know: frequent words (hash and count, most frequent first), context counts, totals, mixture weights."""
+    """What tasks know: frequent words (hash and count, most frequent first), the bits of their places, counts of contexts
+    (the frequent words, all other words, the start of a text), totals, mixture weights, counts of pairs of top words."""
 
+    bits: int
     words: np.ndarray
     counts: np.ndarray
     contexts: np.ndarray
@@ -63,9 +63,12 @@ class Model(NamedTuple):
     pairs: np.ndarray
 
     def chance(self, context: np.ndarray, bigram: np.ndarray, word: np.ndarray) -> np.ndarray:
-        weights = self.weights[bucket(self.contexts)[context]]
-        share = bigram / np.maximum(self.contexts, 1)[context]
-        return weights[:, 0] * share + weights[:, 1] * word / self.tokens + weights[:, 2] / (self.types + 1)
+        """Mixed estimates of words; the factors of each context are worked out once, not for each word."""
+        weights = self.weights[bucket(self.contexts)]
+        out = (weights[:, 0] / np.maximum(self.contexts, 1))[context] * bigram
+        out += (weights[:, 1] / max(1, self.tokens))[context] * word
+        out += (weights[:, 2] / (self.types + 1))[context]
+        return out
 
     def base(self, count: np.ndarray) -> np.ndarray:
         return np.log10((count + 0.5) / (self.tokens + 0.5 * (self.types + 1)))
@@ -78,8 +81,9 @@ def bucket(count: np.ndarray) -> np.ndarray:
 class Codes(dict):
     """A word's place among the frequent ones, else its hash with the highest bit set."""
 
-    def __init__(self, words: np.ndarray):
+    def __init__(self, words: np.ndarray, bits: int):
         self.place = {w: i for i, w in enumerate(words.tolist())}
+        self.other, self.start = 1 << bits, (1 << bits) + 1
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= REMEMBERED:
@@ -94,15 +98,15 @@ class Codes(dict):
         sizes = np.fromiter(map(len, found), np.int64, len(found))
         word = np.fromiter((self[w] for x in found for w in x), np.uint64, int(sizes.sum()))
         context = np.empty(len(word), np.uint32)
-        context[1:] = np.where(word[:-1] >= RARE, OTHER, word[:-1])
-        context[np.cumsum(sizes) - sizes] = START
+        context[1:] = np.where(word[:-1] >= RARE, self.other, word[:-1])
+        context[np.cumsum(sizes) - sizes] = self.start
         return context, word, np.repeat(np.arange(len(raw)), sizes)
 
 
-def bigram_key(context: np.ndarray, word: np.ndarray) -> np.ndarray:
+def bigram_key(context: np.ndarray, word: np.ndarray, bits: int) -> np.ndarray:
     """One number for a bigram: exact for frequent words, hashed for rare ones."""
     c = context.astype(np.uint64)
-    return np.where(word >= RARE, mixed(word + c * np.uint64(0x9E3779B97F4A7C15)) | RARE, c << np.uint64(BITS + 1) | word)
+    return np.where(word >= RARE, mixed(word + c * np.uint64(0x9E3779B97F4A7C15)) | RARE, c << np.uint64(bits + 1) | word)
 
 
 def _signed(x: np.ndarray) -> pa.Array:
@@ -125,17 +129,17 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield flush()
 
 
-def _count_keys(words, wanted=None):
+def _count_keys(words, bits: int, paired: int, wanted=None):
     """Counts of bigram keys and rare words: of all there are, or of the wanted ones; of pairs of top words besides."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes = Codes(words.value)
-        for batch in batches:
+        codes = Codes(words.value, bits)
+        for batch in portions(batches, 0):
             context, word, _ = codes.events(cells(batch.column(0)))
-            keys = bigram_key(context, word)
+            keys = bigram_key(context, word, bits)
             if wanted is not None:
                 rare = word[word >= RARE]
-                top = (context < PAIRED) & (word < PAIRED)
+                top = (context < paired) & (word < paired)
                 keys = np.concatenate([x[_isin(x, wanted.value)] for x in (keys, rare)] + [keys[top & ~_isin(keys, wanted.value)]])
                 yield _counted(keys)
             else:
@@ -175,14 +179,14 @@ def mixture(buckets: np.ndarray, estimates: np.ndarray, n: np.ndarray, size: int
     return weights / weights.sum(axis=1, keepdims=True)
 
 
-def train(rows: DataFrame) -> Model:
+def train(rows: DataFrame, bits: int = BITS, paired: int = PAIRED) -> Model:
     """The model of rows (id, raw)."""
     context = rows.sparkSession.sparkContext
     words = rows.select("raw").mapInArrow(_count_words, "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
     words = words.persist()
     tokens, types = words.agg(F.sum("n"), F.count(F.lit(1))).first()
     tokens = tokens or 0
-    top = words.where(F.col("n") * (1 << BITS) >= tokens).toArrow()
+    top = words.where(F.col("n") * (1 << bits) >= tokens).toArrow()
     words.unpersist()
     names, counts = top["word"].to_numpy().view(np.uint64), top["n"].to_numpy()
     order = np.lexsort((names, -counts))
@@ -191,7 +195,7 @@ def train(rows: DataFrame) -> Model:
     texts = int(counts[names == END].sum())
 
     held = F.pmod(F.xxhash64("id", F.lit("held out")), F.lit(1 << 30)) < int(min(0.2, HELD_OUT / max(1, texts)) * (1 << 30))
-    types_of = rows.where(held).select("raw").mapInArrow(_count_keys(shared), "key bigint, context bigint, word bigint, n bigint")
+    types_of = rows.where(held).select("raw").mapInArrow(_count_keys(shared, bits, paired), "key bigint, context bigint, word bigint, n bigint")
     bigrams = types_of.groupBy("key", "context", "word").agg(F.sum("n").alias("n")).persist()
     share = HELD_BIGRAMS / max(1, bigrams.count())
     chosen = bigrams.where(F.pmod(F.xxhash64("key"), F.lit(1 << 30)) < int(min(1, share) * (1 << 30))).toArrow()
@@ -203,7 +207,7 @@ def train(rows: DataFrame) -> Model:
 
     key, ctx, word, n = (chosen[c].to_numpy() for c in ("key", "context", "word", "n"))
     wanted = np.unique(np.concatenate([key, word[word < 0]]).view(np.uint64))
-    all_counts = rows.select("raw").mapInArrow(_count_keys(shared, context.broadcast(wanted)), "key bigint, n bigint")
+    all_counts = rows.select("raw").mapInArrow(_count_keys(shared, bits, paired, context.broadcast(wanted)), "key bigint, n bigint")
     counted = all_counts.groupBy("key").agg(F.sum("n").alias("n")).toArrow()
     at = counted["key"].to_numpy().view(np.uint64)
     order = np.argsort(at)
@@ -215,11 +219,12 @@ def train(rows: DataFrame) -> Model:
         place = np.minimum(np.searchsorted(at, keys), len(at) - 1)
         return np.where(at[place] == keys, many[place], 0)
 
-    contexts = np.zeros(START + 1, np.int64)
+    other, start = 1 << bits, (1 << bits) + 1
+    contexts = np.zeros(start + 1, np.int64)
     contexts[: len(counts)] = np.where(names == END, 0, counts)
-    contexts[OTHER] = tokens - counts.sum()
-    contexts[START] = texts
-    held_contexts = np.zeros(START + 1, np.int64)
+    contexts[other] = tokens - counts.sum()
+    contexts[start] = texts
+    held_contexts = np.zeros(start + 1, np.int64)
     held_contexts[by_context["context"].to_numpy()] = by_context["n"].to_numpy()
     rare_words = dict(zip(rare_of["word"].to_pylist(), rare_of["n"].to_pylist()))
     own = np.array([by_word.get(w, 0) if w >= 0 else rare_words.get(w, 0) for w in word.tolist()], np.int64)
@@ -230,10 +235,10 @@ def train(rows: DataFrame) -> Model:
     estimates = np.stack([(total(key.view(np.uint64)) - n) / np.maximum(kept_context, 1), kept_word / kept_tokens, np.full(len(n), 1 / (types + 1))], axis=1)
     weights = mixture(bucket(kept_context), np.maximum(estimates, 0), n, 64)
 
-    size = min(PAIRED, len(names))
+    size = min(paired, len(names))
     one, two = (x.ravel() for x in np.meshgrid(np.arange(size), np.arange(size), indexing="ij"))
-    pairs = total(bigram_key(one, two.astype(np.uint64))).reshape(size, size)
-    return Model(names, counts, contexts, tokens, types, weights, pairs)
+    pairs = total(bigram_key(one, two.astype(np.uint64), bits)).reshape(size, size)
+    return Model(bits, names, counts, contexts, tokens, types, weights, pairs)
 
 
 def _deal(model, n_blocks: int, kind: pa.DataType):
@@ -241,13 +246,13 @@ def _deal(model, n_blocks: int, kind: pa.DataType):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Model = model.value
-        codes = Codes(m.words)
+        codes = Codes(m.words, m.bits)
         size = len(m.pairs)
         blob = ("texts", "train", "sizes", "pairs", "rare_sizes", "rare", "contexts")
-        for batch in batches:
+        for batch in portions(batches, 3):
             uid, train = batch.column(1).to_numpy(), batch.column(2).to_numpy(zero_copy_only=False)
             context, word, text = codes.events(cells(batch.column(3)))
-            total = lambda x, w=None: np.bincount(x, w, len(uid))
+            total = lambda x, w=None: np.bincount(x, w, len(uid)).astype(np.int64 if w is None else np.float64)
             often = word < RARE
             count = m.counts[word[often].astype(np.int64)] if len(m.counts) else np.empty(0)
             top = often & (context < size) & (word < size)
@@ -261,7 +266,7 @@ def _deal(model, n_blocks: int, kind: pa.DataType):
             yield pa.RecordBatch.from_arrays(docs + [pa.nulls(len(uid), pa.binary())] * len(blob), [*names, *blob])
             rest = ~top
             context, word, text, often = context[rest], word[rest], text[rest], often[rest]
-            key = np.where(often, bigram_key(context, word), word)
+            key = np.where(often, bigram_key(context, word, m.bits), word)
             block = mixed(key) % np.uint64(n_blocks)
             order = np.argsort(block, kind="stable")
             context, key, text, often, block = context[order], key[order], text[order], often[order], block[order]
@@ -286,14 +291,15 @@ def _deal(model, n_blocks: int, kind: pa.DataType):
 def _score(model):
     """Of a block: its documents as they are, and of each text the sums over its tokens in the block."""
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
+    def run(rows: pa.Table) -> pa.Table:
         m: Model = model.value
         columns = ["id", "uid", "held_out", "n_tokens", "n_known", "base_score", "score"]
-        docs = rows.loc[rows["uid"].notna(), columns]
-        rows = rows.loc[rows["uid"].isna()]
+        known_here = rows["uid"].is_valid()
+        docs = rows.select(columns).filter(known_here)
+        rows = rows.filter(pc.invert(known_here))
         if not len(rows):
             return docs
-        cat = lambda name, kind: np.frombuffer(b"".join(rows[name]), kind)
+        cat = lambda name, kind: np.frombuffer(b"".join(cells(rows[name])), kind)
         uid, train = cat("texts", np.int64), cat("train", bool)
         five = cat("pairs", np.uint8).reshape(-1, 5)
         key = np.zeros((len(five), 8), np.uint8)
@@ -302,33 +308,36 @@ def _score(model):
         text = np.repeat(np.arange(len(uid)), cat("sizes", np.uint32))
         _, at = np.unique(key, return_inverse=True)
         n = np.bincount(at, train[text])[at] if len(at) else np.empty(0)
-        word = (key & np.uint64((1 << BITS + 1) - 1)).astype(np.int64)
-        context = (key >> np.uint64(BITS + 1)).astype(np.int64)
-        score = np.bincount(text, np.log10(m.chance(context, n, m.counts[word])) if len(at) else n, len(uid))
+        word = (key & np.uint64((1 << m.bits + 1) - 1)).astype(np.int64)
+        context = (key >> np.uint64(m.bits + 1)).astype(np.int64)
+        score = np.bincount(text, np.log10(m.chance(context, n, m.counts[word])) if len(at) else n, len(uid)).astype(float)
+        del key, word, context, text, at, n
         name, context = cat("rare", np.uint64), cat("contexts", np.uint32)
         text = np.repeat(np.arange(len(uid)), cat("rare_sizes", np.uint32))
-        known, base = np.zeros(len(uid)), np.zeros(len(uid))
+        known = base = np.zeros(len(uid))
         if len(name):
             _, at = np.unique(name, return_inverse=True)
             word = np.bincount(at, train[text])[at]
-            _, at = np.unique(bigram_key(context, name), return_inverse=True)
+            _, at = np.unique(bigram_key(context, name, m.bits), return_inverse=True)
             n = np.bincount(at, train[text])[at]
             score += np.bincount(text, np.log10(m.chance(context.astype(np.int64), n, word)), len(uid))
-            known, base = np.bincount(text, word > 0, len(uid)), np.bincount(text, m.base(word), len(uid))
-        nothing = [None] * len(uid)
-        sums = pd.DataFrame({"id": nothing, "uid": uid, "held_out": nothing, "n_tokens": nothing, "n_known": known.astype(np.int64), "base_score": base, "score": score})
-        return pd.concat([docs.astype(object), sums.astype(object)]) if len(docs) else sums
+            known, base = np.bincount(text, word > 0, len(uid)), np.bincount(text, m.base(word), len(uid)).astype(float)
+        values = {"uid": uid, "n_known": known.astype(np.int64), "base_score": base, "score": score}
+        sums = [pa.array(values[f.name], f.type) if f.name in values else pa.nulls(len(uid), f.type) for f in docs.schema]
+        return pa.concat_tables([docs, pa.table(sums, schema=docs.schema)])
 
     return run
 
 
-def score(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: id, held_out, n_tokens, n_known, train_tokens, base_score (add-half unigrams), score."""
+def score(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: str = "text", bits: int = BITS, paired: int = PAIRED) -> DataFrame:
+    """One row per input row: id, held_out, n_tokens, n_known, train_tokens, base_score (add-half unigrams), score.
+
+    bits: 19 at most, as two places share 40 bits."""
     rows = docs.select(plain(id_col).alias("id"), text_or_empty(text_col).cast("binary").alias("raw"), F.coalesce(training, F.lit(True)).alias("train"))
-    model = train(rows.where("train").select("id", "raw"))
+    model = train(rows.where("train").select("id", "raw"), bits, paired)
     context = docs.sparkSession.sparkContext
     words = rows.agg(F.sum(F.octet_length("raw"))).first()[0] or 0
-    n_blocks = max(context.defaultParallelism, math.ceil(max(model.tokens * 1.25, words / 8) / BLOCK))
+    n_blocks = max(LEAST_BLOCKS, math.ceil(max(model.tokens * 1.25, words / 8) / BLOCK))
     shared = context.broadcast(model)
     kind = rows.schema["id"].dataType.simpleString()
     known = f"id {kind}, uid bigint, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double"
@@ -336,7 +345,7 @@ def score(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: s
     arrow_kind = pa.int64() if kind == "bigint" else pa.int32() if kind == "int" else pa.string()
     numbered = rows.select("id", F.monotonically_increasing_id().alias("uid"), "train", "raw")
     dealt = numbered.mapInArrow(_deal(shared, n_blocks, arrow_kind), f"block int, {known}, {blobs}")
-    parts = dealt.groupBy("block").applyInPandas(_score(shared), known)
+    parts = dealt.groupBy("block").applyInArrow(_score(shared), known)
     sums = parts.groupBy("uid").agg(F.max("id").alias("id"), F.max("held_out").alias("held_out"), *[F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base_score", "score")])
     return sums.select(
         F.col("id").alias(id_col), "held_out", "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score"
