@@ -35,16 +35,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from llm.shared import components, cut, look_up, plain, text_or_empty
-from llm.words import WordHash, cells, hashed, mixed, shingles, split_words
+from llm.words import WordHash, cells, hashed, mixed, portions, shingles, split_words
 
 #: A pair links when 100 * intersection >= PERCENT * union.
 PERCENT = 80
 #: Rows from HALF_FROM shingles on use half of the columns; rows below 5/4 of that use all of them.
 HALF_FROM = 256
 #: Incidences in a block of columns, rows in a block of rows, pivots of a group.
-COLUMN_BLOCK, ROW_BLOCK, PIVOTS = 3_000_000, 1024, 8
+COLUMN_BLOCK, ROW_BLOCK, PIVOTS = 2_000_000, 1024, 8
 #: Documents sampled for frequent columns, and how many of them have a frequent column at least.
 SAMPLED, FREQUENT = 4096, 16
+#: Ids that are broadcast to pick the texts of candidates; more of them are joined by a shuffle.
+MOST_NAMED = 1_000_000
 LAST = np.uint32(0xFFFFFFFF)
 
 
@@ -63,7 +65,7 @@ def _signed(x) -> np.ndarray:
 
 def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     known = WordHash()
-    for batch in batches:
+    for batch in portions(batches, 1):
         found = _sets(cells(batch.column(1)), known)
         n, sig = [len(x) for x in found], _signed([signature(x) for x in found])
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(sig, mask=np.array(n, int) == 0)], ["id", "n", "sig"])
@@ -71,7 +73,7 @@ def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     known, seen = WordHash(), set()
-    for batch in batches:
+    for batch in portions(batches, 0):
         found = [x for x in _sets(cells(batch.column(0)), known) if not (s := signature(x)) in seen and not seen.add(s)]
         if found:
             yield pa.RecordBatch.from_arrays([pa.array(_signed(np.concatenate(found)))], ["shingle"])
@@ -101,13 +103,13 @@ def _deal(n_blocks: int, hot):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, seen, often = WordHash(), set(), hot.value
-        for batch in batches:
+        for batch in portions(batches, 0):
             names, sizes, limits, columns = [], [], [], []
             for found in _sets(cells(batch.column(0)), known):
                 sig = signature(found)
                 if not len(found) or sig in seen:
                     continue
-                if len(seen) < 1_000_000:
+                if len(seen) < 500_000:
                     seen.add(sig)
                 for name, have, limit in _views(sig, found):
                     names.append(name)
@@ -219,7 +221,7 @@ def _cluster_rows(rows: pd.DataFrame) -> pd.DataFrame:
 
 def _named_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     known = WordHash()
-    for batch in batches:
+    for batch in portions(batches, 0):
         found = _sets(cells(batch.column(0)), known)
         yield pa.RecordBatch.from_arrays([pa.array(_signed([signature(x) for x in found])), pa.array([x.tobytes() for x in found], pa.binary())], ["sig", "found"])
 
@@ -245,8 +247,11 @@ def links(rows: DataFrame, classes: DataFrame) -> DataFrame:
     edges = factor.join(least, "shingle").select(F.col("sig").alias("a"), "b").where("a <> b").distinct()
     groups = components(edges)
     sizes = groups.groupBy("root").agg(F.count(F.lit(1)).alias("size"))
-    groups = cut(groups.join(sizes, "root").select(F.col("node").alias("sig"), "root", F.ceil(F.col("size") / ROW_BLOCK).alias("blocks")))
-    named = classes.join(groups, "sig").select(F.col("id").alias("rep"))
+    sized = look_up(groups, cut(sizes.withColumn("rows", F.col("size"))), "root", "rows", "size")
+    groups = cut(sized.select(F.col("node").alias("sig"), "root", F.ceil(F.col("found") / ROW_BLOCK).alias("blocks")))
+    named = cut(classes.join(groups, "sig").select(F.col("id").alias("rep")))
+    if named.count() <= MOST_NAMED:
+        named = F.broadcast(named)
     chosen = rows.join(named, F.col("id").eqNullSafe(F.col("rep")), "left_semi").select("raw")
     sets = chosen.mapInArrow(_named_sets, "sig bigint, found binary").join(groups, "sig")
     several = groups.where("blocks > 1")
@@ -263,19 +268,22 @@ def links(rows: DataFrame, classes: DataFrame) -> DataFrame:
     everywhere = sets.join(pivots, ["root", "sig"]).select("root", F.explode(F.sequence(F.lit(0), (F.col("blocks") - 1).cast("int"))).alias("block"), "sig", "found")
     found = cut(join_rows(placed.union(everywhere), "root", "block"))
     now = components(found)
-    state = cut(several.join(now, several["sig"] == now["node"], "left").select("sig", several["root"].alias("group"), "blocks", F.coalesce(now["root"], "sig").alias("part")))
+    state = cut(several.join(now, several["sig"] == now["node"], "left").select("sig", several["root"].alias("group"), F.coalesce(now["root"], "sig").alias("part")))
     share = state.groupBy("group", "part").agg(F.count(F.lit(1)).alias("n"))
-    largest = share.groupBy("group").agg(F.max_by("part", F.struct("n", "part")).alias("largest"))
-    rest = state.join(largest, "group").where("part <> largest")
-    apart = rest.groupBy("group").agg(F.ceil(F.count(F.lit(1)) / ROW_BLOCK).alias("chunks"))
+    largest = cut(share.groupBy("group").agg(F.max_by("part", F.struct("n", "part")).alias("largest"), F.sum("n").alias("rows")))
+    rest = cut(look_up(state, largest, "group", "rows", "largest").where("part <> found").select("sig", "group"))
+    apart = rest.groupBy("group").agg(F.ceil(F.count(F.lit(1)) / ROW_BLOCK).alias("chunks")).join(largest, "group")
+    apart = cut(apart.select(F.col("group").alias("root"), "chunks", "rows"))
     if apart.isEmpty():
         return now
-    chunk = F.pmod(F.xxhash64("sig", F.lit("rest")), F.col("chunks")).cast("int").alias("chunk")
-    some = sets.join(rest.select("sig"), "sig", "left_semi").join(apart, sets["root"] == apart["group"])
-    some = some.select("root", F.explode(F.sequence(F.lit(0), (F.col("blocks") - 1).cast("int"))).alias("block"), chunk, "sig", "found")
-    all_ = sets.join(apart, sets["root"] == apart["group"])
-    all_ = all_.select("root", block.cast("int").alias("block"), F.explode(F.sequence(F.lit(0), (F.col("chunks") - 1).cast("int"))).alias("chunk"), "sig", "found")
-    return components(found.union(join_rows(some.union(all_), "root", "block", "chunk")))
+    # every row outside the largest component, dealt to chunks, meets every block of its group
+    again = look_up(sets.withColumnRenamed("found", "columns"), apart, "root", "rows", "chunks").where("found IS NOT NULL")
+    every = lambda n: F.explode(F.sequence(F.lit(0), (n - 1).cast("int")))
+    chunk = F.pmod(F.xxhash64("sig", F.lit("rest")), F.col("found")).cast("int").alias("chunk")
+    some = again.join(rest.select("sig"), "sig", "left_semi").select("root", every(F.col("blocks")).alias("block"), chunk, "sig", "columns")
+    all_ = again.select("root", block.cast("int").alias("block"), every(F.col("found")).alias("chunk"), "sig", "columns")
+    met = some.union(all_).withColumnRenamed("columns", "found")
+    return components(found.union(join_rows(met, "root", "block", "chunk")))
 
 
 def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -286,8 +294,8 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = cut(members.where("n > 0").groupBy("sig").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.count(F.lit(1)).alias("size")))
     roots = cut(links(rows, classes))
     linked = roots.join(classes, roots["node"] == classes["sig"]).select("root", "sig", "id", "size")
-    least = linked.groupBy("root").agg(F.min("id").alias("least"))
-    joined = linked.join(least, "root").select("sig", "least", "size")
+    least = cut(linked.groupBy("root").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("rows")))
+    joined = look_up(linked, least, "root", "rows", "least").select("sig", F.col("found").alias("least"), "size")
     copies = classes.where("size > 1").join(joined.select("sig"), "sig", "left_anti").select("sig", F.col("id").alias("least"), "size")
     found = look_up(members, joined.union(copies), "sig", "size", "least")
     own = F.when(F.col("found").isNull(), F.col("id")).otherwise(F.col("found"))

@@ -6,7 +6,7 @@ import numpy as np
 import xxhash
 
 #: Word hashes that a task remembers at once.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 #: Bytes of text that a task works on at once, if no single text has more.
 PORTION = 4 << 20
 MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
