@@ -33,8 +33,10 @@ from pyspark.sql import DataFrame
 
 from llm.shared import plain, text_or_empty
 
-#: Words whose encodings a task remembers at once.
-REMEMBERED = 300_000
+#: What a worker remembers at once of pieces, words, beginnings of words and neighbours; twice that with the ones before.
+REMEMBERED = 60_000
+#: Length of the beginnings of words that are remembered.
+HEAD = 6
 #: Longest vocabulary file that is broadcast.
 MOST_BYTES = 64 << 20
 
@@ -46,6 +48,25 @@ def visible_bytes() -> list[str]:
     return [chr(b) if b in shown else chr(next(rest)) for b in range(256)]
 
 
+class Memory(dict):
+    """What was asked for of late: when full, it becomes the past and begins anew; what is found in the past comes back."""
+
+    def __init__(self):
+        self.past: dict = {}
+
+    def find(self, key):
+        value = self.get(key)
+        if value is None and (value := self.past.get(key)) is not None:
+            self.keep(key, value)
+        return value
+
+    def keep(self, key, value) -> None:
+        if len(self) >= REMEMBERED:
+            self.past = dict(self)
+            self.clear()
+        self[key] = value
+
+
 class Merges:
     """A merge list, its tokens and what is known about neighbours so far."""
 
@@ -56,7 +77,7 @@ class Merges:
         self.tokens, self.end = set(tokens), end
         #: Symbols of the longest product: no token reaches back further.
         self.lookahead = max((len(t.removesuffix(end)) if end else len(t) for t in self.tokens), default=1)
-        self.apart: dict[tuple[str, str], bool] = {}
+        self.apart, self.heads = Memory(), Memory()
         self.own: dict[tuple[str, bool], bool] = {}
 
     def symbols(self, token: str, last: bool) -> list[str]:
@@ -102,6 +123,10 @@ class Merges:
         """The tokens of one word, each as soon as it is stable."""
         window, ends, before = "", [], ""  # symbols not emitted, the token that ends at each, the token before them
         at, step = 0, 4 * self.lookahead
+        if len(symbols) <= step:
+            self.read(symbols, ends, "", True)
+            yield from self.chain(ends, len(ends))
+            return
         while at < len(symbols):
             part = symbols[at : at + step]
             at += len(part)
@@ -116,22 +141,28 @@ class Merges:
     def read(self, window: str, ends: list, before: str, whole: bool) -> None:
         """Add the last token, and its length, of each prefix of the window that ends has none of yet."""
         tokens, apart, total, most = self.tokens, self.apart, len(window), self.lookahead
+        first = not ends and not before
+        if first and total > HEAD:  # what ends at the symbols of a word's beginning is the same in all words that begin so
+            ends.extend(self.heads.find(window[:HEAD]) or ())
+        begun = len(ends)
         for n in range(len(ends) + 1, total + 1):
             last = whole and n == total
-            for start in range(max(0, n - most), n):
-                token = window[start:n] + self.end if last else window[start:n]
+            end = self.end if last else ""
+            for start in range(n - most if n > most else 0, n):
+                token = window[start:n] + end
                 if token in tokens:
                     pair = (ends[start - 1][0] if start else before, token)
                     fit = apart.get(pair)
-                    if fit is None:
-                        if len(apart) >= 1_000_000:
-                            apart.clear()
-                        fit = apart[pair] = self.fits(*pair, last)
+                    if fit is None and (fit := apart.find(pair)) is None:
+                        fit = self.fits(*pair, last)
+                        apart.keep(pair, fit)
                     if fit:
                         ends.append((token, n - start))
                         break
             else:
                 raise ValueError(f"no token for the last symbol of {window[:n]!r}")
+        if first and begun < HEAD < total:
+            self.heads.keep(window[:HEAD], ends[:HEAD])
 
     def stable(self, ends: list) -> int:
         """The last boundary that the chains of all prefixes within the lookahead share."""
@@ -163,28 +194,33 @@ class Tokenizer:
         self.ids: dict[str, int] = model["vocab"] | {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.special = [t["content"] for t in spec["added_tokens"]]
         self.names = {i: t for t, i in self.ids.items()}
+        self.digits = {t: str(i) for t, i in self.ids.items()}
+        self.named_digits = {str(i): t for t, i in self.ids.items()}
         self.end = model["end_of_word_suffix"] or ""
         self.merges = Merges(model["merges"], model["vocab"], self.end)
         self.bytes = visible_bytes()
         split = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.words = regex.compile(split.replace(r"\s", r"\p{White_Space}"))
+        self.opening = {t[0] for t in self.special}
         self.specials = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
-        self.known: dict[str, str] = {}
-        self.by_word: dict[str, str] = {}
+        self.known, self.by_word = Memory(), Memory()
 
     def encode_word(self, word: str) -> str:
         """The ids of one word of the pre-tokenizer, joined by spaces."""
-        if (ids := self.by_word.get(word)) is None:
-            if len(self.by_word) >= REMEMBERED:
-                self.by_word.clear()
+        if (ids := self.by_word.find(word)) is None:
             symbols = word if word.isascii() and word.isprintable() else "".join([self.bytes[b] for b in word.encode()])
-            ids = " ".join(str(self.ids[t]) for t in self.merges.transduce(symbols))
+            ids = " ".join([self.digits[t] for t in self.merges.transduce(symbols)])
             if len(word) <= 100:
-                self.by_word[word] = ids
+                self.by_word.keep(word, ids)
         return ids
 
     def encode_chunk(self, chunk: str) -> str:
         """The ids of a piece of text without white space."""
+        if chunk.isascii():
+            if chunk.isalpha():
+                return self.encode_word(chunk.lower())
+            if not any(c in chunk for c in self.opening):
+                return " ".join([self.encode_word(w) for w in self.words.findall(chunk.lower())])
         out = []
         for i, part in enumerate(self.specials.split(chunk) if self.specials else [chunk]):
             if i % 2:
@@ -201,19 +237,18 @@ class Tokenizer:
         known, out = self.known, []
         for chunk in chunks:
             ids = known.get(chunk)
-            if ids is None:
+            if ids is None and (ids := known.find(chunk)) is None:
                 ids = self.encode_chunk(chunk)
-                if len(known) >= REMEMBERED:
-                    known.clear()
                 if len(chunk) <= 100:
-                    known[chunk] = ids
+                    known.keep(chunk, ids)
             if ids:
                 out.append(ids)
         return " ".join(out)
 
-    def named(self, ids: list[int]) -> str:
-        """What the tokenizers library decodes where the file names no decoder: the tokens joined by spaces."""
-        return " ".join([self.names[i] for i in ids])
+    def named(self, ids: str) -> str:
+        """What the tokenizers library decodes where the file names no decoder: the tokens joined by spaces. ids: joined
+        by spaces."""
+        return " ".join(map(self.named_digits.__getitem__, ids.split()))
 
     def decode(self, ids: Iterable[int]) -> str:
         """The text of ids: bytes of the tokens, words followed by a space."""
@@ -283,8 +318,8 @@ def encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: s
             rows: list[tuple] = []
             for text in batch.column(1):
                 joined = tokenizer.encode(text.as_py())
-                ids = list(map(int, joined.split()))
-                rows.append((len(ids), np.array(ids, np.int32), sha(joined), sha(tokenizer.named(ids))))
+                ids = np.array(joined.split(), np.int32) if with_ids else None
+                rows.append((joined.count(" ") + bool(joined), ids, sha(joined), sha(tokenizer.named(joined))))
             n, ids, one, two = zip(*rows) if rows else ((), (), (), ())
             columns = [batch.column(0), pa.array(n, pa.int64()), pa.array(one, pa.string()), pa.array(two, pa.string())]
             names = [id_col, "n_tokens", "ids_sha256", "decoded_sha256"]
