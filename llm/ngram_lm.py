@@ -5,14 +5,17 @@ word and of any word alike. The mixture weights depend on how often the context
 powers of two, and expectation-maximisation learns each bucket's weights on the counts of training documents that are held
 out from the counts mixed.
 
-Counts are those of all training documents. A context is the word before, or the start of the text; words that are no
-2 ** -17 part of all tokens make one context together. So all contexts and their counts fit a broadcast whose size is bounded
-by that share (at most 2 ** 17 words), while the words that are predicted are all words.
+Counts are those of all training documents. A context is the word before, or the start of the text; every word is a context
+of its own. Frequent words, those that are a 2 ** -17 part of all tokens or more (at most 2 ** 17 words), are broadcast with
+their counts, which are those of the contexts as well; rare words meet their counts where they are dealt to.
 
-Scoring deals every token to the block of its bigram (of its word, if that is rare): 5 bytes for a pair of frequent words,
-12 for the rest. A block counts its bigrams over the training documents and gives back one sum per document. Pairs of the 512
-most frequent words, which alone can be so frequent that a block would overflow, are counted beforehand by partial sums
-and scored where they are read.
+Scoring deals every token to the block of its bigram, of its word if that is rare, else of its context if that is rare. A
+block counts words and bigrams over the training documents. As a rare word is a token of its block, so is its count as a
+context there. A rare word after a rare word takes the count of its word along and is dealt once more, by its context, to
+where that is counted. Blocks give back one sum per document. Pairs of the 512 most frequent words, which alone can be so
+frequent that a block would overflow, are counted beforehand by partial sums and scored where they are read.
+
+A caller who gives `bits` asks for another model: words that are no 2 ** -bits part of all tokens make one context together.
 
 Words are 64-bit hashes. Defined results: a null text is empty and has its end as the only token; a null id belongs to the
 training documents; repeated rows each give a row, and each counts; long texts are read whole; an empty table gives no rows;
@@ -27,19 +30,22 @@ from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from llm.shared import plain, text_or_empty
+from llm.shared import look_up, plain, text_or_empty
 from llm.words import REMEMBERED, cells, mixed, portions, split_words
 
 #: Bits of a word's place among the frequent ones, and the number of those whose pairs are counted beforehand.
 BITS, PAIRED = 17, 512
-#: Training documents held out for the mixture weights, bigrams of theirs that are used at most, rounds of learning.
-HELD_OUT, HELD_BIGRAMS, ROUNDS = 2000, 1 << 18, 30
+#: Training documents held out for the mixture weights, rounds of learning.
+HELD_OUT, ROUNDS = 2000, 30
+#: Held-out bigrams in a task, if there are more than that.
+EVENTS = 50_000
 #: Tokens in a block, and blocks at least: a document's sums come from up to so many blocks at any size of input.
 BLOCK, LEAST_BLOCKS = 2_500_000, 48
 #: The end of a text counts as a word; no word contains a line feed.
@@ -50,10 +56,12 @@ LEAST = 1e-4
 
 
 class Model(NamedTuple):
-    """What tasks know: frequent words (hash and count, most frequent first), the bits of their places, counts of contexts
-    (the frequent words, all other words, the start of a text), totals, mixture weights, counts of pairs of top words."""
+    """What tasks know: frequent words (hash and count, most frequent first), the bits of their places, whether rare words
+    are one context, counts of contexts (the frequent words, that one, the start of a text), totals, mixture weights, counts
+    of pairs of top words."""
 
     bits: int
+    pooled: bool
     words: np.ndarray
     counts: np.ndarray
     contexts: np.ndarray
@@ -62,10 +70,12 @@ class Model(NamedTuple):
     weights: np.ndarray
     pairs: np.ndarray
 
-    def chance(self, context: np.ndarray, bigram: np.ndarray, word: np.ndarray) -> np.ndarray:
-        """Mixed estimates of words; the factors of each context are worked out once, not for each word."""
-        weights = self.weights[bucket(self.contexts)]
-        out = (weights[:, 0] / np.maximum(self.contexts, 1))[context] * bigram
+    def chance(self, context: np.ndarray, bigram: np.ndarray, word: np.ndarray, seen: np.ndarray | None = None) -> np.ndarray:
+        """Mixed estimates of words after contexts, given by their places in `seen`, the counts of contexts (else those
+        broadcast); the factors of each context are worked out once, not for each word."""
+        seen = self.contexts if seen is None else seen
+        weights = self.weights[bucket(seen)]
+        out = (weights[:, 0] / np.maximum(seen, 1))[context] * bigram
         out += (weights[:, 1] / max(1, self.tokens))[context] * word
         out += (weights[:, 2] / (self.types + 1))[context]
         return out
@@ -81,9 +91,9 @@ def bucket(count: np.ndarray) -> np.ndarray:
 class Codes(dict):
     """A word's place among the frequent ones, else its hash with the highest bit set."""
 
-    def __init__(self, words: np.ndarray, bits: int):
+    def __init__(self, words: np.ndarray, bits: int, pooled: bool):
         self.place = {w: i for i, w in enumerate(words.tolist())}
-        self.other, self.start = 1 << bits, (1 << bits) + 1
+        self.other, self.start, self.pooled = 1 << bits, (1 << bits) + 1, pooled
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= REMEMBERED:
@@ -97,16 +107,16 @@ class Codes(dict):
         found = [split_words(x) + [b"\n"] for x in raw]
         sizes = np.fromiter(map(len, found), np.int64, len(found))
         word = np.fromiter((self[w] for x in found for w in x), np.uint64, int(sizes.sum()))
-        context = np.empty(len(word), np.uint32)
-        context[1:] = np.where(word[:-1] >= RARE, self.other, word[:-1])
+        context = np.empty(len(word), np.uint64)
+        context[1:] = np.where(word[:-1] >= RARE, np.uint64(self.other), word[:-1]) if self.pooled else word[:-1]
         context[np.cumsum(sizes) - sizes] = self.start
         return context, word, np.repeat(np.arange(len(raw)), sizes)
 
 
 def bigram_key(context: np.ndarray, word: np.ndarray, bits: int) -> np.ndarray:
-    """One number for a bigram: exact for frequent words, hashed for rare ones."""
+    """One number for a bigram: exact for frequent words, hashed if one is rare."""
     c = context.astype(np.uint64)
-    return np.where(word >= RARE, mixed(word + c * np.uint64(0x9E3779B97F4A7C15)) | RARE, c << np.uint64(bits + 1) | word)
+    return np.where((word >= RARE) | (c >= RARE), mixed(word + mixed(c) * np.uint64(0x9E3779B97F4A7C15)) | RARE, c << np.uint64(bits + 1) | word)
 
 
 def _signed(x: np.ndarray) -> pa.Array:
@@ -114,141 +124,182 @@ def _signed(x: np.ndarray) -> pa.Array:
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Words of rows (raw, held), with how often they stand in all of them and in those held out."""
+
     def flush():
-        names = np.fromiter((xxhash.xxh64_intdigest(w) for w in seen), np.uint64, len(seen))
-        return pa.RecordBatch.from_arrays([_signed(names), pa.array(seen.values(), pa.int64())], ["word", "n"])
+        names = list({**seen, **held})
+        hashes = np.fromiter((xxhash.xxh64_intdigest(w) for w in names), np.uint64, len(names))
+        return pa.RecordBatch.from_arrays([_signed(hashes), *(pa.array([c[w] for w in names], pa.int64()) for c in (seen, held))], ["word", "n", "held"])
 
-    seen: Counter = Counter()
+    seen, held = Counter(), Counter()
     for batch in batches:
-        for raw in cells(batch.column(0)):
-            seen.update(split_words(raw))
-            seen[b"\n"] += 1
+        for raw, out in zip(cells(batch.column(0)), batch.column(1).to_pylist()):
+            found = [*split_words(raw), b"\n"]
+            seen.update(found)
+            if out:
+                held.update(found)
             if len(seen) >= REMEMBERED // 2:
                 yield flush()
                 seen.clear()
+                held.clear()
     yield flush()
 
 
-def _count_keys(words, bits: int, paired: int, wanted=None):
-    """Counts of bigram keys and rare words: of all there are, or of the wanted ones; of pairs of top words besides."""
+def _count_bigrams(words, bits: int, pooled: bool, paired: int):
+    """Bigrams of rows (raw, held): context and word as places or rare names, whether both are top words, counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes = Codes(words.value, bits)
+        codes = Codes(words.value, bits, pooled)
         for batch in portions(batches, 0):
-            context, word, _ = codes.events(cells(batch.column(0)))
-            keys = bigram_key(context, word, bits)
-            if wanted is not None:
-                rare = word[word >= RARE]
-                top = (context < paired) & (word < paired)
-                keys = np.concatenate([x[_isin(x, wanted.value)] for x in (keys, rare)] + [keys[top & ~_isin(keys, wanted.value)]])
-                yield _counted(keys)
-            else:
-                fresh, where, n = np.unique(keys, return_index=True, return_counts=True)
-                yield pa.RecordBatch.from_arrays([_signed(fresh), pa.array(context[where], pa.int64()), _signed(word[where]), pa.array(n)], ["key", "context", "word", "n"])
+            context, word, text = codes.events(cells(batch.column(0)))
+            held = batch.column(1).to_numpy(zero_copy_only=False)[text]
+            _, where, at = np.unique(bigram_key(context, word, bits), return_index=True, return_inverse=True)
+            c, w = context[where], word[where]
+            n, out = np.bincount(at, minlength=len(where)), np.bincount(at, held, len(where)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([_signed(c), _signed(w), pa.array((c < paired) & (w < paired)), pa.array(n, pa.int64()), pa.array(out)], ["context", "word", "top", "n", "held"])
 
     return run
 
 
-def _counted(keys: np.ndarray) -> pa.RecordBatch:
-    fresh, n = np.unique(keys, return_counts=True)
-    return pa.RecordBatch.from_arrays([_signed(fresh), pa.array(n, pa.int64())], ["key", "n"])
-
-
-def _isin(x: np.ndarray, ordered: np.ndarray) -> np.ndarray:
-    at = np.minimum(np.searchsorted(ordered, x), max(0, len(ordered) - 1))
-    return ordered[at] == x if len(ordered) else np.zeros(len(x), bool)
+def gained(buckets: np.ndarray, estimates: np.ndarray, n: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """How many of the n events of each bucket fall to each estimate under the weights; the last row is that of all events."""
+    out = np.zeros(weights.shape)
+    for groups, many in ((buckets, len(weights) - 1), (np.zeros(len(n), np.int64), 1)):
+        share = weights[groups if many > 1 else groups + len(weights) - 1] * estimates
+        share *= (n / np.maximum(share.sum(axis=1), 1e-300))[:, None]
+        rows = slice(0, many) if many > 1 else slice(len(weights) - 1, None)
+        out[rows] = np.stack([np.bincount(groups, share[:, k], many) for k in range(estimates.shape[1])], axis=1)
+    return out
+
+
+def fit(gain, size: int, rounds: int = ROUNDS, estimates: int = 3) -> np.ndarray:
+    """Weights of the estimates in each bucket that make held-out events most likely, by expectation-maximisation; `gain`
+    gives the posterior sums of each bucket and of all events. Buckets without events take the weights of all together."""
+    weights = np.full((size + 1, estimates), 1 / estimates)
+    for _ in range(rounds):
+        sums = gain(weights)
+        total = sums.sum(axis=1, keepdims=True)
+        if not total.any():
+            break
+        weights = np.where(total > 0, sums / np.maximum(total, 1e-300), weights)
+    weights = np.maximum(np.where(total[:-1] > 0, weights[:-1], weights[-1]), LEAST)
+    return weights / weights.sum(axis=1, keepdims=True)
 
 
 def mixture(buckets: np.ndarray, estimates: np.ndarray, n: np.ndarray, size: int, rounds: int = ROUNDS) -> np.ndarray:
-    """Weights of the estimates in each bucket that make the n held-out events most likely, by expectation-maximisation.
-    Buckets without events take the weights of all events together."""
-
-    def learn(groups: np.ndarray, many: int, start: np.ndarray) -> np.ndarray:
-        weights = np.tile(start, (many, 1))
-        for _ in range(rounds):
-            share = weights[groups] * estimates
-            share *= (n / np.maximum(share.sum(axis=1), 1e-300))[:, None]
-            gained = np.stack([np.bincount(groups, share[:, k], many) for k in range(estimates.shape[1])], axis=1)
-            total = gained.sum(axis=1, keepdims=True)
-            weights = np.where(total > 0, gained / np.maximum(total, 1e-300), start)
-        return weights
-
-    even = np.full(estimates.shape[1], 1 / estimates.shape[1])
-    weights = learn(buckets, size, learn(np.zeros(len(n), np.int64), 1, even)[0] if len(n) else even)
-    weights = np.maximum(weights, LEAST)
-    return weights / weights.sum(axis=1, keepdims=True)
+    """The weights for events that fit in memory."""
+    return fit(lambda weights: gained(buckets, estimates, n, weights), size, rounds, estimates.shape[1])
+
+
+def held_out_gain(events: DataFrame):
+    """Posterior sums over rows (bucket, one, two, three, n), added up in tasks and then by bucket."""
+
+    def gain(weights: np.ndarray) -> np.ndarray:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            sums = np.zeros(weights.shape)
+            for batch in batches:
+                where, *estimates, n = (x.to_numpy() for x in batch.columns)
+                sums += gained(where, np.stack(estimates, axis=1), n, weights)
+            at = np.flatnonzero(sums.sum(axis=1))
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), *(pa.array(x) for x in sums[at].T)], ["bucket", "one", "two", "three"])
+
+        out = np.zeros(weights.shape)
+        parts = events.mapInArrow(run, "bucket bigint, one double, two double, three double")
+        for bucket_, *sums in parts.groupBy("bucket").agg(*[F.sum(c) for c in ("one", "two", "three")]).collect():
+            out[bucket_] = sums
+        return out
 
+    return gain
 
-def train(rows: DataFrame, bits: int = BITS, paired: int = PAIRED) -> Model:
+
+def train(rows: DataFrame, bits: int | None = None, paired: int = PAIRED) -> Model:
     """The model of rows (id, raw)."""
+    pooled, bits = bits is not None, BITS if bits is None else bits
     context = rows.sparkSession.sparkContext
-    words = rows.select("raw").mapInArrow(_count_words, "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+    n_rows = rows.count()
+    held = F.pmod(F.xxhash64("id", F.lit("held out")), F.lit(1 << 30)) < int(min(0.2, HELD_OUT / max(1, n_rows)) * (1 << 30))
+    rows = rows.select("raw", held.alias("held"))
+    words = rows.mapInArrow(_count_words, "word bigint, n bigint, held bigint").groupBy("word").agg(F.sum("n").alias("n"), F.sum("held").alias("held"))
     words = words.persist()
-    tokens, types = words.agg(F.sum("n"), F.count(F.lit(1))).first()
-    tokens = tokens or 0
-    top = words.where(F.col("n") * (1 << bits) >= tokens).toArrow()
-    words.unpersist()
-    names, counts = top["word"].to_numpy().view(np.uint64), top["n"].to_numpy()
+    tokens, types, held_tokens = (x or 0 for x in words.agg(F.sum("n"), F.count(F.lit(1)), F.sum("held")).first())
+    often = F.col("n") * (1 << bits) >= tokens
+    top = words.where(often).toArrow()
+    names, counts, held_counts = top["word"].to_numpy().view(np.uint64), top["n"].to_numpy(), top["held"].to_numpy()
     order = np.lexsort((names, -counts))
-    names, counts = names[order], counts[order]
+    names, counts, held_counts = names[order], counts[order], held_counts[order]
     shared = context.broadcast(names)
-    texts = int(counts[names == END].sum())
-
-    held = F.pmod(F.xxhash64("id", F.lit("held out")), F.lit(1 << 30)) < int(min(0.2, HELD_OUT / max(1, texts)) * (1 << 30))
-    types_of = rows.where(held).select("raw").mapInArrow(_count_keys(shared, bits, paired), "key bigint, context bigint, word bigint, n bigint")
-    bigrams = types_of.groupBy("key", "context", "word").agg(F.sum("n").alias("n")).persist()
-    share = HELD_BIGRAMS / max(1, bigrams.count())
-    chosen = bigrams.where(F.pmod(F.xxhash64("key"), F.lit(1 << 30)) < int(min(1, share) * (1 << 30))).toArrow()
-    by_context = bigrams.groupBy("context").agg(F.sum("n").alias("n")).toArrow()
-    by_word = dict(zip(*(bigrams.where("word >= 0").groupBy("word").agg(F.sum("n").alias("n")).toArrow()[c].to_pylist() for c in ("word", "n")))) if len(names) else {}
-    rare_held = bigrams.where("word < 0").groupBy("word").agg(F.sum("n").alias("n"))
-    rare_of = rare_held.join(F.broadcast(bigrams.sparkSession.createDataFrame(chosen.select(["word"]).to_pandas()).distinct()) if chosen.num_rows else rare_held.select("word"), "word", "left_semi").toArrow()
-    bigrams.unpersist()
-
-    key, ctx, word, n = (chosen[c].to_numpy() for c in ("key", "context", "word", "n"))
-    wanted = np.unique(np.concatenate([key, word[word < 0]]).view(np.uint64))
-    all_counts = rows.select("raw").mapInArrow(_count_keys(shared, bits, paired, context.broadcast(wanted)), "key bigint, n bigint")
-    counted = all_counts.groupBy("key").agg(F.sum("n").alias("n")).toArrow()
-    at = counted["key"].to_numpy().view(np.uint64)
-    order = np.argsort(at)
-    at, many = at[order], counted["n"].to_numpy()[order]
-
-    def total(keys: np.ndarray) -> np.ndarray:
-        if not len(at):
-            return np.zeros(len(keys), np.int64)
-        place = np.minimum(np.searchsorted(at, keys), len(at) - 1)
-        return np.where(at[place] == keys, many[place], 0)
+    ends = words.where(F.col("word") == int(np.uint64(END).astype(np.int64))).select("n", "held").first() or (0, 0)
 
+    # frequent words and common contexts by their places, rare words by the names that tasks give them
     other, start = 1 << bits, (1 << bits) + 1
-    contexts = np.zeros(start + 1, np.int64)
-    contexts[: len(counts)] = np.where(names == END, 0, counts)
-    contexts[other] = tokens - counts.sum()
-    contexts[start] = texts
-    held_contexts = np.zeros(start + 1, np.int64)
-    held_contexts[by_context["context"].to_numpy()] = by_context["n"].to_numpy()
-    rare_words = dict(zip(rare_of["word"].to_pylist(), rare_of["n"].to_pylist()))
-    own = np.array([by_word.get(w, 0) if w >= 0 else rare_words.get(w, 0) for w in word.tolist()], np.int64)
-    frequent = np.append(counts, 0)[np.where(word >= 0, word, len(counts))]
-    kept_word = np.where(word >= 0, frequent, total(word.view(np.uint64))) - own
-    kept_context = (contexts - held_contexts)[ctx]
-    kept_tokens = max(1, tokens - int(held_contexts.sum()))
-    estimates = np.stack([(total(key.view(np.uint64)) - n) / np.maximum(kept_context, 1), kept_word / kept_tokens, np.full(len(n), 1 / (types + 1))], axis=1)
-    weights = mixture(bucket(kept_context), np.maximum(estimates, 0), n, 64)
-
+    placed = np.where(names == END, 0, counts), np.where(names == END, 0, held_counts)
+    contexts, held_contexts = np.zeros(start + 1, np.int64), np.zeros(start + 1, np.int64)
+    for out, found, whole, end in ((contexts, placed[0], tokens, ends[0]), (held_contexts, placed[1], held_tokens, ends[1])):
+        out[: len(names)] = found
+        out[other] = whole - end - found.sum() if pooled else 0
+        out[start] = end
+    spark = rows.sparkSession
+    common = pd.DataFrame({"word": np.arange(start + 1), "n": np.append(counts, np.zeros(start + 1 - len(counts), np.int64)), "held": np.append(held_counts, np.zeros(start + 1 - len(counts), np.int64)), "as_n": contexts, "as_held": held_contexts})
+    rare = words.where(~often).select(F.col("word").bitwiseOR(F.lit(-(1 << 63)).cast("bigint")).alias("word"), "n", "held", F.col("n").alias("as_n"), F.col("held").alias("as_held"))
+    table = spark.createDataFrame(common[(common["n"] > 0) | (common["as_n"] > 0)], "word bigint, n bigint, held bigint, as_n bigint, as_held bigint").union(rare)
+    kept = lambda n, held: F.col(n) - F.col(held)
+    weight = F.greatest("n", "as_n").alias("weight")
+    of_word = table.select("word", weight, F.struct(kept("n", "held").alias("n")).alias("kept"))
+    of_context = table.select(F.col("word").alias("context"), weight, F.struct(kept("as_n", "as_held").alias("n")).alias("kept"))
+
+    bigrams = rows.mapInArrow(_count_bigrams(shared, bits, pooled, paired), "context bigint, word bigint, top boolean, n bigint, held bigint")
+    bigrams = bigrams.groupBy("context", "word", "top").agg(F.sum("n").alias("n"), F.sum("held").alias("held"))
+    bigrams = bigrams.where("top OR held > 0").persist()
     size = min(paired, len(names))
-    one, two = (x.ravel() for x in np.meshgrid(np.arange(size), np.arange(size), indexing="ij"))
-    pairs = total(bigram_key(one, two.astype(np.uint64), bits)).reshape(size, size)
-    return Model(bits, names, counts, contexts, tokens, types, weights, pairs)
+    pairs = np.zeros((size, size), np.int64)
+    found = bigrams.where("top").select("context", "word", "n").toArrow()
+    pairs[found["context"].to_numpy(), found["word"].to_numpy()] = found["n"].to_numpy()
+
+    events = bigrams.where("held > 0").select("context", "word", kept("n", "held").alias("n"), "held")
+    events = look_up(events, of_word, "word", "weight", "kept").select("context", "n", "held", F.col("found.n").alias("of_word"))
+    events = look_up(events, of_context, "context", "weight", "kept").select("n", "held", "of_word", F.col("found.n").alias("of_context"))
+    events = events.select(
+        F.floor(F.log2(F.col("of_context") + 1)).cast("bigint").alias("bucket"), (F.col("n") / F.greatest("of_context", F.lit(1))).alias("one"),
+        (F.col("of_word") / F.lit(max(1, tokens - held_tokens))).alias("two"), F.lit(1 / (types + 1)).alias("three"), F.col("held").cast("double").alias("n"),
+    ).persist()
+    weights = fit(held_out_gain(events.coalesce(1 + events.count() // EVENTS)), 64)
+    for frame in (events, bigrams, words):
+        frame.unpersist()
+    return Model(bits, pooled, names, counts, contexts, tokens, types, weights, pairs)
+
+
+def _rows(columns: dict, schema: list[tuple]) -> pa.Table:
+    """Columns in the order of a schema; those that are not given are null."""
+    n = len(next(iter(columns.values())))
+    return pa.table([columns[k].cast(t) if k in columns else pa.nulls(n, t) for k, t in schema], names=[k for k, _ in schema])
+
+
+def _bytes(rows: pa.Table, name: str, kind) -> np.ndarray:
+    return np.frombuffer(b"".join(cells(rows[name])), kind)
+
+
+#: What is dealt to blocks, packed: texts of a portion, whether they are for training, then for each kind of tokens how many a
+#: text has; pairs of frequent words, rare words with contexts, frequent words with rare contexts.
+PACKED = ("texts", "train", "sizes", "pairs", "rare_sizes", "rare", "contexts", "after_sizes", "after", "words")
+#: What blocks pass on: tokens whose word is counted, counts of rare words as contexts, sums of texts.
+PASSED = ("texts", "train", "sizes", "after", "keys", "counts", "names", "seen", "sum_texts", "sum_known", "sum_base", "sum_score")
+KNOWN = ("uid", "held_out", "n_tokens", "n_known", "base_score", "score")
+
+
+def _layout(kind: pa.DataType, blobs: tuple) -> list[tuple]:
+    """Names and types of rows: documents as far as they are known, and what is packed."""
+    types = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
+    return [("block", pa.int32()), ("id", kind), *zip(KNOWN, types), *((x, pa.binary()) for x in blobs)]
 
 
 def _deal(model, n_blocks: int, kind: pa.DataType):
     """Rows of documents, with what is known of them where they are read, and the other tokens packed by block."""
+    schema = _layout(kind, PACKED)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Model = model.value
-        codes = Codes(m.words, m.bits)
+        codes = Codes(m.words, m.bits, m.pooled)
         size = len(m.pairs)
-        blob = ("texts", "train", "sizes", "pairs", "rare_sizes", "rare", "contexts")
         for batch in portions(batches, 3):
             uid, train = batch.column(1).to_numpy(), batch.column(2).to_numpy(zero_copy_only=False)
             context, word, text = codes.events(cells(batch.column(3)))
@@ -258,81 +309,148 @@ def _deal(model, n_blocks: int, kind: pa.DataType):
             top = often & (context < size) & (word < size)
             c, w = context[top].astype(np.int64), word[top].astype(np.int64)
             score = np.log10(m.chance(c, m.pairs[c, w], m.counts[w])) if size else np.empty(0)
-            docs = [
-                pa.array((uid % n_blocks).astype(np.int32)), batch.column(0), pa.array(uid), pa.array(~train), pa.array(total(text)),
-                pa.array(total(text[often])), pa.array(total(text[often], m.base(count))), pa.array(total(text[top], score)),
-            ]
-            names = ["block", "id", "uid", "held_out", "n_tokens", "n_known", "base_score", "score"]
-            yield pa.RecordBatch.from_arrays(docs + [pa.nulls(len(uid), pa.binary())] * len(blob), [*names, *blob])
+            docs = {
+                "block": pa.array((uid % n_blocks).astype(np.int32)), "id": batch.column(0), "uid": pa.array(uid), "held_out": pa.array(~train), "n_tokens": pa.array(total(text)),
+                "n_known": pa.array(total(text[often])), "base_score": pa.array(total(text[often], m.base(count))), "score": pa.array(total(text[top], score)),
+            }
+            yield from _rows(docs, schema).to_batches()
             rest = ~top
             context, word, text, often = context[rest], word[rest], text[rest], often[rest]
-            key = np.where(often, bigram_key(context, word, m.bits), word)
+            after = often & (context >= RARE)
+            key = np.where(often, np.where(after, context, bigram_key(context, word, m.bits)), word)
             block = mixed(key) % np.uint64(n_blocks)
             order = np.argsort(block, kind="stable")
-            context, key, text, often, block = context[order], key[order], text[order], often[order], block[order]
+            context, word, key, text, often, after, block = (x[order] for x in (context, word, key, text, often, after, block))
             starts = np.searchsorted(block, np.arange(n_blocks + 1, dtype=np.uint64))
             out = []
             for b in range(n_blocks):
                 part = slice(starts[b], starts[b + 1])
                 if part.start < part.stop:
-                    f, x = often[part], text[part]
+                    x, k = text[part], key[part]
+                    r, a = ~often[part], after[part]
+                    f = ~(r | a)
                     own = np.unique(x)
                     sizes = lambda y: np.bincount(y, minlength=len(uid))[own].astype(np.uint32).tobytes()
-                    five = key[part][f].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
-                    out.append((b, uid[own].tobytes(), train[own].tobytes(), sizes(x[f]), five, sizes(x[~f]), key[part][~f].tobytes(), context[part][~f].tobytes()))
+                    five = k[f].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
+                    rare = sizes(x[r]), k[r].tobytes(), context[part][r].tobytes()
+                    out.append((b, uid[own].tobytes(), train[own].tobytes(), sizes(x[f]), five, *rare, sizes(x[a]), k[a].tobytes(), word[part][a].astype(np.uint32).tobytes()))
             if out:
                 first, *blobs = zip(*out)
-                nothing = [pa.nulls(len(out), t) for t in (kind, pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64())]
-                yield pa.RecordBatch.from_arrays([pa.array(first, pa.int32()), *nothing, *(pa.array(x, pa.binary()) for x in blobs)], [*names, *blob])
+                yield from _rows({"block": pa.array(first, pa.int32())} | {k: pa.array(v, pa.binary()) for k, v in zip(PACKED, blobs)}, schema).to_batches()
 
     return run
 
 
-def _score(model):
-    """Of a block: its documents as they are, and of each text the sums over its tokens in the block."""
+def _score(model, n_blocks: int, kind: pa.DataType):
+    """Of a block: its documents as they are, of each text the sums over its tokens in the block, the counts of rare words,
+    and rare words after rare words, with the words' counts, for the blocks of their contexts."""
+    schema = _layout(kind, PASSED)
 
     def run(rows: pa.Table) -> pa.Table:
         m: Model = model.value
-        columns = ["id", "uid", "held_out", "n_tokens", "n_known", "base_score", "score"]
-        known_here = rows["uid"].is_valid()
-        docs = rows.select(columns).filter(known_here)
-        rows = rows.filter(pc.invert(known_here))
+        here = rows["uid"].is_valid()
+        docs = rows.filter(here)
+        docs = _rows({k: docs[k] for k in ("block", "id", *KNOWN)}, schema)
+        rows = rows.filter(pc.invert(here))
         if not len(rows):
             return docs
-        cat = lambda name, kind: np.frombuffer(b"".join(cells(rows[name])), kind)
-        uid, train = cat("texts", np.int64), cat("train", bool)
-        five = cat("pairs", np.uint8).reshape(-1, 5)
+        block = rows["block"][0].as_py()
+        uid, train = _bytes(rows, "texts", np.int64), _bytes(rows, "train", bool)
+        texts = lambda name: np.repeat(np.arange(len(uid)), _bytes(rows, name, np.uint32))
+        five = _bytes(rows, "pairs", np.uint8).reshape(-1, 5)
         key = np.zeros((len(five), 8), np.uint8)
         key[:, :5] = five
         key = key.view("<u8").ravel()
-        text = np.repeat(np.arange(len(uid)), cat("sizes", np.uint32))
-        _, at = np.unique(key, return_inverse=True)
-        n = np.bincount(at, train[text])[at] if len(at) else np.empty(0)
-        word = (key & np.uint64((1 << m.bits + 1) - 1)).astype(np.int64)
-        context = (key >> np.uint64(m.bits + 1)).astype(np.int64)
-        score = np.bincount(text, np.log10(m.chance(context, n, m.counts[word])) if len(at) else n, len(uid)).astype(float)
-        del key, word, context, text, at, n
-        name, context = cat("rare", np.uint64), cat("contexts", np.uint32)
-        text = np.repeat(np.arange(len(uid)), cat("rare_sizes", np.uint32))
-        known = base = np.zeros(len(uid))
+        text = texts("sizes")
+        score = known = base = np.zeros(len(uid))
+        if len(key):
+            n = _trained(key, train[text])
+            word = (key & np.uint64((1 << m.bits + 1) - 1)).astype(np.int64)
+            context = (key >> np.uint64(m.bits + 1)).astype(np.int64)
+            score = score + np.bincount(text, np.log10(m.chance(context, n, m.counts[word])), len(uid))
+            del word, context, n
+        del key, five
+        name, context, text = _bytes(rows, "rare", np.uint64), _bytes(rows, "contexts", np.uint64), texts("rare_sizes")
+        names, at = np.unique(name, return_inverse=True)
+        seen = np.bincount(at, train[text], len(names)).astype(np.int64)
+        packs = []
         if len(name):
-            _, at = np.unique(name, return_inverse=True)
-            word = np.bincount(at, train[text])[at]
-            _, at = np.unique(bigram_key(context, name, m.bits), return_inverse=True)
-            n = np.bincount(at, train[text])[at]
-            score += np.bincount(text, np.log10(m.chance(context.astype(np.int64), n, word)), len(uid))
-            known, base = np.bincount(text, word > 0, len(uid)), np.bincount(text, m.base(word), len(uid)).astype(float)
-        values = {"uid": uid, "n_known": known.astype(np.int64), "base_score": base, "score": score}
-        sums = [pa.array(values[f.name], f.type) if f.name in values else pa.nulls(len(uid), f.type) for f in docs.schema]
-        return pa.concat_tables([docs, pa.table(sums, schema=docs.schema)])
+            word = seen[at]
+            known, base = np.bincount(text, word > 0, len(uid)), np.bincount(text, m.base(word), len(uid))
+            key, far = bigram_key(context, name, m.bits), context >= RARE
+            if (near := ~far).any():
+                n = _trained(key[near], train[text[near]])
+                score = score + np.bincount(text[near], np.log10(m.chance(context[near].astype(np.int64), n, word[near])), len(uid))
+            packs = _packed(uid, train, text[far], context[far], key[far], word[far], n_blocks)
+        context, word, text = _bytes(rows, "after", np.uint64), _bytes(rows, "words", np.uint32).astype(np.int64), texts("after_sizes")
+        if len(context):  # every rare context is a word of this block
+            n = _trained(bigram_key(context, word.astype(np.uint64), m.bits), train[text])
+            score = score + np.bincount(text, np.log10(m.chance(np.searchsorted(names, context), n, m.counts[word], seen)), len(uid))
+        own, at = np.unique(uid, return_inverse=True)
+        sums = [np.bincount(at, x, len(own)).tobytes() for x in (known, base, score)]
+        packs.append((block, *[b""] * 6, names.tobytes(), seen.tobytes(), own.tobytes(), *sums))
+        first, *blobs = zip(*packs)
+        passed = _rows({"block": pa.array(first, pa.int32())} | {k: pa.array(v, pa.binary()) for k, v in zip(PASSED, blobs)}, schema)
+        return pa.concat_tables([docs, passed])
+
+    return run
+
+
+def _trained(keys: np.ndarray, train: np.ndarray) -> np.ndarray:
+    """Of each key how often it stands in training documents."""
+    _, at = np.unique(keys, return_inverse=True)
+    return np.bincount(at, train)[at]
+
+
+def _packed(uid, train, text, context, key, word, n_blocks: int) -> list[tuple]:
+    """Tokens after rare contexts, packed for the blocks of these."""
+    block = mixed(context) % np.uint64(n_blocks)
+    order = np.lexsort((text, block))
+    text, context, key, word, block = (x[order] for x in (text, context, key, word, block))
+    starts = np.searchsorted(block, np.arange(n_blocks + 1, dtype=np.uint64))
+    out = []
+    for b in range(n_blocks):
+        part = slice(starts[b], starts[b + 1])
+        if part.start < part.stop:
+            own, sizes = np.unique(text[part], return_counts=True)
+            out.append((b, uid[own].tobytes(), train[own].tobytes(), sizes.astype(np.uint32).tobytes(), context[part].tobytes(), key[part].tobytes(), word[part].astype(np.uint32).tobytes(), *[b""] * 6))
+    return out
+
+
+def _score_rare(model, kind: pa.DataType):
+    """Of a block of contexts: its documents as they are, and of each text the sums so far and those over its rare words
+    after rare words."""
+    schema = _layout(kind, ())[1:]
+
+    def run(rows: pa.Table) -> pa.Table:
+        m: Model = model.value
+        here = rows["uid"].is_valid()
+        docs = rows.filter(here)
+        docs = _rows({k: docs[k] for k, _ in schema}, schema)
+        rows = rows.filter(pc.invert(here))
+        if not len(rows):
+            return docs
+        names, seen = _bytes(rows, "names", np.uint64), _bytes(rows, "seen", np.int64)
+        uid, train = _bytes(rows, "texts", np.int64), _bytes(rows, "train", bool)
+        text = np.repeat(np.arange(len(uid)), _bytes(rows, "sizes", np.uint32))
+        score = np.zeros(len(uid))
+        if len(text):
+            n = _trained(_bytes(rows, "keys", np.uint64), train[text])
+            chance = m.chance(np.searchsorted(names, _bytes(rows, "after", np.uint64)), n, _bytes(rows, "counts", np.uint32), seen)
+            score = np.bincount(text, np.log10(chance), len(uid))
+        own, at = np.unique(np.concatenate([_bytes(rows, "sum_texts", np.int64), uid]), return_inverse=True)
+        total = lambda name, more: np.bincount(at, np.concatenate([_bytes(rows, name, np.float64), more]), len(own))
+        none = np.zeros(len(uid))
+        sums = {"uid": own, "n_known": total("sum_known", none).astype(np.int64), "base_score": total("sum_base", none), "score": total("sum_score", score)}
+        return pa.concat_tables([docs, _rows({k: pa.array(v) for k, v in sums.items()}, schema)])
 
     return run
 
 
-def score(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: str = "text", bits: int = BITS, paired: int = PAIRED) -> DataFrame:
+def score(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: str = "text", bits: int | None = None, paired: int = PAIRED) -> DataFrame:
     """One row per input row: id, held_out, n_tokens, n_known, train_tokens, base_score (add-half unigrams), score.
 
-    bits: 19 at most, as two places share 40 bits."""
+    bits: 19 at most, as two places share 40 bits; if given, rarer words make one context together."""
     rows = docs.select(plain(id_col).alias("id"), text_or_empty(text_col).cast("binary").alias("raw"), F.coalesce(training, F.lit(True)).alias("train"))
     model = train(rows.where("train").select("id", "raw"), bits, paired)
     context = docs.sparkSession.sparkContext
@@ -341,11 +459,12 @@ def score(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: s
     shared = context.broadcast(model)
     kind = rows.schema["id"].dataType.simpleString()
     known = f"id {kind}, uid bigint, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double"
-    blobs = ", ".join(f"{x} binary" for x in ("texts", "train", "sizes", "pairs", "rare_sizes", "rare", "contexts"))
+    binary = lambda names: ", ".join(f"{x} binary" for x in names)
     arrow_kind = pa.int64() if kind == "bigint" else pa.int32() if kind == "int" else pa.string()
     numbered = rows.select("id", F.monotonically_increasing_id().alias("uid"), "train", "raw")
-    dealt = numbered.mapInArrow(_deal(shared, n_blocks, arrow_kind), f"block int, {known}, {blobs}")
-    parts = dealt.groupBy("block").applyInArrow(_score(shared), known)
+    dealt = numbered.mapInArrow(_deal(shared, n_blocks, arrow_kind), f"block int, {known}, {binary(PACKED)}")
+    passed = dealt.groupBy("block").applyInArrow(_score(shared, n_blocks, arrow_kind), f"block int, {known}, {binary(PASSED)}")
+    parts = passed.groupBy("block").applyInArrow(_score_rare(shared, arrow_kind), known)
     sums = parts.groupBy("uid").agg(F.max("id").alias("id"), F.max("held_out").alias("held_out"), *[F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base_score", "score")])
     return sums.select(
         F.col("id").alias(id_col), "held_out", "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score"

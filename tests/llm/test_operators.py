@@ -246,6 +246,17 @@ def test_rare_words_take_the_hashed_way(spark):
         assert narrow[i].score == pytest.approx(want)
 
 
+def test_rare_words_are_contexts_of_their_own(spark, monkeypatch):
+    texts = [prose(i, 60, 150) for i in range(60)]
+    run = lambda: {r.doc_id: r for r in ngram_lm.score(frame(spark, texts), F.col("doc_id") % 5 != 0, paired=2).collect()}
+    wide = run()
+    monkeypatch.setattr(ngram_lm, "BITS", 6)
+    narrow = run()
+    for i in wide:
+        assert wide[i][:5] == narrow[i][:5]
+        assert narrow[i].base_score == pytest.approx(wide[i].base_score) and narrow[i].score == pytest.approx(wide[i].score)
+
+
 def test_mixture_finds_the_weights_of_its_source():
     import numpy as np
 
