@@ -2,8 +2,9 @@
 
 The probability of a word after its context is a mix of three maximum-likelihood estimates, those of the bigram, of the
 word and of any word alike. The mixture weights depend on how often the context was seen: contexts are pooled in buckets of
-powers of two, and expectation-maximisation learns each bucket's weights on the counts of training documents that are held
-out from the counts mixed.
+powers of two, and expectation-maximisation learns each bucket's weights on the counts of a tenth of the training documents,
+drawn by a hash of id and text, that is held out from the counts mixed. Each round adds up the posteriors of all held-out
+bigrams in tasks; the driver gets three sums for each bucket.
 
 Counts are those of all training documents. A context is the word before, or the start of the text; every word is a context
 of its own. Frequent words, those that are a 2 ** -17 part of all tokens or more (at most 2 ** 17 words), are broadcast with
@@ -42,8 +43,8 @@ from llm.words import REMEMBERED, cells, mixed, portions, split_words
 
 #: Bits of a word's place among the frequent ones, and the number of those whose pairs are counted beforehand.
 BITS, PAIRED = 17, 512
-#: Training documents held out for the mixture weights, rounds of learning.
-HELD_OUT, ROUNDS = 2000, 30
+#: Share of the training documents that is held out for the mixture weights, rounds of learning.
+HELD_OUT, ROUNDS = 0.1, 30
 #: Held-out bigrams in a task, if there are more than that.
 EVENTS = 50_000
 #: Tokens in a block, and blocks at least: a document's sums come from up to so many blocks at any size of input.
@@ -216,8 +217,7 @@ def train(rows: DataFrame, bits: int | None = None, paired: int = PAIRED) -> Mod
     """The model of rows (id, raw)."""
     pooled, bits = bits is not None, BITS if bits is None else bits
     context = rows.sparkSession.sparkContext
-    n_rows = rows.count()
-    held = F.pmod(F.xxhash64("id", F.lit("held out")), F.lit(1 << 30)) < int(min(0.2, HELD_OUT / max(1, n_rows)) * (1 << 30))
+    held = F.pmod(F.xxhash64("id", "raw", F.lit("held out")), F.lit(1 << 30)) < int(HELD_OUT * (1 << 30))
     rows = rows.select("raw", held.alias("held"))
     words = rows.mapInArrow(_count_words, "word bigint, n bigint, held bigint").groupBy("word").agg(F.sum("n").alias("n"), F.sum("held").alias("held"))
     words = words.persist()

@@ -257,6 +257,14 @@ def test_rare_words_are_contexts_of_their_own(spark, monkeypatch):
         assert narrow[i].base_score == pytest.approx(wide[i].base_score) and narrow[i].score == pytest.approx(wide[i].score)
 
 
+def test_a_tenth_of_the_tokens_is_held_out(spark, monkeypatch):
+    texts = [prose(i, 10, 500) for i in range(800)]
+    held = []
+    monkeypatch.setattr(ngram_lm, "held_out_gain", lambda events: held.append(events.agg(F.sum("n")).first()[0]) or (lambda weights: weights * 0))
+    model = ngram_lm.train(frame(spark, texts, [None] * 800).select(F.col("doc_id").alias("id"), F.col("text").cast("binary").alias("raw")))
+    assert model.tokens == 800 * 11 and 0.06 * model.tokens < held[0] < 0.14 * model.tokens
+
+
 def test_mixture_finds_the_weights_of_its_source():
     import numpy as np
 
