@@ -1,10 +1,11 @@
 """Line dedup by pairwise alignment.
 
-Lines are compared by a 64-bit hash of their text without outer white space. A line that several documents have belongs to
-the first of them, the one with the smallest id; a later document is paired with the first documents of its shared lines, so
-there are at most as many pairs as shared lines however many documents share one. The rarest of the lines a pair has in
-common found it; the pair's shared lines are aligned by patience diff: lines that each has once anchor the alignment on
-their longest common run in order, and the stretches between anchors are aligned in the same way. Aligned runs that are
+Lines are compared by a 64-bit hash of their text without outer white space. From each line that several documents have, a
+run goes on over neighbouring shared lines until it has `least_words` words. A run that several documents have belongs to the
+first of them, the one with the smallest id; a later document is paired with the first documents of its runs. Any block of
+enough words that an earlier document has starts with such a run, and there are at most as many pairs as shared lines however
+many documents share one. The pair's shared lines are aligned by patience diff: lines that each has once anchor the alignment
+on their longest common run in order, and the stretches between anchors are aligned in the same way. Aligned runs that are
 neighbours in both documents are blocks; blocks of at least `least_words` words are deleted from the later document.
 
 A line that stands in several places of one document is not deleted for that. The first document keeps the line, so every
@@ -17,11 +18,13 @@ read whole; an empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+from array import array
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -71,8 +74,23 @@ def patience(a: list, b: list) -> list[tuple[int, int]]:
     return sorted(out)
 
 
+def runs(lines: list[dict], least_words: int) -> list[int]:
+    """Hashes of the shortest runs of neighbouring lines with enough words, one from each line that has one."""
+    out, end, words = [], 0, 0
+    for start, x in enumerate(lines):
+        if end <= start:
+            end, words = start, 0
+        while words < least_words and end < len(lines) and (end == start or lines[end]["place"] == lines[end - 1]["place"] + 1):
+            words += lines[end]["words"]
+            end += 1
+        if words >= least_words:
+            out.append(xxhash.xxh64_intdigest(array("q", [y["line"] for y in lines[start:end]]).tobytes()) - (1 << 63))
+        words -= x["words"]
+    return out
+
+
 def deleted(first: list[dict], later: list[dict], least_words: int) -> list[int]:
-    """Places of the lines of the later document in aligned common blocks of enough words."""
+    """Places of the lines of the later document in common blocks of enough words."""
     out, block = [], []
 
     def close():
@@ -100,10 +118,20 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     every = rows.select("doc", F.explode(lines).alias("l")).where("l.filled").select("doc", "l.place", "l.line", "l.words").distinct()
     owners = every.groupBy("line").agg(F.min("doc").alias("first"), F.max("doc").alias("other"), F.count(F.lit(1)).alias("n"))
     owners = cut(owners.where("first <> other").select("line", "first", "n"))
-    shared = cut(look_up(every, owners, "line", "n", "first").where("found IS NOT NULL"))
+    shared = look_up(every, owners, "line", "n", "first").where("found IS NOT NULL")
     place = F.struct("place", "line", "words")
-    sequences = shared.groupBy("doc").agg(F.sort_array(F.collect_list(place)).alias("lines"))
-    pairs = shared.where("doc <> found").select(F.col("found").alias("first"), "doc").distinct()
+    sequences = cut(shared.groupBy("doc").agg(F.sort_array(F.collect_list(place)).alias("lines")))
+    kind = rows.schema["id"].dataType.simpleString()
+
+    def run_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [sorted(set(runs(x, least_words))) for x in batch.column(1).to_pylist()]
+            at = [i for i, x in enumerate(found) for _ in x]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array([y for x in found for y in x], pa.int64())], ["doc", "run"])
+
+    own = cut(sequences.mapInArrow(run_hashes, f"doc struct<id:{kind},name:bigint>, run bigint"))
+    first_of = own.groupBy("run").agg(F.min("doc").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    pairs = look_up(own, cut(first_of), "run", "n", "first").where("doc <> found").select(F.col("found").alias("first"), "doc").distinct()
     named = sequences.join(pairs.groupBy("first").agg(F.count(F.lit(1)).alias("n")), F.col("doc") == F.col("first")).select("first", "lines", "n")
     both = look_up(pairs, cut(named), "first", "n", "lines").join(sequences, "doc").select("doc", F.col("found").alias("first"), F.col("lines").alias("later"))
 
@@ -112,7 +140,6 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             out = [deleted(a, b, least_words) for a, b in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.int32()))], ["doc", "places"])
 
-    kind = rows.schema["id"].dataType.simpleString()
     found = both.mapInArrow(align, f"doc struct<id:{kind},name:bigint>, places array<int>").where("size(places) > 0")
     gone = found.select("doc", F.explode("places").alias("place")).groupBy("doc").agg(F.array_sort(F.collect_set("place")).alias("gone"))
     joined = rows.join(gone.select(F.col("doc").alias("at"), "gone"), F.col("doc").eqNullSafe(F.col("at")), "left")

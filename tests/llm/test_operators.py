@@ -432,6 +432,14 @@ def test_common_blocks_go_from_the_later_document(spark):
     assert got[4].text is None and got[4].n_lines == 0 and got[5].text == ""
 
 
+def test_a_block_is_found_though_each_line_has_an_earlier_owner(spark):
+    line = lambda k: f"line {k} of five words"
+    passage = "\n".join(map(line, range(12)))
+    texts = [*(f"{line(k)}\nown {k}" for k in range(12)), passage, "own\n" + passage]
+    got = {r.doc_id: r for r in line_dedup.dedup_lines(frame(spark, texts)).collect()}
+    assert got[12].deleted_lines == [] and got[13].deleted_lines == list(range(1, 13))
+
+
 # decontamination
 
 
