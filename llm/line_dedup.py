@@ -6,7 +6,9 @@ first of them, the one with the smallest id; a later document is paired with the
 enough words that an earlier document has starts with such a run, and there are at most as many pairs as shared lines however
 many documents share one. The pair's shared lines are aligned by patience diff: lines that each has once anchor the alignment
 on their longest common run in order, and the stretches between anchors are aligned in the same way. Aligned runs that are
-neighbours in both documents are blocks; blocks of at least `least_words` words are deleted from the later document.
+neighbours in both documents are blocks; blocks of at least `least_words` words are deleted from the later document. In what is
+left of it, blocks that the first document has in another order, or that one of them has several times, are found by a suffix
+automaton of the first document and deleted as well, so no common block of enough words is left.
 
 A line that stands in several places of one document is not deleted for that. The first document keeps the line, so every
 deleted line stays once.
@@ -22,6 +24,7 @@ from array import array
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 import xxhash
@@ -89,6 +92,45 @@ def runs(lines: list[dict], least_words: int) -> list[int]:
     return out
 
 
+class Automaton:
+    """Suffix automaton of a sequence: tells of each place of another how long the longest common run is that ends there."""
+
+    def __init__(self, sequence: list):
+        self.next, self.link, self.length = [{}], [-1], [0]
+        last = 0
+        for x in sequence:
+            made, at = self._state({}, 0, self.length[last] + 1), last
+            while at >= 0 and x not in self.next[at]:
+                self.next[at][x] = made
+                at = self.link[at]
+            if at >= 0:
+                after = self.next[at][x]
+                if self.length[after] != self.length[at] + 1:
+                    copy = self._state(dict(self.next[after]), self.link[after], self.length[at] + 1)
+                    while at >= 0 and self.next[at].get(x) == after:
+                        self.next[at][x] = copy
+                        at = self.link[at]
+                    self.link[after] = after = copy
+                self.link[made] = after
+            last = made
+
+    def _state(self, following: dict, link: int, length: int) -> int:
+        self.next.append(following)
+        self.link.append(link)
+        self.length.append(length)
+        return len(self.length) - 1
+
+    def ends(self, sequence: list) -> Iterator[int]:
+        at = n = 0
+        for x in sequence:
+            while at and x not in self.next[at]:
+                at = self.link[at]
+                n = self.length[at]
+            if x in self.next[at]:
+                at, n = self.next[at][x], n + 1
+            yield n
+
+
 def deleted(first: list[dict], later: list[dict], least_words: int) -> list[int]:
     """Places of the lines of the later document in common blocks of enough words."""
     out, block = [], []
@@ -103,6 +145,31 @@ def deleted(first: list[dict], later: list[dict], least_words: int) -> list[int]
             block = []
         block.append((i, j))
     close()
+    gone = set(out)
+    left = [x for x in later if x["place"] not in gone]
+    if not set(runs(left, least_words)).isdisjoint(runs(first, least_words)):
+        out += left_over(first, left, least_words)
+    return sorted(out)
+
+
+def left_over(first: list[dict], left: list[dict], least_words: int) -> list[int]:
+    """Places of what is left of the later document in common blocks of enough words, in whatever order."""
+    text: list = []
+    for i, x in enumerate(first):  # a mark that no document has keeps apart lines that are no neighbours
+        text += [None] * (i > 0 and x["place"] != first[i - 1]["place"] + 1) + [x["line"]]
+    other: list[tuple] = []
+    for i, x in enumerate(left):
+        other += [("", 0, -1)] * (i > 0 and x["place"] != left[i - 1]["place"] + 1) + [(x["line"], x["words"], x["place"])]
+    words = [0, *accumulate(w for _, w, _ in other)]
+    ends = list(Automaton(text).ends([x for x, _, _ in other]))
+    out, reach = [], len(other)
+    for end in range(len(other) - 1, -1, -1):
+        if words[end + 1] - words[start := end + 1 - ends[end]] >= least_words:
+            reach = min(reach, start)
+        if reach <= end:
+            out.append(other[end][2])
+        else:
+            reach = len(other)
     return out
 
 

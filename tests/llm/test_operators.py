@@ -440,6 +440,23 @@ def test_a_block_is_found_though_each_line_has_an_earlier_owner(spark):
     assert got[12].deleted_lines == [] and got[13].deleted_lines == list(range(1, 13))
 
 
+def test_no_common_block_is_left():
+    line = lambda k: {"line": k, "words": 8}
+    placed = lambda x: [line(ord(k)) | {"place": i} for i, k in enumerate(x)]
+    assert line_dedup.deleted(placed("PX"), placed("RPSPT"), 8) == [1, 3]
+    rand = random.Random(3)
+    for _ in range(500):
+        a, b = ([{"line": rand.randrange(6), "words": rand.randint(1, 4), "place": p} for p in sorted(rand.sample(range(30), 14))] for _ in range(2))
+        for x in a + b:
+            x["words"] = 1 + x["line"] % 4
+        cuts = lambda x: [x[i:j] for i in range(len(x)) for j in range(i + 1, len(x) + 1) if x[j - 1]["place"] - x[i]["place"] == j - 1 - i and sum(y["words"] for y in x[i:j]) >= 5]
+        have = {tuple(y["line"] for y in x) for x in cuts(a)}
+        gone = line_dedup.deleted(a, b, 5)
+        common = {y["place"] for x in cuts(b) if tuple(y["line"] for y in x) in have for y in x}
+        assert len(gone) == len(set(gone)) and set(gone) <= common
+        assert not any(tuple(y["line"] for y in x) in have for x in cuts([y for y in b if y["place"] not in set(gone)]))
+
+
 # decontamination
 
 
