@@ -6,12 +6,29 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from llm import bpe, decontaminate, exact_dedup, jaccard_join, language_id, line_dedup, ngram_lm, pii, sharding, wrappers
+from llm import (
+    bit_planes,
+    bpe,
+    contour_whitening,
+    decontaminate,
+    exact_dedup,
+    jaccard_join,
+    language_id,
+    line_dedup,
+    ngram_lm,
+    pii,
+    sharding,
+    token_count,
+    wrappers,
+)
 
 SHARDS = 16
 #: Key of the pseudonyms. A run over real data takes its own from the caller.
 PSEUDONYM_KEY = "campaign"
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
+BYTE_VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
+#: Tokens that a document may have before it counts as over the limit.
+TOKEN_LIMIT = 512
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -77,6 +94,21 @@ def op10_string_tiling(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.matches(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
+def op11_feast_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    """Every vector on the four leading components of the covariance of the distinct vectors, whitened."""
+    return contour_whitening.whiten(table(spark, folder, "embeddings"), components=4, scale=256)
+
+
+def op12_whole_tokens(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's bytes and tokens, and whether it has too many."""
+    return token_count.count_tokens(table(spark, folder, "documents"), BYTE_VOCABULARY, TOKEN_LIMIT)
+
+
+def op13_bit_planes(spark: SparkSession, folder: str) -> DataFrame:
+    """Every vector's cluster after three rounds from 16 drawn vectors, with exact distances."""
+    return bit_planes.cluster(table(spark, folder, "embeddings"), clusters=16, rounds=3, scale=64, seed=1)
+
+
 QUERIES = {
     "op1_deleted_interpolation": op1_deleted_interpolation,
     "op2_pii_feistel": op2_pii_feistel,
@@ -88,9 +120,55 @@ QUERIES = {
     "op8_string_kernels": op8_string_kernels,
     "op9_patience_lines": op9_patience_lines,
     "op10_string_tiling": op10_string_tiling,
+    "op11_feast_whitening": op11_feast_whitening,
+    "op12_whole_tokens": op12_whole_tokens,
+    "op13_bit_planes": op13_bit_planes,
 }
 
+
+
+def _bit_planes_sql() -> str:
+    """Three rounds and a last assignment as common table expressions over (row, component, number)."""
+    steps = []
+    for at in range(4):
+        steps.append(f"""
+        far{at} AS (
+            SELECT v.row, m.c, sum((v.x - m.x) * (v.x - m.x)) AS far FROM v JOIN mid{at} m ON m.d = v.d GROUP BY v.row, m.c
+        ), near{at} AS MATERIALIZED (
+            SELECT row, c, far FROM far{at} QUALIFY row_number() OVER (PARTITION BY row ORDER BY far, c) = 1
+        )""")
+        if at < 3:
+            steps.append(f"""
+        mid{at + 1} AS MATERIALIZED (
+            SELECT m.c, m.d, coalesce(moved.x, m.x) AS x FROM mid{at} m LEFT JOIN (
+                SELECT n.c, v.d, ((sum(v.x) - (sum(v.x) % count(*) + count(*)) % count(*)) // count(*)) AS x
+                FROM near{at} n JOIN v ON v.row = n.row GROUP BY n.c, v.d
+            ) moved ON moved.c = m.c AND moved.d = m.d
+        )""")
+    return """
+        WITH kept AS MATERIALIZED (
+            SELECT row_number() OVER (ORDER BY vec_id, embedding) AS row, vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS xs
+            FROM embeddings
+            WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), v AS MATERIALIZED (
+            SELECT row, unnest(range(64)) AS d, unnest(xs) AS x FROM kept
+        ), drawn AS (
+            SELECT row, row_number() OVER (ORDER BY sha256('1:' || vec_id) NULLS LAST, xs) - 1 AS c FROM kept QUALIFY c < 16
+        ), mid0 AS MATERIALIZED (
+            SELECT c, d, x FROM drawn JOIN v USING (row)
+        ), """ + ",".join(steps) + """,
+        digest AS (
+            SELECT c, sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY d)) AS centroid_sha256 FROM mid3 GROUP BY c
+        )
+        SELECT kept.vec_id, CAST(near3.c AS INTEGER) AS cluster, CAST(near3.far AS BIGINT) AS distance,
+            CAST(sum(near3.far) OVER (PARTITION BY near3.c) AS BIGINT) AS cluster_inertia, CAST(sum(near3.far) OVER () AS BIGINT) AS inertia,
+            digest.centroid_sha256
+        FROM kept JOIN near3 ON near3.row = kept.row JOIN digest ON digest.c = near3.c
+    """
+
+
 ORACLE_SQL = {
+    "op13_bit_planes": _bit_planes_sql(),
     "op5_jaccard_join": r"""
         WITH RECURSIVE tokens AS (
             SELECT doc_id, list_filter(string_split_regex(
