@@ -26,6 +26,7 @@ columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 from fractions import Fraction
@@ -42,6 +43,8 @@ from llm.vectors import doubles, finite
 MOST_DIMENSIONS = 4096
 #: Entries up to this size have products and sums that whole numbers of 63 bits hold in a batch.
 LARGEST = 1 << 31
+#: Distinct vectors that a task adds up at least, for each dimension at least so many, so that sums are few beside vectors.
+IN_TASK, IN_TASK_BY_DIMENSION = 50_000, 64
 #: Eigenvalues that an interval should hold at most, and nodes of the quadrature on its half circle.
 IN_INTERVAL, NODES = 8, 8
 #: Refinements of an interval before its block grows.
@@ -107,12 +110,14 @@ def _sums(fit: DataFrame, dimensions: int) -> list[int]:
     """Sums of each dimension over the vectors."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(dimensions, object)
         for whole in _batches(batches):  # below 2^31 times the rows of a batch
-            columns = [pa.array(x, pa.int64()) for x in (np.arange(dimensions), np.zeros(dimensions, np.int64), whole.sum(axis=0))]
-            yield pa.RecordBatch.from_arrays(columns, ["i", "j", "total"])
+            total = total + whole.sum(axis=0).astype(object)
+        columns = [pa.array(np.arange(dimensions)), pa.array(np.zeros(dimensions, np.int64)), pa.array([str(x) for x in total], pa.string())]
+        yield pa.RecordBatch.from_arrays(columns, ["i", "j", "total"])
 
     out = [0] * dimensions
-    for row in _added(fit.mapInArrow(run, "i bigint, j bigint, total bigint")):
+    for row in _added(fit.mapInArrow(run, "i bigint, j bigint, total string")):
         out[row.i] = int(row.total)
     return out
 
@@ -170,7 +175,8 @@ def fit_covariance(vectors: DataFrame, scale: int) -> Fit | None:
     dimensions, n = lengths[0]
     if dimensions > MOST_DIMENSIONS:
         raise ValueError(f"vectors of {dimensions} entries; the covariance of at most {MOST_DIMENSIONS} goes through the driver")
-    fit = distinct.where(F.col("dimensions") == dimensions).select("cell")
+    tasks = math.ceil(n / max(IN_TASK, IN_TASK_BY_DIMENSION * dimensions))
+    fit = distinct.where(F.col("dimensions") == dimensions).select("cell").coalesce(tasks)
     sums = _sums(fit, dimensions)
     centre = [s // n for s in sums]
     rest = [s - n * c for s, c in zip(sums, centre)]
