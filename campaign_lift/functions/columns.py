@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 from datetime import date, timedelta
+from decimal import Decimal
 from functools import reduce
 from operator import or_
 
@@ -54,6 +55,20 @@ def sum_where(condition: Column, value: Column) -> Column:
     return F.sum(F.when(condition, value))
 
 
+def micros(value: Column) -> Column:
+    """An amount as a whole number of millionths, of any numeric source type; what is no number becomes NULL.
+
+    Sums of whole numbers do not depend on the order in which partial sums meet, so a retried task cannot move a total
+    over a half cent. A total of more than nine million millions fails instead of wrapping.
+    """
+    return F.rint(value.cast("double") * 1e6).try_cast("bigint")
+
+
+def cents(total: Column) -> Column:
+    """A total of millionths as an amount, rounded to cents: exact halves go away from zero."""
+    return F.round(total.cast("decimal(20,0)") * F.lit(Decimal("0.000001")), 2).cast("double")
+
+
 def is_sunday(day: Column) -> Column:
     return F.dayofweek(day) == 1
 

@@ -6,11 +6,11 @@ from collections.abc import Sequence
 from functools import reduce
 from operator import and_
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from campaign_lift.config import BASELINE, CampaignConfig
-from campaign_lift.functions.columns import in_values, or_unknown, pad_store_code, price_type, promo_check, sum_where
+from campaign_lift.functions.columns import cents, in_values, micros, or_unknown, pad_store_code, price_type, promo_check, sum_where
 from campaign_lift.operators.metrics import kpi_rows
 from campaign_lift.operators.store_day import scale_baseline
 from campaign_lift.operators.subsets import group_period_subset
@@ -84,21 +84,20 @@ def category_sums(tables: OrderTables, cfg: CampaignConfig, measures: Sequence[s
     """The asked measures per thirteen dimensions, rounded to cents, baseline scaled."""
     sources = {name: MEASURE_FIELDS[name] for name in measures}
     items = _category_items(tables, cfg, list(ITEM_LABELS), list(sources.values()))
-    sums = [F.round(F.coalesce(F.sum(field), F.lit(0)), 2).alias(name) for name, field in sources.items()]
+    sums = [cents(F.coalesce(F.sum(micros(F.col(field))), F.lit(0))).alias(name) for name, field in sources.items()]
     pinned = seller_values(cfg)
     facts = items.groupBy(*[d for d in DIMENSIONS if d not in pinned]).agg(*sums).withColumns(pinned)
     return scale_baseline(facts.select(*DIMENSIONS, *measures), cfg, measures)
 
 
 def store_day_order_counts(tables: OrderTables, cfg: CampaignConfig) -> DataFrame:
-    """Distinct orders with at least one matching item, per day and store.
+    """Distinct orders per day and store where no item filter is set.
 
     Two steps of partial aggregation: the distinct (day, store, order) rows are spread by order,
-    so a store that holds most orders is still counted by many tasks. Without an item filter
-    every order record matches, and the count never opens the items.
+    so a store that holds most orders is still counted by many tasks. Every order record
+    matches, so the count never opens the items.
     """
-    tested = list(cfg.category.item_lists())
-    rows = _category_items(tables, cfg, tested) if tested else _chosen_orders(tables, cfg).orders
+    rows = _chosen_orders(tables, cfg).orders
     return rows.groupBy("ordered_date", "store_code").agg(F.countDistinct("order_id").alias("order_count"))
 
 
@@ -106,11 +105,12 @@ def category_raw(tables: OrderTables, cfg: CampaignConfig) -> DataFrame:
     """Category sums with the order count of their store-day.
 
     The count stands for a distinct count over a (date, store) window, which Spark does not
-    have. It is made as its own aggregate and joined back; the join is null-safe because a
-    window keeps the rows without a store code as one partition.
-
-    How the two meet is left to the planner and to adaptive execution, which know both sizes.
+    have. Without an item filter it is counted from the order records alone and joined back; the join is null-safe because
+    a window keeps the rows without a store code as one partition. How the two meet is left to the planner and to
+    adaptive execution, which know both sizes. With an item filter both come from one read of the items.
     """
+    if cfg.category.item_lists():
+        return _both_grains(tables, cfg)
     sums = category_sums(tables, cfg)
     counts = store_day_order_counts(tables, cfg).select(
         F.col("ordered_date").alias("count_date"), F.col("store_code").alias("count_store"), "order_count"
@@ -120,6 +120,30 @@ def category_raw(tables: OrderTables, cfg: CampaignConfig) -> DataFrame:
     return sums.join(counts, same_day & same_store, "left").select(*DIMENSIONS, *MEASURES, "order_count")
 
 
+def _both_grains(tables: OrderTables, cfg: CampaignConfig) -> DataFrame:
+    """Category sums and order counts from one pass over the matching items.
+
+    Two grouping sets leave the items: the dimensions with their sums, and the distinct (day, store, order) keys, which are
+    spread by order. The keys are then counted on the map side, so that one row per store-day and task travels, and meet
+    the sums of their store-day in a window: it holds the dimension rows of one store-day and no orders.
+    """
+    items = _category_items(tables, cfg, list(ITEM_LABELS), list(MEASURE_FIELDS.values()))
+    pinned = seller_values(cfg)
+    keys = [d for d in DIMENSIONS if d not in pinned]
+    store_day = ["ordered_date", "store_code"]
+    sums = [F.coalesce(F.sum(micros(F.col(field))), F.lit(0)).alias(name) for name, field in MEASURE_FIELDS.items()]
+    grains = items.groupingSets([[F.col(k) for k in keys], [F.col(k) for k in (*store_day, "order_id")]], *keys, "order_id").agg(
+        *sums, F.grouping("order_id").alias("is_fact")
+    )
+    counted = grains.groupBy(*keys, "is_fact").agg(
+        *[F.max(name).alias(name) for name in MEASURES], F.count("order_id").alias("n_orders")
+    )
+    orders = F.sum("n_orders").over(Window.partitionBy(*store_day))
+    facts = counted.withColumn("order_count", orders).where(F.col("is_fact") == 1).withColumns(pinned)
+    rounded = facts.withColumns({name: cents(F.col(name)) for name in MEASURES})
+    return scale_baseline(rounded.select(*DIMENSIONS, *MEASURES, "order_count"), cfg, MEASURES)
+
+
 def category_funnel(facts: DataFrame, cfg: CampaignConfig) -> DataFrame:
     """22 KPIs of the selected categories per group. Groups without any row are left out.
 

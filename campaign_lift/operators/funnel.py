@@ -2,48 +2,55 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from campaign_lift.config import CampaignConfig
+from campaign_lift.config import PERIODS, CampaignConfig
 from campaign_lift.functions.columns import is_sunday
 from campaign_lift.operators.metrics import STORE_SUMS, kpi_rows, periods_side_by_side, store_funnel_kpis, store_sums
-from campaign_lift.operators.subsets import group_period_subset
+from campaign_lift.operators.subsets import group_period_rows
 
 
-def group_sums(
-    facts: DataFrame, cfg: CampaignConfig, include_sunday: bool = False, probe: DataFrame | None = None
-) -> DataFrame:
-    """One row per configured group and period with its sums; zeros where there were no rows.
+def group_sums(facts: DataFrame, cfg: CampaignConfig, include_sunday: bool = False) -> DataFrame:
+    """One row per configured group and period with its sums; zeros where there were no rows, nothing at all without facts.
 
-    ``probe`` is any frame that has rows exactly when the raw fact has. When it is empty there
-    is nothing to report and no group is returned.
+    Facts may hold other stores than those of the groups, singly or as rows without a store: they only show that there
+    was traffic.
     """
-    subset = group_period_subset(facts, cfg)
+    subset = group_period_rows(facts, cfg)
     if not include_sunday:
-        subset = subset.where(~is_sunday(F.col("ordered_date")))
-    grid = _present(cfg.grid_frame(facts.sparkSession), probe)
-    sums = store_sums(subset, ["grp", "period"], count_stores=True)
-    return grid.join(sums, ["grp", "period"], "left").fillna(0, [*STORE_SUMS, "trackable_stores"])
+        subset = subset.withColumn("grp", F.when(~is_sunday(F.col("ordered_date")), F.col("grp")))
+    return _on_grid(subset, cfg, ["grp", "period"], [{"grp": F.lit(g), "period": F.lit(p)} for g in cfg.groups for p in PERIODS])
 
 
-def group_sums_both(facts: DataFrame, cfg: CampaignConfig, probe: DataFrame | None = None) -> DataFrame:
+def group_sums_both(facts: DataFrame, cfg: CampaignConfig) -> DataFrame:
     """``group_sums`` with and without Sundays, told apart by ``include_sunday``, from one aggregation: a row of a Sunday
     counts once, any other row twice."""
     flags = F.when(is_sunday(F.col("ordered_date")), F.array(F.lit(True))).otherwise(F.array(F.lit(True), F.lit(False)))
-    subset = group_period_subset(facts, cfg).withColumn("include_sunday", F.explode(flags))
-    both = F.explode(F.array(F.lit(True), F.lit(False))).alias("include_sunday")
-    grid = _present(cfg.grid_frame(facts.sparkSession), probe).select("*", both)
-    keys = ["grp", "period", "include_sunday"]
-    sums = store_sums(subset, keys, count_stores=True)
-    return grid.join(sums, keys, "left").fillna(0, [*STORE_SUMS, "trackable_stores"])
-
-
-def _present(grid: DataFrame, probe: DataFrame | None) -> DataFrame:
-    """The grid, or nothing where the probe is empty. Of the probe one row is read."""
-    if probe is None:
-        return grid
-    return grid.join(probe.select(F.lit(1).alias("present")).limit(1), F.lit(True), "left_semi")
+    subset = group_period_rows(facts, cfg).withColumn("include_sunday", F.explode(flags))
+    places = [
+        {"grp": F.lit(g), "period": F.lit(p), "include_sunday": F.lit(s)} for g in cfg.groups for p in PERIODS for s in (True, False)
+    ]
+    return _on_grid(subset, cfg, ["grp", "period", "include_sunday"], places)
+
+
+def _on_grid(subset: DataFrame, cfg: CampaignConfig, keys: list[str], places: list[dict[str, Column]]) -> DataFrame:
+    """Sums by key with a zero row at every place of the grid, if the subset has any row, whatever its group.
+
+    A grand-total grouping set comes with the sums from the same aggregation. Its one row stands for "there are facts": it
+    is opened to the places of the grid and adds nothing to them.
+    """
+    sums = store_sums(subset, keys, count_stores=True, total="is_total")
+    grid = F.array(*[F.struct(*[column.alias(key) for key, column in place.items()]) for place in places])
+    own = F.array(F.struct(*keys))
+    values = [*STORE_SUMS, "trackable_stores"]
+    placed = sums.where(F.col("is_total") | F.col("grp").isNotNull()).select(
+        F.inline(F.when(F.col("is_total"), grid).otherwise(own)),
+        *[F.when(~F.col("is_total"), F.col(v)).alias(v) for v in values],
+    )
+    filled = placed.groupBy(*keys).agg(*[F.coalesce(F.max(v), F.lit(0)).alias(v) for v in values])
+    label = F.coalesce(*[F.when(F.col("grp") == g, cfg.group_label(g)) for g in cfg.groups])
+    return filled.withColumn("grp_label", label)
 
 
 def store_funnel_both(sums: DataFrame, cfg: CampaignConfig) -> DataFrame:

@@ -29,8 +29,9 @@ SERIES_KPIS = (
 STORE_SUMS = (*TRAFFIC_MEASURES, *ORDER_MEASURES, "counted_visitors", "counted_footfall")
 
 
-def store_sums(subset: DataFrame, keys: Sequence[str], count_stores: bool = False) -> DataFrame:
-    """Sums of all store-day measures per key, 0 where there is nothing to add."""
+def store_sums(subset: DataFrame, keys: Sequence[str], count_stores: bool = False, total: str | None = None) -> DataFrame:
+    """Sums of all store-day measures per key, 0 where there is nothing to add. ``total`` names a flag: with it, a row over
+    all keys is added by a further grouping set, if there are any rows."""
     counted = F.col("pedestrian_footfall") > 0
     sums = {name: F.sum(name) for name in (*TRAFFIC_MEASURES, *ORDER_MEASURES)}
     sums["counted_visitors"] = sum_where(counted, F.col("incoming_visitors"))
@@ -39,7 +40,10 @@ def store_sums(subset: DataFrame, keys: Sequence[str], count_stores: bool = Fals
     if count_stores:
         tracked = F.when(F.col("pedestrian_footfall").isNotNull(), F.col("store_code"))
         columns.append(F.countDistinct(tracked).alias("trackable_stores"))
-    return subset.groupBy(*keys).agg(*columns).fillna(0.0, list(sums))
+    if total is None:
+        return subset.groupBy(*keys).agg(*columns).fillna(0.0, list(sums))
+    grouped = subset.groupingSets([[F.col(k) for k in keys], []], *keys).agg(*columns, (F.grouping(keys[0]) == 1).alias(total))
+    return grouped.fillna(0.0, list(sums))
 
 
 def store_ratios(value: Mapping[str, Column], vat: float) -> dict[str, Column]:

@@ -8,11 +8,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from campaign_lift.config import CampaignConfig
-from campaign_lift.functions.columns import in_dates, pad_store_code, sum_where, to_number
+from campaign_lift.functions.columns import cents, in_dates, micros, pad_store_code, sum_where, to_number
 from campaign_lift.sources.orders import OrderTables, seller_values
 from campaign_lift.sources.schemas import PC1, QUANTITY, REVENUE
 from campaign_lift.sources.traffic import campaign_traffic
 
+# Measure and column names of the fact (fixed values).
 TRAFFIC_MEASURES = ("pedestrian_footfall", "incoming_visitors", "orders")
 ORDER_MEASURES = (
     "total_revenue",
@@ -48,17 +49,26 @@ STORE_DAY_COLUMNS = (
 )
 
 
-def traffic_store_day(traffic: DataFrame, cfg: CampaignConfig) -> DataFrame:
-    """Traffic per store and day with its two rates. Footfall stays NULL where nothing was counted."""
+def traffic_store_day(traffic: DataFrame, cfg: CampaignConfig, stores: Sequence[str] | None = None) -> DataFrame:
+    """Traffic per store and day with its two rates. Footfall stays NULL where nothing was counted.
+
+    With ``stores`` given, the rows of all others become one row per day without a store: few rows are shuffled, and it
+    can still be seen whether there was any traffic.
+    """
+    return traffic_sums(campaign_traffic(traffic, cfg), cfg, stores)
+
+
+def traffic_sums(visits: DataFrame, cfg: CampaignConfig, stores: Sequence[str] | None = None) -> DataFrame:
+    """``traffic_store_day`` of traffic rows that are chosen already."""
     counted = F.col("pedestrian_footfall") > 0
     zero = F.lit(0)
+    code, name = pad_store_code(F.col("store_code")), F.col("store_name")
+    if stores is not None:
+        wanted = code.isin(list(stores))
+        code, name = F.when(wanted, code), F.when(wanted, name)
     grouped = (
-        campaign_traffic(traffic, cfg)
-        .groupBy(
-            F.col("visited_on").cast("date").alias("ordered_date"),
-            pad_store_code(F.col("store_code")).alias("store_code"),
-            "store_name",
-        )
+        visits
+        .groupBy(F.col("visited_on").cast("date").alias("ordered_date"), code.alias("store_code"), name.alias("store_name"))
         .agg(
             F.sum("pedestrian_footfall").alias("pedestrian_footfall"),
             F.coalesce(sum_where(counted, F.col("incoming_visitors")), zero).alias("counted_visitors"),
@@ -81,20 +91,40 @@ def traffic_store_day(traffic: DataFrame, cfg: CampaignConfig) -> DataFrame:
     )
 
 
-def order_store_day(tables: OrderTables, cfg: CampaignConfig) -> DataFrame:
-    """Sixteen order measures per store and day, rounded to cents at this grain."""
-    fields = (
-        REVENUE,
-        QUANTITY,
-        PC1,
-        "article_price_black_eur",
-        "article_price_red_eur",
-        "article_cost_eur",
-        "promotion_discount_eur",
-        "has_promotion",
-    )
-    items = tables.for_seller(cfg).on_dates(cfg.selected_dates).item_rows(fields)
+# Item fields that the order measures are made of.
+MEASURE_FIELDS = (
+    REVENUE,
+    QUANTITY,
+    PC1,
+    "article_price_black_eur",
+    "article_price_red_eur",
+    "article_cost_eur",
+    "promotion_discount_eur",
+    "has_promotion",
+)
+
+
+def order_store_day(tables: OrderTables, cfg: CampaignConfig, stores: Sequence[str] | None = None) -> DataFrame:
+    """Sixteen order measures per store and day, rounded to cents at this grain; of the given stores only, if any are given."""
+    chosen = tables.for_seller(cfg).on_dates(cfg.selected_dates)
+    if stores is not None:
+        chosen = chosen.where(pad_store_code(F.col("tenant")).isin(list(stores)))
+    sums = order_sums(chosen.item_rows(MEASURE_FIELDS)).withColumns(seller_values(cfg))
+    keys = ("ordered_date", "country", "company_name_short", "channel", "store_code", "store_name")
+    return sums.select(*keys, *ORDER_MEASURES)
+
+
+def order_sums(items: DataFrame) -> DataFrame:
+    """The sixteen measures of item rows per day and store. Amounts are added up as whole millionths and rounded after."""
     quantity = F.col(QUANTITY)
+    black, red = F.col("article_price_black_eur"), F.col("article_price_red_eur")
+    sold = {"revenue": F.col(REVENUE), "quantity": quantity, "PC1": F.col(PC1)}
+    discounts = {
+        "total_full_price_revenue": black * quantity,
+        "total_cost": F.col("article_cost_eur") * quantity,
+        "total_RP_discount_euro": (black - red) * quantity,
+        "total_promo_discount_euro": F.col("promotion_discount_eur") * quantity,
+    }
     splits = {
         "": F.lit(True),
         "RP_": F.col("article_price_red_eur").isNotNull(),
@@ -102,32 +132,29 @@ def order_store_day(tables: OrderTables, cfg: CampaignConfig) -> DataFrame:
         "existing_": F.col("insider_customer_type") == "EXISTING",
     }
     measures = [
-        F.round(F.coalesce(sum_where(rule, F.col(source)), F.lit(0)), 2).alias(f"total_{prefix}{name}")
-        for name, source in (("revenue", REVENUE), ("quantity", QUANTITY), ("PC1", PC1))
+        cents(F.coalesce(sum_where(rule, F.col(f"micros_{name}")), F.lit(0))).alias(f"total_{prefix}{name}")
+        for name in sold
         for prefix, rule in splits.items()
     ]
-    black, red = F.col("article_price_black_eur"), F.col("article_price_red_eur")
-    discounts = {
-        "total_full_price_revenue": black * quantity,
-        "total_cost": F.col("article_cost_eur") * quantity,
-        "total_RP_discount_euro": (black - red) * quantity,
-        "total_promo_discount_euro": F.col("promotion_discount_eur") * quantity,
-    }
-    sums = items.groupBy("ordered_date", pad_store_code(F.col("tenant")).alias("store_code"), "store_name").agg(
-        *measures, *[F.round(F.sum(value), 2).alias(name) for name, value in discounts.items()]
+    whole = items.withColumns({f"micros_{name}": micros(value) for name, value in (sold | discounts).items()})
+    return whole.groupBy("ordered_date", pad_store_code(F.col("tenant")).alias("store_code"), "store_name").agg(
+        *measures, *[cents(F.sum(f"micros_{name}")).alias(name) for name in discounts]
     )
-    keys = ("ordered_date", "country", "company_name_short", "channel", "store_code", "store_name")
-    return sums.withColumns(seller_values(cfg)).select(*keys, *ORDER_MEASURES)
 
 
-def store_day_raw(traffic: DataFrame, tables: OrderTables, cfg: CampaignConfig) -> DataFrame:
+def store_day_raw(
+    traffic: DataFrame, tables: OrderTables, cfg: CampaignConfig, stores: Sequence[str] | None = None
+) -> DataFrame:
     """Traffic store-days with the order measures of the same store and day.
 
     Both sides are aggregated before the join, so it sees store-days and not items. Traffic
     without orders keeps NULL order measures; orders without traffic drop out.
     """
-    visits = traffic_store_day(traffic, cfg).withColumn("company_name_short", F.split_part("business_unit", F.lit(" "), F.lit(1)))
-    sales = order_store_day(tables, cfg)
+    return visits_with_sales(traffic_store_day(traffic, cfg, stores), order_store_day(tables, cfg, stores))
+
+
+def visits_with_sales(visits: DataFrame, sales: DataFrame) -> DataFrame:
+    visits = visits.withColumn("company_name_short", F.split_part("business_unit", F.lit(" "), F.lit(1)))
     keys = ["ordered_date", "country", "company_name_short", "store_code", "store_name"]
     return visits.join(sales, keys, "left").select(*STORE_DAY_COLUMNS)
 
@@ -144,6 +171,8 @@ def scale_baseline(facts: DataFrame, cfg: CampaignConfig, measures: Sequence[str
     return facts.withColumns({c: to_number(F.col(c)) * factor for c in measures})
 
 
-def store_day(traffic: DataFrame, tables: OrderTables, cfg: CampaignConfig) -> DataFrame:
+def store_day(
+    traffic: DataFrame, tables: OrderTables, cfg: CampaignConfig, stores: Sequence[str] | None = None
+) -> DataFrame:
     """The store-day fact with the baseline coefficient applied."""
-    return scale_baseline(store_day_raw(traffic, tables, cfg), cfg, [*TRAFFIC_MEASURES, *ORDER_MEASURES])
+    return scale_baseline(store_day_raw(traffic, tables, cfg, stores), cfg, [*TRAFFIC_MEASURES, *ORDER_MEASURES])

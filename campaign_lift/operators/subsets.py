@@ -26,6 +26,16 @@ def group_period_subset(facts: DataFrame, cfg: CampaignConfig) -> DataFrame:
     )
 
 
+def group_period_rows(facts: DataFrame, cfg: CampaignConfig) -> DataFrame:
+    """``group_period_subset`` that keeps the rows of stores outside all groups, without a group."""
+    spark = facts.sparkSession
+    return (
+        facts.join(cfg.period_frame(spark), "ordered_date")
+        .join(cfg.member_frame(spark), "store_code", "left")
+        .select("grp", "period", *facts.columns)
+    )
+
+
 def store_subset_export(facts: DataFrame, cfg: CampaignConfig) -> DataFrame:
     """Store-day rows of every group and period in export order."""
     rows = group_period_subset(facts, cfg).withColumn("weekday", day_name(F.col("ordered_date")))

@@ -16,7 +16,6 @@ from campaign_lift.functions import formats
 from campaign_lift.operators import bridges, category, decision, funnel, impact, narrative, promotion, series, store_day, subsets
 from campaign_lift.sources import options
 from campaign_lift.sources.orders import OrderTables
-from campaign_lift.sources.traffic import campaign_traffic
 
 
 @dataclass(frozen=True)
@@ -80,16 +79,21 @@ class Campaign:
 
     # store level
 
+    @cached_property
+    def _member_days(self) -> DataFrame:
+        """Store-days for sums by group: if the fact is not held, those of other stores come as one row per day."""
+        if self._facts_held:
+            return self.store_day
+        return store_day.store_day(self.traffic, self.tables, self.cfg, self.cfg.all_store_codes)
+
     @cached_property
     def group_sums(self) -> DataFrame:
-        probe = campaign_traffic(self.traffic, self.cfg)
-        return funnel.group_sums(self.store_day, self.cfg, self.include_sunday, probe)
+        return funnel.group_sums(self._member_days, self.cfg, self.include_sunday)
 
     @cached_property
     def store_funnel_both(self) -> DataFrame:
         """The funnel with and without Sundays in one pass, whatever ``include_sunday`` says."""
-        sums = funnel.group_sums_both(self.store_day, self.cfg, campaign_traffic(self.traffic, self.cfg))
-        return funnel.store_funnel_both(sums, self.cfg)
+        return funnel.store_funnel_both(funnel.group_sums_both(self._member_days, self.cfg), self.cfg)
 
     @cached_property
     def store_funnel(self) -> DataFrame:

@@ -64,6 +64,11 @@ def _of(build: Callable[[Campaign], DataFrame], cfg: CampaignConfig = STANDARD,
     return lambda spark, folder: build(campaign(spark, folder, cfg, include_sunday))
 
 
+def _in_eighths(build: Callable[[OrderTables, CampaignConfig], DataFrame]) -> Query:
+    """A fact over amounts in eighths of a euro, in which halves of a cent occur."""
+    return lambda spark, folder: build(sample_tables(spark, folder, steps=8), STANDARD)
+
+
 def _nested_items(spark: SparkSession, folder: str) -> DataFrame:
     """Item rows opened from order records."""
     tables = OrderTables.from_nested(sample_nested_orders(spark, folder))
@@ -133,6 +138,8 @@ def all_queries() -> dict[str, Query]:
         "nested_order_items": _nested_items,
         "traffic_store_day": _of(lambda c: store_day.traffic_store_day(c.traffic, c.cfg)),
         "order_store_day": _of(lambda c: store_day.order_store_day(c.tables, c.cfg)),
+        "order_store_day_eighths": _in_eighths(store_day.order_store_day),
+        "category_raw_eighths": _in_eighths(category.category_raw),
         "store_day_raw": _of(lambda c: c.store_day_raw),
         "store_day_scaled": _of(lambda c: c.store_day, replace(STANDARD, baseline_coefficient=1.1)),
         "store_subset_export": _of(lambda c: c.store_subset_export),

@@ -59,17 +59,22 @@ def sample_order_rows(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def _priced(lines: DataFrame) -> DataFrame:
-    """Lines joined to their parts, as item rows. Amounts are whole numbers."""
+def _priced(lines: DataFrame, steps: int) -> DataFrame:
+    """Lines joined to their parts, as item rows. Amounts are whole numbers of 1/steps euro; with a power of two as steps
+    they and their sums are exact doubles, and halves of a cent are true ties."""
     unit = "try_divide(l_extendedprice, l_quantity)"
+
+    def whole(amount: str) -> str:
+        return f"CAST(floor({amount}) AS DOUBLE)" if steps == 1 else f"floor(({amount}) * {steps}) / {steps}D"
+
     amounts = lines.selectExpr(
         *ORDER_COLUMNS,
         "l_linenumber AS item_no",
-        f"CAST(floor({unit}) AS DOUBLE) AS black",
-        f"CASE WHEN l_discount > 0.055D THEN CAST(floor({unit} * (1 - l_discount)) AS DOUBLE) END AS red",
-        f"CASE WHEN l_discount > 0.085D THEN CAST(floor({unit} * 0.5D) AS DOUBLE) END AS green",
-        f"CAST(floor({unit} * 0.4D) AS DOUBLE) AS cost",
-        f"CASE WHEN l_linestatus = 'F' THEN CAST(floor({unit} * l_tax) AS DOUBLE) ELSE 0D END AS promo",
+        f"{whole(unit)} AS black",
+        f"CASE WHEN l_discount > 0.055D THEN {whole(f'{unit} * (1 - l_discount)')} END AS red",
+        f"CASE WHEN l_discount > 0.085D THEN {whole(f'{unit} * 0.5D')} END AS green",
+        f"{whole(f'{unit} * 0.4D')} AS cost",
+        f"CASE WHEN l_linestatus = 'F' THEN {whole(f'{unit} * l_tax')} ELSE 0D END AS promo",
         "CASE WHEN l_returnflag = 'R' THEN 0D ELSE l_quantity END AS qty",
         "l_linestatus = 'F' AS has_promotion",
         """CASE WHEN l_linestatus <> 'F' OR l_linestatus IS NULL THEN CAST(array() AS ARRAY<STRING>)
@@ -91,7 +96,7 @@ def _priced(lines: DataFrame) -> DataFrame:
         "promo AS promotion_discount_eur",
         f"qty AS {QUANTITY}",
         f"{revenue} AS {REVENUE}",
-        f"CAST(floor({revenue} / 1.19D) AS DOUBLE) - cost * qty AS {PC1}",
+        f"{whole(f'({revenue}) / 1.19D')} - cost * qty AS {PC1}",
         "has_promotion",
         "transform(promotion_ids, p -> named_struct('promotion_id', p)) AS promotions",
         "article_section_group",
@@ -114,7 +119,7 @@ def _orders_without_lines(spark: SparkSession, folder: str, orders: DataFrame) -
     return orders.join(keys, F.col("o_orderkey") == F.col("l_orderkey"), "left_anti")
 
 
-def sample_item_rows(spark: SparkSession, folder: str) -> DataFrame:
+def sample_item_rows(spark: SparkSession, folder: str, steps: int = 1) -> DataFrame:
     """One row per order item, empty orders kept with NULL item fields.
 
     An outer join could not split a hot order key, so the matched rows come from an inner join
@@ -125,7 +130,8 @@ def sample_item_rows(spark: SparkSession, folder: str) -> DataFrame:
     matched = _priced(
         _table(spark, folder, "lineitem")
         .join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
-        .join(_table(spark, folder, "part"), F.col("l_partkey") == F.col("p_partkey"))
+        .join(_table(spark, folder, "part"), F.col("l_partkey") == F.col("p_partkey")),
+        steps,
     )
     empty = _orders_without_lines(spark, folder, orders).select(*ORDER_COLUMNS)
     return matched.unionByName(empty, allowMissingColumns=True)
@@ -146,5 +152,5 @@ def sample_nested_orders(spark: SparkSession, folder: str) -> DataFrame:
     return records.select(*ORDER_COLUMNS, F.col("order_items").cast(ORDERS["order_items"].dataType).alias("order_items"))
 
 
-def sample_tables(spark: SparkSession, folder: str) -> OrderTables:
-    return OrderTables.from_rows(sample_order_rows(spark, folder), sample_item_rows(spark, folder))
+def sample_tables(spark: SparkSession, folder: str, steps: int = 1) -> OrderTables:
+    return OrderTables.from_rows(sample_order_rows(spark, folder), sample_item_rows(spark, folder, steps))

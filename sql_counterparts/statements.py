@@ -45,6 +45,11 @@ items AS (
   FROM orders LEFT JOIN lines ON l_orderkey = o_orderkey
 )"""
 
+# The same items with all amounts in eighths of a euro, so that halves of a cent occur.
+EIGHTHS = re.sub(
+    r"CAST\(floor\((.+?)\) AS DOUBLE\)(?= AS| END| ELSE| -)", r"CAST(floor((\1) * 8) AS DOUBLE) / CAST(8 AS DOUBLE)", ITEMS
+)
+
 SOLD = """
 sold AS (
   SELECT *, CAST(ordered_at AS DATE) AS ordered_date, lpad(CAST(tenant AS VARCHAR), 4, '0') AS store_code
@@ -928,6 +933,8 @@ SELECT order_id, ordered_at, tenant, insider AS insider_customer_type, item_no,
   CASE WHEN item_no IS NOT NULL THEN coalesce(promotion_ids, '') END AS promotion_ids, revenue, qty AS quantity, pc1 FROM items""",
         "traffic_store_day": _with(CONFIG, TRAFFIC_DAY) + "\nSELECT * FROM traffic_day",
         "order_store_day": _with(CONFIG, ITEMS, SOLD, ORDER_DAY) + "\nSELECT * FROM order_day",
+        "order_store_day_eighths": _with(CONFIG, EIGHTHS, SOLD, ORDER_DAY) + "\nSELECT * FROM order_day",
+        "category_raw_eighths": _with(CONFIG, EIGHTHS, SOLD, _category()) + f"\nSELECT {category_columns} FROM category_day",
         "store_day_raw": _with(*_store()) + f"\nSELECT {store_columns} FROM store_day",
         "store_day_scaled": _with(*_store(1.1)) + f"\nSELECT {store_columns} FROM store_day",
         "store_subset_export": _with(*_store()) + f'\nSELECT {store_columns}, weekday, grp AS "group", period FROM subset',

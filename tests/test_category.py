@@ -61,12 +61,10 @@ def test_order_count_follows_the_filters(tables):
     assert counts(article_seasons=("SS",)) == {}
 
 
-def test_counts_agree_with_and_without_opening_items(tables):
-    cfg = config()
+def test_both_grains_agree_with_and_without_opening_items(tables):
     every_type = config(category=CategoryFilter(price_types=("RP", "BP")))
-    key = ("ordered_date", "store_code")
-    assert as_dicts(category.store_day_order_counts(tables, cfg), *key) == as_dicts(
-        category.store_day_order_counts(tables, every_type), *key
+    assert as_dicts(category.category_raw(tables, config()), *category.DIMENSIONS) == as_dicts(
+        category.category_raw(tables, every_type), *category.DIMENSIONS
     )
 
 

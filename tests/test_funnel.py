@@ -1,4 +1,4 @@
-from datetime import date, datetime
+from datetime import date, date, datetime
 
 import pytest
 
@@ -192,10 +192,23 @@ def test_negative_baseline_keeps_the_sign_of_the_base(spark):
     assert row["abs_diff"] == 15.0 and row["pct_diff"] == -1.5
 
 
-def test_group_sums_without_probe(tables):
+def test_group_sums_of_single_and_of_gathered_stores_agree(tables):
+    cfg = config(groups={"Group 1": ["1"], "Group 4": []})
+    every = funnel.group_sums(store_day.store_day(*tables, cfg), cfg)
+    gathered = funnel.group_sums(store_day.store_day(*tables, cfg, cfg.all_store_codes), cfg)
+    assert as_dicts(every, "grp", "period") == as_dicts(gathered, "grp", "period") and every.count() == 4
+
+
+def test_traffic_of_other_stores_gives_zeros_and_no_traffic_gives_nothing(spark):
     cfg = config()
-    facts = store_day.store_day(*tables, cfg)
-    assert funnel.group_sums(facts, cfg).count() == 8
+    orders = order_tables(spark, [])
+    elsewhere = Campaign(traffic_frame(spark, [visit(D1, 9, 5, 5, 5)]), orders, cfg)
+    assert elsewhere.store_funnel.count() == 4 * 26 and elsewhere.store_funnel_both.count() == 8 * 26
+    assert {r["baseline_value"] for r in as_dicts(elsewhere.store_funnel)} == {0.0}
+    on_a_sunday = Campaign(traffic_frame(spark, [visit(date(2024, 1, 7), 1, 5, 5, 5)]), orders, cfg)
+    assert {r["promo_value"] for r in as_dicts(on_a_sunday.store_funnel)} == {0.0}
+    nothing = Campaign(traffic_frame(spark, [visit(date(2023, 1, 7), 1, 5, 5, 5)]), orders, cfg)
+    assert nothing.store_funnel.count() == 0 and nothing.store_funnel_both.count() == 0
 
 
 def test_no_pairs_and_no_promo_dates(tables):

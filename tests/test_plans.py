@@ -1,5 +1,7 @@
 """What the physical plans must and must not hold."""
 
+import pytest
+
 from __spark_entry__ import queries
 from tests.conftest import plan_text
 
@@ -28,3 +30,18 @@ def test_counts_do_not_shuffle_items(spark):
     assert plan.count("partial_count(distinct") >= 1
     items = [line for line in plan.split("\n") if "FileScan" in line and "l_extendedprice" in line]
     assert len(items) == 1
+
+
+def scans(plan: str, column: str) -> int:
+    return sum("FileScan" in line and column in line for line in plan.split("\n"))
+
+
+@pytest.mark.parametrize("name", ["store_funnel", "store_funnel_both", "store_promo_impact", "ab_winner", "driver_summary", "report_payload"])
+def test_traffic_is_scanned_once_for_sums_and_presence(spark, name):
+    plan = plan_text(queries()[name](spark, FOLDER))
+    assert scans(plan, "event_type") == 1 and "NestedLoop" not in plan
+
+
+def test_one_read_of_the_items_feeds_sums_and_order_counts(spark):
+    plan = plan_text(queries()["category_raw_filtered"](spark, FOLDER))
+    assert scans(plan, "l_extendedprice") == 1 and "Expand" in plan

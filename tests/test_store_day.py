@@ -1,10 +1,14 @@
 from datetime import date, datetime
 
 import pytest
+from pyspark.sql import functions as F
 
+from campaign_lift.operators import category
 from campaign_lift.operators import store_day as sd
 from campaign_lift.operators.subsets import group_period_subset, store_subset_export
 from campaign_lift.plans.campaign import Campaign
+from campaign_lift.sources.orders import OrderTables
+from campaign_lift.sources.schemas import ITEM_COLUMNS, ORDERS, REVENUE
 from tests.conftest import as_dicts, config, item, order, order_tables, traffic_frame, visit
 
 D1, D2 = date(2024, 1, 1), date(2024, 1, 2)
@@ -145,3 +149,42 @@ def test_long_store_codes_stay_apart(spark):
     run = Campaign(traffic_frame(spark, rows), order_tables(spark, orders), cfg)
     found = {(r["grp"], r["baseline_value"]) for r in run.store_funnel.where("kpi = 'total revenue'").collect()}
     assert found == {("Group 1", 12345.0), ("Group 3", 12346.0)}
+
+
+def test_sums_do_not_depend_on_the_order_of_partial_sums(spark):
+    # sums of doubles over such amounts differ in the last places, and the totals lie on half cents
+    amounts = [0.1, 0.7, 1e9 + 0.005, 3.3, -1e9, 0.125, 2.2, 1e-3] * 40
+    orders = [order(i, NOON, 1, [item(revenue=x, pc1=x / 2, quantity=3.0, black=19.99, cost=x)]) for i, x in enumerate(amounts)]
+    frame = spark.createDataFrame(orders, ORDERS)
+    results = set()
+    for parts in (1, 2, 3, 7, 16):
+        tables = OrderTables.from_nested(frame.repartition(parts, F.rand(parts)))
+        results.add(str(as_dicts(sd.order_store_day(tables, config()))) + str(as_dicts(category.category_raw(tables, config()))))
+    assert len(results) == 1
+    row = as_dicts(sd.order_store_day(OrderTables.from_nested(frame), config()))[0]
+    assert row["total_revenue"] == round(40 * (0.1 + 0.7 + 0.005 + 3.3 + 0.125 + 2.2 + 0.001), 2)
+    assert row["total_full_price_revenue"] == round(320 * 19.99 * 3, 2)
+
+
+@pytest.mark.parametrize("total, cents", [(0.125, 0.13), (0.375, 0.38), (-0.125, -0.13), (2.675, 2.68), (1.005, 1.01), (0.1249, 0.12)])
+def test_halves_of_a_cent_go_away_from_zero(spark, total, cents):
+    tables = order_tables(spark, [order(1, NOON, 1, [item(revenue=total - 5), item(revenue=5.0)])])
+    assert as_dicts(sd.order_store_day(tables, config()))[0]["total_revenue"] == cents
+    assert sum(r["total_revenue"] for r in as_dicts(category.category_raw(tables, config()))) == cents
+
+
+def test_decimal_amounts_are_added_exactly(spark):
+    rows = spark.createDataFrame([order(i, NOON, 1, [item(revenue=0.005, black=1.1, quantity=2.0)]) for i in range(3)], ORDERS)
+    items = "transform(order_items, i -> named_struct(%s)) AS order_items"
+    money = {REVENUE, "article_price_black_eur", "article_price_red_eur", "article_cost_eur", "promotion_discount_eur"}
+    fields = ", ".join(f"'{c}', {f'CAST(i.{c} AS DECIMAL(12,3))' if c in money else f'i.{c}'}" for c in ITEM_COLUMNS)
+    decimal = rows.selectExpr(*[c for c in rows.columns if c != "order_items"], items % fields)
+    tables = OrderTables.from_nested(decimal)
+    row = as_dicts(sd.order_store_day(tables, config()))[0]
+    assert row["total_revenue"] == 0.02 and row["total_full_price_revenue"] == 6.6  # 0.015 is a tie
+    assert as_dicts(category.category_raw(tables, config()))[0]["total_revenue"] == 0.02
+
+
+def test_amounts_that_are_no_numbers_are_left_out(spark):
+    tables = order_tables(spark, [order(1, NOON, 1, [item(revenue=float("nan")), item(revenue=float("inf")), item(revenue=2.0)])])
+    assert as_dicts(sd.order_store_day(tables, config()))[0]["total_revenue"] == 2.0
