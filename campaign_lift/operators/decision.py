@@ -16,6 +16,7 @@ from campaign_lift.config import CampaignConfig
 
 PRIMARY_KPIS = ("total revenue", "total PC1", "margin")  # fixed value
 RANKINGS = ("top_positive", "top_negative", "top_absolute")
+PAIR = ("control_group", "testing_group")
 FUNNEL_FIELDS = ("kpi_seq", "kpi", "baseline_value", "promo_value", "pct_diff", "abs_diff")
 
 
@@ -24,10 +25,15 @@ def pair_tables(funnel: DataFrame, cfg: CampaignConfig) -> DataFrame:
 
     Arrays keep the KPI order; the maps find a row by its KPI.
     """
+    return pairs_of_roles(funnel, cfg.role_frame(funnel.sparkSession))
+
+
+def pairs_of_roles(funnel: DataFrame, roles: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """``pair_tables`` by a table of roles. ``keys`` are further keys of funnel and roles, such as the campaign."""
     row = F.struct(*FUNNEL_FIELDS)
     packed = (
-        funnel.join(cfg.role_frame(funnel.sparkSession), "grp")
-        .groupBy("control_group", "testing_group")
+        funnel.join(roles, [*keys, "grp"])
+        .groupBy(*keys, *PAIR)
         .agg(
             F.array_sort(F.collect_list(F.when(F.col("role") == "control", row))).alias("control_funnel"),
             F.array_sort(F.collect_list(F.when(F.col("role") == "testing", row))).alias("testing_funnel"),
@@ -80,14 +86,13 @@ def top_drivers(rows: Column | str, value: str, top_n: int = 5, min_abs_value: f
     return F.struct(*[best(ranks[name]).alias(name) for name in RANKINGS])
 
 
-def kpi_drivers(pairs: DataFrame, top_n: int = 5, min_abs_value: float = 0.0) -> DataFrame:
+def kpi_drivers(pairs: DataFrame, top_n: int = 5, min_abs_value: float = 0.0, keys: Sequence[str] = PAIR) -> DataFrame:
     """(control_group, testing_group, source, ranking, position, kpi, value) for all three tables of a pair."""
     sources = {
         "control_group_drivers": top_drivers("control_funnel", "pct_diff", top_n, min_abs_value),
         "testing_group_drivers": top_drivers("testing_funnel", "pct_diff", top_n, min_abs_value),
         "promo_impact_drivers": top_drivers("promo_impact", "testing_minus_control_pct_diff", top_n, min_abs_value),
     }
-    keys = ("control_group", "testing_group")
     ranked = pairs.select(*keys, *[column.alias(name) for name, column in sources.items()])
     lists = [
         F.struct(F.lit(source).alias("source"), F.lit(ranking).alias("ranking"), F.col(source)[ranking].alias("entries"))
@@ -153,12 +158,11 @@ def winner_struct(
     )
 
 
-def ab_winner(pairs: DataFrame, **rules) -> DataFrame:
+def ab_winner(pairs: DataFrame, keys: Sequence[str] = PAIR, **rules) -> DataFrame:
     """Winner, confidence, votes and reasons per pair."""
-    rows = pairs.select("control_group", "testing_group", winner_struct(**rules).alias("w"))
+    rows = pairs.select(*keys, winner_struct(**rules).alias("w"))
     return rows.select(
-        "control_group",
-        "testing_group",
+        *keys,
         F.col("w")["winner"].alias("winner"),
         F.col("w")["confidence"].alias("confidence"),
         F.col("w")["vote_count"]["testing"].alias("testing_votes"),
@@ -168,9 +172,9 @@ def ab_winner(pairs: DataFrame, **rules) -> DataFrame:
     )
 
 
-def ab_comparisons(pairs: DataFrame, **rules) -> DataFrame:
+def ab_comparisons(pairs: DataFrame, keys: Sequence[str] = PAIR, **rules) -> DataFrame:
     """The KPI-by-KPI decisions behind the winner."""
-    return ab_winner(pairs, **rules).select("control_group", "testing_group", F.inline("comparisons"))
+    return ab_winner(pairs, keys, **rules).select(*keys, F.inline("comparisons"))
 
 
 def report_payload(pairs: DataFrame, cfg: CampaignConfig, top_n: int = 5) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,10 +16,15 @@ def promo_impact(funnel: DataFrame, cfg: CampaignConfig) -> DataFrame:
     The funnel is read once: its rows take their role in each pair by a join on the group and
     meet again in one small aggregation. KPIs that only one side has drop out.
     """
+    return impact_of_roles(funnel, cfg.role_frame(funnel.sparkSession))
+
+
+def impact_of_roles(funnel: DataFrame, roles: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """``promo_impact`` by a table of roles. ``keys`` are further keys of funnel and roles, such as the campaign."""
     changes = F.struct("pct_diff", "abs_diff")
     sides = (
-        funnel.join(cfg.role_frame(funnel.sparkSession), "grp")
-        .groupBy("control_group", "testing_group", "kpi_seq", "kpi")
+        funnel.join(roles, [*keys, "grp"])
+        .groupBy(*keys, "control_group", "testing_group", "kpi_seq", "kpi")
         .agg(
             F.max(F.when(F.col("role") == "control", changes)).alias("control"),
             F.max(F.when(F.col("role") == "testing", changes)).alias("testing"),
@@ -26,6 +33,7 @@ def promo_impact(funnel: DataFrame, cfg: CampaignConfig) -> DataFrame:
     )
     control, testing = F.col("control"), F.col("testing")
     return sides.select(
+        *keys,
         "control_group",
         "testing_group",
         "kpi_seq",

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from campaign_lift.config import CampaignConfig
+from campaign_lift.config import PROMO_MECHANISMS, CampaignConfig
 from campaign_lift.functions import wording as W
 from campaign_lift.functions.formats import abs_percent_or_na, number_or_na
+from campaign_lift.operators.decision import PAIR
 
 ROLE_LABELS = {"control": "Group A", "testing": "Group B"}  # fixed value
 
@@ -21,8 +24,8 @@ def _is(name: str, way: str) -> Column:
     return F.col(name) == way
 
 
-def group_facts(pairs: DataFrame) -> DataFrame:
-    """One row per pair and role with the changes that the rules read."""
+def group_facts(pairs: DataFrame, keys: Sequence[str] = PAIR) -> DataFrame:
+    """One row per pair and role with the changes that the rules read. ``keys`` are the columns that name a pair."""
     sides = F.array(
         *[
             F.struct(
@@ -34,7 +37,7 @@ def group_facts(pairs: DataFrame) -> DataFrame:
             for role, label in ROLE_LABELS.items()
         ]
     )
-    rows = pairs.select("control_group", "testing_group", F.inline(sides))
+    rows = pairs.select(*keys, F.inline(sides))
 
     def read_kpi(kpi: str, field: str) -> Column:
         return F.col("by_kpi")[kpi][field]
@@ -78,14 +81,19 @@ def group_facts(pairs: DataFrame) -> DataFrame:
     )
 
 
-def driver_codes(pairs: DataFrame, cfg: CampaignConfig) -> DataFrame:
-    """Facts of each pair and role with the outcome of every rule as a code."""
-    return group_facts(pairs).withColumns(
+def driver_codes(pairs: DataFrame, mechanism: str | Column, keys: Sequence[str] = PAIR) -> DataFrame:
+    """Facts of each pair and role with the outcome of every rule as a code. The mechanism is one of PROMO_MECHANISMS, or a
+    column of them among the keys."""
+    if isinstance(mechanism, str):
+        price_mix = _price_mix_code(mechanism.upper())
+    else:
+        price_mix = F.coalesce(*[F.when(F.upper(mechanism) == m, _price_mix_code(m)) for m in PROMO_MECHANISMS])
+    return group_facts(pairs, keys).withColumns(
         {
             "aov_code": _aov_code(),
             "order_code": _order_code(),
             "item_code": _item_code(),
-            "price_mix_code": _price_mix_code(cfg.promo_mechanism.upper()),
+            "price_mix_code": price_mix,
             "customer_code": _customer_code(),
         }
     )
@@ -221,15 +229,14 @@ def _customer_sentence() -> Column:
     return F.when(code == "UNAVAILABLE", W.CUSTOMER_MISSING).otherwise(text)
 
 
-def driver_sentences(codes: DataFrame) -> DataFrame:
+def driver_sentences(codes: DataFrame, keys: Sequence[str] = PAIR) -> DataFrame:
     """The five sentences of each pair and role, from ``driver_codes``."""
     revenue = _holes("revenue")
     overall = W.fill(
         W.OVERALL, label=F.col("label"), group=F.col("grp"), verb=revenue["revenue_verb"], pct=revenue["revenue_pct"]
     )
     return codes.select(
-        "control_group",
-        "testing_group",
+        *keys,
         "role",
         "label",
         "grp",
@@ -243,9 +250,12 @@ def driver_sentences(codes: DataFrame) -> DataFrame:
 
 def driver_insights(pairs: DataFrame, cfg: CampaignConfig) -> DataFrame:
     """Rule outcomes per pair and role."""
-    return driver_codes(pairs, cfg).select(
-        "control_group",
-        "testing_group",
+    return insights_of(driver_codes(pairs, cfg.promo_mechanism))
+
+
+def insights_of(codes: DataFrame, keys: Sequence[str] = PAIR) -> DataFrame:
+    return codes.select(
+        *keys,
         "role",
         "grp",
         "revenue_dir",
@@ -265,7 +275,13 @@ def driver_insights(pairs: DataFrame, cfg: CampaignConfig) -> DataFrame:
 
 def driver_summary(pairs: DataFrame, cfg: CampaignConfig) -> DataFrame:
     """(control_group, testing_group, summary): the whole text of each pair."""
-    sentences = driver_sentences(driver_codes(pairs, cfg))
+    baseline, promo = (F.lit(", ".join(map(str, days))) for days in (cfg.baseline_dates, cfg.promo_dates))
+    return summary_of(driver_codes(pairs, cfg.promo_mechanism), baseline, promo)
+
+
+def summary_of(codes: DataFrame, baseline: Column, promo: Column, keys: Sequence[str] = PAIR) -> DataFrame:
+    """Keys and summary of each pair, from ``driver_codes`` and the dates of both periods as text, made of the keys."""
+    sentences = driver_sentences(codes, keys)
     block = F.concat_ws(
         "\n",
         W.fill(W.GROUP_HEADING, label=F.col("label")),
@@ -278,24 +294,20 @@ def driver_summary(pairs: DataFrame, cfg: CampaignConfig) -> DataFrame:
         F.lit(""),
     )
     blocks = (
-        sentences.select("control_group", "testing_group", "role", block.alias("block"))
-        .groupBy("control_group", "testing_group")
+        sentences.select(*keys, "role", block.alias("block"))
+        .groupBy(*keys)
         .agg(*[F.max(F.when(F.col("role") == role, F.col("block"))).alias(role) for role in ROLE_LABELS])
     )
-    dates = {
-        name: F.lit(", ".join(str(d) for d in days))
-        for name, days in (("baseline", cfg.baseline_dates), ("promo", cfg.promo_dates))
-    }
     summary = F.concat_ws(
         "\n",
         F.lit(W.TITLE),
         F.lit(""),
-        W.fill(W.BASELINE_LINE, dates=dates["baseline"]),
-        W.fill(W.PROMO_LINE, dates=dates["promo"]),
+        W.fill(W.BASELINE_LINE, dates=baseline),
+        W.fill(W.PROMO_LINE, dates=promo),
         F.lit(""),
         "control",
         "testing",
         F.lit(W.RULE),
         F.lit(W.NOTE),
     )
-    return blocks.select("control_group", "testing_group", summary.alias("summary"))
+    return blocks.select(*keys, summary.alias("summary"))

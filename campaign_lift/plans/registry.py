@@ -14,7 +14,9 @@ from campaign_lift.config import CampaignConfig, CategoryFilter, expand_dates, l
 from campaign_lift.functions import formats
 from campaign_lift.operators import bridges, category, decision, funnel, impact, store_day
 from campaign_lift.plans.campaign import Campaign
+from campaign_lift.plans.campaigns import Campaigns
 from campaign_lift.sources import options
+from campaign_lift.sources.campaign_tables import CampaignTables
 from campaign_lift.sources.orders import OrderTables
 from campaign_lift.sources.sample_tables import sample_nested_orders, sample_order_rows, sample_tables, sample_traffic
 from campaign_lift.sources.schemas import PC1, QUANTITY, REVENUE
@@ -124,7 +126,56 @@ def _date_set(spark: SparkSession, folder: str) -> DataFrame:
     return orders.join(days, "ordered_date").orderBy("ordered_date")
 
 
-def _winner(c: Campaign) -> DataFrame:
+#: How many campaigns the queries over campaign tables hold.
+MANY = 50
+
+
+def sample_campaigns(spark: SparkSession) -> CampaignTables:
+    """Fifty overlapping campaigns: windows overlap and lie in either order, one has no promo day, one lies where no data
+    are, groups share stores, and every fifth campaign has a group without any."""
+    ids = spark.range(MANY).withColumn("campaign", F.format_string("C%02d", "id"))
+    start = "date_add(CASE WHEN id = 49 THEN DATE '2022-01-01' ELSE DATE '2024-01-01' END, CAST(id % 14 AS INT))"
+    windows = ids.selectExpr(
+        "campaign",
+        f"""inline(array(
+            named_struct('period', 'Baseline Period', 'first_day', {start}, 'last_day', date_add({start}, 6)),
+            named_struct('period', 'Baseline Period', 'first_day', date_add({start}, 4), 'last_day', date_add({start}, 8)),
+            named_struct('period', 'Promo Period', 'first_day', date_add({start}, IF(id % 2 = 0, 8, 15)),
+                'last_day', IF(id = 48, NULL, date_add({start}, IF(id % 2 = 0, 15, 8))))))""",
+    )
+    members = ids.selectExpr(
+        "campaign",
+        """inline(transform(array(0, 1, 13, 14, 11, IF(id % 5 = 0, NULL, 26)),
+            k -> named_struct('grp', concat('Group ', 1 + CAST(floor(k / 10) AS INT)), 'store_code', CAST((id + k % 10) % 8 AS STRING))))""",
+    )
+    return CampaignTables(
+        campaigns=ids.selectExpr(
+            "campaign",
+            "IF(id % 2 = 0, 1.19D, 1.2D) AS vat",
+            "element_at(array(1D, 1.5D, 0.5D), 1 + CAST(id % 3 AS INT)) AS baseline_coefficient",
+            "element_at(array('BOTH', 'BP_ONLY', 'RP_ONLY'), 1 + CAST(id % 3 AS INT)) AS promo_mechanism",
+            "id % 4 = 0 AS include_sunday",
+        ),
+        groups=ids.selectExpr("campaign", "explode(array('Group 1', 'Group 2', 'Group 3')) AS grp"),
+        members=members.where("grp IS NOT NULL AND store_code IS NOT NULL"),
+        windows=windows,
+        pairs=ids.selectExpr(
+            "campaign",
+            """inline(array(named_struct('control_group', 'Group 1', 'testing_group', 'Group 2'),
+                named_struct('control_group', 'Group 2', 'testing_group', 'Group 3')))""",
+        ),
+    )
+
+
+def sample_many(spark: SparkSession, folder: str) -> Campaigns:
+    return Campaigns(sample_traffic(spark, folder), sample_tables(spark, folder), STANDARD, sample_campaigns(spark))
+
+
+def _of_many(build: Callable[[Campaigns], DataFrame]) -> Query:
+    return lambda spark, folder: build(sample_many(spark, folder))
+
+
+def _winner(c: Campaign | Campaigns) -> DataFrame:
     rows = c.ab_winner()
     return rows.select(
         *[n for n in rows.columns if n not in ("comparisons", "reason_codes")],
@@ -198,6 +249,14 @@ def all_queries() -> dict[str, Query]:
         "store_funnel_display": _of(lambda c: funnel.for_display(formats.format_funnel(c.store_funnel), "Group 1")),
         "impact_formatted": _of(lambda c: formats.format_impact(c.store_promo_impact)),
     }
+    queries |= {
+        "campaigns_store_funnel": _of_many(lambda c: c.store_funnel),
+        "campaigns_promo_impact": _of_many(lambda c: c.store_promo_impact),
+        "campaigns_ab_winner": _of_many(_winner),
+        "campaigns_ab_comparisons": _of_many(lambda c: c.ab_comparisons()),
+        "campaigns_kpi_drivers": _of_many(lambda c: c.kpi_drivers(top_n=3)),
+        "campaigns_driver_insights": _of_many(lambda c: c.driver_insights),
+    }
     for mechanism in ("BP_ONLY", "RP_ONLY"):
         queries[f"driver_summary_{mechanism.lower()}"] = _of(
             lambda c: c.driver_summary, replace(STANDARD, promo_mechanism=mechanism)

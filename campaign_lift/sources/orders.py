@@ -11,8 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from campaign_lift.config import CampaignConfig
-from campaign_lift.functions.columns import in_dates
+from campaign_lift.config import CampaignConfig, expand_dates
+from campaign_lift.functions.columns import in_dates, pad_store_code
 from campaign_lift.sources.schemas import ITEM_COLUMNS, ORDER_COLUMNS, ORDER_ITEM, ORDERS, require_columns, require_types
 
 
@@ -126,6 +126,18 @@ class OrderTables:
         return self.where(condition).with_order_column("ordered_date", day)
 
 
+    def on_days_of(self, days: DataFrame, first: date, last: date) -> OrderTables:
+        """Orders of the UTC days that a table ``ordered_date`` lists, with their day. The bounds of the table, which the
+        caller knows, reach the scan; its days are a semi join."""
+        bounded = self.on_dates(expand_dates(first, last))
+        return bounded._with(lambda rows: rows.join(days, "ordered_date", "left_semi"))
+
+    def of_stores_in(self, stores: DataFrame) -> OrderTables:
+        """Orders of the stores that a table ``store_code`` lists, with their padded code."""
+        coded = self.with_order_column("store_code", pad_store_code(F.col("tenant")))
+        return coded._with(lambda rows: rows.join(stores, "store_code", "left_semi"))
+
+
 def utc_wall_time(ordered_at: Column, kind: T.DataType) -> Column:
     """UTC wall time without zone. A zoned timestamp is converted, a zoneless one is UTC already."""
     if isinstance(kind, T.TimestampType):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,3 +26,16 @@ def campaign_traffic(traffic: DataFrame, cfg: CampaignConfig) -> DataFrame:
         & (F.col("country") == cfg.traffic_country)
         & in_dates(F.col("visited_on").cast("date"), cfg.selected_dates)
     )
+
+
+def traffic_of_days(traffic: DataFrame, seller: CampaignConfig, days: DataFrame, first: date, last: date) -> DataFrame:
+    """Rows of the business unit and country on the days that a table ``ordered_date`` lists. The bounds of the table, which
+    the caller knows, reach the scan; its days are a semi join."""
+    day = F.col("visited_on").cast("date")
+    bounded = traffic.where(
+        (F.col("business_unit") == seller.traffic_business_unit)
+        & (F.col("country") == seller.traffic_country)
+        & (day >= F.lit(first))
+        & (day <= F.lit(last))
+    )
+    return bounded.join(days, day == F.col("ordered_date"), "left_semi")

@@ -874,6 +874,94 @@ ORDER BY order_week DESC, order_date DESC, day_of_week, item_has_specific_promot
 # ------------------------------------------------------------------ all statements
 
 
+# ------------------------------------------------------------------ many campaigns; a group is named "campaign/group" inside
+
+MANY = """
+camps AS (
+  SELECT CAST(range AS INT) AS i, 'C' || lpad(CAST(range AS VARCHAR), 2, '0') AS campaign, CAST(CASE WHEN range % 2 = 0 THEN 1.19 ELSE 1.2 END AS DOUBLE) AS vat,
+    CAST(CASE range % 3 WHEN 0 THEN 1 WHEN 1 THEN 1.5 ELSE 0.5 END AS DOUBLE) AS coefficient, range % 4 = 0 AS include_sunday,
+    CASE WHEN range = 49 THEN DATE '2022-01-01' ELSE DATE '2024-01-01' END + CAST(range % 14 AS INT) AS start
+  FROM range(50)
+),
+stretches AS (
+  SELECT campaign, 'Baseline Period' AS period, start AS first_day, start + 8 AS last_day FROM camps
+  UNION ALL SELECT campaign, 'Promo Period', start + 8, start + 15 FROM camps WHERE i <> 48
+),
+cdays AS (
+  SELECT campaign, period, CAST(first_day + CAST(unnest(range(0, last_day - first_day + 1)) AS INT) AS DATE) AS d FROM stretches
+),
+periods AS (SELECT DISTINCT period, d FROM cdays),
+members AS (
+  SELECT campaign, campaign || '/Group ' || g AS grp, lpad(CAST((i + k) % 8 AS VARCHAR), 4, '0') AS store_code
+  FROM camps JOIN (VALUES (1, 0), (1, 1), (2, 3), (2, 4), (2, 1), (3, 6)) AS places(g, k) ON g < 3 OR i % 5 <> 0
+),
+grps AS (SELECT campaign, vat, campaign || '/Group ' || g AS grp FROM camps, (VALUES (1), (2), (3)) AS named(g)),
+pairs AS (
+  SELECT campaign || '/Group ' || a AS control_group, campaign || '/Group ' || (a + 1) AS testing_group FROM camps, (VALUES (1), (2)) AS firsts(a)
+)"""
+
+
+def _many() -> list[str]:
+    scaled = ", ".join(
+        f"CAST({m} AS DOUBLE) * CASE WHEN b.d IS NULL THEN 1 ELSE coefficient END AS {m}" for m in TRAFFIC_COLUMNS + ORDER_COLUMNS
+    )
+    subset = f"""
+subset AS (
+  SELECT m.grp, c.period, s.store_code, dayname(s.ordered_date) AS weekday, include_sunday, {scaled}
+  FROM store_day s JOIN cdays c ON c.d = s.ordered_date JOIN members m ON m.campaign = c.campaign AND m.store_code = s.store_code
+  JOIN camps ON camps.campaign = c.campaign
+  LEFT JOIN cdays b ON b.campaign = c.campaign AND b.d = c.d AND b.period = 'Baseline Period'
+)"""
+    filled = ", ".join(f"coalesce({c}, 0.0::DOUBLE) AS {c}" for c in SUM_NAMES)
+    sums = f"""
+raw_sums AS ({_sums("grp, period", "weekday <> 'Sunday' OR include_sunday")}),
+sums AS (
+  SELECT g.grp, g.vat, p.period, {filled}
+  FROM grps g CROSS JOIN (VALUES ('Baseline Period'), ('Promo Period')) AS p(period)
+  LEFT JOIN raw_sums r ON r.grp = g.grp AND r.period = p.period
+  WHERE g.campaign IN (SELECT campaign FROM cdays JOIN traffic_day ON ordered_date = d)
+)"""
+    kpis = {name: sql.replace(VAT, "vat") for name, sql in FUNNEL_KPIS.items()}
+    return [MANY, ITEMS, SOLD, TRAFFIC_DAY, ORDER_DAY, _store_day(), subset, sums, _long("sums", kpis, "0.0::DOUBLE"), IMPACT]
+
+
+def _by_campaign(query: str, names: str = "control_group, testing_group") -> str:
+    """Rows of a query with the campaign taken out of the names of its groups."""
+    parts = names.split(", ")
+    columns = ", ".join(f"split_part({n}, '/', 2) AS {n}" for n in parts)
+    return f"\nSELECT split_part({parts[0]}, '/', 1) AS campaign, {columns}, * EXCLUDE ({names}) FROM ({query})"
+
+
+def _many_insights() -> str:
+    """Rule outcomes; each mechanism has its own rules for the price mix."""
+    columns = """SELECT control_group, testing_group, role, grp, revenue_dir, new_pct, new_abs, bp_pct, bp_abs, rp_pct, rp_abs,
+  order_code, aov_code, item_code, price_mix_code, customer_code FROM facts"""
+    parts = [
+        f"SELECT * FROM ({_with(*_many(), _facts(mechanism))} {columns}) WHERE CAST(substr(grp, 2, 2) AS INT) % 3 = {rest}"
+        for rest, mechanism in enumerate(("BOTH", "BP_ONLY", "RP_ONLY"))
+    ]
+    return _by_campaign("\nUNION ALL ".join(parts), "control_group, testing_group, grp").lstrip()
+
+
+def _many_statements() -> dict[str, str]:
+    chain = _with(*_many())
+    voted = _with(*_many(), VOTES)
+    return {
+        "campaigns_store_funnel": chain + _by_campaign("SELECT * FROM funnel", "grp"),
+        "campaigns_promo_impact": chain + _by_campaign("SELECT * FROM impact"),
+        "campaigns_ab_winner": voted
+        + _by_campaign("""
+SELECT w.control_group, w.testing_group, winner, confidence, testing_votes, control_votes,
+  coalesce((SELECT string_agg(v.kpi, ',' ORDER BY v.kpi_seq) FROM votes v
+   WHERE v.control_group = w.control_group AND v.testing_group = w.testing_group AND v.decision = w.winner), '') AS reason_codes
+FROM winners w"""),
+        "campaigns_ab_comparisons": voted
+        + _by_campaign("SELECT control_group, testing_group, kpi, testing_pct_diff, control_pct_diff, uplift, decision FROM votes"),
+        "campaigns_kpi_drivers": _with(*_many(), _drivers(3, 0.0)) + _by_campaign("SELECT * FROM drivers"),
+        "campaigns_driver_insights": _many_insights(),
+    }
+
+
 def all_statements() -> dict[str, str]:
     store_columns = ", ".join(
         ["ordered_date", "country", "business_unit", "store_code", "store_name", *RATES, "channel", *TRAFFIC_COLUMNS, *ORDER_COLUMNS]
@@ -1046,6 +1134,7 @@ SELECT control_group, testing_group, role, grp, revenue_dir, new_pct, new_abs, b
         "store_funnel_display": _with(*_store_funnel()) + f"\nSELECT {funnel_display} FROM funnel WHERE grp = 'Group 1'",
         "impact_formatted": _with(*impact) + f"\nSELECT control_group, testing_group, kpi_seq, kpi, {impact_text} FROM impact",
     }
+    statements |= _many_statements()
     for split in SPLITS:
         for metric in METRICS:
             statements[f"bridge_{split}_{metric.lower()}"] = _with(*CATEGORY) + "\n" + _split_rows(split, metric)
