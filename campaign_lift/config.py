@@ -55,6 +55,32 @@ def resolve_selection(options: Sequence[str], mode: str, chosen: Sequence[str] =
     raise ValueError(f"unknown selection mode {mode!r}")
 
 
+@dataclass(frozen=True)
+class Selection:
+    """A choice from an option list that only the data know: all options, or all except some.
+
+    It is resolved where the work runs; no option list is collected. ``Selection("include", ...)`` is the plain list.
+    """
+
+    mode: str
+    values: tuple[str, ...] = ()
+
+    def __post_init__(self):
+        if self.mode not in ("all", "include", "except"):
+            raise ValueError(f"unknown selection mode {self.mode!r}")
+        object.__setattr__(self, "values", tuple(dict.fromkeys(self.values)) if self.mode != "all" else ())
+
+    @property
+    def record(self) -> dict:
+        """The choice as the selection record holds it, without the "select all" flag."""
+        return {} if self.mode == "all" else {self.mode: list(self.values)}
+
+
+def as_selection(choice: Selection | Sequence[str]) -> Selection:
+    """A plain list is an include list."""
+    return choice if isinstance(choice, Selection) else Selection("include", tuple(choice))
+
+
 def local_table(spark: SparkSession, columns: Mapping[str, tuple[pa.DataType, Sequence]]) -> DataFrame:
     """A small driver-side table as a local relation (the planner sees its real size)."""
     schema = pa.schema([(name, kind) for name, (kind, _) in columns.items()])
@@ -63,20 +89,20 @@ def local_table(spark: SparkSession, columns: Mapping[str, tuple[pa.DataType, Se
 
 @dataclass(frozen=True)
 class CategoryFilter:
-    """Optional value lists on item rows. An empty list means no filter."""
+    """Optional value lists on item rows. An empty list means no filter; the four article dimensions also take a
+    ``Selection``."""
 
     store_codes: tuple[str, ...] = ()
-    article_section_groups: tuple[str, ...] = ()
-    article_sections: tuple[str, ...] = ()
-    article_seasons: tuple[str, ...] = ()
-    article_brand_groups: tuple[str, ...] = ()
+    article_section_groups: tuple[str, ...] | Selection = ()
+    article_sections: tuple[str, ...] | Selection = ()
+    article_seasons: tuple[str, ...] | Selection = ()
+    article_brand_groups: tuple[str, ...] | Selection = ()
     insider_customer_types: tuple[str, ...] = ()
     price_types: tuple[str, ...] = ()
     promo_checks: tuple[str, ...] = ()
 
-    def item_lists(self) -> dict[str, tuple[str, ...]]:
-        """The lists in use that are tested on the item, by the column they test."""
-        lists = {
+    def _by_column(self) -> dict[str, Selection]:
+        choices = {
             "article_section_group": self.article_section_groups,
             "article_section": self.article_sections,
             "article_season": self.article_seasons,
@@ -84,7 +110,19 @@ class CategoryFilter:
             "price_type": self.price_types,
             "promo_check": self.promo_checks,
         }
-        return {name: values for name, values in lists.items() if values}
+        return {name: as_selection(choice) for name, choice in choices.items()}
+
+    def item_lists(self) -> dict[str, tuple[str, ...]]:
+        """The include lists in use that are tested on the item, by the column they test."""
+        return {name: c.values for name, c in self._by_column().items() if c.mode == "include" and c.values}
+
+    def item_excepts(self) -> dict[str, tuple[str, ...]]:
+        """The except lists in use, by column. "Except" of nothing leaves every option, which filters nothing."""
+        return {name: c.values for name, c in self._by_column().items() if c.mode == "except" and c.values}
+
+    def tested(self) -> list[str]:
+        """The item columns that any list tests."""
+        return [*self.item_lists(), *self.item_excepts()]
 
 
 @dataclass(frozen=True)
@@ -94,7 +132,7 @@ class CampaignConfig:
     order_company_name_short: str
     order_channel: str
     order_country: str
-    groups: Mapping[str, Sequence[str]]
+    groups: Mapping[str, Sequence[str] | Selection]
     baseline_dates: Sequence[date]
     promo_dates: Sequence[date]
     vat: float = 1.19
@@ -103,15 +141,17 @@ class CampaignConfig:
     pairs: Sequence[tuple[str, str]] | None = None  # (control, testing); DEFAULT_PAIR where both groups exist
     promo_mechanism: str = "BOTH"  # one of PROMO_MECHANISMS; read by the price-mix rules
     category: CategoryFilter = field(default_factory=CategoryFilter)
+    member_table: DataFrame | None = field(default=None, compare=False, repr=False)  # (grp, store_code), for groups that the data decide
 
     def __post_init__(self):
-        groups = {name: normalise_store_codes(codes) for name, codes in self.groups.items()}
-        object.__setattr__(self, "groups", groups)
+        chosen = {name: as_selection(choice) for name, choice in self.groups.items()}
+        chosen = {name: replace(c, values=normalise_store_codes(c.values)) for name, c in chosen.items()}
+        object.__setattr__(self, "groups", {name: c.values if c.mode == "include" else c for name, c in chosen.items()})
         object.__setattr__(self, "baseline_dates", tuple(dict.fromkeys(self.baseline_dates)))
         object.__setattr__(self, "promo_dates", tuple(dict.fromkeys(self.promo_dates)))
         pairs = self.pairs
         if pairs is None:
-            pairs = [DEFAULT_PAIR] if set(DEFAULT_PAIR) <= set(groups) else []
+            pairs = [DEFAULT_PAIR] if set(DEFAULT_PAIR) <= set(self.groups) else []
         object.__setattr__(self, "pairs", tuple(dict.fromkeys(tuple(pair) for pair in pairs)))
         object.__setattr__(
             self, "category", replace(self.category, store_codes=normalise_store_codes(self.category.store_codes))
@@ -120,9 +160,9 @@ class CampaignConfig:
             raise ValueError(f"unknown promo mechanism {self.promo_mechanism!r}")
         if not self.selected_dates:
             raise ValueError("select at least one date in the baseline or promo period")
-        if not self.all_store_codes:
+        if self.known_store_codes == ():
             raise ValueError("select at least one store code in any group")
-        unknown = {name for pair in self.pairs for name in pair} - set(groups)
+        unknown = {name for pair in self.pairs for name in pair} - set(self.groups)
         if unknown:
             raise ValueError(f"pairs name unknown groups: {sorted(unknown)}")
 
@@ -131,9 +171,23 @@ class CampaignConfig:
         return tuple(sorted(set(self.baseline_dates) | set(self.promo_dates)))
 
     @property
-    def all_store_codes(self) -> tuple[str, ...]:
+    def open_groups(self) -> dict[str, Selection]:
+        """Groups of all stores, or of all except some: their members are known where the work runs."""
+        return {name: choice for name, choice in self.groups.items() if isinstance(choice, Selection)}
+
+    @property
+    def known_store_codes(self) -> tuple[str, ...] | None:
+        """The codes of all groups, or None if the data decide about some."""
+        if self.open_groups:
+            return None
         return tuple(sorted({code for codes in self.groups.values() for code in codes}))
 
+    @property
+    def all_store_codes(self) -> tuple[str, ...]:
+        if self.known_store_codes is None:
+            raise ValueError("groups of all stores, or all except some, have no list of codes")
+        return self.known_store_codes
+
     def group_label(self, group: str) -> str:
         note = self.descriptions.get(group, "").strip()
         return f"{group} ({note})" if note else group
@@ -153,7 +207,15 @@ class CampaignConfig:
 
     def member_frame(self, spark: SparkSession) -> DataFrame:
         """(grp, store_code). A store may be in several groups."""
-        rows = [(grp, code) for grp, codes in self.groups.items() for code in codes]
+        if self.open_groups:
+            if self.member_table is None:
+                raise ValueError("groups of all stores, or all except some, need the table of members")
+            return self.member_table
+        return self.listed_members(spark)
+
+    def listed_members(self, spark: SparkSession) -> DataFrame:
+        """(grp, store_code) of the groups that are given as lists."""
+        rows = [(grp, code) for grp, codes in self.groups.items() if not isinstance(codes, Selection) for code in codes]
         return local_table(
             spark, {"grp": (pa.string(), [r[0] for r in rows]), "store_code": (pa.string(), [r[1] for r in rows])}
         )

@@ -14,6 +14,7 @@ from campaign_lift.functions.columns import cents, in_values, micros, or_unknown
 from campaign_lift.operators.metrics import kpi_rows
 from campaign_lift.operators.store_day import scale_baseline
 from campaign_lift.operators.subsets import group_period_subset
+from campaign_lift.sources.options import excepted_values
 from campaign_lift.sources.orders import OrderTables, seller_values
 from campaign_lift.sources.schemas import PC1, QUANTITY, REVENUE
 
@@ -60,10 +61,18 @@ def _keep(rows: DataFrame, lists: dict[str, tuple[str, ...]]) -> DataFrame:
 def _category_items(
     tables: OrderTables, cfg: CampaignConfig, labels: Sequence[str], measures: Sequence[str] = ()
 ) -> DataFrame:
-    """Item rows that pass all value lists, with the asked labels and measures."""
+    """Item rows that pass all value lists, with the asked labels and measures.
+
+    An except list is an anti join with its values, ahead of any aggregation. Labels are never null, so that a row without
+    a value goes by the label that stands for it.
+    """
     fields = list(dict.fromkeys([*(ITEM_LABELS[name] for name in labels), *measures]))
     items = _chosen_orders(tables, cfg).item_rows(fields)
-    return _keep(items.withColumns({name: _label(name) for name in labels}), cfg.category.item_lists())
+    rows = _keep(items.withColumns({name: _label(name) for name in labels}), cfg.category.item_lists())
+    for name in cfg.category.item_excepts():
+        values = excepted_values(tables, cfg, name, _label(name), [ITEM_LABELS[name]])
+        rows = rows.join(values, F.col(name) == F.col("excepted"), "left_anti")
+    return rows
 
 
 def _chosen_orders(tables: OrderTables, cfg: CampaignConfig) -> OrderTables:
@@ -74,6 +83,8 @@ def _chosen_orders(tables: OrderTables, cfg: CampaignConfig) -> OrderTables:
         in_values(F.col("insider_customer_type"), chosen.insider_customer_types),
     ]
     found = tables.for_seller(cfg).on_dates(cfg.selected_dates)
+    if cfg.open_groups and not chosen.store_codes and cfg.member_table is not None:
+        found = found.of_stores_in(cfg.member_table.select("store_code").distinct())
     for test in lists:
         if test is not None:
             found = found.where(test)
@@ -109,7 +120,7 @@ def category_raw(tables: OrderTables, cfg: CampaignConfig) -> DataFrame:
     a window keeps the rows without a store code as one partition. How the two meet is left to the planner and to
     adaptive execution, which know both sizes. With an item filter both come from one read of the items.
     """
-    if cfg.category.item_lists():
+    if cfg.category.tested():
         return _both_grains(tables, cfg)
     sums = category_sums(tables, cfg)
     counts = store_day_order_counts(tables, cfg).select(

@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from campaign_lift.config import CampaignConfig
+from campaign_lift.config import CampaignConfig, Selection, as_selection
 
 PRIMARY_KPIS = ("total revenue", "total PC1", "margin")  # fixed value
 RANKINGS = ("top_positive", "top_negative", "top_absolute")
@@ -180,17 +180,15 @@ def ab_comparisons(pairs: DataFrame, keys: Sequence[str] = PAIR, **rules) -> Dat
 def report_payload(pairs: DataFrame, cfg: CampaignConfig, top_n: int = 5) -> DataFrame:
     """One record per pair: run settings, KPI tables, winner and drivers, as nested columns."""
 
+    listed = {grp: members for grp, members in cfg.groups.items() if grp not in cfg.open_groups}
+    for side in ("control", "testing"):
+        pairs = _with_members(pairs, cfg, side)
+
     def group(side: str) -> Column:
-        name = F.col(f"{side}_group")
-        codes = F.create_map(
-            *[
-                part
-                for grp, members in cfg.groups.items()
-                for part in (F.lit(grp), F.array(*[F.lit(m) for m in members]).cast("array<string>"))
-            ]
-        )
+        name, opened = F.col(f"{side}_group"), F.col(f"{side}_members")
+        codes = [F.when(name == grp, F.array(*map(F.lit, members)).cast("array<string>")) for grp, members in listed.items()]
         notes = F.create_map(*[F.lit(part) for grp in cfg.groups for part in (grp, cfg.descriptions.get(grp, ""))])
-        return F.struct(name.alias("name"), notes[name].alias("description"), codes[name].alias("store_codes"))
+        return F.struct(name.alias("name"), notes[name].alias("description"), F.coalesce(*codes, opened, F.array().cast("array<string>")).alias("store_codes"))
 
     meta = F.struct(
         F.lit(cfg.traffic_business_unit).alias("traffic_business_unit"),
@@ -218,19 +216,37 @@ def report_payload(pairs: DataFrame, cfg: CampaignConfig, top_n: int = 5) -> Dat
     )
 
 
+def _with_members(pairs: DataFrame, cfg: CampaignConfig, side: str) -> DataFrame:
+    """Pairs with the sorted stores of a group that the data decide about; no such list is longer than the store options."""
+    if not cfg.open_groups:
+        return pairs.withColumn(f"{side}_members", F.lit(None).cast("array<string>"))
+    opened = cfg.member_frame(pairs.sparkSession).where(F.col("grp").isin(list(cfg.open_groups)))
+    lists = opened.groupBy(F.col("grp").alias(f"{side}_group")).agg(F.sort_array(F.collect_set("store_code")).alias(f"{side}_members"))
+    return pairs.join(lists, f"{side}_group", "left")
+
+
 def payload_json(payload: DataFrame) -> DataFrame:
     record = F.struct("meta", "kpis", "winner_assessment", "phase1_driver_analysis")
     return payload.select("control_group", "testing_group", F.to_json(record, {"ignoreNullFields": "false"}).alias("payload"))
 
 
-def selection_json(cfg: CampaignConfig) -> str:
-    """The run settings as JSON text, to be kept beside the outputs."""
+def selection_record(cfg: CampaignConfig, include_sunday: bool = False) -> dict:
+    """The run settings, with every choice as it was made: select all, include or except."""
     chosen = cfg.category
 
-    def choice(dimension: str, values: Sequence[str]) -> dict:
-        return {f"select all {dimension}": not values} | ({"include": list(values)} if values else {})
-
-    settings = {
+    def choice(name: str, made: Selection | Sequence[str], empty_is_all: bool) -> dict:
+        made = as_selection(made)
+        everything = made.mode == "all" or empty_is_all and made == Selection("include")
+        return {name: everything} | ({} if everything else made.record)
+
+    dimensions = {
+        "article_section_group": chosen.article_section_groups,
+        "article_section": chosen.article_sections,
+        "article_season": chosen.article_seasons,
+        "article_brand_group": chosen.article_brand_groups,
+        "insider_customer_type": chosen.insider_customer_types,
+    }
+    return {
         "traffic_business_unit": cfg.traffic_business_unit,
         "traffic_country": cfg.traffic_country,
         "order_company_name_short": cfg.order_company_name_short,
@@ -238,16 +254,20 @@ def selection_json(cfg: CampaignConfig) -> str:
         "order_country": cfg.order_country,
         "vat": cfg.vat,
         "baseline_coefficient": cfg.baseline_coefficient,
-        "groups": {name: {"include": list(codes)} for name, codes in cfg.groups.items()},
+        "groups": {name: choice("select all stores", made, empty_is_all=False) for name, made in cfg.groups.items()},
         "group_descriptions": {name: cfg.descriptions.get(name, "") for name in cfg.groups},
         "baseline_dates": [str(d) for d in cfg.baseline_dates],
         "promo_dates": [str(d) for d in cfg.promo_dates],
-        "article_section_groups": choice("article_section_group", chosen.article_section_groups),
-        "article_sections": choice("article_section", chosen.article_sections),
-        "article_seasons": choice("article_season", chosen.article_seasons),
-        "article_brand_groups": choice("article_brand_group", chosen.article_brand_groups),
-        "insider_customer_types": choice("insider_customer_type", chosen.insider_customer_types),
+        **{f"{name}s": choice(f"select all {name}", made, empty_is_all=True) for name, made in dimensions.items()},
+        "category_store_codes": list(chosen.store_codes),
         "price_types": list(chosen.price_types or ("RP", "BP")),
         "promo_checks": list(chosen.promo_checks or ("promo", "non-promo")),
+        "pairs": [{"control_group": control, "testing_group": testing} for control, testing in cfg.pairs],
+        "promo_mechanism": cfg.promo_mechanism,
+        "include_sunday": include_sunday,
     }
-    return json.dumps(settings, ensure_ascii=False, indent=2)
+
+
+def selection_json(cfg: CampaignConfig, include_sunday: bool = False) -> str:
+    """The run settings as JSON text, to be kept beside the outputs."""
+    return json.dumps(selection_record(cfg, include_sunday), ensure_ascii=False, indent=2)

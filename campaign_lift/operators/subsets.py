@@ -17,7 +17,9 @@ def group_period_subset(facts: DataFrame, cfg: CampaignConfig) -> DataFrame:
     aggregation that made the facts.
     """
     spark = facts.sparkSession
-    wanted = F.col("store_code").isin(list(cfg.all_store_codes)) & in_dates(F.col("ordered_date"), cfg.selected_dates)
+    wanted = in_dates(F.col("ordered_date"), cfg.selected_dates)
+    if cfg.known_store_codes is not None:
+        wanted = F.col("store_code").isin(list(cfg.known_store_codes)) & wanted
     return (
         facts.where(wanted)
         .join(cfg.member_frame(spark), "store_code")

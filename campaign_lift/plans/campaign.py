@@ -31,6 +31,11 @@ class Campaign:
     cfg: CampaignConfig
     include_sunday: bool = False
 
+    def __post_init__(self):
+        if self.cfg.open_groups and self.cfg.member_table is None:
+            members = options.group_members(self.tables, self.cfg)
+            object.__setattr__(self, "cfg", replace(self.cfg, member_table=members))
+
     # facts
 
     @cached_property
@@ -47,7 +52,7 @@ class Campaign:
 
     @cached_property
     def _category_cfg(self) -> CampaignConfig:
-        stores = self.cfg.category.store_codes or self.cfg.all_store_codes
+        stores = self.cfg.category.store_codes or self.cfg.known_store_codes or ()
         return replace(self.cfg, category=replace(self.cfg.category, store_codes=stores))
 
     @cached_property
@@ -84,7 +89,7 @@ class Campaign:
         """Store-days for sums by group: if the fact is not held, those of other stores come as one row per day."""
         if self._facts_held:
             return self.store_day
-        return store_day.store_day(self.traffic, self.tables, self.cfg, self.cfg.all_store_codes)
+        return store_day.store_day(self.traffic, self.tables, self.cfg, self.cfg.known_store_codes)
 
     @cached_property
     def group_sums(self) -> DataFrame:
@@ -256,6 +261,6 @@ class Campaign:
             sinks.write_table(run.daily_trend(), f"{folder}/daily_trend", ["grp", "ordered_date", "period"])
             sinks.write_text(run.driver_summary.select("summary"), f"{folder}/summary")
             sinks.write_text(decision.payload_json(run.report_payload).select("payload"), f"{folder}/payload")
-            sinks.write_selection(spark, self.cfg, f"{folder}/selection")
+            sinks.write_selection(spark, self.cfg, f"{folder}/selection", self.include_sunday)
         finally:
             run.release_facts()

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from campaign_lift.config import CampaignConfig, CategoryFilter, expand_dates, local_table
+from campaign_lift.config import CampaignConfig, CategoryFilter, Selection, expand_dates, local_table
 from campaign_lift.functions import formats
 from campaign_lift.operators import bridges, category, decision, funnel, impact, store_day
 from campaign_lift.plans.campaign import Campaign
@@ -51,6 +51,19 @@ FILTERED = CategoryFilter(
     price_types=("RP", "BP"),
     promo_checks=("promo",),
 )
+EXCEPT = CategoryFilter(
+    store_codes=("0000", "0002", "0005"),
+    article_section_groups=Selection("except", ("ECONOMY", "No such group")),
+    article_seasons=Selection("except", ("SS", "UNKNOWN")),
+    article_sections=Selection("all"),
+)
+# Every season and brand group is excepted, which filters nothing.
+EXCEPT_ALL = CategoryFilter(
+    article_sections=Selection("except", ("Brand#1", "Brand#2")),
+    article_seasons=Selection("except", ("SS", "FW", "NOS", "UNKNOWN")),
+    article_brand_groups=Selection("except", ("OWN", "BRAND", "UNKNOWN", "No such brand")),
+)
+OPEN_GROUPS = {"Group 1": Selection("all"), "Group 2": Selection("except", ("1", "0003")), "Group 3": ("4", "5", "6", "7"), "Group 4": ()}
 DIMENSION_BRIDGES = {
     "section_group": ("article_section_group", SECTION_GROUPS),
     "section": ("article_section", ()),
@@ -220,6 +233,11 @@ def all_queries() -> dict[str, Query]:
         "category_raw_filtered": _of(
             lambda c: category.category_raw(c.tables, c.cfg), replace(STANDARD, category=FILTERED)
         ),
+        "category_raw_except": _of(lambda c: category.category_raw(c.tables, c.cfg), replace(STANDARD, category=EXCEPT)),
+        "category_raw_except_all": _of(lambda c: category.category_raw(c.tables, c.cfg), replace(STANDARD, category=EXCEPT_ALL)),
+        "store_funnel_open_groups": _of(lambda c: c.store_funnel, replace(STANDARD, groups=OPEN_GROUPS)),
+        "category_funnel_open_groups": _of(lambda c: c.category_funnel, replace(STANDARD, groups=OPEN_GROUPS)),
+        "group_members": _of(lambda c: c.cfg.member_frame(c.traffic.sparkSession), replace(STANDARD, groups=OPEN_GROUPS)),
         "category_funnel": _of(lambda c: c.category_funnel),
         "category_funnel_scaled": _of(lambda c: c.category_funnel, scaled),
         "category_promo_impact": _of(lambda c: c.category_promo_impact),

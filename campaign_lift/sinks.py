@@ -26,6 +26,6 @@ def write_text(lines: DataFrame, path: str) -> None:
     lines.write.mode("overwrite").text(path)
 
 
-def write_selection(spark: SparkSession, cfg: CampaignConfig, path: str) -> None:
+def write_selection(spark: SparkSession, cfg: CampaignConfig, path: str, include_sunday: bool = False) -> None:
     """The run settings as JSON."""
-    write_text(local_table(spark, {"value": (pa.string(), [selection_json(cfg)])}), path)
+    write_text(local_table(spark, {"value": (pa.string(), [selection_json(cfg, include_sunday)])}), path)

@@ -42,6 +42,9 @@ class CampaignTables:
     @classmethod
     def of_configs(cls, spark: SparkSession, configs: Mapping[str, CampaignConfig], include_sunday: bool = False) -> CampaignTables:
         """The tables of campaigns that are written down as settings."""
+        opened = sorted(name for name, c in configs.items() if c.open_groups)
+        if opened:
+            raise ValueError(f"give the members of {opened} as a table: the data decide about them")
         text, day = pa.string(), pa.date32()
         kinds = {"vat": pa.float64(), "baseline_coefficient": pa.float64(), "include_sunday": pa.bool_(), "first_day": day, "last_day": day}
         windows = [

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from campaign_lift.config import CampaignConfig, local_table
@@ -58,3 +58,31 @@ def window_days(windows: DataFrame, first: str, last: str) -> DataFrame:
     closed = windows.where(F.col(first).isNotNull() & F.col(last).isNotNull())
     days = F.sequence(F.least(first, last), F.greatest(first, last))
     return closed.select(F.explode(days).alias("ordered_date")).distinct()
+
+
+def group_members(tables: OrderTables, cfg: CampaignConfig) -> DataFrame:
+    """(grp, store_code): the listed stores of groups and, for groups of all stores or all except some, the store options
+    less the excepted ones. An option without a code is in no group."""
+    spark = tables.records.sparkSession
+    members = cfg.listed_members(spark)
+    if not cfg.open_groups:
+        return members
+    options = store_options(tables, cfg).where(F.col("store_code").isNotNull())
+    names = list(cfg.open_groups)
+    every = options.select(F.explode(F.array(*map(F.lit, names))).alias("grp"), "store_code")
+    excepted = [(name, code) for name, choice in cfg.open_groups.items() for code in choice.values]
+    columns = {"grp": (pa.string(), [r[0] for r in excepted]), "store_code": (pa.string(), [r[1] for r in excepted])}
+    return members.unionByName(every.join(local_table(spark, columns), ["grp", "store_code"], "left_anti"))
+
+
+def excepted_values(tables: OrderTables, cfg: CampaignConfig, dimension: str, label: Column, fields: Sequence[str]) -> DataFrame:
+    """(excepted): the values of an except list, or none of them if the list leaves no option of the selected days, as an
+    empty choice means no filter.
+
+    Whether an option is left is a scalar subquery over the item field; nothing is collected.
+    """
+    spark = tables.records.sparkSession
+    values = cfg.category.item_excepts()[dimension]
+    items = tables.for_seller(cfg).on_dates(cfg.selected_dates).item_rows(fields)
+    left = items.agg(F.bool_or(~label.isin(list(values))).alias("left"))
+    return local_table(spark, {"excepted": (pa.string(), sorted(values))}).where(left.scalar())

@@ -75,6 +75,22 @@ pairs(control_group, testing_group) AS (
   VALUES ('Group 1', 'Group 3'), ('Group 1', 'Group 2'), ('Group 2', 'Group 4'), ('Group 3', 'Group 3')
 )"""
 
+# The same settings with one group of all stores and one of all except some: the stores are those of the seller's orders.
+OPEN_CONFIG = re.sub(
+    r"members\(grp, store_code\) AS \(.*?\),\nperiods",
+    """members AS (
+  SELECT g.grp, s.store_code
+  FROM (VALUES ('Group 1'), ('Group 2')) AS g(grp), (
+    SELECT DISTINCT lpad(CAST(o_custkey % 8 AS VARCHAR), 4, '0') AS store_code FROM orders
+    WHERE o_custkey % 5 <> 4 AND o_orderpriority <> '5-LOW' AND o_orderstatus <> 'P'
+  ) s WHERE g.grp = 'Group 1' OR s.store_code NOT IN ('0001', '0003')
+  UNION ALL SELECT 'Group 3', store_code FROM (VALUES ('0004'), ('0005'), ('0006'), ('0007')) AS v(store_code)
+),
+periods""",
+    CONFIG,
+    flags=re.DOTALL,
+)
+
 TRAFFIC_DAY = """
 visits AS (
   SELECT CAST(ts AS DATE) AS visited_on, CAST(user_id % 8 AS INT) AS store,
@@ -1061,6 +1077,16 @@ FROM series JOIN grps USING (grp) WHERE grp IN ('Group 1', 'Group 3')""",
         "category_raw": _with(CONFIG, ITEMS, SOLD, _category()) + f"\nSELECT {category_columns} FROM category_day",
         "category_raw_filtered": _with(CONFIG, ITEMS, SOLD, _category(FILTERED_WHERE))
         + f"\nSELECT {category_columns} FROM category_day",
+        "category_raw_except": _with(
+            CONFIG, ITEMS, SOLD,
+            _category("""store_code IN ('0000', '0002', '0005') AND article_section_group NOT IN ('ECONOMY', 'No such group')
+    AND article_season NOT IN ('SS', 'UNKNOWN')"""),
+        ) + f"\nSELECT {category_columns} FROM category_day",
+        "category_raw_except_all": _with(CONFIG, ITEMS, SOLD, _category("article_section NOT IN ('Brand#1', 'Brand#2')"))
+        + f"\nSELECT {category_columns} FROM category_day",
+        "store_funnel_open_groups": _with(OPEN_CONFIG, *_store_funnel()[1:]) + "\nSELECT * FROM funnel",
+        "category_funnel_open_groups": _with(OPEN_CONFIG, *_category_funnel()[1:]) + "\nSELECT * FROM funnel",
+        "group_members": _with(OPEN_CONFIG) + "\nSELECT grp, store_code FROM members",
         "category_funnel": _with(*_category_funnel()) + "\nSELECT * FROM funnel",
         "category_funnel_scaled": _with(*_category_funnel(1.5)) + "\nSELECT * FROM funnel",
         "category_promo_impact": _with(*_category_funnel(), IMPACT) + "\nSELECT * FROM impact",

@@ -75,6 +75,6 @@ def test_text_payload_and_selection(report):
     payload = json.loads(read_parts(report / "payload")[0])
     assert payload["winner_assessment"]["winner"] == "tie" and len(payload["kpis"]["control_funnel"]) == 26
     selection = json.loads("\n".join(read_parts(report / "selection")))
-    assert selection["groups"]["Group 2"] == {"include": ["0001", "0002"]}
+    assert selection["groups"]["Group 2"] == {"select all stores": False, "include": ["0001", "0002"]}
     assert selection["group_descriptions"]["Group 3"] == "tést"
     assert selection["vat"] == 1.2 and selection["article_sections"] == {"select all article_section": True}
