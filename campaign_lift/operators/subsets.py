@@ -38,8 +38,15 @@ def group_period_rows(facts: DataFrame, cfg: CampaignConfig) -> DataFrame:
     )
 
 
-def store_subset_export(facts: DataFrame, cfg: CampaignConfig) -> DataFrame:
-    """Store-day rows of every group and period in export order."""
+EXPORT_ORDER = ("group", "period", "ordered_date", "store_code", "store_name")
+
+
+def store_subset_rows(facts: DataFrame, cfg: CampaignConfig) -> DataFrame:
+    """Store-day rows of every group and period, as exported."""
     rows = group_period_subset(facts, cfg).withColumn("weekday", day_name(F.col("ordered_date")))
-    columns = [*facts.columns, "weekday", F.col("grp").alias("group"), "period"]
-    return rows.select(*columns).orderBy("group", "period", "ordered_date", "store_code", "store_name")
+    return rows.select(*facts.columns, "weekday", F.col("grp").alias("group"), "period")
+
+
+def store_subset_export(facts: DataFrame, cfg: CampaignConfig) -> DataFrame:
+    """``store_subset_rows`` in export order."""
+    return store_subset_rows(facts, cfg).orderBy(*EXPORT_ORDER)

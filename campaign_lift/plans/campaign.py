@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, replace
 from datetime import date
 from functools import cached_property
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from campaign_lift import sinks
-from campaign_lift.config import CampaignConfig
+from campaign_lift.config import CampaignConfig, as_selection
 from campaign_lift.functions import formats
-from campaign_lift.operators import bridges, category, decision, funnel, impact, narrative, promotion, series, store_day, subsets
+from campaign_lift.operators import bridges, category, decision, funnel, impact, narrative, promotion, render, series, store_day, subsets
 from campaign_lift.sources import options
 from campaign_lift.sources.orders import OrderTables
 
@@ -168,7 +169,8 @@ class Campaign:
 
     def dimension_bridges(self, specs: Sequence[tuple[str, str, Sequence[str]]] | None = None, **rules) -> DataFrame:
         """Bridges of several (dimension, metric, selected values) in one pass; by default the three article dimensions of
-        the report with each metric and the values that the category filter selects."""
+        the report with each metric and the values that the category filter lists. A choice of all values, or all except
+        some, lists none: the facts hold what is left."""
         chosen = self.cfg.category
         if specs is None:
             values = {
@@ -176,7 +178,8 @@ class Campaign:
                 "article_section": chosen.article_sections,
                 "article_brand_group": chosen.article_brand_groups,
             }
-            specs = [(name, metric, selected) for name, selected in values.items() for metric in bridges.METRICS]
+            listed = {name: choice.values if choice.mode == "include" else () for name, choice in ((n, as_selection(v)) for n, v in values.items())}
+            specs = [(name, metric, selected) for name, selected in listed.items() for metric in bridges.METRICS]
         metrics = list(dict.fromkeys(metric for _, metric, _ in specs))
         return bridges.dimension_bridges(self._category_sums(metrics), self.cfg, specs, **rules)
 
@@ -220,47 +223,68 @@ class Campaign:
 
     # outputs
 
+    @cached_property
+    def selection(self) -> DataFrame:
+        """(selection): the run settings as JSON, each choice as it was made and, for groups, the stores it came to."""
+        spark = self.traffic.sparkSession
+        stores = self.cfg.member_frame(spark).groupBy("grp").agg(F.sort_array(F.collect_set("store_code")).alias("stores"))
+        groups = self.cfg.group_frame(spark).select("grp").join(stores, "grp", "left")
+        entry = F.struct(F.col("grp"), F.coalesce("stores", F.array().cast("array<string>")).alias("stores"))
+        resolved = groups.agg(F.map_from_entries(F.array_sort(F.collect_list(entry))).alias("resolved"))
+        record = decision.selection_json(self.cfg, self.include_sunday)
+        kept, rest = F.lit(record.removesuffix("\n}")), F.to_json("resolved")
+        return resolved.select(F.concat(kept, F.lit(',\n  "group_stores": '), rest, F.lit("\n}")).alias("selection"))
+
+    def _tables(self) -> dict[str, tuple[Callable[[], DataFrame], list[str]]]:
+        """The KPI tables of the report and their order. Each is planned when it is asked for."""
+        pair_order, bridge_order = ["control_group", "testing_group", "kpi_seq"], ["grp", "bridge", "step_seq"]
+
+        def coordinates(steps: Callable[[], DataFrame]) -> Callable[[], DataFrame]:
+            return lambda: bridges.waterfall_coordinates(steps())
+
+        return {
+            "store_funnel": (lambda: formats.format_funnel(self.store_funnel), ["grp", "kpi_seq"]),
+            "store_funnel_both": (lambda: formats.format_funnel(self.store_funnel_both), ["include_sunday", "grp", "kpi_seq"]),
+            "store_promo_impact": (lambda: formats.format_impact(self.store_promo_impact), pair_order),
+            "discount_breakdown": (lambda: formats.format_discount_breakdown(self.discount_breakdown), ["grp", "kpi_seq"]),
+            "category_funnel": (lambda: formats.format_funnel(self.category_funnel), ["grp", "kpi_seq"]),
+            "category_promo_impact": (lambda: formats.format_impact(self.category_promo_impact), pair_order),
+            "pc1_bridges": (coordinates(lambda: self.pc1_bridge_period.unionByName(self.pc1_bridge_baseline_to_promo)), bridge_order),
+            "category_bridges": (coordinates(self.split_bridges), bridge_order),
+            "dimension_bridges": (coordinates(self.dimension_bridges), bridge_order),
+            "period_metrics": (lambda: self.period_metrics, ["grp", "period"]),
+            "weekday_kpis": (lambda: self.weekday_kpis, ["grp", "period", "weekday_seq"]),
+            "weekday_chart": (self.weekday_chart, ["grp", "chart_seq", "weekday_seq"]),
+            "weekday_pct_diff": (lambda: self.weekday_pct_diff, ["grp", "weekday_seq"]),
+            "footfall_labels": (lambda: self.footfall_labels, ["grp"]),
+            "store_options": (self.store_options, ["store_code"]),
+            "category_options": (self.category_options, ["dimension", "option"]),
+            "daily_trend": (self.daily_trend, ["grp", "ordered_date", "period"]),
+        }
+
+    @property
+    def files(self) -> dict[str, Callable[[], DataFrame]]:
+        """Every output of a run by name: a frame of lines in file order."""
+        pair = decision.PAIR
+        tables = {
+            name: lambda build=build, order=order: render.csv_lines(build(), order, sep="\t") for name, (build, order) in self._tables().items()
+        }
+        return {
+            "store_level_all_categories": lambda: render.csv_lines(
+                subsets.store_subset_rows(self.store_day, self.cfg), subsets.EXPORT_ORDER
+            ),
+            "selected_categories": lambda: render.csv_lines(self.category_raw, category.DIMENSIONS),
+            **tables,
+            "summary": lambda: render.text_lines(self.driver_summary, pair, "summary"),
+            "payload": lambda: decision.payload_json(self.report_payload).select(*pair, F.col("payload").alias("line")).orderBy(*pair),
+            "selection": lambda: render.text_lines(self.selection, [], "selection"),
+        }
+
     def write_report(self, folder: str) -> None:
         """All tables of the analysis under one folder."""
-        spark = self.traffic.sparkSession
         run = self.hold_facts()
         try:
-            sinks.write_csv(run.store_subset_export, f"{folder}/store_level_all_categories")
-            sinks.write_csv(run.category_raw, f"{folder}/selected_categories")
-            sinks.write_table(formats.format_funnel(run.store_funnel), f"{folder}/store_funnel", ["grp", "kpi_seq"])
-            sinks.write_table(
-                formats.format_funnel(run.store_funnel_both), f"{folder}/store_funnel_both", ["include_sunday", "grp", "kpi_seq"]
-            )
-            sinks.write_table(
-                formats.format_impact(run.store_promo_impact), f"{folder}/store_promo_impact", ["control_group", "testing_group", "kpi_seq"]
-            )
-            sinks.write_table(
-                formats.format_discount_breakdown(run.discount_breakdown), f"{folder}/discount_breakdown", ["grp", "kpi_seq"]
-            )
-            sinks.write_table(formats.format_funnel(run.category_funnel), f"{folder}/category_funnel", ["grp", "kpi_seq"])
-            sinks.write_table(
-                formats.format_impact(run.category_promo_impact),
-                f"{folder}/category_promo_impact",
-                ["control_group", "testing_group", "kpi_seq"],
-            )
-            pc1 = run.pc1_bridge_period.unionByName(run.pc1_bridge_baseline_to_promo)
-            sinks.write_table(bridges.waterfall_coordinates(pc1), f"{folder}/pc1_bridges", ["grp", "bridge", "step_seq"])
-            sinks.write_table(
-                bridges.waterfall_coordinates(run.split_bridges()), f"{folder}/category_bridges", ["grp", "bridge", "step_seq"]
-            )
-            sinks.write_table(run.period_metrics, f"{folder}/period_metrics", ["grp", "period"])
-            sinks.write_table(
-                bridges.waterfall_coordinates(run.dimension_bridges()), f"{folder}/dimension_bridges", ["grp", "bridge", "step_seq"]
-            )
-            sinks.write_table(run.weekday_kpis, f"{folder}/weekday_kpis", ["grp", "period", "weekday_seq"])
-            sinks.write_table(run.weekday_chart(), f"{folder}/weekday_chart", ["grp", "chart_seq", "weekday_seq"])
-            sinks.write_table(run.footfall_labels, f"{folder}/footfall_labels", ["grp"])
-            sinks.write_table(run.store_options(), f"{folder}/store_options", ["store_code"])
-            sinks.write_table(run.category_options(), f"{folder}/category_options", ["dimension", "option"])
-            sinks.write_table(run.weekday_pct_diff, f"{folder}/weekday_pct_diff", ["grp", "weekday_seq"])
-            sinks.write_table(run.daily_trend(), f"{folder}/daily_trend", ["grp", "ordered_date", "period"])
-            sinks.write_text(run.driver_summary.select("summary"), f"{folder}/summary")
-            sinks.write_text(decision.payload_json(run.report_payload).select("payload"), f"{folder}/payload")
-            sinks.write_selection(spark, self.cfg, f"{folder}/selection", self.include_sunday)
+            for name, lines in run.files.items():
+                sinks.write_lines(lines(), f"{folder}/{name}")
         finally:
             run.release_facts()

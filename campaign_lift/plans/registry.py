@@ -7,15 +7,16 @@ from dataclasses import replace
 from datetime import date
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from campaign_lift.config import CampaignConfig, CategoryFilter, Selection, expand_dates, local_table
 from campaign_lift.functions import formats
 from campaign_lift.operators import bridges, category, decision, funnel, impact, store_day
 from campaign_lift.plans.campaign import Campaign
 from campaign_lift.plans.campaigns import Campaigns
-from campaign_lift.sources import options
+from campaign_lift.sources import by_day, options
 from campaign_lift.sources.campaign_tables import CampaignTables
 from campaign_lift.sources.orders import OrderTables
 from campaign_lift.sources.sample_tables import sample_nested_orders, sample_order_rows, sample_tables, sample_traffic
@@ -184,6 +185,15 @@ def sample_many(spark: SparkSession, folder: str) -> Campaigns:
     return Campaigns(sample_traffic(spark, folder), sample_tables(spark, folder), STANDARD, sample_campaigns(spark))
 
 
+def sample_many_by_day(spark: SparkSession, folder: str) -> Campaigns:
+    """The same campaigns over both tables laid out by day."""
+    path = by_day.shared_folder(spark)
+    by_day.write_traffic_by_day(sample_traffic(spark, folder), f"{path}/traffic")
+    by_day.write_orders_by_day(OrderTables.from_nested(sample_nested_orders(spark, folder)), f"{path}/orders")
+    traffic, tables = by_day.read_traffic_by_day(spark, f"{path}/traffic"), by_day.read_orders_by_day(spark, f"{path}/orders")
+    return Campaigns(traffic, tables, STANDARD, sample_campaigns(spark))
+
+
 def _of_many(build: Callable[[Campaigns], DataFrame]) -> Query:
     return lambda spark, folder: build(sample_many(spark, folder))
 
@@ -258,17 +268,24 @@ def all_queries() -> dict[str, Query]:
         "ab_winner": _of(_winner),
         "ab_comparisons": _of(lambda c: c.ab_comparisons()),
         "report_payload": _of(lambda c: c.report_payload.select("control_group", "testing_group", *_payload_figures())),
-        "report_payload_kpis": _of(_payload_kpis),
+        "report_payload_kpis": _of(lambda c: _payload_kpis(c.report_payload)),
         "report_payload_drivers": _of(_payload_drivers),
         "report_payload_votes": _of(_payload_votes),
         "driver_insights": _of(lambda c: c.driver_insights),
         "driver_summary": _of(lambda c: c.driver_summary),
+        "sink_csv": _of(lambda c: c.files["store_level_all_categories"]().select("is_row", "line")),
+        "sink_csv_category": _of(lambda c: c.files["selected_categories"]().select("is_row", "line")),
+        "sink_tsv": _of(lambda c: c.files["store_funnel"]().select("is_row", "line")),
+        "sink_summary": _of(lambda c: c.files["summary"]()),
+        "sink_payload": _of(_written_payload),
+        "sink_selection": _of(lambda c: c.files["selection"](), replace(STANDARD, groups=OPEN_GROUPS, category=EXCEPT)),
         "funnel_formatted": _of(lambda c: formats.format_funnel(c.store_funnel)),
         "store_funnel_display": _of(lambda c: funnel.for_display(formats.format_funnel(c.store_funnel), "Group 1")),
         "impact_formatted": _of(lambda c: formats.format_impact(c.store_promo_impact)),
     }
     queries |= {
         "campaigns_store_funnel": _of_many(lambda c: c.store_funnel),
+        "campaigns_store_funnel_by_day": lambda spark, folder: sample_many_by_day(spark, folder).store_funnel,
         "campaigns_promo_impact": _of_many(lambda c: c.store_promo_impact),
         "campaigns_ab_winner": _of_many(_winner),
         "campaigns_ab_comparisons": _of_many(lambda c: c.ab_comparisons()),
@@ -299,7 +316,14 @@ def all_queries() -> dict[str, Query]:
     return queries
 
 
-def _payload_kpis(c: Campaign) -> DataFrame:
+def _written_payload(c: Campaign) -> DataFrame:
+    """All KPI rows of the report record as they are read back from the written JSON."""
+    lines, record = c.files["payload"](), c.report_payload.schema
+    parsed = lines.select(*decision.PAIR, F.from_json("line", T.StructType([record["kpis"]])).alias("read"))
+    return _payload_kpis(parsed.select(*decision.PAIR, "read.*"))
+
+
+def _payload_kpis(payload: DataFrame) -> DataFrame:
     """All KPI rows of the report record: both funnels and the impact, in long form."""
     pair, kpis = ["control_group", "testing_group"], F.col("kpis")
     figures = ("baseline_value", "promo_value", "pct_diff", "abs_diff")
@@ -308,13 +332,16 @@ def _payload_kpis(c: Campaign) -> DataFrame:
         "testing_minus_control_pct_diff", "testing_minus_control_abs_diff",
     )
 
-    def long(part: str, names: tuple[str, ...]) -> DataFrame:
-        rows = c.report_payload.select(*pair, F.inline(kpis[part]))
-        named = F.array(*[F.struct(F.lit(n).alias("figure"), F.col(n).alias("value")) for n in names])
-        return rows.select(*pair, F.lit(part).alias("part"), "kpi_seq", "kpi", F.inline(named))
+    def long(part: str, names: tuple[str, ...]) -> Column:
+        def entry(row: Column) -> Column:
+            named = F.array(*[F.struct(F.lit(n).alias("figure"), row[n].alias("value")) for n in names])
+            return F.struct(F.lit(part).alias("part"), row["kpi_seq"].alias("kpi_seq"), row["kpi"].alias("kpi"), named.alias("figures"))
+
+        return F.transform(kpis[part], entry)
 
-    funnels = long("control_funnel", figures).unionByName(long("testing_funnel", figures))
-    return funnels.unionByName(long("promo_impact", impact_figures))
+    parts = [long("control_funnel", figures), long("testing_funnel", figures), long("promo_impact", impact_figures)]
+    rows = payload.select(*pair, F.inline(F.concat(*parts)))
+    return rows.select(*pair, "part", "kpi_seq", "kpi", F.inline("figures"))
 
 
 def _payload_drivers(c: Campaign) -> DataFrame:

@@ -1,31 +1,19 @@
-"""Files written by a run. Each is a folder of part files, written by the tasks."""
+"""Files written by a run. Each is a folder of numbered part files, written by the tasks."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 
-from campaign_lift.config import CampaignConfig, local_table
-from campaign_lift.operators.decision import selection_json
+from campaign_lift.operators.render import csv_lines
 
 
-def write_csv(rows: DataFrame, path: str, sep: str = ",") -> None:
-    """CSV with a header. Rows keep the order they have."""
-    rows.write.mode("overwrite").option("sep", sep).option("escape", '"').csv(path, header=True)
+def write_lines(lines: DataFrame, path: str) -> None:
+    """The column ``line`` of a frame in file order. The parts, one after the other, are the file."""
+    lines.select("line").write.mode("overwrite").text(path)
 
 
-def write_table(rows: DataFrame, path: str, order: Sequence[str]) -> None:
-    """A KPI table as tab-separated text for spreadsheets, sorted."""
-    write_csv(rows.orderBy(*order), path, sep="\t")
-
-
-def write_text(lines: DataFrame, path: str) -> None:
-    """One text column."""
-    lines.write.mode("overwrite").text(path)
-
-
-def write_selection(spark: SparkSession, cfg: CampaignConfig, path: str, include_sunday: bool = False) -> None:
-    """The run settings as JSON."""
-    write_text(local_table(spark, {"value": (pa.string(), [selection_json(cfg, include_sunday)])}), path)
+def write_csv(rows: DataFrame, path: str, order: Sequence[str], sep: str = ",") -> None:
+    """Any rows as CSV with one header line, sorted."""
+    write_lines(csv_lines(rows, order, sep), path)

@@ -41,6 +41,9 @@ def open_items(orders: DataFrame, fields: Sequence[str]) -> DataFrame:
     return orders.select(*[c for c in orders.columns if c != "order_items"], F.inline_outer(wanted))
 
 
+#: Partition column of orders that are laid out by UTC day.
+ORDER_DAY = "order_day"
+
 Step = Callable[[DataFrame], DataFrame]
 
 
@@ -79,6 +82,13 @@ class OrderTables:
     def time_type(self) -> T.DataType:
         return self.records.schema["ordered_at"].dataType
 
+    @property
+    def day(self) -> Column:
+        """The UTC day of an order; the partition column where orders are laid out by day."""
+        if ORDER_DAY in self.records.columns:
+            return F.col(ORDER_DAY)
+        return F.to_date(utc_wall_time(F.col("ordered_at"), self.time_type))
+
     @property
     def orders(self) -> DataFrame:
         return self._stepped(self.records)
@@ -117,7 +127,7 @@ class OrderTables:
     def on_dates(self, dates: Sequence[date]) -> OrderTables:
         """Orders of the given UTC days, with their ``ordered_date``."""
         kind = self.time_type
-        day = F.to_date(utc_wall_time(F.col("ordered_at"), kind))
+        day = self.day
         condition = in_dates(day, dates)
         if dates and isinstance(kind, T.TimestampType):
             start = datetime.combine(min(dates), datetime.min.time(), timezone.utc)

@@ -964,6 +964,7 @@ def _many_statements() -> dict[str, str]:
     voted = _with(*_many(), VOTES)
     return {
         "campaigns_store_funnel": chain + _by_campaign("SELECT * FROM funnel", "grp"),
+        "campaigns_store_funnel_by_day": chain + _by_campaign("SELECT * FROM funnel", "grp"),
         "campaigns_promo_impact": chain + _by_campaign("SELECT * FROM impact"),
         "campaigns_ab_winner": voted
         + _by_campaign("""
@@ -978,6 +979,143 @@ FROM winners w"""),
     }
 
 
+# ------------------------------------------------------------------ lines of output files
+
+
+def _lines(source: str, columns: list[str], sep: str) -> str:
+    """A header line and one line for each row; nothing here needs quotes."""
+    texts = f" || '{sep}' || ".join(f"coalesce(CAST({c} AS VARCHAR), '')" for c in columns)
+    header = sep.join(c.strip('"') for c in columns)
+    return f"\nSELECT CAST(0 AS INT) AS is_row, '{header}' AS line UNION ALL SELECT CAST(1 AS INT), {texts} FROM {source}"
+
+
+SELECTION = """{
+  "traffic_business_unit": "NOVA DE",
+  "traffic_country": "DE",
+  "order_company_name_short": "NOVA",
+  "order_channel": "STATIONARY",
+  "order_country": "DE",
+  "vat": 1.19,
+  "baseline_coefficient": 1.0,
+  "groups": {
+    "Group 1": {
+      "select all stores": true
+    },
+    "Group 2": {
+      "select all stores": false,
+      "except": [
+        "0001",
+        "0003"
+      ]
+    },
+    "Group 3": {
+      "select all stores": false,
+      "include": [
+        "0004",
+        "0005",
+        "0006",
+        "0007"
+      ]
+    },
+    "Group 4": {
+      "select all stores": false,
+      "include": []
+    }
+  },
+  "group_descriptions": {
+    "Group 1": "no offer",
+    "Group 2": "",
+    "Group 3": "offer",
+    "Group 4": ""
+  },
+  "baseline_dates": [
+    BASELINE_DAYS
+  ],
+  "promo_dates": [
+    PROMO_DAYS
+  ],
+  "article_section_groups": {
+    "select all article_section_group": false,
+    "except": [
+      "ECONOMY",
+      "No such group"
+    ]
+  },
+  "article_sections": {
+    "select all article_section": true
+  },
+  "article_seasons": {
+    "select all article_season": false,
+    "except": [
+      "SS",
+      "UNKNOWN"
+    ]
+  },
+  "article_brand_groups": {
+    "select all article_brand_group": true
+  },
+  "insider_customer_types": {
+    "select all insider_customer_type": true
+  },
+  "category_store_codes": [
+    "0000",
+    "0002",
+    "0005"
+  ],
+  "price_types": [
+    "RP",
+    "BP"
+  ],
+  "promo_checks": [
+    "promo",
+    "non-promo"
+  ],
+  "pairs": [
+    {
+      "control_group": "Group 1",
+      "testing_group": "Group 3"
+    },
+    {
+      "control_group": "Group 1",
+      "testing_group": "Group 2"
+    },
+    {
+      "control_group": "Group 2",
+      "testing_group": "Group 4"
+    },
+    {
+      "control_group": "Group 3",
+      "testing_group": "Group 3"
+    }
+  ],
+  "promo_mechanism": "BOTH",
+  "include_sunday": false,
+  "group_stores": GROUP_STORES
+}"""
+
+
+EXPORT_COLUMNS = [
+    *"ordered_date country business_unit store_code store_name pedestrian_footfall store_absorption_rate".split(),
+    *"store_conversion_rate incoming_visitors orders channel".split(), *ORDER_COLUMNS, *"weekday grp period".split(),
+]
+
+
+def _selection() -> str:
+    days = {
+        p: f"(SELECT string_agg('\"' || CAST(d AS VARCHAR) || '\"', ',' || chr(10) || '    ' ORDER BY d) FROM periods WHERE period = '{p} Period')"
+        for p in ("Baseline", "Promo")
+    }
+    stores = """(SELECT '{' || string_agg('"' || grp || '":[' || listed || ']', ',' ORDER BY grp) || '}' FROM (
+      SELECT g.grp, coalesce(string_agg('"' || store_code || '"', ',' ORDER BY store_code), '') AS listed
+      FROM grps g LEFT JOIN members m ON m.grp = g.grp GROUP BY 1))"""
+    text = _quoted(SELECTION)
+    for hole, value in (("BASELINE_DAYS", days["Baseline"]), ("PROMO_DAYS", days["Promo"]), ("GROUP_STORES", stores)):
+        text = f"replace({text}, '{hole}', {value})"
+    return _with(OPEN_CONFIG) + f"""
+SELECT CAST(i AS INT) AS line_no, lines[i] AS line
+FROM (SELECT lines, unnest(range(1, len(lines) + 1)) AS i FROM (SELECT string_split({text}, chr(10)) AS lines))"""
+
+
 def all_statements() -> dict[str, str]:
     store_columns = ", ".join(
         ["ordered_date", "country", "business_unit", "store_code", "store_name", *RATES, "channel", *TRAFFIC_COLUMNS, *ORDER_COLUMNS]
@@ -1156,6 +1294,17 @@ SELECT control_group, testing_group, role, grp, revenue_dir, new_pct, new_abs, b
         "driver_summary": _summary(),
         "driver_summary_bp_only": _summary("BP_ONLY"),
         "driver_summary_rp_only": _summary("RP_ONLY"),
+        "sink_csv": _with(*_store()) + _lines("subset", EXPORT_COLUMNS, ",").replace(",grp,", ",group,"),
+        "sink_csv_category": _with(CONFIG, ITEMS, SOLD, _category(GROUP_STORES))
+        + _lines("category_day", [c.strip() for c in category_columns.split(",")], ","),
+        "sink_tsv": _with(*_store_funnel(), f"shown AS (SELECT grp, kpi_seq, kpi, {funnel_text} FROM funnel)")
+        + _lines("shown", ["grp", "kpi_seq", "kpi", "baseline_value", "promo_value", "pct_diff", "abs_diff"], "\t"),
+        "sink_summary": f"""
+SELECT control_group, testing_group, CAST(i AS INT) AS line_no, lines[i] AS line
+FROM (SELECT *, unnest(range(1, len(lines) + 1)) AS i
+      FROM (SELECT control_group, testing_group, string_split(summary, chr(10)) AS lines FROM ({_summary()})))""",
+        "sink_payload": _with(*impact) + "\n" + _payload_kpi_rows(),
+        "sink_selection": _selection(),
         "funnel_formatted": _with(*_store_funnel()) + f"\nSELECT grp, kpi_seq, kpi, {funnel_text} FROM funnel",
         "store_funnel_display": _with(*_store_funnel()) + f"\nSELECT {funnel_display} FROM funnel WHERE grp = 'Group 1'",
         "impact_formatted": _with(*impact) + f"\nSELECT control_group, testing_group, kpi_seq, kpi, {impact_text} FROM impact",

@@ -1,10 +1,13 @@
 import csv
+import io
 import json
 from datetime import date, datetime
 from pathlib import Path
 
 import pytest
 
+from __spark_entry__ import queries
+from campaign_lift import sinks
 from campaign_lift.plans.campaign import Campaign
 from tests.conftest import config, item, order, order_tables, traffic_frame, visit
 
@@ -56,13 +59,30 @@ def test_every_output_is_written(report):
 
 
 def test_csv_export_is_sorted_with_header(report):
-    parts = sorted((report / "store_level_all_categories").glob("part-*"))
-    rows = [r for part in parts for r in csv.DictReader(part.read_text().splitlines())]
+    lines = read_parts(report / "store_level_all_categories")
+    rows = list(csv.DictReader(lines))
     keys = [(r["group"], r["period"], r["ordered_date"], r["store_code"]) for r in rows]
     assert len(rows) == 8 and keys == sorted(keys)
     assert rows[0]["store_code"] == "0001" and rows[0]["weekday"] == "Monday"
 
 
+def test_lines_quote_what_needs_it_and_number_parts_make_one_file(spark, tmp_path):
+    values = [(3, 'a,"b"', 1e9 + 0.25), (1, None, 12345678.0), (2, " x ", -1.5e-5), (4, "two\nlines", None), (5, "", 1e300)]
+    rows = spark.createDataFrame(values * 20, "n int, `t.x` string, v double").repartition(7)
+    sinks.write_csv(rows, str(tmp_path / "out"), ["n"])
+    text = "".join(p.read_text() for p in sorted((tmp_path / "out").glob("part-*")))
+    got = list(csv.reader(io.StringIO(text)))
+    assert got[0] == ["n", "t.x", "v"] and len(got) == 101
+    assert got[1:21] == [["1", "", "12345678.0"]] * 20 and got[21] == ["2", " x ", "-0.000015"]
+    assert got[41] == ["3", 'a,"b"', "1000000000.25"] and got[61] == ["4", "two\nlines", ""] and float(got[81][2]) == 1e300
+
+
+def test_report_files_are_the_checked_frames(spark, report):
+    lines = queries()["sink_tsv"](spark, "/root/testdata/sf0.001").orderBy("is_row", "line").collect()
+    assert [r.is_row for r in lines] == [0] + [1] * 104 and lines[0].line.split("\t")[2] == "kpi"
+    assert read_parts(report / "store_funnel")[0] == lines[0].line
+
+
 def test_tables_are_tab_separated_text(report):
     lines = read_parts(report / "store_funnel")
     assert lines[0].split("\t")[:3] == ["grp", "kpi_seq", "kpi"]
