@@ -8,7 +8,7 @@ from decimal import Decimal
 from functools import reduce
 from operator import or_
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 UNKNOWN = "UNKNOWN"
@@ -109,6 +109,16 @@ def in_dates(day: Column, dates: Iterable[date]) -> Column:
     return bounds & reduce(or_, [(day >= F.lit(first)) & (day <= F.lit(last)) for first, last in runs])
 
 
+#: Days of a calendar that are broadcast: a century of them takes a few hundred kilobytes.
+MOST_DAYS = 36_600
+
+
+def days_between(days: DataFrame, first: date, last: date) -> DataFrame:
+    """A table of distinct days, marked for broadcast where its bounds prove it small. A scan that is laid out by day is then
+    pruned to these days while it runs, also where the planner does not know the size of the table."""
+    return F.broadcast(days) if (last - first).days < MOST_DAYS else days
+
+
 def in_values(value: Column, values: Sequence[str]) -> Column | None:
     """Value-list test, or None when the list is empty (no filter)."""
     return value.isin(list(values)) if values else None

@@ -16,10 +16,16 @@ from campaign_lift.functions import formats
 from campaign_lift.operators import bridges, category, decision, funnel, impact, store_day
 from campaign_lift.plans.campaign import Campaign
 from campaign_lift.plans.campaigns import Campaigns
-from campaign_lift.sources import by_day, options
+from campaign_lift.sources import by_day, options, text_feed
 from campaign_lift.sources.campaign_tables import CampaignTables
 from campaign_lift.sources.orders import OrderTables
-from campaign_lift.sources.sample_tables import sample_nested_orders, sample_order_rows, sample_tables, sample_traffic
+from campaign_lift.sources.sample_tables import (
+    sample_nested_orders,
+    sample_order_rows,
+    sample_tables,
+    sample_traffic,
+    sample_traffic_text,
+)
 from campaign_lift.sources.schemas import PC1, QUANTITY, REVENUE
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -211,6 +217,10 @@ def all_queries() -> dict[str, Query]:
     queries: dict[str, Query] = {
         "nested_order_items": _nested_items,
         "traffic_store_day": _of(lambda c: store_day.traffic_store_day(c.traffic, c.cfg)),
+        "text_feed_store_day": lambda spark, folder: store_day.traffic_store_day(
+            text_feed.typed_traffic(sample_traffic_text(spark, folder)), STANDARD
+        ),
+        "text_feed_rejects": lambda spark, folder: text_feed.rejected(text_feed.typed_traffic(sample_traffic_text(spark, folder))),
         "order_store_day": _of(lambda c: store_day.order_store_day(c.tables, c.cfg)),
         "order_store_day_eighths": _in_eighths(store_day.order_store_day),
         "category_raw_eighths": _in_eighths(category.category_raw),

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from campaign_lift.config import CampaignConfig, expand_dates
-from campaign_lift.functions.columns import in_dates, pad_store_code
+from campaign_lift.functions.columns import days_between, in_dates, pad_store_code
 from campaign_lift.sources.schemas import ITEM_COLUMNS, ORDER_COLUMNS, ORDER_ITEM, ORDERS, require_columns, require_types
 
 
@@ -140,7 +140,7 @@ class OrderTables:
         """Orders of the UTC days that a table ``ordered_date`` lists, with their day. The bounds of the table, which the
         caller knows, reach the scan; its days are a semi join."""
         bounded = self.on_dates(expand_dates(first, last))
-        return bounded._with(lambda rows: rows.join(days, "ordered_date", "left_semi"))
+        return bounded._with(lambda rows: rows.join(days_between(days, first, last), "ordered_date", "left_semi"))
 
     def of_stores_in(self, stores: DataFrame) -> OrderTables:
         """Orders of the stores that a table ``store_code`` lists, with their padded code."""

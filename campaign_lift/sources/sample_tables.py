@@ -30,7 +30,12 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def sample_traffic(spark: SparkSession, folder: str) -> DataFrame:
-    return _table(spark, folder, "events").selectExpr(
+    return _traffic(_table(spark, folder, "events"))
+
+
+def _traffic(events: DataFrame, *others: str) -> DataFrame:
+    return events.selectExpr(
+        *others,
         "CAST(ts AS DATE) AS visited_on",
         "'DE' AS country",
         "'NOVA DE' AS business_unit",
@@ -43,6 +48,21 @@ def sample_traffic(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def sample_traffic_text(spark: SparkSession, folder: str) -> DataFrame:
+    """The same traffic as text, with days and numbers that are none."""
+    text = {
+        "visited_on": "CASE WHEN user_id % 97 = 3 THEN 'not a date' WHEN user_id % 89 = 5 THEN '' WHEN user_id % 83 = 4 THEN '2024-02-30' ELSE {} END",
+        "store_code": "CASE WHEN user_id % 53 = 9 THEN 'S-1' ELSE {} END",
+        "pedestrian_footfall": "CASE WHEN user_id % 31 = 7 THEN 'n/a' WHEN user_id % 37 = 2 THEN concat('  ', {}, ' ') ELSE {} END",
+        "incoming_visitors": "CASE WHEN user_id % 41 = 1 THEN '1.5' WHEN user_id % 43 = 1 THEN concat({}, '.0') ELSE {} END",
+        "orders": "CASE WHEN user_id % 47 = 6 THEN '1e0' ELSE {} END",
+    }
+    rows = _traffic(_table(spark, folder, "events"), "user_id")
+    return rows.selectExpr(
+        *[f"{text[c].replace('{}', f'CAST({c} AS STRING)')} AS {c}" if c in text else c for c in rows.columns if c != "user_id"]
+    )
+
+
 def sample_order_rows(spark: SparkSession, folder: str) -> DataFrame:
     """One row per order, without items."""
     return _table(spark, folder, "orders").selectExpr(

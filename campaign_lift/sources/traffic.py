@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from campaign_lift.config import CampaignConfig
-from campaign_lift.functions.columns import in_dates
+from campaign_lift.functions.columns import days_between, in_dates
 from campaign_lift.sources.schemas import TRAFFIC, require_columns, require_types
 
 
@@ -38,4 +38,4 @@ def traffic_of_days(traffic: DataFrame, seller: CampaignConfig, days: DataFrame,
         & (day >= F.lit(first))
         & (day <= F.lit(last))
     )
-    return bounded.join(days, day == F.col("ordered_date"), "left_semi")
+    return bounded.join(days_between(days, first, last), day == F.col("ordered_date"), "left_semi")

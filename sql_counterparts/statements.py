@@ -116,6 +116,36 @@ traffic_day AS (
 )"""
 
 
+# Traffic of the feed as text: values that are none of their type are NULL, rows without a day drop out.
+TEXT_TRAFFIC_DAY = TRAFFIC_DAY.replace(
+    """visits AS (
+  SELECT CAST(ts AS DATE) AS visited_on, CAST(user_id % 8 AS INT) AS store,""",
+    """visits AS (
+  SELECT CASE WHEN user_id % 97 <> 3 AND user_id % 89 <> 5 AND user_id % 83 <> 4 THEN visited_on END AS visited_on,
+    CASE WHEN user_id % 53 <> 9 THEN store END AS store, store AS store_number,
+    CASE WHEN user_id % 31 <> 7 THEN footfall END AS footfall, CASE WHEN user_id % 41 <> 1 THEN visitors END AS visitors,
+    CASE WHEN user_id % 47 = 6 THEN 1 ELSE tills END AS tills
+  FROM well_formed
+),
+well_formed AS (
+  SELECT user_id, CAST(ts AS DATE) AS visited_on, CAST(user_id % 8 AS INT) AS store,""",
+).replace("concat('STORE_', CAST(store AS VARCHAR))", "concat('STORE_', CAST(store_number AS VARCHAR))")
+_first, _second = TEXT_TRAFFIC_DAY.split("),\nwell_formed AS (", 1)
+_made, _rest = _second.split("),\ntraffic_day", 1)
+TEXT_TRAFFIC_DAY = f"\nwell_formed AS ({_made}),{_first}),\ntraffic_day{_rest}"
+
+REJECTED = " UNION ALL ".join(
+    f"SELECT '{column}' AS \"column\", '{value}' AS value, count(*) AS n FROM events WHERE {test} HAVING count(*) > 0"
+    for column, value, test in (
+        ("visited_on", "not a date", "user_id % 97 = 3"),
+        ("visited_on", "2024-02-30", "user_id % 83 = 4 AND user_id % 97 <> 3 AND user_id % 89 <> 5"),
+        ("store_code", "S-1", "user_id % 53 = 9"),
+        ("pedestrian_footfall", "n/a", "user_id % 31 = 7"),
+        ("incoming_visitors", "1.5", "user_id % 41 = 1"),
+    )
+)
+
+
 def _filtered(measure: str, name: str) -> str:
     rules = {"": "true", "RP_": "red IS NOT NULL", "promo_": "has_promotion", "existing_": "insider = 'EXISTING'"}
     return ",\n    ".join(
@@ -1174,6 +1204,8 @@ def all_statements() -> dict[str, str]:
 SELECT order_id, ordered_at, tenant, insider AS insider_customer_type, item_no, red AS article_price_red_eur, has_promotion,
   CASE WHEN item_no IS NOT NULL THEN coalesce(promotion_ids, '') END AS promotion_ids, revenue, qty AS quantity, pc1 FROM items""",
         "traffic_store_day": _with(CONFIG, TRAFFIC_DAY) + "\nSELECT * FROM traffic_day",
+        "text_feed_store_day": _with(CONFIG, TEXT_TRAFFIC_DAY) + "\nSELECT * FROM traffic_day",
+        "text_feed_rejects": REJECTED,
         "order_store_day": _with(CONFIG, ITEMS, SOLD, ORDER_DAY) + "\nSELECT * FROM order_day",
         "order_store_day_eighths": _with(CONFIG, EIGHTHS, SOLD, ORDER_DAY) + "\nSELECT * FROM order_day",
         "category_raw_eighths": _with(CONFIG, EIGHTHS, SOLD, _category()) + f"\nSELECT {category_columns} FROM category_day",
