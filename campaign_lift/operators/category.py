@@ -14,7 +14,7 @@ from campaign_lift.functions.columns import cents, in_values, micros, or_unknown
 from campaign_lift.operators.metrics import kpi_rows
 from campaign_lift.operators.store_day import scale_baseline
 from campaign_lift.operators.subsets import group_period_subset
-from campaign_lift.sources.options import excepted_values
+from campaign_lift.sources.options import not_excepted
 from campaign_lift.sources.orders import OrderTables, seller_values
 from campaign_lift.sources.schemas import PC1, QUANTITY, REVENUE
 
@@ -63,15 +63,14 @@ def _category_items(
 ) -> DataFrame:
     """Item rows that pass all value lists, with the asked labels and measures.
 
-    An except list is an anti join with its values, ahead of any aggregation. Labels are never null, so that a row without
-    a value goes by the label that stands for it.
+    Except lists are tested ahead of any aggregation. Labels are never null, so that a row without a value goes by the label
+    that stands for it.
     """
     fields = list(dict.fromkeys([*(ITEM_LABELS[name] for name in labels), *measures]))
     items = _chosen_orders(tables, cfg).item_rows(fields)
     rows = _keep(items.withColumns({name: _label(name) for name in labels}), cfg.category.item_lists())
     for name in cfg.category.item_excepts():
-        values = excepted_values(tables, cfg, name, _label(name), [ITEM_LABELS[name]])
-        rows = rows.join(values, F.col(name) == F.col("excepted"), "left_anti")
+        rows = rows.where(not_excepted(tables, cfg, name, _label(name), [ITEM_LABELS[name]]))
     return rows
 
 

@@ -75,14 +75,12 @@ def group_members(tables: OrderTables, cfg: CampaignConfig) -> DataFrame:
     return members.unionByName(every.join(local_table(spark, columns), ["grp", "store_code"], "left_anti"))
 
 
-def excepted_values(tables: OrderTables, cfg: CampaignConfig, dimension: str, label: Column, fields: Sequence[str]) -> DataFrame:
-    """(excepted): the values of an except list, or none of them if the list leaves no option of the selected days, as an
-    empty choice means no filter.
+def not_excepted(tables: OrderTables, cfg: CampaignConfig, dimension: str, label: Column, fields: Sequence[str]) -> Column:
+    """Test of an except list on a label that is never null. A list that leaves no option of the selected days keeps every
+    row, as an empty choice means no filter.
 
     Whether an option is left is a scalar subquery over the item field; nothing is collected.
     """
-    spark = tables.records.sparkSession
-    values = cfg.category.item_excepts()[dimension]
+    kept = ~label.isin(list(cfg.category.item_excepts()[dimension]))
     items = tables.for_seller(cfg).on_dates(cfg.selected_dates).item_rows(fields)
-    left = items.agg(F.bool_or(~label.isin(list(values))).alias("left"))
-    return local_table(spark, {"excepted": (pa.string(), sorted(values))}).where(left.scalar())
+    return kept | ~items.agg(F.coalesce(F.bool_or(kept), F.lit(False)).alias("left")).scalar()
