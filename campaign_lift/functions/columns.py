@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 from datetime import date, timedelta
-from decimal import Decimal
 from functools import reduce
 from operator import or_
 
@@ -65,8 +64,9 @@ def micros(value: Column) -> Column:
 
 
 def cents(total: Column) -> Column:
-    """A total of millionths as an amount, rounded to cents: exact halves go away from zero."""
-    return F.round(total.cast("decimal(20,0)") * F.lit(Decimal("0.000001")), 2).cast("double")
+    """A total of millionths as an amount, rounded to cents in whole numbers: exact halves go away from zero."""
+    whole = F.call_function("div", F.abs(total) + 5_000, F.lit(10_000)).cast("double")
+    return F.when(total < 0, F.lit(0.0) - whole).otherwise(whole) / 100.0
 
 
 def is_sunday(day: Column) -> Column:
