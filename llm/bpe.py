@@ -33,8 +33,8 @@ from pyspark.sql import DataFrame
 
 from llm.shared import plain, text_or_empty
 
-#: What a worker remembers at once of pieces, words, beginnings of words and neighbours; twice that with the ones before.
-REMEMBERED = 60_000
+#: What a worker remembers at once of pieces, words and beginnings of words, and of neighbours; twice that with the ones before.
+REMEMBERED, NEIGHBOURS = 100_000, 400_000
 #: Length of the beginnings of words that are remembered.
 HEAD = 6
 #: Longest vocabulary file that is broadcast.
@@ -51,8 +51,8 @@ def visible_bytes() -> list[str]:
 class Memory(dict):
     """What was asked for of late: when full, it becomes the past and begins anew; what is found in the past comes back."""
 
-    def __init__(self):
-        self.past: dict = {}
+    def __init__(self, most: int = REMEMBERED):
+        self.most, self.past = most, {}
 
     def find(self, key):
         value = self.get(key)
@@ -61,12 +61,22 @@ class Memory(dict):
         return value
 
     def keep(self, key, value) -> None:
-        if len(self) >= REMEMBERED:
+        if len(self) >= self.most:
             self.past = dict(self)
             self.clear()
         self[key] = value
 
 
+class Place:
+    """Where a word's reading stands: the longest end of what was read that begins a token, the tokens that end there (longest
+    first, as number and symbols), and where each further symbol leads. There are no more places than beginnings of tokens."""
+
+    __slots__ = ("text", "tokens", "next", "closing")
+
+    def __init__(self, text: str, tokens: list):
+        self.text, self.tokens, self.next, self.closing = text, tokens, {}, {}
+
+
 class Merges:
     """A merge list, its tokens and what is known about neighbours so far."""
 
@@ -74,11 +84,16 @@ class Merges:
         self.rank = {tuple(m if isinstance(m, list) else m.split(" ")): i for i, m in enumerate(merges)}
         #: Of a token, the rank of its merge and the two parts.
         self.made = {a + b: (i, a, b) for (a, b), i in self.rank.items()}
-        self.tokens, self.end = set(tokens), end
-        #: Symbols of the longest product: no token reaches back further.
-        self.lookahead = max((len(t.removesuffix(end)) if end else len(t) for t in self.tokens), default=1)
-        self.apart, self.heads = Memory(), Memory()
-        self.own: dict[tuple[str, bool], bool] = {}
+        self.names, self.end = list(tokens), end
+        self.tokens = {t: i for i, t in enumerate(self.names)}
+        bodies = [t.removesuffix(end) if end else t for t in self.names]
+        #: Symbols of each token, and of the longest product: no token reaches back further.
+        self.length = list(map(len, bodies))
+        self.lookahead = max(self.length, default=1)
+        self.begun = {t[:n] for t in bodies for n in range(len(t) + 1)}
+        self.places: dict[str, Place] = {}
+        self.root = self.place("")
+        self.apart, self.heads = Memory(NEIGHBOURS), Memory()
 
     def symbols(self, token: str, last: bool) -> list[str]:
         if not (last and self.end):
@@ -95,12 +110,30 @@ class Merges:
             parts[best : best + 2] = [parts[best] + parts[best + 1]]
         return parts
 
-    def fits(self, left: str, token: str, last: bool) -> bool:
-        """token is what its symbols merge to, and it stays apart from its left neighbour, if there is one."""
-        own = self.own.get((token, last))
-        if own is None:
-            own = self.own[token, last] = self.merged(self.symbols(token, last)) == [token]
-        return own and (not left or self.stay_apart(left, token))
+    def ending(self, text: str, last: bool) -> list[tuple[int, int]]:
+        """The tokens at the end of a text that are what their own symbols merge to, longest first, as number and symbols."""
+        end = self.end if last else ""
+        found = ((text[at:] + end, len(text) - at) for at in range(len(text)))
+        return [(self.tokens[t], k) for t, k in found if t in self.tokens and self.merged(self.symbols(t, last)) == [t]]
+
+    def place(self, text: str) -> Place:
+        found = self.places.get(text)
+        if found is None:
+            found = self.places[text] = Place(text, self.ending(text, False))
+        return found
+
+    def onward(self, place: Place, symbol: str) -> Place:
+        """The place after a symbol, kept where it is met first."""
+        text = place.text + symbol
+        while text not in self.begun:
+            text = text[1:]
+        found = place.next[symbol] = self.place(text)
+        return found
+
+    def closing(self, place: Place, symbol: str) -> list[tuple[int, int]]:
+        """The tokens that end a word with a last symbol."""
+        found = place.closing[symbol] = self.ending(place.text + symbol, True)
+        return found
 
     def stay_apart(self, left: str, right: str) -> bool:
         """Both, merged together, stay as they are. The merges that made them are undone along the seam, latest first;
@@ -121,10 +154,14 @@ class Merges:
 
     def transduce(self, symbols: str) -> Iterator[str]:
         """The tokens of one word, each as soon as it is stable."""
-        window, ends, before = "", [], ""  # symbols not emitted, the token that ends at each, the token before them
+        return map(self.names.__getitem__, self.numbers(symbols))
+
+    def numbers(self, symbols: str) -> Iterator[int]:
+        """The same as places in the list of tokens."""
+        window, ends, before = "", [], -1  # symbols not emitted, the token that ends at each, the token before them or none
         at, step = 0, 4 * self.lookahead
         if len(symbols) <= step:
-            self.read(symbols, ends, "", True)
+            self.read(symbols, ends, -1, True)
             yield from self.chain(ends, len(ends))
             return
         while at < len(symbols):
@@ -138,31 +175,41 @@ class Merges:
                 yield from out
                 window, ends, before = window[cut:], ends[cut:], out[-1]
 
-    def read(self, window: str, ends: list, before: str, whole: bool) -> None:
-        """Add the last token, and its length, of each prefix of the window that ends has none of yet."""
-        tokens, apart, total, most = self.tokens, self.apart, len(window), self.lookahead
-        first = not ends and not before
-        if first and total > HEAD:  # what ends at the symbols of a word's beginning is the same in all words that begin so
-            ends.extend(self.heads.find(window[:HEAD]) or ())
-        begun = len(ends)
-        for n in range(len(ends) + 1, total + 1):
-            last = whole and n == total
-            end = self.end if last else ""
-            for start in range(n - most if n > most else 0, n):
-                token = window[start:n] + end
-                if token in tokens:
-                    pair = (ends[start - 1][0] if start else before, token)
+    def read(self, window: str, ends: list, before: int, whole: bool) -> None:
+        """Add the last token of each prefix of the window that ends has none of yet."""
+        place, at, total, many, apart = self.root, 0, len(window), len(self.names), self.apart
+        first = before < 0 and not ends and total > HEAD
+        if first:  # what ends at the symbols of a word's beginning is the same in all words that begin so
+            if found := self.heads.find(window[:HEAD]):
+                place, at = found[0], HEAD
+                ends += found[1]
+                first = False
+        known, closed = len(ends), total - 1 if whole and self.end else total
+        for n in range(at, total):
+            if n == HEAD and first:
+                self.heads.keep(window[:HEAD], (place, ends[:]))
+            symbol = window[n]
+            if n < closed:
+                place = place.next.get(symbol) or self.onward(place, symbol)
+                if n < known:
+                    continue
+                tokens = place.tokens
+            elif (tokens := place.closing.get(symbol)) is None:
+                tokens = self.closing(place, symbol)
+            for token, k in tokens:
+                left = ends[n - k] if k <= n else before
+                if left >= 0:
+                    pair = left * many + token
                     fit = apart.get(pair)
                     if fit is None and (fit := apart.find(pair)) is None:
-                        fit = self.fits(*pair, last)
+                        fit = self.stay_apart(self.names[left], self.names[token])
                         apart.keep(pair, fit)
-                    if fit:
-                        ends.append((token, n - start))
-                        break
+                    if not fit:
+                        continue
+                ends.append(token)
+                break
             else:
-                raise ValueError(f"no token for the last symbol of {window[:n]!r}")
-        if first and begun < HEAD < total:
-            self.heads.keep(window[:HEAD], ends[:HEAD])
+                raise ValueError(f"no token for the last symbol of {window[: n + 1]!r}")
 
     def stable(self, ends: list) -> int:
         """The last boundary that the chains of all prefixes within the lookahead share."""
@@ -171,17 +218,16 @@ class Merges:
             marks = set()
             while at > 0:
                 marks.add(at)
-                at -= ends[at - 1][1]
+                at -= self.length[ends[at - 1]]
             shared = marks if shared is None else shared & marks
         return max(shared, default=0)
 
-    @staticmethod
-    def chain(ends: list, at: int) -> list[str]:
+    def chain(self, ends: list, at: int) -> list[int]:
         out = []
         while at > 0:
-            token, k = ends[at - 1]
+            token = ends[at - 1]
             out.append(token)
-            at -= k
+            at -= self.length[token]
         return out[::-1]
 
 
@@ -194,11 +240,11 @@ class Tokenizer:
         self.ids: dict[str, int] = model["vocab"] | {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.special = [t["content"] for t in spec["added_tokens"]]
         self.names = {i: t for t, i in self.ids.items()}
-        self.digits = {t: str(i) for t, i in self.ids.items()}
-        self.named_digits = {str(i): t for t, i in self.ids.items()}
         self.end = model["end_of_word_suffix"] or ""
         self.merges = Merges(model["merges"], model["vocab"], self.end)
+        self.digits = [str(self.ids[t]) for t in self.merges.names]
         self.bytes = visible_bytes()
+        self.byte_of, self.complete = {c: b for b, c in enumerate(self.bytes)}, {}
         split = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.words = regex.compile(split.replace(r"\s", r"\p{White_Space}"))
         self.opening = {t[0] for t in self.special}
@@ -209,7 +255,7 @@ class Tokenizer:
         """The ids of one word of the pre-tokenizer, joined by spaces."""
         if (ids := self.by_word.find(word)) is None:
             symbols = word if word.isascii() and word.isprintable() else "".join([self.bytes[b] for b in word.encode()])
-            ids = " ".join([self.digits[t] for t in self.merges.transduce(symbols)])
+            ids = " ".join([self.digits[t] for t in self.merges.numbers(symbols)])
             if len(word) <= 100:
                 self.by_word.keep(word, ids)
         return ids
@@ -230,25 +276,38 @@ class Tokenizer:
                 out += map(self.encode_word, self.words.findall(part))
         return " ".join(out)
 
-    def encode(self, text: str) -> str:
-        """The ids of a text, joined by spaces. No word reaches over white space, so pieces between it are encoded alone."""
+    def read_chunk(self, chunk: str) -> tuple[str, str, str]:
+        """Of a piece of text without white space: its ids, and what the library and the state machine decode them to."""
+        ids = self.encode_chunk(chunk)
+        numbers = [int(i) for i in ids.split()]
+        return ids, self.named(numbers), self.decode(numbers)
+
+    def read(self, text: str) -> tuple[str, str, str]:
+        """Of a text: its ids joined by spaces, their names joined by spaces, which is what the tokenizers library decodes
+        where the file names no decoder, and the text that the state machine gives. No word reaches over white space, so the
+        pieces between it are encoded alone; as each of their words ends in the suffix, the state machine is back at its
+        beginning after each piece."""
         # \x1c to \x1f split for Python, but are no white space for the vocabulary's pattern
         chunks = text.split() if not regex.search(r"[\x1c-\x1f]", text) else regex.split(r"\p{White_Space}+", text)
-        known, out = self.known, []
-        for chunk in chunks:
-            ids = known.get(chunk)
-            if ids is None and (ids := known.find(chunk)) is None:
-                ids = self.encode_chunk(chunk)
-                if len(chunk) <= 100:
-                    known.keep(chunk, ids)
-            if ids:
-                out.append(ids)
-        return " ".join(out)
+        found = list(map(self.known.get, chunks))
+        if None in found:
+            for i, made in enumerate(found):
+                if made is None:
+                    chunk = chunks[i]
+                    if (made := self.known.find(chunk)) is None:
+                        made = self.read_chunk(chunk)
+                        if len(chunk) <= 100:
+                            self.known.keep(chunk, made)
+                    found[i] = made
+        ids, names, texts = zip(*found) if found else ((), (), ())
+        return " ".join(filter(None, ids)), " ".join(filter(None, names)), "".join(texts)
 
-    def named(self, ids: str) -> str:
-        """What the tokenizers library decodes where the file names no decoder: the tokens joined by spaces. ids: joined
-        by spaces."""
-        return " ".join(map(self.named_digits.__getitem__, ids.split()))
+    def encode(self, text: str) -> str:
+        """The ids of a text, joined by spaces."""
+        return self.read(text)[0]
+
+    def named(self, ids: Iterable[int]) -> str:
+        return " ".join(map(self.names.__getitem__, ids))
 
     def decode(self, ids: Iterable[int]) -> str:
         """The text of ids: bytes of the tokens, words followed by a space."""
@@ -256,11 +315,15 @@ class Tokenizer:
 
     def stream(self, ids: Iterable[int]) -> Iterator[str]:
         """Text as soon as its characters are complete. States: bytes still wanted and bytes held; a byte that can't
-        follow gives U+FFFD for those held and begins anew."""
-        byte_of = {c: b for b, c in enumerate(self.bytes)}
+        follow gives U+FFFD for those held and begins anew. The text of a token that leads from the beginning back to it is
+        remembered."""
+        byte_of, complete = self.byte_of, self.complete
         held, want = bytearray(), 0
         for i in ids:
-            token = self.names[i]
+            if not held and i in complete:
+                yield complete[i]
+                continue
+            token, clean = self.names[i], not held
             if token in self.special:
                 yield "�" * bool(held) + token
                 held, want = bytearray(), 0
@@ -287,7 +350,10 @@ class Tokenizer:
             if ends:
                 out.append("�" * bool(held) + " ")
                 held, want = bytearray(), 0
-            yield "".join(out)
+            text = "".join(out)
+            if clean and not held:
+                complete[i] = text
+            yield text
         if held:
             yield "�"
 
@@ -305,7 +371,8 @@ def _tokenizer(source: bytes) -> Tokenizer:
 
 
 def encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True) -> DataFrame:
-    """One row per input row: id, n_tokens, ids (array, if asked for), ids_sha256, decoded_sha256."""
+    """One row per input row: id, n_tokens, ids (array, if asked for), digests of the ids, of what the library decodes them to
+    and of the text that the decoding state machine gives (words followed by a space)."""
     source = Path(vocabulary).read_bytes()
     if len(source) > MOST_BYTES:
         raise ValueError(f"{vocabulary} has {len(source)} bytes; at most {MOST_BYTES} are broadcast")
@@ -317,12 +384,12 @@ def encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: s
         for batch in batches:
             rows: list[tuple] = []
             for text in batch.column(1):
-                joined = tokenizer.encode(text.as_py())
+                joined, named, decoded = tokenizer.read(text.as_py())
                 ids = np.array(joined.split(), np.int32) if with_ids else None
-                rows.append((joined.count(" ") + bool(joined), ids, sha(joined), sha(tokenizer.named(joined))))
-            n, ids, one, two = zip(*rows) if rows else ((), (), (), ())
-            columns = [batch.column(0), pa.array(n, pa.int64()), pa.array(one, pa.string()), pa.array(two, pa.string())]
-            names = [id_col, "n_tokens", "ids_sha256", "decoded_sha256"]
+                rows.append((joined.count(" ") + bool(joined), ids, sha(joined), sha(named), sha(decoded)))
+            n, ids, *digests = zip(*rows) if rows else ((), (), (), (), ())
+            columns = [batch.column(0), pa.array(n, pa.int64()), *(pa.array(x, pa.string()) for x in digests)]
+            names = [id_col, "n_tokens", "ids_sha256", "decoded_sha256", "text_sha256"]
             if with_ids:
                 offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
                 flat = np.concatenate(ids) if ids else np.array([], np.int32)
@@ -332,5 +399,5 @@ def encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: s
 
     rows = docs.select(plain(id_col).alias(id_col), text_or_empty(text_col).alias("text"))
     kind = rows.schema[id_col].dataType.simpleString()
-    schema = f"`{id_col}` {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
+    schema = f"`{id_col}` {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string, text_sha256 string" + ", ids array<int>" * with_ids
     return rows.mapInArrow(run, schema)

@@ -71,7 +71,7 @@ def op5_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
 
 def op6_bpe(spark: SparkSession, folder: str) -> DataFrame:
     """Every document's token count and the digests of its ids and of what they decode to."""
-    return bpe.encode(table(spark, folder, "documents"), VOCABULARY, with_ids=False).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+    return bpe.encode(table(spark, folder, "documents"), VOCABULARY, with_ids=False)
 
 
 def op7_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
