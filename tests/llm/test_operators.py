@@ -350,11 +350,16 @@ def test_bpe_equals_the_library(spark):
     parts = ["abcdefgh", "the", "ΣσΑς", "éèñ", " \t\n", "\x1c\x85\xa0 ", "'s't'll", "0123", "!!?<|endoftext|>", "中文字", "\U0001f600", "İı", "é", "ab" * 90, "a" * 200]
     texts = [*ODD, *("".join(rand.choice(rand.choice(parts)) if rand.random() < 0.6 else rand.choice(parts) for _ in range(60)) for _ in range(150))]
     got = sorted(bpe.encode(frame(spark, texts), VOCABULARY).collect())
+    byte_of = {c: b for b, c in enumerate(bpe.visible_bytes())}
+    special = {i: t.content for i, t in library.get_added_tokens_decoder().items()}
+    own_bytes = lambda t: bytes(byte_of[c] for c in t.removesuffix("</w>")) + b" " * t.endswith("</w>")
+    spelled = lambda ids: b"".join(special[i].encode() if i in special else own_bytes(library.id_to_token(i)) for i in ids)
     sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
     for text, r in zip(texts, got):
         ids = library.encode(text or "", add_special_tokens=False).ids
         assert (list(r.ids), r.n_tokens) == (ids, len(ids))
         assert r.ids_sha256 == sha(" ".join(map(str, ids))) and r.decoded_sha256 == sha(library.decode(ids, skip_special_tokens=False))
+        assert r.text_sha256 == sha(spelled(ids).decode())
 
 
 def test_transducer_is_streaming_and_neighbours_stay_apart():
