@@ -65,7 +65,7 @@ def test_every_operator_is_registered():
     from __spark_entry__ import queries as registered
 
     names = registered()
-    assert {re.match(r"op(\d+)_", n)[1] for n in names if n.startswith("op")} == set(map(str, range(1, 11)))
+    assert {re.match(r"op(\d+)_", n)[1] for n in names if n.startswith("op")} == set(map(str, range(1, 14)))
     assert names["pipeline"] is corpus_pipeline.run and set(queries.ORACLE_SQL) <= set(oracle_sql())
     assert len(corpus_pipeline.STAGES) == 5
     assert all(list(inspect.signature(f).parameters) == ["spark", "docs", "sf_dir"] for _, f in corpus_pipeline.STAGES)
