@@ -195,7 +195,7 @@ def sample_many_by_day(spark: SparkSession, folder: str) -> Campaigns:
     """The same campaigns over both tables laid out by day."""
     path = by_day.shared_folder(spark)
     by_day.write_traffic_by_day(sample_traffic(spark, folder), f"{path}/traffic")
-    by_day.write_orders_by_day(OrderTables.from_nested(sample_nested_orders(spark, folder)), f"{path}/orders")
+    by_day.write_orders_by_day(OrderTables.from_nested(sample_nested_orders(spark, folder)), f"{path}/orders", dealt=True)
     traffic, tables = by_day.read_traffic_by_day(spark, f"{path}/traffic"), by_day.read_orders_by_day(spark, f"{path}/orders")
     return Campaigns(traffic, tables, STANDARD, sample_campaigns(spark))
 

@@ -18,15 +18,17 @@ def write_traffic_by_day(traffic: DataFrame, path: str) -> None:
     _write(by_day, "visited_on", path)
 
 
-def write_orders_by_day(tables: OrderTables, path: str) -> None:
-    """Order records, items and all, with a folder for each UTC day of ordering."""
-    _write(tables.records.withColumn(ORDER_DAY, tables.day), ORDER_DAY, path)
+def write_orders_by_day(tables: OrderTables, path: str, dealt: bool = False) -> None:
+    """Order records, items and all, with a folder for each UTC day of ordering. Records that are ``dealt`` by day already are
+    written where they lie."""
+    _write(tables.records.withColumn(ORDER_DAY, tables.day), ORDER_DAY, path, dealt)
 
 
-def _write(rows: DataFrame, day: str, path: str) -> None:
+def _write(rows: DataFrame, day: str, path: str, dealt: bool = False) -> None:
     """Rows are dealt out by day before they are written, so that a day has few files; the hint lets adaptive execution split
     a day that holds a large share of all rows."""
-    rows.hint("rebalance", F.col(day)).write.mode("overwrite").partitionBy(day).parquet(path)
+    placed = rows if dealt else rows.hint("rebalance", F.col(day))
+    placed.write.mode("overwrite").partitionBy(day).parquet(path)
 
 
 def read_traffic_by_day(spark: SparkSession, path: str) -> DataFrame:

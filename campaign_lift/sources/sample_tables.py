@@ -14,6 +14,8 @@ from campaign_lift.sources.schemas import ITEM_COLUMNS, ORDER_COLUMNS, ORDERS, P
 
 
 LINES_PER_RECORD = 3
+#: Tasks that the records of one day are dealt to at most.
+DEALS_PER_DAY = 32
 
 # Columns read from the sample tables. Declared, so that opening a table starts no job.
 SAMPLE_SCHEMAS = {
@@ -65,8 +67,12 @@ def sample_traffic_text(spark: SparkSession, folder: str) -> DataFrame:
 
 def sample_order_rows(spark: SparkSession, folder: str) -> DataFrame:
     """One row per order, without items."""
-    return _table(spark, folder, "orders").selectExpr(
-        "o_orderkey",
+    return _order_rows(_table(spark, folder, "orders"), "o_orderkey")
+
+
+def _order_rows(orders: DataFrame, *others: str) -> DataFrame:
+    return orders.selectExpr(
+        *others,
         "CAST(o_orderkey AS STRING) AS order_id",
         """CAST(date_add(DATE '2024-01-01', CAST(o_orderkey % 30 AS INT)) AS TIMESTAMP_NTZ)
              + make_dt_interval(0, CAST(o_custkey % 24 AS INT)) AS ordered_at""",
@@ -79,7 +85,7 @@ def sample_order_rows(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def _priced(lines: DataFrame, steps: int) -> DataFrame:
+def _priced(lines: DataFrame, steps: int, *others: str) -> DataFrame:
     """Lines joined to their parts, as item rows. Amounts are whole numbers of 1/steps euro; with a power of two as steps
     they and their sums are exact doubles, and halves of a cent are true ties."""
     unit = "try_divide(l_extendedprice, l_quantity)"
@@ -88,6 +94,7 @@ def _priced(lines: DataFrame, steps: int) -> DataFrame:
         return f"CAST(floor({amount}) AS DOUBLE)" if steps == 1 else f"floor(({amount}) * {steps}) / {steps}D"
 
     amounts = lines.selectExpr(
+        *others,
         *ORDER_COLUMNS,
         "l_linenumber AS item_no",
         f"{whole(unit)} AS black",
@@ -107,6 +114,7 @@ def _priced(lines: DataFrame, steps: int) -> DataFrame:
     )
     revenue = "qty * (coalesce(red, black) - promo)"
     return amounts.selectExpr(
+        *others,
         *ORDER_COLUMNS,
         "item_no",
         "black AS article_price_black_eur",
@@ -164,11 +172,26 @@ def sample_nested_orders(spark: SparkSession, folder: str) -> DataFrame:
     Line numbers are unique in an order, so a record is bounded however many lines an order has,
     and the records of a hot order are built by many tasks. Order counts are distinct counts, so
     they do not change.
+
+    Lines travel once, as the narrow columns of the sample tables, dealt by day and a hash of their
+    record. Prices, names and records are made where they arrive, and a layout by day can be written from there.
     """
-    rows = sample_item_rows(spark, folder)
+    orders = _table(spark, folder, "orders")
+    matched = (
+        _table(spark, folder, "lineitem")
+        .join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+        .join(_table(spark, folder, "part"), F.col("l_partkey") == F.col("p_partkey"))
+        .drop("l_orderkey", "l_partkey", "p_partkey")
+    )
+    lines = matched.unionByName(_orders_without_lines(spark, folder, orders), allowMissingColumns=True)
+    chunk = F.floor((F.col("l_linenumber") - 1) / LINES_PER_RECORD).alias("chunk")
+    deal = F.pmod(F.xxhash64("o_orderkey", chunk), F.lit(DEALS_PER_DAY)).alias("deal")
+    kept = [c for c in lines.columns if not c.startswith("o_")]
+    keyed = lines.select("*", chunk, deal, F.pmod("o_orderkey", F.lit(30)).alias("day_no"))
+    dealt = keyed.repartition("day_no", "deal")
+    rows = _priced(_order_rows(dealt, "day_no", "deal", "chunk", *kept), 1, "day_no", "deal", "chunk")
     item = F.when(F.col("item_no").isNotNull(), F.struct(*[F.col(c) for c in ITEM_COLUMNS]))
-    chunk = F.floor((F.col("item_no") - 1) / LINES_PER_RECORD).alias("chunk")
-    records = rows.groupBy(*ORDER_COLUMNS, chunk).agg(F.sort_array(F.collect_list(item)).alias("order_items"))
+    records = rows.groupBy("day_no", "deal", *ORDER_COLUMNS, "chunk").agg(F.sort_array(F.collect_list(item)).alias("order_items"))
     return records.select(*ORDER_COLUMNS, F.col("order_items").cast(ORDERS["order_items"].dataType).alias("order_items"))
 
 

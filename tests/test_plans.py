@@ -3,6 +3,9 @@
 import pytest
 
 from __spark_entry__ import queries
+from campaign_lift.sources import by_day
+from campaign_lift.sources.orders import ORDER_DAY, OrderTables
+from campaign_lift.sources.sample_tables import sample_nested_orders
 from tests.conftest import plan_text
 
 FOLDER = "/root/testdata/sf0.001"
@@ -45,3 +48,15 @@ def test_traffic_is_scanned_once_for_sums_and_presence(spark, name):
 def test_one_read_of_the_items_feeds_sums_and_order_counts(spark):
     plan = plan_text(queries()["category_raw_filtered"](spark, FOLDER))
     assert scans(plan, "l_extendedprice") == 1 and "Expand" in plan
+
+
+def test_nested_records_travel_once_before_their_prices_are_made(spark, tmp_path):
+    frame = sample_nested_orders(spark, FOLDER)
+    plan = plan_text(frame)
+    exchanges = [line for line in plan.split("\n") if "Exchange hashpartitioning(" in line]
+    assert sum("day_no" in line for line in exchanges) == 1 and not any("order_id" in line for line in exchanges)
+    dealt = plan[plan.index("Exchange hashpartitioning(day_no") :].split("\n")
+    assert "PROMO_B" not in "".join(dealt[1:]) and "PROMO_B" in plan
+    by_day.write_orders_by_day(OrderTables.from_nested(frame), str(tmp_path / "orders"), dealt=True)
+    written = by_day.read_orders_by_day(spark, str(tmp_path / "orders")).records.drop(ORDER_DAY)
+    assert written.count() == frame.count() and written.exceptAll(frame.select(written.columns)).isEmpty()
