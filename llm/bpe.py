@@ -33,8 +33,9 @@ from pyspark.sql import DataFrame
 
 from llm.shared import plain, text_or_empty
 
-#: What a worker remembers at once of pieces, words and beginnings of words, and of neighbours; twice that with the ones before.
-REMEMBERED, NEIGHBOURS = 100_000, 400_000
+#: What a worker remembers at once of pieces, words and beginnings of words, and of neighbours; twice that with the ones before,
+#: and at most twice that of neighbours.
+REMEMBERED, NEIGHBOURS = 150_000, 400_000
 #: Length of the beginnings of words that are remembered.
 HEAD = 6
 #: Longest vocabulary file that is broadcast.
@@ -92,8 +93,11 @@ class Merges:
         self.lookahead = max(self.length, default=1)
         self.begun = {t[:n] for t in bodies for n in range(len(t) + 1)}
         self.places: dict[str, Place] = {}
+        #: Of a token, what is known of the tokens before it; and how many such pairs are known in all.
+        self.apart: dict[int, dict[int, bool]] = {}
+        self.pairs = 0
         self.root = self.place("")
-        self.apart, self.heads = Memory(NEIGHBOURS), Memory()
+        self.heads = Memory()
 
     def symbols(self, token: str, last: bool) -> list[str]:
         if not (last and self.end):
@@ -110,11 +114,23 @@ class Merges:
             parts[best : best + 2] = [parts[best] + parts[best + 1]]
         return parts
 
-    def ending(self, text: str, last: bool) -> list[tuple[int, int]]:
-        """The tokens at the end of a text that are what their own symbols merge to, longest first, as number and symbols."""
+    def ending(self, text: str, last: bool) -> list[tuple[int, int, dict[int, bool]]]:
+        """The tokens at the end of a text that are what their own symbols merge to, longest first, as number, symbols and what
+        is known of the tokens before."""
         end = self.end if last else ""
         found = ((text[at:] + end, len(text) - at) for at in range(len(text)))
-        return [(self.tokens[t], k) for t, k in found if t in self.tokens and self.merged(self.symbols(t, last)) == [t]]
+        tokens = [(self.tokens[t], k) for t, k in found if t in self.tokens and self.merged(self.symbols(t, last)) == [t]]
+        return [(t, k, self.apart.setdefault(t, {})) for t, k in tokens]
+
+    def meet(self, left: int, token: int, known: dict[int, bool]) -> bool:
+        """Whether two neighbours stay apart, from now on known; when too many are, all are forgotten."""
+        if self.pairs >= 2 * NEIGHBOURS:
+            self.pairs = 0
+            for pairs in self.apart.values():
+                pairs.clear()
+        self.pairs += 1
+        fit = known[left] = self.stay_apart(self.names[left], self.names[token])
+        return fit
 
     def place(self, text: str) -> Place:
         found = self.places.get(text)
@@ -130,7 +146,7 @@ class Merges:
         found = place.next[symbol] = self.place(text)
         return found
 
-    def closing(self, place: Place, symbol: str) -> list[tuple[int, int]]:
+    def closing(self, place: Place, symbol: str) -> list[tuple[int, int, dict[int, bool]]]:
         """The tokens that end a word with a last symbol."""
         found = place.closing[symbol] = self.ending(place.text + symbol, True)
         return found
@@ -156,14 +172,18 @@ class Merges:
         """The tokens of one word, each as soon as it is stable."""
         return map(self.names.__getitem__, self.numbers(symbols))
 
-    def numbers(self, symbols: str) -> Iterator[int]:
+    def numbers(self, symbols: str) -> Iterable[int]:
         """The same as places in the list of tokens."""
+        if len(symbols) > 4 * self.lookahead:
+            return self.windows(symbols)
+        ends: list = []
+        self.read(symbols, ends, -1, True)
+        return self.chain(ends, len(ends))
+
+    def windows(self, symbols: str) -> Iterator[int]:
+        """The same of a long word."""
         window, ends, before = "", [], -1  # symbols not emitted, the token that ends at each, the token before them or none
         at, step = 0, 4 * self.lookahead
-        if len(symbols) <= step:
-            self.read(symbols, ends, -1, True)
-            yield from self.chain(ends, len(ends))
-            return
         while at < len(symbols):
             part = symbols[at : at + step]
             at += len(part)
@@ -177,7 +197,7 @@ class Merges:
 
     def read(self, window: str, ends: list, before: int, whole: bool) -> None:
         """Add the last token of each prefix of the window that ends has none of yet."""
-        place, at, total, many, apart = self.root, 0, len(window), len(self.names), self.apart
+        place, at, total, meet = self.root, 0, len(window), self.meet
         first = before < 0 and not ends and total > HEAD
         if first:  # what ends at the symbols of a word's beginning is the same in all words that begin so
             if found := self.heads.find(window[:HEAD]):
@@ -196,15 +216,11 @@ class Merges:
                 tokens = place.tokens
             elif (tokens := place.closing.get(symbol)) is None:
                 tokens = self.closing(place, symbol)
-            for token, k in tokens:
+            for token, k, apart in tokens:
                 left = ends[n - k] if k <= n else before
                 if left >= 0:
-                    pair = left * many + token
-                    fit = apart.get(pair)
-                    if fit is None and (fit := apart.find(pair)) is None:
-                        fit = self.stay_apart(self.names[left], self.names[token])
-                        apart.keep(pair, fit)
-                    if not fit:
+                    fit = apart.get(left)
+                    if not (meet(left, token, apart) if fit is None else fit):
                         continue
                 ends.append(token)
                 break
@@ -242,7 +258,9 @@ class Tokenizer:
         self.names = {i: t for t, i in self.ids.items()}
         self.end = model["end_of_word_suffix"] or ""
         self.merges = Merges(model["merges"], model["vocab"], self.end)
-        self.digits = [str(self.ids[t]) for t in self.merges.names]
+        self.number = [self.ids[t] for t in self.merges.names]
+        self.digits = list(map(str, self.number))
+        self.labels = [self.names[i] for i in self.number]
         self.bytes = visible_bytes()
         self.byte_of, self.complete = {c: b for b, c in enumerate(self.bytes)}, {}
         split = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
@@ -251,36 +269,43 @@ class Tokenizer:
         self.specials = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
         self.known, self.by_word = Memory(), Memory()
 
-    def encode_word(self, word: str) -> str:
-        """The ids of one word of the pre-tokenizer, joined by spaces."""
-        if (ids := self.by_word.find(word)) is None:
+    def read_word(self, word: str) -> tuple[str, str, str]:
+        """Of one word of the pre-tokenizer: its ids and their names, joined by spaces, and what the state machine decodes them
+        to. The last token ends the word and leads the state machine back to its beginning."""
+        made = self.by_word.find(word)
+        if made is None:
             symbols = word if word.isascii() and word.isprintable() else "".join([self.bytes[b] for b in word.encode()])
-            ids = " ".join([self.digits[t] for t in self.merges.numbers(symbols)])
+            numbers = list(self.merges.numbers(symbols))
+            texts = list(map(self.complete.get, ids := [self.number[t] for t in numbers]))
+            text = "".join(texts) if None not in texts else self.decode(ids)
+            made = " ".join([self.digits[t] for t in numbers]), " ".join([self.labels[t] for t in numbers]), text
             if len(word) <= 100:
-                self.by_word.keep(word, ids)
-        return ids
+                self.by_word.keep(word, made)
+        return made
 
-    def encode_chunk(self, chunk: str) -> str:
-        """The ids of a piece of text without white space."""
+    def read_chunk(self, chunk: str) -> tuple[str, str, str]:
+        """Of a piece of text without white space: its ids, and what the library and the state machine decode them to."""
         if chunk.isascii():
             if chunk.isalpha():
-                return self.encode_word(chunk.lower())
+                return self.read_word(chunk.lower())
             if not any(c in chunk for c in self.opening):
-                return " ".join([self.encode_word(w) for w in self.words.findall(chunk.lower())])
+                return self.joined([self.read_word(w) for w in self.words.findall(chunk.lower())])
         out = []
         for i, part in enumerate(self.specials.split(chunk) if self.specials else [chunk]):
             if i % 2:
-                out.append(str(self.ids[part]))
+                out.append((str(self.ids[part]), self.names[self.ids[part]], self.decode([self.ids[part]])))
             elif part:
                 part = unicodedata.normalize("NFC", part).replace("Σ", "σ").lower()
-                out += map(self.encode_word, self.words.findall(part))
-        return " ".join(out)
-
-    def read_chunk(self, chunk: str) -> tuple[str, str, str]:
-        """Of a piece of text without white space: its ids, and what the library and the state machine decode them to."""
-        ids = self.encode_chunk(chunk)
-        numbers = [int(i) for i in ids.split()]
-        return ids, self.named(numbers), self.decode(numbers)
+                out += map(self.read_word, self.words.findall(part))
+        return self.joined(out)
+
+    @staticmethod
+    def joined(parts: list[tuple[str, str, str]]) -> tuple[str, str, str]:
+        """What is known of pieces that follow each other."""
+        if len(parts) == 1:
+            return parts[0]
+        ids, names, texts = zip(*parts) if parts else ((), (), ())
+        return " ".join(filter(None, ids)), " ".join(filter(None, names)), "".join(texts)
 
     def read(self, text: str) -> tuple[str, str, str]:
         """Of a text: its ids joined by spaces, their names joined by spaces, which is what the tokenizers library decodes
@@ -290,17 +315,14 @@ class Tokenizer:
         # \x1c to \x1f split for Python, but are no white space for the vocabulary's pattern
         chunks = text.split() if not regex.search(r"[\x1c-\x1f]", text) else regex.split(r"\p{White_Space}+", text)
         found = list(map(self.known.get, chunks))
-        if None in found:
-            for i, made in enumerate(found):
-                if made is None:
-                    chunk = chunks[i]
-                    if (made := self.known.find(chunk)) is None:
-                        made = self.read_chunk(chunk)
-                        if len(chunk) <= 100:
-                            self.known.keep(chunk, made)
-                    found[i] = made
-        ids, names, texts = zip(*found) if found else ((), (), ())
-        return " ".join(filter(None, ids)), " ".join(filter(None, names)), "".join(texts)
+        for i in [i for i, made in enumerate(found) if made is None] if None in found else ():
+            chunk = chunks[i]
+            if (made := self.known.find(chunk)) is None:
+                made = self.read_chunk(chunk)
+                if len(chunk) <= 100:
+                    self.known.keep(chunk, made)
+            found[i] = made
+        return self.joined(found)
 
     def encode(self, text: str) -> str:
         """The ids of a text, joined by spaces."""

@@ -552,3 +552,26 @@ def test_host_wrapper_finds_the_slot_that_varies(spark):
     page = lambda i: f"<body><div class=t>{'the same words on all pages of this host ' * 9}</div><div class=m><p>{prose(i, 20)}</p></div></body>"
     pages = spark.createDataFrame([(i, "https://Host.example:80/p", page(i)) for i in range(8)], "page_id long, url string, html string")
     assert {r.page_id: r.text for r in wrappers.main_text(pages).collect()} == {i: prose(i, 20) for i in range(8)}
+
+
+def test_bpe_reads_a_known_word_once_whatever_stands_beside_it(monkeypatch):
+    with open(VOCABULARY, "rb") as source:
+        tokenizer = bpe.Tokenizer(source.read())
+    apart = tokenizer.read("qzalphaxx ( ) Zürïch , q")
+    monkeypatch.setattr(tokenizer, "decode", lambda ids: pytest.fail("decoded again"))
+    monkeypatch.setattr(tokenizer.merges, "numbers", lambda symbols: pytest.fail("encoded again"))
+    assert tokenizer.read("(qzalphaxx) ZÜRÏCH, q") == tokenizer.read("( QZalphaxx ) zürïch , Q")
+    assert tokenizer.read("(qzalphaxx)")[0].split() == [i for w in ("(", "qzalphaxx", ")") for i in tokenizer.read(w)[0].split()]
+    assert apart == tokenizer.read("qzalphaxx ( ) zürïch , q")
+
+
+def test_bpe_forgets_neighbours_beyond_its_bound(monkeypatch):
+    with open(VOCABULARY, "rb") as source:
+        tokenizer, small = bpe.Tokenizer(source.read()), None
+        source.seek(0)
+        small = bpe.Tokenizer(source.read())
+    text = " ".join(f"{w}ish{w[::-1]}ness" for w in prose(5, 400).replace("w", "ab").split())
+    whole = tokenizer.read(text)
+    monkeypatch.setattr(bpe, "NEIGHBOURS", 5)
+    assert small.read(text) == whole
+    assert sum(map(len, small.merges.apart.values())) <= 10
