@@ -28,6 +28,7 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
+from itertools import groupby
 from typing import NamedTuple
 
 import numpy as np
@@ -38,7 +39,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from llm.shared import look_up, plain, text_or_empty
+from llm.shared import plain, text_or_empty
 from llm.words import REMEMBERED, cells, mixed, portions, split_words
 
 #: Bits of a word's place among the frequent ones, and the number of those whose pairs are counted beforehand.
@@ -58,8 +59,8 @@ LEAST = 1e-4
 
 class Model(NamedTuple):
     """What tasks know: frequent words (hash and count, most frequent first), the bits of their places, whether rare words
-    are one context, counts of contexts (the frequent words, that one, the start of a text), totals, mixture weights, counts
-    of pairs of top words."""
+    are one context, counts of contexts (the frequent words, that one, the start of a text), totals, the parts of these held
+    out, mixture weights, counts of pairs of top words."""
 
     bits: int
     pooled: bool
@@ -68,6 +69,9 @@ class Model(NamedTuple):
     contexts: np.ndarray
     tokens: int
     types: int
+    held_counts: np.ndarray
+    held_contexts: np.ndarray
+    held_tokens: int
     weights: np.ndarray
     pairs: np.ndarray
 
@@ -146,22 +150,6 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield flush()
 
 
-def _count_bigrams(words, bits: int, pooled: bool, paired: int):
-    """Bigrams of rows (raw, held): context and word as places or rare names, whether both are top words, counts."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes = Codes(words.value, bits, pooled)
-        for batch in portions(batches, 0):
-            context, word, text = codes.events(cells(batch.column(0)))
-            held = batch.column(1).to_numpy(zero_copy_only=False)[text]
-            _, where, at = np.unique(bigram_key(context, word, bits), return_index=True, return_inverse=True)
-            c, w = context[where], word[where]
-            n, out = np.bincount(at, minlength=len(where)), np.bincount(at, held, len(where)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([_signed(c), _signed(w), pa.array((c < paired) & (w < paired)), pa.array(n, pa.int64()), pa.array(out)], ["context", "word", "top", "n", "held"])
-
-    return run
-
-
 def gained(buckets: np.ndarray, estimates: np.ndarray, n: np.ndarray, weights: np.ndarray) -> np.ndarray:
     """How many of the n events of each bucket fall to each estimate under the weights; the last row is that of all events."""
     out = np.zeros(weights.shape)
@@ -213,59 +201,77 @@ def held_out_gain(events: DataFrame):
     return gain
 
 
-def train(rows: DataFrame, bits: int | None = None, paired: int = PAIRED) -> Model:
-    """The model of rows (id, raw)."""
+def counted(rows: DataFrame, bits: int | None, paired: int) -> Model:
+    """The model of rows (raw, flag) as far as words tell: all but the mixture weights and the pairs of top words."""
     pooled, bits = bits is not None, BITS if bits is None else bits
-    context = rows.sparkSession.sparkContext
-    held = F.pmod(F.xxhash64("id", "raw", F.lit("held out")), F.lit(1 << 30)) < int(HELD_OUT * (1 << 30))
-    rows = rows.select("raw", held.alias("held"))
-    words = rows.mapInArrow(_count_words, "word bigint, n bigint, held bigint").groupBy("word").agg(F.sum("n").alias("n"), F.sum("held").alias("held"))
+    words = rows.where(F.col("flag") > 0).select("raw", (F.col("flag") > 1).alias("held"))
+    words = words.mapInArrow(_count_words, "word bigint, n bigint, held bigint").groupBy("word").agg(F.sum("n").alias("n"), F.sum("held").alias("held"))
     words = words.persist()
     tokens, types, held_tokens = (x or 0 for x in words.agg(F.sum("n"), F.count(F.lit(1)), F.sum("held")).first())
-    often = F.col("n") * (1 << bits) >= tokens
-    top = words.where(often).toArrow()
+    top = words.where(F.col("n") * (1 << bits) >= tokens).toArrow()
+    ends = words.where(F.col("word") == int(np.uint64(END).astype(np.int64))).select("n", "held").first() or (0, 0)
+    words.unpersist()
     names, counts, held_counts = top["word"].to_numpy().view(np.uint64), top["n"].to_numpy(), top["held"].to_numpy()
     order = np.lexsort((names, -counts))
     names, counts, held_counts = names[order], counts[order], held_counts[order]
-    shared = context.broadcast(names)
-    ends = words.where(F.col("word") == int(np.uint64(END).astype(np.int64))).select("n", "held").first() or (0, 0)
-
-    # frequent words and common contexts by their places, rare words by the names that tasks give them
     other, start = 1 << bits, (1 << bits) + 1
-    placed = np.where(names == END, 0, counts), np.where(names == END, 0, held_counts)
     contexts, held_contexts = np.zeros(start + 1, np.int64), np.zeros(start + 1, np.int64)
-    for out, found, whole, end in ((contexts, placed[0], tokens, ends[0]), (held_contexts, placed[1], held_tokens, ends[1])):
-        out[: len(names)] = found
-        out[other] = whole - end - found.sum() if pooled else 0
+    for out, found, whole, end in ((contexts, counts, tokens, ends[0]), (held_contexts, held_counts, held_tokens, ends[1])):
+        placed = np.where(names == END, 0, found)
+        out[: len(names)] = placed
+        out[other] = whole - end - placed.sum() if pooled else 0
         out[start] = end
-    spark = rows.sparkSession
-    common = pd.DataFrame({"word": np.arange(start + 1), "n": np.append(counts, np.zeros(start + 1 - len(counts), np.int64)), "held": np.append(held_counts, np.zeros(start + 1 - len(counts), np.int64)), "as_n": contexts, "as_held": held_contexts})
-    rare = words.where(~often).select(F.col("word").bitwiseOR(F.lit(-(1 << 63)).cast("bigint")).alias("word"), "n", "held", F.col("n").alias("as_n"), F.col("held").alias("as_held"))
-    table = spark.createDataFrame(common[(common["n"] > 0) | (common["as_n"] > 0)], "word bigint, n bigint, held bigint, as_n bigint, as_held bigint").union(rare)
-    kept = lambda n, held: F.col(n) - F.col(held)
-    weight = F.greatest("n", "as_n").alias("weight")
-    of_word = table.select("word", weight, F.struct(kept("n", "held").alias("n")).alias("kept"))
-    of_context = table.select(F.col("word").alias("context"), weight, F.struct(kept("as_n", "as_held").alias("n")).alias("kept"))
-
-    bigrams = rows.mapInArrow(_count_bigrams(shared, bits, pooled, paired), "context bigint, word bigint, top boolean, n bigint, held bigint")
-    bigrams = bigrams.groupBy("context", "word", "top").agg(F.sum("n").alias("n"), F.sum("held").alias("held"))
-    bigrams = bigrams.where("top OR held > 0").persist()
     size = min(paired, len(names))
-    pairs = np.zeros((size, size), np.int64)
-    found = bigrams.where("top").select("context", "word", "n").toArrow()
-    pairs[found["context"].to_numpy(), found["word"].to_numpy()] = found["n"].to_numpy()
-
-    events = bigrams.where("held > 0").select("context", "word", kept("n", "held").alias("n"), "held")
-    events = look_up(events, of_word, "word", "weight", "kept").select("context", "n", "held", F.col("found.n").alias("of_word"))
-    events = look_up(events, of_context, "context", "weight", "kept").select("n", "held", "of_word", F.col("found.n").alias("of_context"))
-    events = events.select(
-        F.floor(F.log2(F.col("of_context") + 1)).cast("bigint").alias("bucket"), (F.col("n") / F.greatest("of_context", F.lit(1))).alias("one"),
-        (F.col("of_word") / F.lit(max(1, tokens - held_tokens))).alias("two"), F.lit(1 / (types + 1)).alias("three"), F.col("held").cast("double").alias("n"),
-    ).persist()
-    weights = fit(held_out_gain(events.coalesce(1 + events.count() // EVENTS)), 64)
-    for frame in (events, bigrams, words):
-        frame.unpersist()
-    return Model(bits, pooled, names, counts, contexts, tokens, types, weights, pairs)
+    return Model(bits, pooled, names, counts, contexts, tokens, types, held_counts, held_contexts, held_tokens, np.empty(0), np.zeros((size, size), np.int64))
+
+
+def flagged(rows: DataFrame, train: Column) -> Column:
+    """0 for rows that are not for training, 3 for those of them whose bigrams the weights are learnt on, 1 for the others."""
+    held = F.pmod(F.xxhash64("id", "raw", F.lit("held out")), F.lit(1 << 30)) < int(HELD_OUT * (1 << 30))
+    return F.when(~train, 0).when(held, 3).otherwise(1)
+
+
+def train(rows: DataFrame, bits: int | None = None, paired: int = PAIRED) -> Model:
+    """The model of rows (id, raw)."""
+    return _learn(rows.select("id", "raw", flagged(rows, F.lit(True)).alias("flag")), bits, paired)[0]
+
+
+def _learn(rows: DataFrame, bits: int | None, paired: int):
+    """The model of rows (id, raw, flag), the tokens of all rows dealt to blocks, and how many blocks there are."""
+    context, spark = rows.sparkSession.sparkContext, rows.sparkSession
+    model = counted(rows, bits, paired)
+    whole = rows.agg(F.sum(F.octet_length("raw"))).first()[0] or 0
+    n_blocks = max(LEAST_BLOCKS, math.ceil(max(model.tokens * 1.25, whole / 8) / BLOCK))
+    shared = context.broadcast(model)
+    kind = rows.schema["id"].dataType.simpleString()
+    numbered = rows.select("id", F.monotonically_increasing_id().alias("uid"), "flag", "raw")
+    arrow_kind = pa.int64() if kind == "bigint" else pa.int32() if kind == "int" else pa.string()
+    dealt = numbered.mapInArrow(_deal(shared, n_blocks, arrow_kind), f"block int, {_known(kind)}, first bigint, {_binary(PACKED)}")
+    # the blocks are read twice, for the weights and for the scores; one shuffle of this RDD serves both
+    blocks = dealt.repartition(n_blocks, "block").sortWithinPartitions("block").rdd
+
+    passed = spark.createDataFrame(blocks.mapPartitions(_by_block(_events(shared, n_blocks))), f"block int, {_binary(EVENTS_PASSED)}", verifySchema=False)
+    found = passed.groupBy("block").applyInArrow(_estimates(shared), "bucket bigint, one double, two double, three double, n double, top bigint, whole bigint, held bigint").persist()
+    sums = found.where("top IS NOT NULL").groupBy("top").agg(F.sum("whole").alias("whole"), F.sum("held").alias("held")).toArrow()
+    size = len(model.pairs)
+    top, n, held = (sums[c].to_numpy() for c in ("top", "whole", "held"))
+    if size:
+        model.pairs[top // size, top % size] = n
+        top, n, held = (x[held > 0] for x in (top, n, held))
+    # top pairs that are held out are events as well, no more than paired squared
+    columns = _event_columns(model, (model.contexts - model.held_contexts)[top // max(1, size)], n - held, (model.counts - model.held_counts)[top % max(1, size)], held)
+    events = found.where("bucket IS NOT NULL").select(*columns).union(spark.createDataFrame(pd.DataFrame(columns), "bucket bigint, one double, two double, three double, n double"))
+    weights = fit(held_out_gain(events.coalesce(1 + (found.count() + len(top)) // EVENTS)), 64)
+    found.unpersist()
+    return model._replace(weights=weights), blocks, n_blocks
+
+
+def _event_columns(m: Model, context: np.ndarray, bigram: np.ndarray, word: np.ndarray, held: np.ndarray) -> dict:
+    """Held-out bigrams with their estimates, by the counts that are not held out."""
+    return {
+        "bucket": bucket(context), "one": bigram / np.maximum(context, 1), "two": word / max(1, m.tokens - m.held_tokens),
+        "three": np.full(len(held), 1 / (m.types + 1)), "n": held.astype(np.float64),
+    }
 
 
 def _rows(columns: dict, schema: list[tuple]) -> pa.Table:
@@ -274,46 +280,74 @@ def _rows(columns: dict, schema: list[tuple]) -> pa.Table:
     return pa.table([columns[k].cast(t) if k in columns else pa.nulls(n, t) for k, t in schema], names=[k for k, _ in schema])
 
 
-def _bytes(rows: pa.Table, name: str, kind) -> np.ndarray:
-    return np.frombuffer(b"".join(cells(rows[name])), kind)
+def packed(x: np.ndarray) -> bytes:
+    """Numbers byte by byte of all: the upper bytes of small numbers compress to nothing."""
+    return np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.itemsize).T.tobytes()
+
 
+def unpacked(blobs: list, kind) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    parts = [np.frombuffer(x, np.uint8).reshape(size, -1).T for x in blobs if x]
+    return np.ascontiguousarray(np.concatenate(parts)).view(kind).ravel() if parts else np.empty(0, kind)
 
-#: What is dealt to blocks, packed: texts of a portion, whether they are for training, then for each kind of tokens how many a
-#: text has; pairs of frequent words, rare words with contexts, frequent words with rare contexts.
-PACKED = ("texts", "train", "sizes", "pairs", "rare_sizes", "rare", "contexts", "after_sizes", "after", "words")
-#: What blocks pass on: tokens whose word is counted, counts of rare words as contexts, sums of texts.
-PASSED = ("texts", "train", "sizes", "after", "keys", "counts", "names", "seen", "sum_texts", "sum_known", "sum_base", "sum_score")
+
+#: What is dealt to blocks, packed: texts of a portion as distances from its first, their flags, then for each kind of tokens how
+#: many a text has; pairs of frequent words, rare words with contexts, frequent words with rare contexts, pairs of top words;
+#: last the counts of pairs of top words in a task.
+PACKED = ("texts", "flags", "sizes", "pairs", "rare_sizes", "rare", "contexts", "after_sizes", "after", "words", "top_sizes", "top", "top_keys", "top_n", "top_held")
+#: What blocks pass on for the weights: held-out bigrams with counts of their words and contexts, or with contexts to be counted;
+#: counts of rare words; counts of pairs of top words.
+EVENTS_PASSED = ("seen", "contexts", "n", "words", "held", "names", "kept", "top_keys", "top_n", "top_held")
+#: What blocks pass on for the scores: tokens whose word is counted, counts of rare words as contexts, sums of texts.
+PASSED = ("texts", "sizes", "after", "n", "counts", "names", "seen", "sum_texts", "sum_known", "sum_base", "sum_score")
 KNOWN = ("uid", "held_out", "n_tokens", "n_known", "base_score", "score")
 
 
+def _known(kind: str) -> str:
+    return f"id {kind}, uid bigint, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double"
+
+
+def _binary(names) -> str:
+    return ", ".join(f"{x} binary" for x in names)
+
+
 def _layout(kind: pa.DataType, blobs: tuple) -> list[tuple]:
     """Names and types of rows: documents as far as they are known, and what is packed."""
     types = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
-    return [("block", pa.int32()), ("id", kind), *zip(KNOWN, types), *((x, pa.binary()) for x in blobs)]
+    return [("block", pa.int32()), ("id", kind), *zip(KNOWN, types), *((x, pa.int64() if x == "first" else pa.binary()) for x in blobs)]
 
 
 def _deal(model, n_blocks: int, kind: pa.DataType):
-    """Rows of documents, with what is known of them where they are read, and the other tokens packed by block."""
-    schema = _layout(kind, PACKED)
+    """Rows of documents, with what is known of them where they are read, and their tokens packed by block. Pairs of top words
+    stay together by portion; how often they stand in training documents is counted here."""
+    schema = _layout(kind, ("first", *PACKED))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Model = model.value
         codes = Codes(m.words, m.bits, m.pooled)
         size = len(m.pairs)
+        whole, held, home = np.zeros(size * size, np.int64), np.zeros(size * size, np.int64), 0
+        blobs = lambda rows: _rows({k: pa.array(v, schema[[n for n, _ in schema].index(k)][1]) for k, v in rows.items()}, schema).to_batches()
         for batch in portions(batches, 3):
-            uid, train = batch.column(1).to_numpy(), batch.column(2).to_numpy(zero_copy_only=False)
+            uid, flag = batch.column(1).to_numpy(), batch.column(2).to_numpy().astype(np.uint8)
             context, word, text = codes.events(cells(batch.column(3)))
             total = lambda x, w=None: np.bincount(x, w, len(uid)).astype(np.int64 if w is None else np.float64)
             often = word < RARE
             count = m.counts[word[often].astype(np.int64)] if len(m.counts) else np.empty(0)
-            top = often & (context < size) & (word < size)
-            c, w = context[top].astype(np.int64), word[top].astype(np.int64)
-            score = np.log10(m.chance(c, m.pairs[c, w], m.counts[w])) if size else np.empty(0)
             docs = {
-                "block": pa.array((uid % n_blocks).astype(np.int32)), "id": batch.column(0), "uid": pa.array(uid), "held_out": pa.array(~train), "n_tokens": pa.array(total(text)),
-                "n_known": pa.array(total(text[often])), "base_score": pa.array(total(text[often], m.base(count))), "score": pa.array(total(text[top], score)),
+                "block": pa.array((uid % n_blocks).astype(np.int32)), "id": batch.column(0), "uid": pa.array(uid), "held_out": pa.array(flag == 0), "n_tokens": pa.array(total(text)),
+                "n_known": pa.array(total(text[often])), "base_score": pa.array(total(text[often], m.base(count))), "score": pa.array(np.zeros(len(uid))),
             }
             yield from _rows(docs, schema).to_batches()
+            top = often & (context < size) & (word < size)
+            home = int(mixed(uid[:1].astype(np.uint64))[0] % np.uint64(n_blocks))
+            if top.any():
+                key, own = (context[top] * np.uint64(size) + word[top]).astype(np.int64), flag[text[top]]
+                whole += np.bincount(key[own > 0], minlength=len(whole))
+                held += np.bincount(key[own > 1], minlength=len(held))
+                row = {"block": [home], "first": [uid[0]], "texts": [packed((uid - uid[0]).astype(np.uint32))], "flags": [packed(flag)]}
+                row |= {k: [packed(np.zeros(len(uid), np.uint32))] for k in ("sizes", "rare_sizes", "after_sizes")}
+                yield from blobs(row | {"top_sizes": [packed(np.bincount(text[top], minlength=len(uid)).astype(np.uint32))], "top": [packed(key.astype(np.uint32))]})
             rest = ~top
             context, word, text, often = context[rest], word[rest], text[rest], often[rest]
             after = often & (context >= RARE)
@@ -329,69 +363,144 @@ def _deal(model, n_blocks: int, kind: pa.DataType):
                     x, k = text[part], key[part]
                     r, a = ~often[part], after[part]
                     f = ~(r | a)
-                    own = np.unique(x)
-                    sizes = lambda y: np.bincount(y, minlength=len(uid))[own].astype(np.uint32).tobytes()
-                    five = k[f].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
-                    rare = sizes(x[r]), k[r].tobytes(), context[part][r].tobytes()
-                    out.append((b, uid[own].tobytes(), train[own].tobytes(), sizes(x[f]), five, *rare, sizes(x[a]), k[a].tobytes(), word[part][a].astype(np.uint32).tobytes()))
+                    own, at = np.unique(x, return_inverse=True)
+                    sizes = lambda y: packed(np.bincount(at[y], minlength=len(own)).astype(np.uint32))
+                    texts = packed((uid[own] - uid[0]).astype(np.uint32)), packed(flag[own])
+                    rare = sizes(r), packed(k[r]), packed(context[part][r])
+                    out.append((b, uid[0], *texts, sizes(f), packed(k[f]), *rare, sizes(a), packed(k[a]), packed(word[part][a].astype(np.uint32)), packed(np.zeros(len(own), np.uint32))))
             if out:
-                first, *blobs = zip(*out)
-                yield from _rows({"block": pa.array(first, pa.int32())} | {k: pa.array(v, pa.binary()) for k, v in zip(PACKED, blobs)}, schema).to_batches()
+                yield from blobs(dict(zip(("block", "first", *PACKED[:11]), map(list, zip(*out)))))
+        if (at := np.flatnonzero(whole)).size:
+            yield from blobs({"block": [home], "top_keys": [packed(at)], "top_n": [packed(whole[at])], "top_held": [packed(held[at])]})
 
     return run
 
 
-def _score(model, n_blocks: int, kind: pa.DataType):
-    """Of a block: its documents as they are, of each text the sums over its tokens in the block, the counts of rare words,
-    and rare words after rare words, with the words' counts, for the blocks of their contexts."""
-    schema = _layout(kind, PASSED)
+class Block:
+    """The tokens of a block: its texts and their flags; contexts, words and numbers of the text of each kind of tokens."""
+
+    def __init__(self, rows: list):
+        texts = [r for r in rows if r["texts"]]
+        get = lambda name, kind: unpacked([r[name] for r in texts], kind)
+        self.uid = np.concatenate([r["first"] + unpacked([r["texts"]], np.uint32).astype(np.int64) for r in texts]) if texts else np.empty(0, np.int64)
+        self.flag = get("flags", np.uint8)
+        number = lambda name: np.repeat(np.arange(len(self.uid)), get(name, np.uint32))
+        self.key, self.text = get("pairs", np.uint64), number("sizes")
+        self.rare, self.before, self.rare_text = get("rare", np.uint64), get("contexts", np.uint64), number("rare_sizes")
+        self.after, self.word, self.after_text = get("after", np.uint64), get("words", np.uint32).astype(np.int64), number("after_sizes")
+        self.top, self.top_text = get("top", np.uint32).astype(np.int64), number("top_sizes")
+        #: The rare words of the block, which of them each rare word is, how often they stand in training documents, in those held out
+        self.names, self.at = np.unique(self.rare, return_inverse=True)
+        flag = self.flag[self.rare_text]
+        self.seen = np.bincount(self.at[flag > 0], minlength=len(self.names))
+        self.held = np.bincount(self.at[flag > 1], minlength=len(self.names))
+
+
+def _by_block(work):
+    """Work on one block after the other of a partition that is sorted by block."""
+    return lambda rows: (out for block, own in groupby(rows, lambda r: r["block"]) for out in work(block, own))
+
+
+def _events(model, n_blocks: int):
+    """Of a block: its held-out bigrams, with the counts of their words and contexts that are not held out; rare words after
+    rare words for the blocks of their contexts; the counts of rare words; sums of pairs of top words."""
+
+    def run(block: int, rows: Iterator) -> Iterator[tuple]:
+        m: Model = model.value
+        rows = [r for r in rows if r["uid"] is None]
+        b = Block(rows)
+        kept_words, kept_contexts, kept = m.counts - m.held_counts, m.contexts - m.held_contexts, b.seen - b.held
+        ready = []
+        first, n, held = _held_out(b.key, b.flag[b.text])
+        key = b.key[first]
+        ready.append((kept_contexts[(key >> np.uint64(m.bits + 1)).astype(np.int64)], n, kept_words[(key & np.uint64((1 << m.bits + 1) - 1)).astype(np.int64)], held))
+        first, n, held = _held_out(bigram_key(b.before, b.rare, m.bits), b.flag[b.rare_text])
+        context, word = b.before[first], kept[b.at[first]]
+        near = context < RARE
+        ready.append((kept_contexts[context[near].astype(np.int64)], n[near], word[near], held[near]))
+        first, far_n, far_held = _held_out(bigram_key(b.after, b.word.astype(np.uint64), m.bits), b.flag[b.after_text])
+        ready.append((kept[np.searchsorted(b.names, b.after[first])], far_n, kept_words[b.word[first]], far_held))
+        seen, *rest = (packed(np.concatenate(x).astype(np.int64)) for x in zip(*ready))
+        none = b""
+        yield block, seen, none, *rest, packed(b.names), packed(kept), none, none, none
+        context, n, word, held = context[~near], n[~near], word[~near], held[~near]
+        to = mixed(context) % np.uint64(n_blocks)
+        for x in np.unique(to).tolist():
+            part = to == x
+            yield x, none, packed(context[part]), packed(n[part]), packed(word[part]), packed(held[part]), none, none, none, none, none
+        keys, at = np.unique(unpacked([r["top_keys"] for r in rows], np.int64), return_inverse=True)
+        if len(keys):
+            sums = (np.bincount(at, unpacked([r[c] for r in rows], np.int64)).astype(np.int64) for c in ("top_n", "top_held"))
+            yield block, *[none] * 7, packed(keys), *map(packed, sums)
+
+    return run
+
+
+def _estimates(model):
+    """Of a block of contexts: the held-out bigrams with their estimates, and sums of pairs of top words."""
 
     def run(rows: pa.Table) -> pa.Table:
         m: Model = model.value
-        here = rows["uid"].is_valid()
-        docs = rows.filter(here)
-        docs = _rows({k: docs[k] for k in ("block", "id", *KNOWN)}, schema)
-        rows = rows.filter(pc.invert(here))
-        if not len(rows):
-            return docs
-        block = rows["block"][0].as_py()
-        uid, train = _bytes(rows, "texts", np.int64), _bytes(rows, "train", bool)
-        texts = lambda name: np.repeat(np.arange(len(uid)), _bytes(rows, name, np.uint32))
-        five = _bytes(rows, "pairs", np.uint8).reshape(-1, 5)
-        key = np.zeros((len(five), 8), np.uint8)
-        key[:, :5] = five
-        key = key.view("<u8").ravel()
-        text = texts("sizes")
-        score = known = base = np.zeros(len(uid))
-        if len(key):
-            n = _trained(key, train[text])
-            word = (key & np.uint64((1 << m.bits + 1) - 1)).astype(np.int64)
-            context = (key >> np.uint64(m.bits + 1)).astype(np.int64)
-            score = score + np.bincount(text, np.log10(m.chance(context, n, m.counts[word])), len(uid))
+        get = lambda part, name, kind=np.int64: unpacked(cells(part[name]), kind)
+        far = pc.greater(pc.binary_length(rows["contexts"]), 0)
+        near, far = rows.filter(pc.invert(far)), rows.filter(far)
+        names, kept = get(near, "names", np.uint64), get(near, "kept")
+        seen = kept[np.searchsorted(names, get(far, "contexts", np.uint64))] if len(names) else np.empty(0, np.int64)
+        columns = [np.concatenate([x, y]) for x, y in ((get(near, "seen"), seen), *((get(near, c), get(far, c)) for c in ("n", "words", "held")))]
+        types = [("bucket", pa.int64()), *((c, pa.float64()) for c in ("one", "two", "three", "n")), *((c, pa.int64()) for c in ("top", "whole", "held"))]
+        events = _rows({k: pa.array(v) for k, v in _event_columns(m, *columns).items()}, types)
+        top = _rows({k: pa.array(get(near, c)) for k, c in (("top", "top_keys"), ("whole", "top_n"), ("held", "top_held"))}, types)
+        return pa.concat_tables([events, top])
+
+    return run
+
+
+def _held_out(keys: np.ndarray, flag: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the bigrams that are held out: where one stands, how often it stands in other training documents and in those held out."""
+    _, first, at = np.unique(keys, return_index=True, return_inverse=True)
+    n, held = (np.bincount(at[flag > x], minlength=len(first)) for x in (0, 1))
+    pick = held > 0
+    return first[pick], (n - held)[pick], held[pick]
+
+
+def _score(model, n_blocks: int):
+    """Of a block: its documents as they are, of each text the sums over its tokens in the block, the counts of rare words,
+    and rare words after rare words, with the counts of both, for the blocks of their contexts."""
+    none = (None,) * (1 + len(KNOWN))
+
+    def run(block: int, rows: Iterator) -> Iterator[tuple]:
+        m: Model = model.value
+        own = []
+        for r in rows:
+            if r["uid"] is None:
+                own.append(r)
+            else:
+                yield block, r["id"], *[r[k] for k in KNOWN], *[None] * len(PASSED)
+        b = Block(own)
+        total = lambda text, x: np.bincount(text, x, len(b.uid))
+        score, trained = np.zeros(len(b.uid)), b.flag > 0
+        if len(b.key):
+            n = _trained(b.key, trained[b.text])
+            word, context = (b.key & np.uint64((1 << m.bits + 1) - 1)).astype(np.int64), (b.key >> np.uint64(m.bits + 1)).astype(np.int64)
+            score = score + total(b.text, np.log10(m.chance(context, n, m.counts[word])))
             del word, context, n
-        del key, five
-        name, context, text = _bytes(rows, "rare", np.uint64), _bytes(rows, "contexts", np.uint64), texts("rare_sizes")
-        names, at = np.unique(name, return_inverse=True)
-        seen = np.bincount(at, train[text], len(names)).astype(np.int64)
-        packs = []
-        if len(name):
-            word = seen[at]
-            known, base = np.bincount(text, word > 0, len(uid)), np.bincount(text, m.base(word), len(uid))
-            key, far = bigram_key(context, name, m.bits), context >= RARE
-            if (near := ~far).any():
-                n = _trained(key[near], train[text[near]])
-                score = score + np.bincount(text[near], np.log10(m.chance(context[near].astype(np.int64), n, word[near])), len(uid))
-            packs = _packed(uid, train, text[far], context[far], key[far], word[far], n_blocks)
-        context, word, text = _bytes(rows, "after", np.uint64), _bytes(rows, "words", np.uint32).astype(np.int64), texts("after_sizes")
-        if len(context):  # every rare context is a word of this block
-            n = _trained(bigram_key(context, word.astype(np.uint64), m.bits), train[text])
-            score = score + np.bincount(text, np.log10(m.chance(np.searchsorted(names, context), n, m.counts[word], seen)), len(uid))
-        own, at = np.unique(uid, return_inverse=True)
-        sums = [np.bincount(at, x, len(own)).tobytes() for x in (known, base, score)]
-        packs.append((block, *[b""] * 6, names.tobytes(), seen.tobytes(), own.tobytes(), *sums))
-        first, *blobs = zip(*packs)
-        passed = _rows({"block": pa.array(first, pa.int32())} | {k: pa.array(v, pa.binary()) for k, v in zip(PASSED, blobs)}, schema)
-        return pa.concat_tables([docs, passed])
+        if size := len(m.pairs):
+            context, word = b.top // size, b.top % size
+            score = score + total(b.top_text, np.log10(m.chance(context, m.pairs[context, word], m.counts[word])))
+        word = b.seen[b.at]
+        known, base = total(b.rare_text, word > 0), total(b.rare_text, m.base(word))
+        if len(b.rare):
+            n, far = _trained(bigram_key(b.before, b.rare, m.bits), trained[b.rare_text]), b.before >= RARE
+            near = ~far
+            score = score + total(b.rare_text[near], np.log10(m.chance(b.before[near].astype(np.int64), n[near], word[near])))
+            for x in _packed(b.uid, b.rare_text[far], b.before[far], n[far], word[far], n_blocks):
+                yield x[0], *none, *x[1:]
+        if len(b.after):  # every rare context is a word of this block
+            n = _trained(bigram_key(b.after, b.word.astype(np.uint64), m.bits), trained[b.after_text])
+            score = score + total(b.after_text, np.log10(m.chance(np.searchsorted(b.names, b.after), n, m.counts[b.word], b.seen)))
+        texts, at = np.unique(b.uid, return_inverse=True)
+        sums = [np.bincount(at, x, len(texts)) for x in (known, base, score)]
+        yield block, *none, *[b""] * 5, packed(b.names), packed(b.seen), packed(texts), packed(sums[0].astype(np.int64)), *(x.tobytes() for x in sums[1:])
 
     return run
 
@@ -399,22 +508,20 @@ def _score(model, n_blocks: int, kind: pa.DataType):
 def _trained(keys: np.ndarray, train: np.ndarray) -> np.ndarray:
     """Of each key how often it stands in training documents."""
     _, at = np.unique(keys, return_inverse=True)
-    return np.bincount(at, train)[at]
+    return np.bincount(at, train)[at].astype(np.int64) if len(keys) else np.empty(0, np.int64)
 
 
-def _packed(uid, train, text, context, key, word, n_blocks: int) -> list[tuple]:
+def _packed(uid, text, context, n, word, n_blocks: int) -> Iterator[tuple]:
     """Tokens after rare contexts, packed for the blocks of these."""
     block = mixed(context) % np.uint64(n_blocks)
     order = np.lexsort((text, block))
-    text, context, key, word, block = (x[order] for x in (text, context, key, word, block))
+    text, context, n, word, block = (x[order] for x in (text, context, n, word, block))
     starts = np.searchsorted(block, np.arange(n_blocks + 1, dtype=np.uint64))
-    out = []
     for b in range(n_blocks):
         part = slice(starts[b], starts[b + 1])
         if part.start < part.stop:
             own, sizes = np.unique(text[part], return_counts=True)
-            out.append((b, uid[own].tobytes(), train[own].tobytes(), sizes.astype(np.uint32).tobytes(), context[part].tobytes(), key[part].tobytes(), word[part].astype(np.uint32).tobytes(), *[b""] * 6))
-    return out
+            yield b, packed(uid[own]), packed(sizes.astype(np.uint32)), packed(context[part]), packed(n[part].astype(np.uint32)), packed(word[part].astype(np.uint32)), *[b""] * 6
 
 
 def _score_rare(model, kind: pa.DataType):
@@ -430,18 +537,18 @@ def _score_rare(model, kind: pa.DataType):
         rows = rows.filter(pc.invert(here))
         if not len(rows):
             return docs
-        names, seen = _bytes(rows, "names", np.uint64), _bytes(rows, "seen", np.int64)
-        uid, train = _bytes(rows, "texts", np.int64), _bytes(rows, "train", bool)
-        text = np.repeat(np.arange(len(uid)), _bytes(rows, "sizes", np.uint32))
+        get = lambda name, kind: unpacked(cells(rows[name]), kind)
+        plainly = lambda name: np.frombuffer(b"".join(x or b"" for x in cells(rows[name])))
+        names, seen, uid = get("names", np.uint64), get("seen", np.int64), get("texts", np.int64)
+        text = np.repeat(np.arange(len(uid)), get("sizes", np.uint32))
         score = np.zeros(len(uid))
         if len(text):
-            n = _trained(_bytes(rows, "keys", np.uint64), train[text])
-            chance = m.chance(np.searchsorted(names, _bytes(rows, "after", np.uint64)), n, _bytes(rows, "counts", np.uint32), seen)
+            chance = m.chance(np.searchsorted(names, get("after", np.uint64)), get("n", np.uint32), get("counts", np.uint32), seen)
             score = np.bincount(text, np.log10(chance), len(uid))
-        own, at = np.unique(np.concatenate([_bytes(rows, "sum_texts", np.int64), uid]), return_inverse=True)
-        total = lambda name, more: np.bincount(at, np.concatenate([_bytes(rows, name, np.float64), more]), len(own))
+        own, at = np.unique(np.concatenate([get("sum_texts", np.int64), uid]), return_inverse=True)
+        total = lambda x, more: np.bincount(at, np.concatenate([x, more]), len(own))
         none = np.zeros(len(uid))
-        sums = {"uid": own, "n_known": total("sum_known", none).astype(np.int64), "base_score": total("sum_base", none), "score": total("sum_score", score)}
+        sums = {"uid": own, "n_known": total(get("sum_known", np.int64), none).astype(np.int64), "base_score": total(plainly("sum_base"), none), "score": total(plainly("sum_score"), score)}
         return pa.concat_tables([docs, _rows({k: pa.array(v) for k, v in sums.items()}, schema)])
 
     return run
@@ -452,19 +559,13 @@ def score(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: s
 
     bits: 19 at most, as two places share 40 bits; if given, rarer words make one context together."""
     rows = docs.select(plain(id_col).alias("id"), text_or_empty(text_col).cast("binary").alias("raw"), F.coalesce(training, F.lit(True)).alias("train"))
-    model = train(rows.where("train").select("id", "raw"), bits, paired)
-    context = docs.sparkSession.sparkContext
-    words = rows.agg(F.sum(F.octet_length("raw"))).first()[0] or 0
-    n_blocks = max(LEAST_BLOCKS, math.ceil(max(model.tokens * 1.25, words / 8) / BLOCK))
-    shared = context.broadcast(model)
+    model, blocks, n_blocks = _learn(rows.select("id", "raw", flagged(rows, F.col("train")).alias("flag")), bits, paired)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
     kind = rows.schema["id"].dataType.simpleString()
-    known = f"id {kind}, uid bigint, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double"
-    binary = lambda names: ", ".join(f"{x} binary" for x in names)
     arrow_kind = pa.int64() if kind == "bigint" else pa.int32() if kind == "int" else pa.string()
-    numbered = rows.select("id", F.monotonically_increasing_id().alias("uid"), "train", "raw")
-    dealt = numbered.mapInArrow(_deal(shared, n_blocks, arrow_kind), f"block int, {known}, {binary(PACKED)}")
-    passed = dealt.groupBy("block").applyInArrow(_score(shared, n_blocks, arrow_kind), f"block int, {known}, {binary(PASSED)}")
-    parts = passed.groupBy("block").applyInArrow(_score_rare(shared, arrow_kind), known)
+    layout = f"block int, {_known(kind)}, {_binary(PASSED)}"
+    passed = docs.sparkSession.createDataFrame(blocks.mapPartitions(_by_block(_score(shared, n_blocks))), layout, verifySchema=False)
+    parts = passed.groupBy("block").applyInArrow(_score_rare(shared, arrow_kind), _known(kind))
     sums = parts.groupBy("uid").agg(F.max("id").alias("id"), F.max("held_out").alias("held_out"), *[F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base_score", "score")])
     return sums.select(
         F.col("id").alias(id_col), "held_out", "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score"
