@@ -46,8 +46,8 @@ from llm.words import REMEMBERED, cells, mixed, portions, split_words
 BITS, PAIRED = 17, 512
 #: Share of the training documents that is held out for the mixture weights, rounds of learning.
 HELD_OUT, ROUNDS = 0.1, 30
-#: Held-out bigrams in a task, if there are more than that.
-EVENTS = 50_000
+#: Held-out bigrams in a task and in a pack, if there are more than that.
+EVENTS = 500_000
 #: Tokens in a block, and blocks at least: a document's sums come from up to so many blocks at any size of input.
 BLOCK, LEAST_BLOCKS = 2_500_000, 48
 #: The end of a text counts as a word; no word contains a line feed.
@@ -180,20 +180,47 @@ def mixture(buckets: np.ndarray, estimates: np.ndarray, n: np.ndarray, size: int
     return fit(lambda weights: gained(buckets, estimates, n, weights), size, rounds, estimates.shape[1])
 
 
+def _collapsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Events in packs; those of one bucket with equal estimates are one event."""
+
+    def flush():
+        *keys, n = (np.concatenate(x) for x in zip(*held))
+        order = np.lexsort(keys)
+        keys, n = [k[order] for k in keys], n[order]
+        first = np.ones(len(n), bool)
+        first[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
+        starts = np.flatnonzero(first)
+        columns = *(k[starts] for k in keys), np.add.reduceat(n, starts)
+        return pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in columns], ["bucket", "one", "two", "three", "n"])
+
+    held, many = [], 0
+    for batch in batches:
+        if len(batch):
+            held.append([x.to_numpy() for x in batch.columns])
+            many += len(batch)
+        if many >= EVENTS:
+            yield flush()
+            held, many = [], 0
+    if held:
+        yield flush()
+
+
 def held_out_gain(events: DataFrame):
     """Posterior sums over rows (bucket, one, two, three, n), added up in tasks and then by bucket."""
+    packs = events.mapInArrow(_collapsed, "bucket binary, one binary, two binary, three binary, n binary").persist()
 
     def gain(weights: np.ndarray) -> np.ndarray:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sums = np.zeros(weights.shape)
             for batch in batches:
-                where, *estimates, n = (x.to_numpy() for x in batch.columns)
-                sums += gained(where, np.stack(estimates, axis=1), n, weights)
+                for where, *blobs in zip(*map(cells, batch.columns)):
+                    *estimates, n = map(np.frombuffer, blobs)
+                    sums += gained(np.frombuffer(where, np.int64), np.stack(estimates, axis=1), n, weights)
             at = np.flatnonzero(sums.sum(axis=1))
             yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), *(pa.array(x) for x in sums[at].T)], ["bucket", "one", "two", "three"])
 
         out = np.zeros(weights.shape)
-        parts = events.mapInArrow(run, "bucket bigint, one double, two double, three double")
+        parts = packs.mapInArrow(run, "bucket bigint, one double, two double, three double")
         for bucket_, *sums in parts.groupBy("bucket").agg(*[F.sum(c) for c in ("one", "two", "three")]).collect():
             out[bucket_] = sums
         return out

@@ -278,6 +278,32 @@ def test_mixture_finds_the_weights_of_its_source():
     assert got[1] == pytest.approx(got[0])
 
 
+def test_equal_held_out_events_are_one_and_weigh_the_same():
+    import numpy as np
+    import pyarrow as pa
+
+    rand = np.random.default_rng(3)
+    columns = [rand.integers(0, 3, 5000), *(rand.integers(0, 3, 5000) / 4 for _ in range(2)), np.full(5000, 0.01), rand.integers(1, 4, 5000) * 1.0]
+    batches = [pa.RecordBatch.from_arrays([pa.array(c[i : i + 700]) for c in columns], list("abcde")) for i in range(0, 5000, 700)]
+    (pack,) = ngram_lm._collapsed(iter(batches))
+    where, *estimates, n = (np.frombuffer(c[0].as_py(), np.int64 if i == 0 else np.float64) for i, c in enumerate(pack.columns))
+    assert len(n) == 27 and n.sum() == columns[4].sum()
+    weights = rand.dirichlet([1] * 3, 4)
+    want = ngram_lm.gained(columns[0], np.stack(columns[1:4], axis=1), columns[4], weights)
+    assert ngram_lm.gained(where, np.stack(estimates, axis=1), n, weights) == pytest.approx(want)
+
+
+def test_tokens_are_dealt_once_for_weights_and_scores(spark):
+    rows = frame(spark, [prose(i, 30, 60) for i in range(40)]).select(F.col("doc_id").alias("id"), F.col("text").cast("binary").alias("raw"))
+    _, blocks, n_blocks = ngram_lm._learn(rows.select("id", "raw", ngram_lm.flagged(rows, F.col("id") % 5 != 0).alias("flag")), None, 2)
+    context, tracker = spark.sparkContext, spark.sparkContext.statusTracker()
+    context.setJobGroup("dealt again", "blocks read a second time")
+    assert blocks.mapPartitions(lambda rows: [len({r["block"] for r in rows})]).sum() <= n_blocks
+    context.setLocalProperty("spark.jobGroup.id", None)
+    stages = [tracker.getStageInfo(s) for job in tracker.getJobIdsForGroup("dealt again") for s in tracker.getJobInfo(job).stageIds]
+    assert sum(s is not None and s.numCompletedTasks > 0 for s in stages) == 1
+
+
 # Jaccard join
 
 
