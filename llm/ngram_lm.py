@@ -10,11 +10,11 @@ Counts are those of all training documents. A context is the word before, or the
 of its own. Frequent words, those that are a 2 ** -17 part of all tokens or more (at most 2 ** 17 words), are broadcast with
 their counts, which are those of the contexts as well; rare words meet their counts where they are dealt to.
 
-Scoring deals every token to the block of its bigram, of its word if that is rare, else of its context if that is rare. A
-block counts words and bigrams over the training documents. As a rare word is a token of its block, so is its count as a
+Every token is dealt once to the block of its bigram, of its word if that is rare, else of its context if that is rare; the
+blocks are read twice, for the held-out bigrams that the weights are learnt on and for the scores. A block counts words and bigrams over the training documents. As a rare word is a token of its block, so is its count as a
 context there. A rare word after a rare word takes the count of its word along and is dealt once more, by its context, to
 where that is counted. Blocks give back one sum per document. Pairs of the 512 most frequent words, which alone can be so
-frequent that a block would overflow, are counted beforehand by partial sums and scored where they are read.
+frequent that a block would overflow, stay together by portion of text and are counted by partial sums.
 
 A caller who gives `bits` asks for another model: words that are no 2 ** -bits part of all tokens make one context together.
 
