@@ -26,6 +26,7 @@ other columns are ignored.
 from __future__ import annotations
 
 import math
+import weakref
 from collections import Counter
 from collections.abc import Iterator
 from itertools import groupby
@@ -48,6 +49,8 @@ BITS, PAIRED = 17, 512
 HELD_OUT, ROUNDS = 0.1, 30
 #: Held-out bigrams in a task and in a pack, if there are more than that.
 EVENTS = 500_000
+#: Rows that a task gives back at once.
+BATCH = 10_000
 #: Tokens in a block, and blocks at least: a document's sums come from up to so many blocks at any size of input.
 BLOCK, LEAST_BLOCKS = 2_500_000, 48
 #: The end of a text counts as a word; no word contains a line feed.
@@ -137,7 +140,7 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([_signed(hashes), *(pa.array([c[w] for w in names], pa.int64()) for c in (seen, held))], ["word", "n", "held"])
 
     seen, held = Counter(), Counter()
-    for batch in batches:
+    for batch in portions(batches, 0):
         for raw, out in zip(cells(batch.column(0)), batch.column(1).to_pylist()):
             found = [*split_words(raw), b"\n"]
             seen.update(found)
@@ -205,26 +208,38 @@ def _collapsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush()
 
 
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Events, equal ones of a pack as one."""
+    for pack in _collapsed(batches):
+        columns = [np.frombuffer(x[0].as_py(), np.int64 if i == 0 else np.float64) for i, x in enumerate(pack.columns)]
+        yield from pa.table([pa.array(x) for x in columns], names=pack.schema.names).to_batches(max_chunksize=BATCH)
+
+
 def held_out_gain(events: DataFrame):
-    """Posterior sums over rows (bucket, one, two, three, n), added up in tasks and then by bucket."""
-    packs = events.mapInArrow(_collapsed, "bucket binary, one binary, two binary, three binary, n binary").persist()
+    """Posterior sums over rows (bucket, one, two, three, n), added up by bucket. The events are held as columns, and meet the
+    weights of a round, one row for each bucket, in a join, for as long as the function that is returned lives."""
+    held = events.mapInArrow(_merged, "bucket bigint, one double, two double, three double, n double").persist()
+    estimates = ("one", "two", "three")
 
-    def gain(weights: np.ndarray) -> np.ndarray:
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            sums = np.zeros(weights.shape)
-            for batch in batches:
-                for where, *blobs in zip(*map(cells, batch.columns)):
-                    *estimates, n = map(np.frombuffer, blobs)
-                    sums += gained(np.frombuffer(where, np.int64), np.stack(estimates, axis=1), n, weights)
-            at = np.flatnonzero(sums.sum(axis=1))
-            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), *(pa.array(x) for x in sums[at].T)], ["bucket", "one", "two", "three"])
+    def posteriors(weights: list[str], names: list[str]) -> list[Column]:
+        shares = [F.col(w) * F.col(e) for w, e in zip(weights, estimates)]
+        scale = F.col("n") / F.greatest(sum(shares[1:], shares[0]), F.lit(1e-300))
+        return [F.sum(x * scale).alias(name) for x, name in zip(shares, names)]
 
+    def gain(weights: np.ndarray) -> np.ndarray:
+        size = len(weights) - 1
+        # those of the bucket and those of all buckets together
+        table = {"bucket": np.arange(size)} | {f"{w}{e}": x for w, own in (("own_", weights[:-1]), ("all_", np.tile(weights[-1], (size, 1)))) for e, x in zip(estimates, own.T)}
+        joined = held.join(F.broadcast(events.sparkSession.createDataFrame(pa.table(table))), "bucket")
+        own, every = ([f"{w}{e}" for e in estimates] for w in ("own_", "all_"))
+        sums = joined.groupBy("bucket").agg(*posteriors(own, own), *posteriors(every, every)).collect()
         out = np.zeros(weights.shape)
-        parts = packs.mapInArrow(run, "bucket bigint, one double, two double, three double")
-        for bucket_, *sums in parts.groupBy("bucket").agg(*[F.sum(c) for c in ("one", "two", "three")]).collect():
-            out[bucket_] = sums
+        for r in sums:
+            out[r["bucket"]] = [r[c] for c in own]
+            out[-1] += [r[c] for c in every]
         return out
 
+    weakref.finalize(gain, held.unpersist).atexit = False
     return gain
 
 
@@ -274,8 +289,8 @@ def _learn(rows: DataFrame, bits: int | None, paired: int):
     numbered = rows.select("id", F.monotonically_increasing_id().alias("uid"), "flag", "raw")
     arrow_kind = pa.int64() if kind == "bigint" else pa.int32() if kind == "int" else pa.string()
     dealt = numbered.mapInArrow(_deal(shared, n_blocks, arrow_kind), f"block int, {_known(kind)}, first bigint, {_binary(PACKED)}")
-    # the blocks are read twice, for the weights and for the scores; one shuffle of this RDD serves both
-    blocks = dealt.repartition(n_blocks, "block").sortWithinPartitions("block").rdd
+    # the blocks are read twice, for the weights and for the scores; one shuffle of this RDD serves both. A task has one block
+    blocks = dealt.repartitionById(n_blocks, "block").rdd
 
     passed = spark.createDataFrame(blocks.mapPartitions(_by_block(_events(shared, n_blocks))), f"block int, {_binary(EVENTS_PASSED)}", verifySchema=False)
     found = passed.groupBy("block").applyInArrow(_estimates(shared), "bucket bigint, one double, two double, three double, n double, top bigint, whole bigint, held bigint").persist()
@@ -404,27 +419,30 @@ def _deal(model, n_blocks: int, kind: pa.DataType):
 
 
 class Block:
-    """The tokens of a block: its texts and their flags; contexts, words and numbers of the text of each kind of tokens."""
+    """The tokens of a block: its texts and their flags; contexts, words and numbers of the text of each kind of tokens. Keeps
+    nothing of the rows it is made of."""
 
     def __init__(self, rows: list):
         texts = [r for r in rows if r["texts"]]
         get = lambda name, kind: unpacked([r[name] for r in texts], kind)
         self.uid = np.concatenate([r["first"] + unpacked([r["texts"]], np.uint32).astype(np.int64) for r in texts]) if texts else np.empty(0, np.int64)
         self.flag = get("flags", np.uint8)
-        number = lambda name: np.repeat(np.arange(len(self.uid)), get(name, np.uint32))
+        number = lambda name: np.repeat(np.arange(len(self.uid), dtype=np.int32), get(name, np.uint32))
         self.key, self.text = get("pairs", np.uint64), number("sizes")
         self.rare, self.before, self.rare_text = get("rare", np.uint64), get("contexts", np.uint64), number("rare_sizes")
-        self.after, self.word, self.after_text = get("after", np.uint64), get("words", np.uint32).astype(np.int64), number("after_sizes")
-        self.top, self.top_text = get("top", np.uint32).astype(np.int64), number("top_sizes")
+        self.after, self.word, self.after_text = get("after", np.uint64), get("words", np.uint32), number("after_sizes")
+        self.top, self.top_text = get("top", np.uint32), number("top_sizes")
+        self.top_sums = [unpacked([r[c] for r in rows], np.int64) for c in ("top_keys", "top_n", "top_held")]
         #: The rare words of the block, which of them each rare word is, how often they stand in training documents, in those held out
-        self.names, self.at = np.unique(self.rare, return_inverse=True)
+        self.names, at = np.unique(self.rare, return_inverse=True)
+        self.at = at.astype(np.int32)
         flag = self.flag[self.rare_text]
         self.seen = np.bincount(self.at[flag > 0], minlength=len(self.names))
         self.held = np.bincount(self.at[flag > 1], minlength=len(self.names))
 
 
 def _by_block(work):
-    """Work on one block after the other of a partition that is sorted by block."""
+    """Work on the block of a partition."""
     return lambda rows: (out for block, own in groupby(rows, lambda r: r["block"]) for out in work(block, own))
 
 
@@ -434,8 +452,7 @@ def _events(model, n_blocks: int):
 
     def run(block: int, rows: Iterator) -> Iterator[tuple]:
         m: Model = model.value
-        rows = [r for r in rows if r["uid"] is None]
-        b = Block(rows)
+        b = Block([r for r in rows if r["uid"] is None])
         kept_words, kept_contexts, kept = m.counts - m.held_counts, m.contexts - m.held_contexts, b.seen - b.held
         ready = []
         first, n, held = _held_out(b.key, b.flag[b.text])
@@ -455,9 +472,9 @@ def _events(model, n_blocks: int):
         for x in np.unique(to).tolist():
             part = to == x
             yield x, none, packed(context[part]), packed(n[part]), packed(word[part]), packed(held[part]), none, none, none, none, none
-        keys, at = np.unique(unpacked([r["top_keys"] for r in rows], np.int64), return_inverse=True)
+        keys, at = np.unique(b.top_sums[0], return_inverse=True)
         if len(keys):
-            sums = (np.bincount(at, unpacked([r[c] for r in rows], np.int64)).astype(np.int64) for c in ("top_n", "top_held"))
+            sums = (np.bincount(at, x).astype(np.int64) for x in b.top_sums[1:])
             yield block, *[none] * 7, packed(keys), *map(packed, sums)
 
     return run
@@ -477,7 +494,7 @@ def _estimates(model):
         types = [("bucket", pa.int64()), *((c, pa.float64()) for c in ("one", "two", "three", "n")), *((c, pa.int64()) for c in ("top", "whole", "held"))]
         events = _rows({k: pa.array(v) for k, v in _event_columns(m, *columns).items()}, types)
         top = _rows({k: pa.array(get(near, c)) for k, c in (("top", "top_keys"), ("whole", "top_n"), ("held", "top_held"))}, types)
-        return pa.concat_tables([events, top])
+        return _in_batches(pa.concat_tables([events, top]))
 
     return run
 
@@ -504,6 +521,7 @@ def _score(model, n_blocks: int):
             else:
                 yield block, r["id"], *[r[k] for k in KNOWN], *[None] * len(PASSED)
         b = Block(own)
+        del own
         total = lambda text, x: np.bincount(text, x, len(b.uid))
         score, trained = np.zeros(len(b.uid)), b.flag > 0
         if len(b.key):
@@ -511,9 +529,12 @@ def _score(model, n_blocks: int):
             word, context = (b.key & np.uint64((1 << m.bits + 1) - 1)).astype(np.int64), (b.key >> np.uint64(m.bits + 1)).astype(np.int64)
             score = score + total(b.text, np.log10(m.chance(context, n, m.counts[word])))
             del word, context, n
+            b.key = b.text = None
         if size := len(m.pairs):
             context, word = b.top // size, b.top % size
             score = score + total(b.top_text, np.log10(m.chance(context, m.pairs[context, word], m.counts[word])))
+            del context, word
+            b.top = b.top_text = None
         word = b.seen[b.at]
         known, base = total(b.rare_text, word > 0), total(b.rare_text, m.base(word))
         if len(b.rare):
@@ -522,6 +543,8 @@ def _score(model, n_blocks: int):
             score = score + total(b.rare_text[near], np.log10(m.chance(b.before[near].astype(np.int64), n[near], word[near])))
             for x in _packed(b.uid, b.rare_text[far], b.before[far], n[far], word[far], n_blocks):
                 yield x[0], *none, *x[1:]
+            del n, far, near, word
+            b.rare = b.before = b.rare_text = b.at = None
         if len(b.after):  # every rare context is a word of this block
             n = _trained(bigram_key(b.after, b.word.astype(np.uint64), m.bits), trained[b.after_text])
             score = score + total(b.after_text, np.log10(m.chance(np.searchsorted(b.names, b.after), n, m.counts[b.word], b.seen)))
@@ -538,6 +561,11 @@ def _trained(keys: np.ndarray, train: np.ndarray) -> np.ndarray:
     return np.bincount(at, train)[at].astype(np.int64) if len(keys) else np.empty(0, np.int64)
 
 
+def _in_batches(table: pa.Table) -> pa.Table:
+    """The table in batches as Spark sends them, which are what the JVM holds of it at once."""
+    return pa.Table.from_batches(table.to_batches(max_chunksize=BATCH), table.schema)
+
+
 def _packed(uid, text, context, n, word, n_blocks: int) -> Iterator[tuple]:
     """Tokens after rare contexts, packed for the blocks of these."""
     block = mixed(context) % np.uint64(n_blocks)
@@ -576,7 +604,7 @@ def _score_rare(model, kind: pa.DataType):
         total = lambda x, more: np.bincount(at, np.concatenate([x, more]), len(own))
         none = np.zeros(len(uid))
         sums = {"uid": own, "n_known": total(get("sum_known", np.int64), none).astype(np.int64), "base_score": total(plainly("sum_base"), none), "score": total(plainly("sum_score"), score)}
-        return pa.concat_tables([docs, _rows({k: pa.array(v) for k, v in sums.items()}, schema)])
+        return _in_batches(pa.concat_tables([docs, _rows({k: pa.array(v) for k, v in sums.items()}, schema)]))
 
     return run
 

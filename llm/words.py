@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow.compute as pc
 import xxhash
 
 #: Word hashes that a task remembers at once.
@@ -58,7 +59,7 @@ def cells(column) -> list[bytes]:
 def portions(batches, column: int, most: int = PORTION):
     """Slices of Arrow batches with at most so many bytes in a column, or with one row."""
     for batch in batches:
-        sizes, start, held = [0 if x is None else len(x) for x in batch.column(column).to_pylist()], 0, 0
+        sizes, start, held = pc.binary_length(batch.column(column)).fill_null(0).to_pylist(), 0, 0
         for i, size in enumerate(sizes):
             if held and held + size > most:
                 yield batch.slice(start, i - start)

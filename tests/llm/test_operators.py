@@ -304,6 +304,34 @@ def test_tokens_are_dealt_once_for_weights_and_scores(spark):
     assert sum(s is not None and s.numCompletedTasks > 0 for s in stages) == 1
 
 
+def test_a_task_has_one_block_and_nothing_stays_in_memory(spark):
+    rows = frame(spark, [prose(i, 30, 60) for i in range(40)]).select(F.col("doc_id").alias("id"), F.col("text").cast("binary").alias("raw"))
+    held = lambda: set(spark.sparkContext._jsc.getPersistentRDDs().keySet())
+    before = held()
+    _, blocks, n_blocks = ngram_lm._learn(rows.select("id", "raw", ngram_lm.flagged(rows, F.col("id") % 5 != 0).alias("flag")), None, 2)
+    found = blocks.mapPartitions(lambda rows: [sorted({r["block"] for r in rows})]).collect()
+    assert held() <= before
+    assert len(found) == n_blocks and all(x in ([], [i]) for i, x in enumerate(found))
+
+
+def test_a_round_of_learning_sends_no_events_to_python(spark, monkeypatch):
+    import numpy as np
+    import pandas as pd
+
+    rand = np.random.default_rng(4)
+    columns = {"bucket": rand.integers(0, 3, 3000), **{c: rand.integers(0, 3, 3000) / 4 for c in ("one", "two")}, "three": np.full(3000, 0.01), "n": rand.integers(1, 4, 3000) * 1.0}
+    gain = ngram_lm.held_out_gain(spark.createDataFrame(pd.DataFrame(columns)))
+    weights = rand.dirichlet([1] * 3, 4)
+    want = ngram_lm.gained(columns["bucket"], np.stack([columns[c] for c in ("one", "two", "three")], axis=1), columns["n"], weights)
+    plans, frames = [], type(spark.range(0))
+    collect = frames.collect
+    monkeypatch.setattr(frames, "collect", lambda frame: plans.append(frame._jdf.queryExecution().optimizedPlan().toString()) or collect(frame))
+    assert gain(weights) == pytest.approx(want)
+    (plan,) = plans
+    assert "InMemoryRelation" in plan and "MapInArrow" not in plan.split("InMemoryRelation")[0]
+
+
+
 # Jaccard join
 
 
