@@ -111,14 +111,15 @@ class Codes(dict):
         return value
 
     def events(self, raw: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of all tokens of some texts: context, word, number of the text."""
-        found = [split_words(x) + [b"\n"] for x in raw]
+        """Of all tokens of some texts: context, word, number of the text. The words themselves are held of one text at a time."""
+        found = [np.fromiter(map(self.__getitem__, [*split_words(x), b"\n"]), np.uint64) for x in raw]
         sizes = np.fromiter(map(len, found), np.int64, len(found))
-        word = np.fromiter((self[w] for x in found for w in x), np.uint64, int(sizes.sum()))
+        word = np.concatenate(found)
+        del found
         context = np.empty(len(word), np.uint64)
         context[1:] = np.where(word[:-1] >= RARE, np.uint64(self.other), word[:-1]) if self.pooled else word[:-1]
         context[np.cumsum(sizes) - sizes] = self.start
-        return context, word, np.repeat(np.arange(len(raw)), sizes)
+        return context, word, np.repeat(np.arange(len(raw), dtype=np.int32), sizes)
 
 
 def bigram_key(context: np.ndarray, word: np.ndarray, bits: int) -> np.ndarray:
